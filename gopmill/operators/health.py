@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gopmill.operators import slices
 
 DEAD_AFTER_SECS = 10
-DAY_SECS = 86400
 
 
 def known_heartbeats(heartbeats: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def silent_intervals(
     as_of: Column,
     timeout_secs: int = DEAD_AFTER_SECS,
     self_id: object | None = None,
-    slice_secs: int = DAY_SECS,
+    slice_days: int = 1,
 ) -> DataFrame:
     """(node_id, last_beat, dead_from, back_at) of every gap longer than the timeout.
 
@@ -34,8 +33,8 @@ def silent_intervals(
     """
     others = heartbeats if self_id is None else heartbeats.where(F.col("node_id") != F.lit(self_id))
     beats = others.select("node_id", "ts").distinct()
-    day = F.floor(F.unix_seconds("ts") / F.lit(slice_secs)).cast("bigint")
-    paired = slices.following(beats, ["node_id"], day, ["ts"], {"ts": "back_at"})
+    span = F.floor(F.unix_date(F.to_date("ts")) / F.lit(slice_days)).cast("bigint")
+    paired = slices.following(beats, ["node_id"], span, ["ts"], {"ts": "back_at"})
     limit = F.make_dt_interval(secs=F.lit(timeout_secs))
     until = F.coalesce(F.col("back_at"), as_of)
     return paired.where(until - F.col("ts") > limit).select(

@@ -316,36 +316,39 @@ def hardest_segments_per_job(spark, folder):
     return segments.hardest_segments_per_job(adapters.segments(spark, folder), 20)
 
 
+def _units():
+    return F.round(F.col("complexity") * 16384000).cast("bigint").alias("complexity_units")
+
+
 @query(
     "frame_features",
-    """SELECT b.asset_id, b.frame_idx, round(any_value(f.complexity), 6) AS complexity,
+    """SELECT b.asset_id, b.frame_idx, CAST(round(any_value(f.complexity) * 16384000) AS BIGINT) AS complexity_units,
          string_agg(CAST(CAST(round(share * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY bin) AS histogram
        FROM bins b JOIN features f USING (asset_id, frame_idx) GROUP BY b.asset_id, b.frame_idx""",
     ("bins", "features"),
 )
 def frame_features(spark, folder):
-    """Histogram as thousandths, so that texts compare exactly."""
+    """Histogram in thousandths and complexity in its 64-pixel steps: whole numbers compare exactly."""
     measured = frames.features_from_pixels(adapters.pixels(spark, folder))
     thousandths = F.transform("histogram", lambda share: F.round(share * 1000).cast("bigint").cast("string"))
     return measured.select(
-        "asset_id", "frame_idx", F.round("complexity", 6).alias("complexity"), F.array_join(thousandths, ",").alias("histogram")
+        "asset_id", "frame_idx", _units(), F.array_join(thousandths, ",").alias("histogram")
     )
 
 
 @query(
     "frame_features_binary",
-    "SELECT asset_id, frame_idx, round(complexity, 6) AS complexity FROM features",
+    "SELECT asset_id, frame_idx, CAST(round(complexity * 16384000) AS BIGINT) AS complexity_units FROM features",
     ("features",),
 )
 def frame_features_binary(spark, folder):
     """The same from packed 8x8 planes."""
-    gray = F.floor((F.col("x").cast("double") + 1) * 127.5).cast("int")
     plane = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5)), 2, "0")), ""))
     planes = adapters.read_parquet(spark, folder, "embeddings").select(
         F.col("label").cast("bigint").alias("asset_id"), F.col("vec_id").alias("frame_idx"),
         F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(8).alias("stride"), plane.alias("gray"),
     )
-    return frames.frame_features(planes).select("asset_id", "frame_idx", F.round("complexity", 6).alias("complexity"))
+    return frames.frame_features(planes).select("asset_id", "frame_idx", _units())
 
 
 def _changes(spark, folder):
