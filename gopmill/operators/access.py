@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gopmill.functions import net
+from gopmill.operators.rangejoin import ROWS_PER_TASK, spread_hot
 
 
 def blocked_range_table(spark: SparkSession) -> DataFrame:
@@ -31,7 +32,9 @@ def host_allowed(addresses: DataFrame, ipv4_only: bool = False) -> DataFrame:
     )
 
 
-def redeem_grants(grants: DataFrame, attempts: DataFrame, ttl_secs: int = 60) -> DataFrame:
+def redeem_grants(
+    grants: DataFrame, attempts: DataFrame, ttl_secs: int = 60, rows_per_task: int | None = ROWS_PER_TASK
+) -> DataFrame:
     """Attempts with ``redeemed``: the first attempt in time, for the same job and file, that meets its grant.
 
     ``grants(ticket, job_id, filename, issued_at)`` with unique tickets; ``attempts(attempt_id, ticket, job_id,
@@ -40,7 +43,8 @@ def redeem_grants(grants: DataFrame, attempts: DataFrame, ttl_secs: int = 60) ->
     """
     terms = grants.select("ticket", "job_id", "filename", "issued_at")
     expires = F.col("issued_at") + F.make_dt_interval(secs=F.lit(ttl_secs))
-    matched = attempts.join(terms, ["ticket", "job_id", "filename"]).where(
+    tried, granted, on = spread_hot(attempts, terms, ["ticket", "job_id", "filename"], rows_per_task)
+    matched = tried.join(granted, on).where(
         (F.col("ts") >= F.col("issued_at")) & (F.col("ts") < expires)
     )
     winners = (
