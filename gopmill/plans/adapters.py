@@ -139,6 +139,10 @@ def heartbeats(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One line per event; every branch of the phase table."""
+    return log_lines_of(read_parquet(spark, folder, "events"))
+
+
+def log_lines_of(events: DataFrame) -> DataFrame:
     line = F.expr(
         """CASE WHEN event_id % 97 = 0 THEN 'INFO presplit_0001.ts pre-split'
                 WHEN event_id % 89 = 0 THEN 'INFO Pipeline complete:'
@@ -148,14 +152,16 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
                 WHEN event_type = 'error'  THEN 'INFO Step 4: Assembling output...'
                 ELSE 'INFO Step 1: Analyzing video...' END"""
     )
-    return read_parquet(spark, folder, "events").select(
-        F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), line.alias("line")
-    )
+    return events.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), line.alias("line"))
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Each validation rule fails for some rows; some formats are absent."""
-    return read_parquet(spark, folder, "orders").selectExpr(*_columns(REQUEST_COLUMNS))
+    return requests_of(read_parquet(spark, folder, "orders"))
+
+
+def requests_of(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(*_columns(REQUEST_COLUMNS))
 
 
 REQUEST_COLUMNS = """o_orderkey AS request_id,

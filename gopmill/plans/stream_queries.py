@@ -54,6 +54,17 @@ def node_liveness_stream(spark, folder):
     )
 
 
+adapters.CTES["eprogress"] = (
+    (),
+    """elatest AS (
+ SELECT user_id AS job_id, event_id % 12 AS segment_id, arg_max(CASE WHEN event_type IN ('click', 'purchase') THEN 'complete'
+   WHEN event_type = 'error' THEN 'failed' ELSE 'assign' END, event_id) AS kind FROM events GROUP BY ALL),
+eprogress AS (
+ SELECT job_id, CAST(12 AS BIGINT) AS total, count(*) FILTER (kind = 'complete') AS completed, count(*) FILTER (kind = 'failed') AS failed,
+        count(*) FILTER (kind = 'assign') AS assigned, 12 - count(*) AS pending FROM elatest GROUP BY job_id)""",
+)
+
+
 @query("job_progress_stream", "SELECT job_id, total, completed, failed, assigned, pending FROM eprogress", ("eprogress",))
 def job_progress_stream(spark, folder):
     """Users as jobs, twelve segments each, ordered by event_id."""
@@ -66,38 +77,12 @@ def job_progress_stream(spark, folder):
     return streams.job_progress_totals(updates, totals)
 
 
-adapters.CTES["eprogress"] = (
-    (),
-    """elatest AS (
- SELECT user_id AS job_id, event_id % 12 AS segment_id, arg_max(CASE WHEN event_type IN ('click', 'purchase') THEN 'complete'
-   WHEN event_type = 'error' THEN 'failed' ELSE 'assign' END, event_id) AS kind FROM events GROUP BY ALL),
-eprogress AS (
- SELECT job_id, CAST(12 AS BIGINT) AS total, count(*) FILTER (kind = 'complete') AS completed, count(*) FILTER (kind = 'failed') AS failed,
-        count(*) FILTER (kind = 'assign') AS assigned, 12 - count(*) AS pending FROM elatest GROUP BY job_id)""",
-)
-
-
 @query("log_phase_stream", "SELECT * FROM phases", ("phases",))
 def log_phase_stream(spark, folder):
-    lines = table_as_stream(spark, folder, adapters.log_lines)
+    lines = adapters.log_lines_of(runner.stream_table(spark, folder, "events"))
     return runner.run_available(streams.log_phase_stream(lines, "0 seconds"))
 
 
-def table_as_stream(spark, folder, adapter):
-    """An adapter of the events table over the table as a stream."""
-
-    class Streamed:
-        """Stands in for the session in ``adapter``: reads become stream reads."""
-
-        class read:
-            @staticmethod
-            def parquet(path):
-                name = path.rsplit("/", 1)[1].removesuffix(".parquet")
-                return runner.stream_table(spark, folder, name)
-
-    return adapter(Streamed, folder)
-
-
 @query(
     "progress_percent_stream",
     """SELECT event_id AS seq, 'j' || user_id AS job_id, completed_segments, total_segments,
@@ -142,11 +127,11 @@ def grant_redemption_stream(spark, folder):
     ("gops",),
 )
 def live_gop_stats(spark, folder):
-    """The stored packets replayed at their own times without end rows, so each asset's last GOP stays open."""
+    """The stored packets replayed at 25 a second without end rows, so each asset's last GOP stays open."""
     base = runner.fresh_folder(spark)
     adapters.packets(spark, folder).write.mode("overwrite").parquet(base)
     replay = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
-    timed = replay.withColumn("ts", F.timestamp_millis((F.col("pts_time") * 1000).cast("bigint"))).withColumn("is_end", F.lit(False))
+    timed = replay.withColumn("ts", F.timestamp_millis((F.col("pts_time") * 1000).cast("bigint") + 1_700_000_000_000)).withColumn("is_end", F.lit(False))
     return runner.run_available(streams.live_gop_stats(timed, "0 seconds")).withColumn("bitrate_bps", F.round("bitrate_bps", 3))
 
 
@@ -154,7 +139,7 @@ def live_gop_stats(spark, folder):
 def request_validation_stream(spark, folder):
     """Both outputs of the split, put together again."""
     runner.use_rocksdb(spark)
-    stream = table_as_stream(spark, folder, adapters.requests)
+    stream = adapters.requests_of(runner.stream_table(spark, folder, "orders"))
     base = runner.fresh_folder(spark)
     write = streams.split_requests(request_columns(), f"{base}/valid", f"{base}/rejected", max_workers=8)
     runner.drain(stream.writeStream.foreachBatch(write), base)

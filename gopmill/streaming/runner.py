@@ -38,7 +38,7 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     drain(stream.writeStream.outputMode(mode).foreachBatch(write), base)
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Inputs carry the event time ``ts`` (timestamp, ms). Rows later than ``delay`` behind the newest are dropped by the
 watermark and counted in the query's metrics. Keyed folds run on the RocksDB state store; see ``runner``.
+Numbers that may be absent go into a fold as -1: pandas would turn a nullable bigint into a float.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ class _Liveness(InOrder):
 
     def fold(self, key, state, row):
         at, active, most, initial = row
-        if active is None:  # a tick of the clock
+        if active < 0:  # a tick of the clock
             return state, []
         status, last = state
         status = initial if status is None else status
@@ -80,12 +81,14 @@ def node_liveness_stream(
     registry = nodes.select("node_id", F.col("max_concurrent_workers").cast("bigint"), F.col("status").alias("initial_status"))
     beats = _timed(heartbeats.select("node_id", "ts", F.col("active_workers").cast("bigint").alias("active_workers")), delay)
     known = beats.join(registry, "node_id")
+    node_type = dict(heartbeats.dtypes)["node_id"]
     if clock is not None:
-        node_type = dict(heartbeats.dtypes)["node_id"]
-        known = known.unionByName(
-            _timed(clock.select("ts"), delay).withColumn("node_id", F.lit("-1").cast(node_type)), allowMissingColumns=True
+        idle = F.lit(-1).cast("bigint")
+        ticks = _timed(clock.select("ts"), delay).select(
+            F.lit("-1").cast(node_type).alias("node_id"), "ts", idle.alias("active_workers"),
+            idle.alias("max_concurrent_workers"), F.lit(None).cast("string").alias("initial_status"),
         )
-    node_type = dict(heartbeats.dtypes)["node_id"]
+        known = known.unionByName(ticks)
     return known.groupBy("node_id").transformWithStateInPandas(
         statefulProcessor=_Liveness(int(timeout_secs * 1000)),
         outputStructType=f"node_id {node_type}, at timestamp, status string",
@@ -199,8 +202,8 @@ class _Phase(InOrder):
     def fold(self, key, state, row):
         phase, percent, total, done = state
         _, seq, branch, created, finished = row
-        if created:
-            total = int(created)
+        if created > 0:
+            total = created
         if finished:
             done = min(done + 1, total) if total else done + 1
         if branch in FIXED_PERCENT:
@@ -218,7 +221,7 @@ def log_phase_stream(lines: DataFrame, delay: str = "10 seconds") -> DataFrame:
     What a line says is found by column expressions before the state: the fold sees four short values a line.
     """
     marked = log_marks(lines).select(
-        "job_id", "ts", "seq", "branch", "created", F.col("done").cast("bigint").alias("done")
+        "job_id", "ts", "seq", "branch", F.coalesce("created", F.lit(-1)).alias("created"), F.col("done").cast("bigint").alias("done")
     )
     job_type = dict(lines.dtypes)["job_id"]
     return _timed(marked, delay).groupBy("job_id").transformWithStateInPandas(
@@ -239,7 +242,7 @@ class _Percent(InOrder):
 
     def fold(self, key, state, row):
         _, seq, completed, total, own = row
-        percent = state[0] if own is None else int(own)
+        percent = state[0] if own < 0 else own
         return (percent,), [(key[0], seq, completed, total, percent)]
 
 
@@ -253,7 +256,7 @@ def progress_rows(messages: DataFrame) -> DataFrame:
 
 def progress_percent_stream(messages: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Progress messages (ts, seq, raw parsed by read_messages) with a percent that outlasts a total of 0."""
-    rows = progress_rows(messages).select("job_id", "ts", "seq", "completed_segments", "total_segments", "percent")
+    rows = progress_rows(messages).select("job_id", "ts", "seq", "completed_segments", "total_segments", F.coalesce("percent", F.lit(-1)).alias("percent"))
     return _timed(rows, delay).groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=_Percent(),
         outputStructType="job_id string, seq bigint, completed_segments bigint, total_segments bigint, percent bigint",
@@ -311,7 +314,7 @@ def grant_redemption_stream(grants: DataFrame, attempts: DataFrame, ttl_secs: fl
     ticket_type = dict(grants.dtypes)["ticket"]
     issued = grants.select(
         "ticket", F.col("issued_at").alias("ts"), F.lit(0).cast("bigint").alias("is_attempt"),
-        F.lit(None).cast("bigint").alias("attempt_id"), F.col("job_id").cast("string").alias("job_id"), "filename",
+        F.lit(-1).cast("bigint").alias("attempt_id"), F.col("job_id").cast("string").alias("job_id"), "filename",
     )
     tried = attempts.select(
         "ticket", "ts", F.lit(1).cast("bigint").alias("is_attempt"), "attempt_id",
