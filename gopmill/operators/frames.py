@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,32 +52,36 @@ def features_from_pixels(pixels: DataFrame) -> DataFrame:
     )
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measure_plane(gray: memoryview, width: int, height: int, stride: int) -> tuple[np.ndarray, float]:
+    """Histogram and complexity of one plane; an empty frame has no share in any bin."""
+    total = width * height
+    if total == 0:
+        return np.full(HISTOGRAM_BINS, np.nan), 0.0
+    # the last row of a plane may stop short of its stride
+    plane = np.frombuffer(gray, dtype=np.uint8)
+    rows = np.lib.stride_tricks.as_strided(plane, (height, width), (stride, 1), writeable=False)
+    counts = np.bincount(rows.ravel(), minlength=256)
+    levels = np.arange(256)
+    mean = counts @ levels / total
+    variance = counts @ (levels - mean) ** 2 / total
+    return counts.reshape(HISTOGRAM_BINS, BIN_WIDTH).sum(axis=1) / total, min(float(variance) / VARIANCE_SCALE, 1.0)
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        histograms, complexities = [], []
-        for gray, width, height, stride in zip(batch["gray"], batch["width"], batch["height"], batch["stride"]):
-            total = int(width) * int(height)
-            if total == 0:
-                # an empty frame has no share in any bin
-                histograms.append([float("nan")] * HISTOGRAM_BINS)
-                complexities.append(0.0)
-                continue
-            # the last row of a plane may stop short of its stride
-            plane = np.frombuffer(gray, dtype=np.uint8)
-            rows = np.lib.stride_tricks.as_strided(plane, (int(height), int(width)), (int(stride), 1), writeable=False)
-            counts = np.bincount(rows.ravel(), minlength=256)
-            levels = np.arange(256)
-            mean = counts @ levels / total
-            variance = counts @ (levels - mean) ** 2 / total
-            histograms.append((counts.reshape(HISTOGRAM_BINS, BIN_WIDTH).sum(axis=1) / total).tolist())
-            complexities.append(min(float(variance) / VARIANCE_SCALE, 1.0))
-        yield pd.DataFrame(
-            {
-                "asset_id": batch["asset_id"],
-                "frame_idx": batch["frame_idx"],
-                "histogram": histograms,
-                "complexity": complexities,
-            }
+        shapes = zip(*(batch.column(name).to_pylist() for name in ("width", "height", "stride")))
+        measured = [
+            _measure_plane(gray.as_buffer(), *shape) for gray, shape in zip(batch.column("gray"), shapes)
+        ]
+        histograms = [histogram.tolist() for histogram, _ in measured]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("asset_id"),
+                batch.column("frame_idx"),
+                pa.array(histograms, pa.list_(pa.float64())),
+                pa.array([complexity for _, complexity in measured], pa.float64()),
+            ],
+            names=["asset_id", "frame_idx", "histogram", "complexity"],
         )
 
 
@@ -96,7 +100,7 @@ def frame_features(frames: DataFrame) -> DataFrame:
         .otherwise(F.raise_error(F.lit("luma plane is shorter than its geometry")).cast("binary"))
         .alias("gray"),
     )
-    return checked.mapInPandas(_measure, FEATURES_SCHEMA)
+    return checked.mapInArrow(_measure, FEATURES_SCHEMA)
 
 
 def scene_changes(

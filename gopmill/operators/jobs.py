@@ -165,13 +165,12 @@ def log_marks(lines: DataFrame) -> DataFrame:
         .when(says("playlist", "concatenat", "assembling"), "final")
         .when(says("pipeline complete"), "complete")
     )
-    created = F.regexp_extract("line", r"(?i)Created\s+([0-9]+)\s+segments", 1).try_cast("bigint")
+    # the plain searches spare most lines the patterns
+    number = F.regexp_extract("line", r"(?i)Created\s+([0-9]+)\s+segments", 1).try_cast("bigint")
+    created = F.when(says("created"), number)
+    done = F.when(says("done"), F.col("line").rlike(r"(?i)Segment\s+[0-9]+\s+done\b")).otherwise(False)
     return lines.withColumns(
-        {
-            "branch": branch,
-            "created": F.when(created > 0, created),
-            "done": F.col("line").rlike(r"(?i)Segment\s+[0-9]+\s+done\b").cast("int"),
-        }
+        {"branch": branch, "created": F.nullif(created, F.lit(0).cast("bigint")), "done": done.cast("int")}
     )
 
 
@@ -272,7 +271,7 @@ def log_phase(lines: DataFrame, slice_rows: int = slices.SLICE_ROWS) -> DataFram
     )
     total = F.coalesce("_total", "_total0")
     low = F.least(F.col("_low0"), lowest_room(F.col("_total0"), F.col("_n0"), F.col("_open"), F.col("_room")))
-    joined = inside.join(inherited, ["job_id", slices.SLICE]).withColumns(
+    joined = inside.join(inherited.hint("shuffle_hash"), ["job_id", slices.SLICE]).withColumns(
         {
             "segments_total": F.coalesce(total, F.lit(0)).cast("bigint"),
             "segments_done": (F.col("_n0") + F.col("_n") + F.least(F.lit(0), F.coalesce(low, F.lit(0)))).cast("bigint"),

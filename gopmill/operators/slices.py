@@ -22,7 +22,7 @@ SLICE_ROWS = 65536
 
 def slice_of(column: str, rows: int = SLICE_ROWS) -> Column:
     """Slice number of a dense integer position: at most ``rows`` rows a slice."""
-    return F.floor(F.col(column) / F.lit(rows)).cast("bigint")
+    return F.call_function("div", F.col(column), F.lit(rows))
 
 
 def inherit(
@@ -41,7 +41,9 @@ def inherit(
     per_slice = sliced.groupBy(*keys, SLICE).agg(*summaries)
     over_slices = Window.partitionBy(*keys).orderBy(SLICE)
     inherited = per_slice.select(*keys, SLICE, *carries(over_slices))
-    return sliced.join(inherited, [*keys, SLICE])
+    # the rows are shuffled by (keys, slice) once, for this join and the windows above it, and sorted once; the
+    # table built in memory is a task's share of the slices, one row per 65,536
+    return sliced.join(inherited.hint("shuffle_hash"), [*keys, SLICE])
 
 
 def in_slice(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
