@@ -49,30 +49,42 @@ def pending_order() -> list[Column]:
 def priority_rank(segments: DataFrame) -> DataFrame:
     """Segments with ``priority`` 1.. within their job: hardest first, ties in segment order.
 
-    One global order gives every rank; a job's ranks are it less what came before the job, so the largest job
-    is spread over as many tasks as it needs.
+    The range partitions of one global order are the slices of every job, so the largest job is spread over as
+    many tasks as it needs.
     """
-    ranked = slices.global_rank(segments, pending_order(), "_rank")
-    offsets = ranked.groupBy("job_id").agg(F.min("_rank").alias("_first"))
-    return ranked.join(offsets, "job_id").withColumn("priority", F.col("_rank") - F.col("_first") + 1).select(
-        *segments.columns, "priority"
-    )
+    ranged = slices.range_slices(segments, pending_order())
+    ranked = slices.row_number(ranged, ["job_id"], F.col(slices.SLICE), ["_at"], "priority")
+    return ranked.select(*segments.columns, "priority")
 
 
 def assign_segments(pending: DataFrame, nodes: DataFrame) -> DataFrame:
     """(job_id, segment_id, node_id, slot_rank): pending segments put on free slots.
 
     Jobs in job_id order, the hardest segment first, the strongest node first; what is ranked past the last free
-    slot stays pending. A node's slots are listed one by one, so this is an equality on the slot number: no
-    range predicate and exactly one match.
+    slot stays pending. Only jobs that reach a free slot are ranked at all. A node's slots are listed one by one, so
+    this is an equality on the slot number: no range predicate and exactly one match.
     """
-    ranked = slices.global_rank(pending.select("job_id", "segment_id", "complexity_estimate"), pending_order(), "slot_rank")
-    slots = node_slot_ranges(nodes).select(
-        "node_id", F.explode(F.sequence("first_slot", "last_slot")).alias("slot_rank")
-    )
+    ranges = node_slot_ranges(nodes)
+    wanted = pending.select("job_id", "segment_id", "complexity_estimate")
+    ranked = slices.global_rank(_reachable(wanted, ranges), pending_order(), "slot_rank")
+    slots = ranges.select("node_id", F.explode(F.sequence("first_slot", "last_slot")).alias("slot_rank"))
     return ranked.join(slots, "slot_rank").select("job_id", "segment_id", "node_id", "slot_rank")
 
 
+def _reachable(pending: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Pending segments of the jobs, in order, up to the one in which the free slots run out.
+
+    Two single values come back to the driver; the filter they make reaches the scan of the segments.
+    """
+    slots = ranges.agg(F.max("last_slot")).first()[0]
+    if slots is None:
+        return pending.where(F.lit(False))
+    per_job = pending.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    summed = slices.global_running_sum(slices.range_slices(per_job, [F.col("job_id")]), F.col("_n"), "_upto")
+    last_job = summed.where(F.col("_upto") >= slots).agg(F.min("job_id")).first()[0]
+    return pending if last_job is None else pending.where(F.col("job_id") <= F.lit(last_job))
+
+
 def pending_segments(segments: DataFrame, latest: DataFrame) -> DataFrame:
     """Segments without a state: neither assigned nor completed nor failed."""
     return segments.join(latest, ["job_id", "segment_id"], "left_anti")

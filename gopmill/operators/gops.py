@@ -24,13 +24,10 @@ def keyframes(packets: DataFrame, insert_zero: bool = True, slice_rows: int = sl
     flagged = is_key(F.col("flags")) if "flags" in packets.columns else F.col("is_key")
     index = F.col("packet_idx") if "packet_idx" in packets.columns else F.col("frame_idx")
     ts = F.col("pts_time") if "pts_time" in packets.columns else F.col("ts")
-    found = packets.where(flagged).select("asset_id", index.alias("frame_idx"), ts.cast("double").alias("ts"))
-    if insert_zero:
-        # the assets come from packet 0 alone, so no aggregate over all packets is needed
-        first = packets.where((index == 0) & ~flagged).select(
-            "asset_id", F.lit(0).cast("bigint").alias("frame_idx"), F.lit(0.0).alias("ts")
-        )
-        found = found.unionByName(first)
+    wanted = flagged | (index == 0) if insert_zero else flagged
+    found = packets.where(wanted).select(
+        "asset_id", index.alias("frame_idx"), F.when(flagged, ts.cast("double")).otherwise(0.0).alias("ts")
+    )
     numbered = slices.row_number(
         found, ["asset_id"], slices.slice_of("frame_idx", slice_rows), ["frame_idx"], "kf_idx", start=0
     )

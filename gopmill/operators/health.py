@@ -29,12 +29,16 @@ def silent_intervals(
     """(node_id, last_beat, dead_from, back_at) of every gap longer than the timeout.
 
     The gap after the last beat is judged at ``as_of`` and has no ``back_at``. The node ``self_id`` never
-    declares itself dead. Beats of one instant are one beat.
+    declares itself dead. Beats of one instant are no gap apart.
     """
     others = heartbeats if self_id is None else heartbeats.where(F.col("node_id") != F.lit(self_id))
-    beats = others.select("node_id", "ts").distinct()
+    beats = others.select("node_id", "ts")
     span = F.floor(F.unix_date(F.to_date("ts")) / F.lit(slice_days)).cast("bigint")
-    paired = slices.following(beats, ["node_id"], span, ["ts"], {"ts": "back_at"})
+    carried = slices.inherit(
+        beats, ["node_id"], span, [F.min("ts").alias("_first")], lambda w: [F.lead("_first").over(w).alias("_beyond")]
+    )
+    next_beat = F.coalesce(F.lead("ts").over(slices.in_slice(["node_id"], ["ts"])), F.col("_beyond"))
+    paired = carried.withColumn("back_at", next_beat)
     limit = F.make_dt_interval(secs=F.lit(timeout_secs))
     until = F.coalesce(F.col("back_at"), as_of)
     return paired.where(until - F.col("ts") > limit).select(

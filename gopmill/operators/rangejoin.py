@@ -33,7 +33,7 @@ def spread_hot(
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with a salt that splits the join keys too frequent in ``big``.
 
-    The table of frequent keys has at most rows / rows_per_task entries. ``big`` rows of such a key are dealt out
+    ``big`` rows of such a key are dealt out
     over ceil(count / rows_per_task) salts; ``small`` rows are repeated once per salt.
     """
     if rows_per_task is None:
@@ -44,6 +44,8 @@ def spread_hot(
         .where(F.col("_n") > rows_per_task)
         .select(*on, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_ways"))
     )
+    # at most one key per rows_per_task rows of ``big``: a million keys, some tens of MB, for 10^12 rows
+    hot = F.broadcast(hot)
     # a hash of the row, not a random number: a recomputed task must deal its rows out the same way
     dealt = (
         big.join(hot, list(on), "left")

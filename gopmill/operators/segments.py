@@ -14,6 +14,8 @@ from gopmill.session import written
 
 # Frames per block at each level of the chain; see visited_keyframes.
 CHAIN_BLOCKS = (1 << 14, 1 << 26)
+# Frames per join bucket: about a segment, so that a frame is compared with one or two segments.
+BUCKET_FRAMES = 256
 BYTES_PER_SECOND = 5 * 1024 * 1024
 
 
@@ -248,7 +250,7 @@ def size_segments(sources: DataFrame, secs: float = 10.0, fps: float = 30.0) ->
     )
 
 
-def frames_of_segments(segments: DataFrame, frames: DataFrame, bucket_frames: int = slices.SLICE_ROWS) -> DataFrame:
+def frames_of_segments(segments: DataFrame, frames: DataFrame, bucket_frames: int = BUCKET_FRAMES) -> DataFrame:
     """Frames(asset_id, frame_idx, ...) with the segment whose inclusive frame range holds them.
 
     Frame numbers are unique per asset, so a bucket of frames is bounded and needs no salt.
@@ -261,7 +263,7 @@ def frames_of_segments(segments: DataFrame, frames: DataFrame, bucket_frames: in
     )
 
 
-def frames_in_segments(segments: DataFrame, frames: DataFrame, bucket_frames: int = slices.SLICE_ROWS) -> DataFrame:
+def frames_in_segments(segments: DataFrame, frames: DataFrame, bucket_frames: int = BUCKET_FRAMES) -> DataFrame:
     """Segments with mean complexity (0.0 without frames) and the number of scene changes.
 
     The scene changes themselves are rows of ``scene_changes_in_segments``, not an array per segment.
@@ -279,7 +281,7 @@ def frames_in_segments(segments: DataFrame, frames: DataFrame, bucket_frames: in
 
 
 def scene_changes_in_segments(
-    segments: DataFrame, frames: DataFrame, bucket_frames: int = slices.SLICE_ROWS
+    segments: DataFrame, frames: DataFrame, bucket_frames: int = BUCKET_FRAMES
 ) -> DataFrame:
     """(asset_id, segment_id, frame_idx) of each scene change inside a segment."""
     changes = frames.where(F.col("is_scene_change")).select("asset_id", "frame_idx")

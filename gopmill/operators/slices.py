@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gopmill.session import ensure_checkpoint_dir
+from gopmill.session import written
 
 SLICE = "_slice"
 SLICE_ROWS = 65536
@@ -120,14 +120,13 @@ def _neighbour(df, keys, slice_by, order, columns, back: bool) -> DataFrame:
 def range_slices(df: DataFrame, order: Sequence[Column], slices: int | None = None) -> DataFrame:
     """``df`` range-partitioned on a unique order without any usable position, with ``_slice`` and ``_at``.
 
-    Range bounds are sampled, so the result is checkpointed: every later use, and every recomputation after
+    Range bounds are sampled, so the result is written out: every later use, and every recomputation after
     a lost executor, sees the same slices. No key, however frequent, fills a slice.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     spread = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
     numbered = spread.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    fixed = numbered.checkpoint(eager=True)
-    return fixed.withColumn(SLICE, F.shiftright("_at", 33))
+    # the upper bits of the id are the number of the range partition
+    return written(numbered).withColumn(SLICE, F.shiftright("_at", 33))
 
 
 def global_running_sum(ranged: DataFrame, value: Column, name: str) -> DataFrame:

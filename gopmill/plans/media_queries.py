@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gopmill.operators import decisions, frames, gops, packets, segments
 from gopmill.plans import adapters
 from gopmill.plans.registry import query
+from gopmill.session import written
 
 
 def stored_gops(spark, folder):
@@ -352,7 +353,8 @@ def frame_features_binary(spark, folder):
 
 
 def _changes(spark, folder):
-    return frames.scene_changes(frames.features_from_pixels(adapters.pixels(spark, folder)), threshold=0.15)
+    features = written(frames.features_from_pixels(adapters.pixels(spark, folder)))
+    return frames.scene_changes(features, threshold=0.15)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the checkpoint folder, for a result several later steps read.
+    """``df`` computed once into a Parquet table in the checkpoint folder, for a result several later steps read.
 
-    Without it each of them would run the whole plan again.
+    Without it each of them would run the whole plan again. A table keeps column pruning and pushdown for its
+    readers, and outlives any executor.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
