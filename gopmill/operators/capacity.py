@@ -14,7 +14,7 @@ def active_nodes(nodes: DataFrame) -> DataFrame:
 
 def schedulable_nodes(nodes: DataFrame, connections: DataFrame) -> DataFrame:
     """Active or busy nodes with a live connection (connections.node_id)."""
-    return active_nodes(nodes).join(connections, "node_id", "left_semi")
+    return active_nodes(nodes).join(connections.select("node_id").distinct(), "node_id", "left_semi")
 
 
 def free_slots() -> Column:

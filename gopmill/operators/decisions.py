@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gopmill.functions import encode
 from gopmill.operators import gops as gop_ops
-from gopmill.operators.rangejoin import overlap_join
+from gopmill.operators.rangejoin import ROWS_PER_TASK, overlap_join, spread_hot
 
 # They must equal the published behaviour for right results.
 COPY_FRACTION = 0.9
@@ -21,7 +21,7 @@ def media_blockers() -> Column:
 
 
 def gops_in_ranges(
-    ranges: DataFrame, gops: DataFrame, width: float = 10.0, rows_per_task: int | None = None
+    ranges: DataFrame, gops: DataFrame, width: float = 10.0, rows_per_task: int | None = ROWS_PER_TASK
 ) -> DataFrame:
     """Pairs of range and GOP of one asset that overlap, strictly at both ends.
 
@@ -42,10 +42,12 @@ def plan_segments(
     mode: str = "normal",
     tolerance: float = 0.3,
     width: float = 10.0,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per range: copy or encode, bitrate ratio, blockers, tolerance and target bitrate.
 
-    ``copy`` and ``normal`` (and any unknown mode) never touch the GOPs.
+    ``copy`` and ``normal`` (and any unknown mode) never touch the GOPs. ``ranges`` and ``gops`` are read more than
+    once, so pass stored tables.
     """
     base = media.select(
         "asset_id",
@@ -54,7 +56,8 @@ def plan_segments(
     )
     spans = ranges.select("asset_id", "segment_id", "start_ts", "end_ts")
     if mode not in SMART_MODES:
-        return spans.join(base, "asset_id").select(
+        dealt, repeated, on = spread_hot(spans, base, ["asset_id"], rows_per_task)
+        return dealt.join(repeated, on).select(
             "asset_id", "segment_id", "start_ts", "end_ts",
             F.lit(mode == "copy").alias("copy"),
             F.lit(None).cast("double").alias("bitrate_ratio"),
@@ -68,16 +71,17 @@ def plan_segments(
     else:
         base = base.withColumn("tolerance", F.lit(float(tolerance)))
     rates = (
-        gops_in_ranges(spans, gops, width)
+        gops_in_ranges(spans, gops, width, rows_per_task)
         .groupBy("asset_id", "segment_id")
         .agg(F.avg("bitrate_bps").alias("_rate"))
     )
     ratio = F.col("_rate") / F.col("target_bitrate")
     near = (ratio >= 1.0 - F.col("tolerance")) & (ratio <= 1.0 + F.col("tolerance"))
     copy = F.when(F.size("blockers") > 0, F.lit(False)).otherwise(F.coalesce(near, F.lit(False)))
+    dealt, repeated, on = spread_hot(spans, base, ["asset_id"], rows_per_task)
     return (
-        spans.join(rates, ["asset_id", "segment_id"], "left")
-        .join(base, "asset_id")
+        dealt.join(rates, ["asset_id", "segment_id"], "left")
+        .join(repeated, on)
         .select(
             "asset_id", "segment_id", "start_ts", "end_ts", copy.alias("copy"), ratio.alias("bitrate_ratio"),
             "blockers", "tolerance", "target_bitrate",
@@ -89,11 +93,14 @@ def _percent(share: Column) -> Column:
     return F.round(share * 100.0).cast("bigint").cast("string")
 
 
-def recommend(media: DataFrame, gops: DataFrame, max_tolerance: float = 0.3) -> DataFrame:
-    """(asset_id, mode, preset, reasons, copyable_gop_fraction) per asset."""
+def recommend(
+    media: DataFrame, gops: DataFrame, max_tolerance: float = 0.3, rows_per_task: int | None = ROWS_PER_TASK
+) -> DataFrame:
+    """(asset_id, mode, preset, reasons, copyable_gop_fraction) per asset. ``gops`` is read more than once: store it."""
     tuned = gop_ops.auto_tolerance(media, gops, max_tolerance)
     near = F.abs(F.col("bitrate_bps") / F.col("target_bitrate") - 1.0) <= F.col("tolerance")
-    shares = gops.join(tuned, "asset_id").groupBy("asset_id").agg(F.avg(near.cast("double")).alias("_share"))
+    dealt, repeated, on = spread_hot(gops.select("asset_id", "gop_idx", "bitrate_bps"), tuned, ["asset_id"], rows_per_task)
+    shares = dealt.join(repeated, on).groupBy("asset_id").agg(F.avg(near.cast("double")).alias("_share"))
     work = encode.work_units(F.col("width"), F.col("height"), F.col("fps"), F.col("duration_secs"))
     facts = (
         media.withColumn("_blockers", media_blockers())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gopmill.operators import slices
-from gopmill.operators.rangejoin import point_join
+from gopmill.operators.rangejoin import SALT, point_join, spread_hot
 from gopmill.session import written
 
 # Frames per block at each level of the chain; see visited_keyframes.
@@ -89,7 +89,9 @@ def segment_links(
     chained = slices.following(
         keyframes, ["asset_id"], slices.slice_of("frame_idx", slice_rows), ["frame_idx"],
         {"frame_idx": "_next_frame", "ts": "_next_ts"},
-    ).join(facts, "asset_id")
+    )
+    dealt, repeated, on = spread_hot(chained, facts, ["asset_id"])
+    chained = dealt.join(repeated, on).drop(SALT)
     targets = chained.withColumn("_goal", F.col("frame_idx") + F.col("_span")).drop("_span")
     found = _nearest(targets, keyframes, "_goal", ["ts"], slice_rows)
     ahead = F.col("nearest.frame_idx") > F.col("frame_idx")
@@ -174,11 +176,11 @@ def create_segments(
     and duration_secs. A last keyframe on the last frame yields no segment of its own unless ``keep_tail``.
     Assets that cannot be cut are in ``segment_rejects``.
     """
-    # some tens of packets share a keyframe, so these two writes are small beside one more pass over packets
+    # some tens of packets share a keyframe, so these writes are small beside one more pass over packets
     links = written(segment_links(media, written(keyframes), target_secs, slice_rows))
     steps = links.select("asset_id", F.col("frame_idx").alias("frame"), F.col("succ_frame").alias("to"))
     entries = links.where(F.col("kf_idx") == 0).select("asset_id", F.col("frame_idx").alias("frame"))
-    visited = visited_keyframes(steps, entries, blocks).withColumnRenamed("frame", "frame_idx")
+    visited = written(visited_keyframes(steps, entries, blocks)).withColumnRenamed("frame", "frame_idx")
     cut = links.join(visited, ["asset_id", "frame_idx"])
     if not keep_tail:
         lost = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gopmill.functions.pods import pod_summary as summarize_pods
+from gopmill.functions.text import source_key
 from gopmill.operators import jobs, texts
 from gopmill.plans import adapters, smart_report
 from gopmill.plans.cluster_queries import done
@@ -261,9 +262,14 @@ COPY_RULE = "NOT blocked AND coalesce(ratio BETWEEN 1 - CAST(0.3 AS DOUBLE) AND
 )
 def smart_report_query(spark, folder):
     """The JSON report of every asset with packets, read back: its counts are compared."""
-    reports = smart_report.smart_reports(
-        adapters.plain_media(spark, folder), stored_gops(spark, folder), ranges(spark, folder), 0.3
+    return _read_back(
+        smart_report.smart_reports(
+            adapters.plain_media(spark, folder), stored_gops(spark, folder), ranges(spark, folder), 0.3
+        )
     )
+
+
+def _read_back(reports):
     schema = (
         "input string, segments array<struct<id bigint, decision string, bitrate_ratio double, reasons array<string>>>, "
         "summary struct<total_segments bigint, copy_segments bigint, global_blockers array<string>>"
@@ -276,3 +282,40 @@ def smart_report_query(spark, folder):
         F.size(F.filter("r.segments", lambda s: s["bitrate_ratio"].isNotNull())).cast("bigint").alias("ratios"),
         (F.size("r.summary.global_blockers") > 0).alias("has_blockers"),
     )
+
+
+adapters.CTES["cut_plan"] = (
+    ("cuts", "gops", "tolerances"),
+    """cut_plan AS (
+ SELECT r.asset_id, r.segment_id, t.blocked, avg(g.bitrate_bps) / t.target_bitrate AS ratio
+ FROM cuts r JOIN tolerances t USING (asset_id)
+ LEFT JOIN gops g ON g.asset_id = r.asset_id AND g.start_time < r.end_ts AND g.end_time > r.start_ts
+ GROUP BY r.asset_id, r.segment_id, t.target_bitrate, t.blocked)""",
+)
+
+
+@query(
+    "analyze",
+    f"""SELECT asset_id, CAST(0 AS BIGINT) AS part, count(*) AS segments, count(*) FILTER ({COPY_RULE}) AS copies, count(ratio) AS ratios,
+         blocked AS has_blockers FROM cut_plan GROUP BY asset_id, blocked""",
+    ("cut_plan",),
+)
+def analyze(spark, folder):
+    """From packets to reports: keyframes, GOPs, keyframe-aligned segments, plan, texts."""
+    lengths = adapters.packet_media(spark, folder).drop("fps")
+    media = adapters.plain_media(spark, folder).drop("duration_secs").join(lengths, "asset_id")
+    return _read_back(smart_report.analyze(media, adapters.packets(spark, folder), adapters.TARGET_SECS, 0.3))
+
+
+@query(
+    "track_keys",
+    """SELECT p_partkey AS asset_id, 'sources/' || p_name || '.mp4' AS source_key, CASE WHEN p_partkey % 3 <> 0 THEN 'subs_und.vtt' END AS subtitle_file
+       FROM part WHERE p_partkey % 20 < 18""",
+)
+def track_keys(spark, folder):
+    """Object key of each source and the file of its text subtitles."""
+    media = probe.parse_probe(probe_documents(spark, folder))
+    name = F.concat(F.lit("up/"), F.col("chapters")[0]["title"], F.lit(".mp4"))
+    return media.select(
+        "asset_id", source_key(name).alias("source_key"), F.get(texts.subtitle_files(F.col("subtitle_tracks")), F.lit(0))["file"].alias("subtitle_file")
+    )

@@ -11,7 +11,8 @@ from gopmill.session import written
 
 
 def stored_gops(spark, folder):
-    return gops.gop_stats(adapters.packets(spark, folder))
+    """The GOP table, stored once as a fleet would keep it: the queries below read it several times."""
+    return written(gops.gop_stats(adapters.packets(spark, folder)))
 
 
 @query("keyframes", "SELECT asset_id, kf_idx, frame_idx, ts FROM keyframes", ("keyframes",))
@@ -30,7 +31,7 @@ def gop_ids(spark, folder):
     ("gops",),
 )
 def gop_stats(spark, folder):
-    return stored_gops(spark, folder).withColumn("bitrate_bps", F.round("bitrate_bps", 3))
+    return gops.gop_stats(adapters.packets(spark, folder)).withColumn("bitrate_bps", F.round("bitrate_bps", 3))
 
 
 @query(
@@ -40,7 +41,7 @@ def gop_stats(spark, folder):
     ("gops",),
 )
 def gop_summary(spark, folder):
-    summary = gops.gop_summary(stored_gops(spark, folder))
+    summary = gops.gop_summary(gops.gop_stats(adapters.packets(spark, folder)))
     rates = ("avg_bitrate_bps", "min_bitrate_bps", "max_bitrate_bps")
     return summary.withColumns({c: F.round(c, 3) for c in rates})
 
@@ -51,7 +52,8 @@ def gop_summary(spark, folder):
     ("tolerances",),
 )
 def auto_tolerance(spark, folder):
-    tuned = gops.auto_tolerance(adapters.plain_media(spark, folder), stored_gops(spark, folder), 0.3)
+    stats = gops.gop_stats(adapters.packets(spark, folder))
+    tuned = gops.auto_tolerance(adapters.plain_media(spark, folder), stats, 0.3)
     return tuned.select("asset_id", F.round("target_bitrate", 2).alias("target_bitrate"), F.round("tolerance", 6).alias("tolerance"))
 
 
@@ -63,7 +65,7 @@ def auto_tolerance(spark, folder):
     ("media", "gops"),
 )
 def media_summary(spark, folder):
-    summary = gops.media_summary(adapters.media(spark, folder), stored_gops(spark, folder))
+    summary = gops.media_summary(adapters.media(spark, folder), gops.gop_stats(adapters.packets(spark, folder)))
     return summary.withColumn("avg_bitrate_bps", F.round("avg_bitrate_bps", 3))
 
 
@@ -100,9 +102,9 @@ def gops_in_ranges(spark, folder):
 
 
 def _plan(spark, folder, mode, tolerance=0.3):
-    return decisions.plan_segments(
-        adapters.plain_media(spark, folder), ranges(spark, folder), stored_gops(spark, folder), mode, tolerance
-    )
+    smart = mode in decisions.SMART_MODES
+    stats = stored_gops(spark, folder) if smart else gops.gop_stats(adapters.packets(spark, folder))
+    return decisions.plan_segments(adapters.plain_media(spark, folder), ranges(spark, folder), stats, mode, tolerance)
 
 
 def _plan_columns(plan):

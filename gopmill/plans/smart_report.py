@@ -11,16 +11,15 @@ from gopmill.session import written
 def smart_reports(media: DataFrame, gop_table: DataFrame, ranges: DataFrame, tolerance: float = 0.3) -> DataFrame:
     """(asset_id, part, text) for every asset with ranges.
 
-    The GOPs feed the plan, the recommendation and the summary, and the plan feeds both the segments and the
-    counts, so each is computed once and written.
+    The GOPs feed the plan, the recommendation and the summary, so pass a stored table; the plan feeds both the
+    segments and the counts, so it is written.
     """
-    kept_gops = written(gop_table)
-    plan = written(decisions.plan_segments(media, ranges, kept_gops, "smart", tolerance))
+    plan = written(decisions.plan_segments(media, ranges, gop_table, "smart", tolerance))
     return texts.smart_report(
         decisions.segment_reasons(plan, tolerance),
         decisions.report_summary(plan),
-        gops.media_summary(media, kept_gops),
-        decisions.recommend(media, kept_gops, tolerance),
+        gops.media_summary(media, gop_table),
+        decisions.recommend(media, gop_table, tolerance),
     )
 
 
@@ -29,4 +28,5 @@ def analyze(
 ) -> DataFrame:
     """Reports from packets: GOPs, keyframe-aligned segments, plan, texts."""
     cut = segments.create_segments(media, gops.keyframes(packets), target_secs)
-    return smart_reports(media, gops.gop_stats(packets), written(cut.select("asset_id", "segment_id", "start_ts", "end_ts")), tolerance)
+    spans = written(cut.select("asset_id", "segment_id", "start_ts", "end_ts"))
+    return smart_reports(media, written(gops.gop_stats(packets)), spans, tolerance)
