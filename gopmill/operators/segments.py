@@ -86,12 +86,11 @@ def segment_links(
         "asset_id", "total_frames", "duration_secs",
         F.round(F.lit(float(target_secs)) * F.col("fps")).cast("bigint").alias("_span"),
     ).where((F.col("total_frames") > 0) & (F.col("_span") > 0))
+    dealt, repeated, on = spread_hot(keyframes, facts, ["asset_id"])
     chained = slices.following(
-        keyframes, ["asset_id"], slices.slice_of("frame_idx", slice_rows), ["frame_idx"],
+        dealt.join(repeated, on).drop(SALT), ["asset_id"], slices.slice_of("frame_idx", slice_rows), ["frame_idx"],
         {"frame_idx": "_next_frame", "ts": "_next_ts"},
     )
-    dealt, repeated, on = spread_hot(chained, facts, ["asset_id"])
-    chained = dealt.join(repeated, on).drop(SALT)
     targets = chained.withColumn("_goal", F.col("frame_idx") + F.col("_span")).drop("_span")
     found = _nearest(targets, keyframes, "_goal", ["ts"], slice_rows)
     ahead = F.col("nearest.frame_idx") > F.col("frame_idx")
@@ -180,7 +179,10 @@ def create_segments(
     links = written(segment_links(media, written(keyframes), target_secs, slice_rows))
     steps = links.select("asset_id", F.col("frame_idx").alias("frame"), F.col("succ_frame").alias("to"))
     entries = links.where(F.col("kf_idx") == 0).select("asset_id", F.col("frame_idx").alias("frame"))
-    visited = written(visited_keyframes(steps, entries, blocks)).withColumnRenamed("frame", "frame_idx")
+    # levels coarser than the longest asset would hold one block each
+    longest = links.agg(F.max("frame_idx")).first()[0] or 0
+    levels = [block for block in blocks if block <= longest]
+    visited = written(visited_keyframes(steps, entries, levels)).withColumnRenamed("frame", "frame_idx")
     cut = links.join(visited, ["asset_id", "frame_idx"])
     if not keep_tail:
         lost = (
