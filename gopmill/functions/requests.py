@@ -91,11 +91,16 @@ def result_or_default(
     scene_changes: Column,
 ) -> Column:
     """The worker's own result when its text holds every field, else one built from the segment."""
-    parsed = F.from_json(raw, RESULT_SCHEMA)
     fields = [part.split()[0] for part in RESULT_SCHEMA.split(", ")]
-    whole = parsed.isNotNull()
-    for name in fields:
-        whole = whole & parsed[name].isNotNull()
+
+    def whole(result: Column) -> Column:
+        held = result.isNotNull()
+        for name in fields:
+            held = held & result[name].isNotNull()
+        return held
+
+    # through an array of one, so that the text is parsed once and not once per field
+    parsed = F.get(F.filter(F.array(F.from_json(raw, RESULT_SCHEMA)), whole), F.lit(0))
     built = F.struct(
         segment_id.cast("bigint").alias("segment_id"),
         F.lit(0).cast("bigint").alias("worker_id"),
@@ -106,4 +111,4 @@ def result_or_default(
         complexity.cast("double").alias("average_complexity"),
         scene_changes.cast("bigint").alias("scene_changes_detected"),
     )
-    return F.when(whole, parsed).otherwise(built)
+    return F.coalesce(parsed, built)

@@ -200,7 +200,7 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     """Frames of ``packets`` with a complexity and scene-change flag."""
     return packets(spark, folder).select(
         "asset_id", F.col("packet_idx").alias("frame_idx"),
-        (F.col("size_bytes") / 40000.0).alias("complexity"),
+        (F.col("size_bytes") / 40007.0).alias("complexity"),
         (F.col("size_bytes") % 23 == 0).alias("is_scene_change"),
         F.col("flags").contains("K").alias("is_key"),
     )
@@ -329,7 +329,7 @@ changes AS (
     "frames": (
         ("packets",),
         """frames AS (
- SELECT asset_id, packet_idx AS frame_idx, size_bytes / CAST(40000 AS DOUBLE) AS complexity,
+ SELECT asset_id, packet_idx AS frame_idx, size_bytes / CAST(40007 AS DOUBLE) AS complexity,
         size_bytes % 23 = 0 AS is_scene_change, contains(flags, 'K') AS is_key FROM packets)""",
     ),
     "keyframes": (

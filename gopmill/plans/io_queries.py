@@ -112,7 +112,7 @@ def read_messages(spark, folder):
 
 @query(
     "message_payloads",
-    """SELECT event_id, 'j' || user_id AS job_id, event_id % 8 AS completed_segments, event_id % 4 * 3 AS total_segments, 0 AS failed_segments, 'processing' AS phase
+    """SELECT event_id, 'j' || user_id AS job_id, event_id % 8 AS completed_segments, event_id % 4 * 3 AS total_segments, CAST(0 AS BIGINT) AS failed_segments, 'processing' AS phase
        FROM events WHERE event_id % 6 = 1""",
 )
 def message_payloads(spark, folder):

@@ -361,11 +361,13 @@ def _changes(spark, folder):
 
 @query(
     "scene_changes",
-    "SELECT asset_id, frame_idx, round(distance, 6) AS distance, is_scene_change FROM changes",
+    "SELECT asset_id, frame_idx, CAST(floor(distance * 1000003) AS BIGINT) AS distance_units, is_scene_change FROM changes",
     ("changes",),
 )
 def scene_changes(spark, folder):
-    return _changes(spark, folder).select("asset_id", "frame_idx", F.round("distance", 6).alias("distance"), "is_scene_change")
+    """Distance in steps of one over a prime: shares of 64 pixels fall on no step but 0, so engines cannot differ on a tie."""
+    steps = F.floor(F.col("distance") * 1000003).cast("bigint").alias("distance_units")
+    return _changes(spark, folder).select("asset_id", "frame_idx", steps, "is_scene_change")
 
 
 @query(

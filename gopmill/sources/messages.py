@@ -136,11 +136,19 @@ def payload_rows(messages: DataFrame, name: str) -> DataFrame:
 
 def reject_rows(messages: DataFrame) -> DataFrame:
     """Messages that are no message, and those whose payload lacks a required field."""
+
+    def short(fields: tuple[str, ...]):
+        def lacks(payload: Column) -> Column:
+            missing = payload.isNull()
+            for field in fields:
+                missing = missing | payload[field].isNull()
+            return missing
+
+        return lacks
+
     lacking = F.lit(False)
     for name, fields in REQUIRED.items():
-        parsed = F.from_json("d", PAYLOADS[name])
-        short = parsed.isNull()
-        for field in fields:
-            short = short | parsed[field].isNull()
-        lacking = lacking | ((F.col("op_name") == name) & short)
-    return messages.where(F.col("malformed") | F.coalesce(lacking, F.lit(False)))
+        # through an array of one, so that the payload is parsed once and not once per field
+        payload = F.array(F.from_json("d", PAYLOADS[name]))
+        lacking = F.when(F.col("op_name") == name, F.exists(payload, short(fields))).otherwise(lacking)
+    return messages.where(F.col("malformed") | lacking)

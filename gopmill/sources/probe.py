@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gopmill.functions.encode import is_text_subtitle
 from gopmill.functions.text import parse_rational, strict_double, strict_unsigned
 
-# Numbers are read as text: a number where text is expected counts as absent upstream, see _text and _number.
+# Every scalar is read as text and parsed strictly, whether the document quotes it or not.
 PROBE_SCHEMA = """
     streams array<struct<
         index: string, codec_type: string, codec_name: string, width: string, height: string, profile: string,
