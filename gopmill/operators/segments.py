@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gopmill.operators import slices
-from gopmill.operators.rangejoin import SALT, point_join, spread_hot
+from gopmill.operators.rangejoin import ROWS_PER_TASK, SALT, point_join, spread_hot
 from gopmill.session import written
 
 # Frames per block at each level of the chain; see visited_keyframes.
@@ -61,18 +61,22 @@ def _nearest(targets: DataFrame, marks: DataFrame, at: str, payload: Sequence[st
 
 
 def nearest_keyframe(
-    targets: DataFrame, keyframes: DataFrame, slice_rows: int = slices.SLICE_ROWS
+    targets: DataFrame,
+    keyframes: DataFrame,
+    slice_rows: int = slices.SLICE_ROWS,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Targets(asset_id, target_frame, ...) with ``kf_idx``, the index of the closest keyframe.
 
     Clamped at both ends, null for an asset without keyframes. Equal targets are looked up once, so a value
-    asked for by very many rows fills no slice.
+    asked for by very many rows fills no slice; its rows are split before they get the answer.
     """
     distinct = targets.select("asset_id", "target_frame").distinct()
     found = _nearest(distinct, keyframes, "target_frame", ["kf_idx"], slice_rows).select(
         "asset_id", "target_frame", F.col("nearest.kf_idx").alias("kf_idx")
     )
-    return targets.join(found, ["asset_id", "target_frame"])
+    dealt, repeated, on = spread_hot(targets, found, ["asset_id", "target_frame"], rows_per_task)
+    return dealt.join(repeated, on).select(*targets.columns, "kf_idx")
 
 
 def segment_links(

@@ -87,9 +87,7 @@ def subtitle_files(tracks: Column) -> Column:
 
 def hls_master(media: DataFrame) -> DataFrame:
     """(asset_id, text) master playlist of every asset with audio or text subtitle tracks."""
-    audio = F.coalesce("audio_tracks", F.array().cast("array<struct<language:string,is_default:boolean>>")) if (
-        "audio_tracks" not in media.columns
-    ) else F.col("audio_tracks")
+    audio = F.col("audio_tracks")
     with_subs = media.withColumn("_subs", subtitle_files(F.col("subtitle_tracks")))
     audio_lines = _lines_of(
         audio,

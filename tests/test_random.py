@@ -241,6 +241,23 @@ def test_hot_keys_are_split_without_loss(table):
     assert got == sorted(map(tuple, big.join(small, "k").select("k", "v", "w").collect()))
 
 
+def test_one_job_fills_many_slices(table):
+    """Equal complexities of a single job still spread over the range partitions."""
+    made = table([(1, s, 0.5) for s in range(2000)], "job_id int, segment_id int, complexity_estimate double")
+    ranged = slices.range_slices(made, capacity.pending_order(), 8)
+    sizes = [r["count"] for r in ranged.groupBy(slices.SLICE).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 800
+    ranks = slices.global_rank(made, capacity.pending_order(), "r", 8).where(F.col("r") != F.col("segment_id") + 1)
+    assert ranks.count() == 0
+
+
+def test_one_target_asked_for_often(table):
+    keys = table([(1, i, i * 100, i * 4.0) for i in range(5)], "asset_id bigint, kf_idx bigint, frame_idx bigint, ts double")
+    wanted = table([(1, 160 if i % 3 else i, i) for i in range(120)], "asset_id bigint, target_frame bigint, row_id int")
+    got = segments.nearest_keyframe(wanted, keys, rows_per_task=10).collect()
+    assert len(got) == 120 and all(r.kf_idx == 2 for r in got if r.target_frame == 160)
+
+
 def test_scene_changes_across_slices(table):
     rng = random.Random(6)
     rows = [(a, f, [rng.random() for _ in range(4)], 0.1) for a in range(3) for f in rng.sample(range(100), 40)]
