@@ -31,6 +31,6 @@ def edges():
     text = prose(80)
     data = rows("", None, " \n\t ", "one", text, text, prose(30, 3) + " " + text, "É ß ünï ÀB " + text.upper(), "a" * 5000, start=10)
     data += [(None, text, None, None, None), (None, None, None, None, None), (None, "lonely words without an id", None, None, None)]
-    data += [data[4], data[4], (14, prose(40, 9), "fr", "src1", 3), (-5, prose(60, 4), "de", "src0", 1)]
-    data += [(99, prose(30000, 5), "en", "src2", 1)]
+    data += [data[4], data[4], (14, prose(40, 9), "fr", "src1", len(prose(40, 9))), (-5, prose(60, 4), "de", "src0", len(prose(60, 4)))]
+    data += rows(prose(30000, 5), start=99)
     return data
