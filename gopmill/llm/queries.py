@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from gopmill.llm import decontamination, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup
+from gopmill.llm import decontamination, langid, licenses, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup
 from gopmill.llm.common import documents
 
 QUERIES = {
     "op1_benchmark_decontamination": lambda spark, folder: decontamination.op1(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")),
     "op2_packing": lambda spark, folder: packing.pack(documents(spark, folder)),
+    "op3_license_scans": lambda spark, folder: licenses.op3(documents(spark, folder)),
     "op4_line_dedup": lambda spark, folder: line_dedup.op4(documents(spark, folder)),
     "op5_simhash_near_dedup": lambda spark, folder: simhash.op5(documents(spark, folder)),
+    "op6_language_id": lambda spark, folder: langid.op6(documents(spark, folder)),
     "op7_pii": lambda spark, folder: pii.op7(documents(spark, folder)),
     "op8_suffix_array_dedup": lambda spark, folder: suffix_dedup.op8(documents(spark, folder)),
     "op9_quality_rules": lambda spark, folder: quality.op9(documents(spark, folder)),
