@@ -11,7 +11,7 @@ import statistics
 import time
 
 from gopmill.plans import all_queries
-from gopmill.session import local_session
+from gopmill.session import local_session, remove_scratch
 
 HEADLINE = (
     "gop_stats",
@@ -64,6 +64,7 @@ def main() -> None:
             }
         )
     )
+    remove_scratch(spark)
     spark.stop()
 
 

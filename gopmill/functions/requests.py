@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,18 +24,44 @@ RESULT_SCHEMA = (
 )
 
 
-def _reject(bad: Column, field: str, message: str) -> Column:
-    return F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(message).alias("error")))
+def _number(value: Column) -> Column:
+    """A number as a double; NaN for text, whatever it says, and for any other type."""
+    plain = F.typeof(value).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+    return F.when(value.isNotNull(), F.when(plain, value.try_cast("double")).otherwise(F.lit(float("nan"))))
+
 
+def json_number(body: Column, field: str) -> Column:
+    """A field of a parsed (variant) request for the number rules: null if absent, NaN if it is no JSON number (null too)."""
+    found = F.try_variant_get(body, f"$.{field}", "variant")
+    number = F.schema_of_variant(found).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$")
+    return F.when(found.isNull(), None).when(number, F.try_variant_get(body, f"$.{field}", "double")).otherwise(float("nan"))
 
-def _one_of(value: Column, field: str, allowed) -> Column:
-    return _reject(value.isNotNull() & ~value.isin(*allowed), field, f"{field} must be one of: {', '.join(allowed)}")
 
+def _rules(cluster: bool, max_workers: int) -> list[tuple[str, Callable[[Column], Column], str]]:
+    """The rule table, in the order rules are reported: field, what a valid value fulfils, message.
 
-def _whole(value: Column, field: str, low: int, high: int) -> Column:
-    number = value.cast("double")
-    bad = F.isnan(number) | (number != F.floor(number)) | (number < low) | (number > high)
-    return _reject(value.isNotNull() & bad, field, f"{field} must be an integer between {low} and {high}")
+    A predicate sees a value that is there (or, for body and uploadId, may be null) and never fails on its type.
+    """
+    listed = lambda names: lambda v: v.cast("string").isin(*names)
+    within = lambda low, high: lambda v: _number(v).between(low, high) & ~F.isnan(_number(v))
+    whole = lambda low, high: lambda v: within(low, high)(v) & (_number(v) == F.floor(_number(v)))
+    choice = lambda field, names: (field, listed(names), f"{field} must be one of: {', '.join(names)}")
+    rules = [
+        ("body", lambda v: v, "request body must be an object"),
+        ("uploadId", lambda v: F.length(v) > 0, "uploadId is required"),
+        ("format", listed(["mp4"]), "Cluster mode produces MP4 only") if cluster else choice("format", FORMATS),
+        choice("mode", MODES),
+        choice("encoder", ENCODERS),
+        ("preset", listed([*PRESETS, *SVT_PRESETS]), 'preset must be an x264 preset name or "0"-"12"'),
+        ("crf", whole(0, 63), "crf must be an integer between 0 and 63"),
+        ("workers", whole(0, max_workers), f"workers must be an integer between 0 and {max_workers}"),
+        ("smartTolerance", within(0.05, 1.0), "smartTolerance must be a number between 0.05 and 1.0"),
+        ("verbose", lambda v: v, "verbose must be a boolean"),
+    ]
+    return [rule for rule in rules if not (cluster and rule[0] == "workers")]
+
+
+REQUIRED = ("body", "uploadId")
 
 
 def validate_request(columns: dict[str, Column], cluster: bool = False, max_workers: int = 64) -> Column:
@@ -41,42 +69,21 @@ def validate_request(columns: dict[str, Column], cluster: bool = False, max_work
 
     ``columns`` maps request fields (``body``, ``uploadId``, ``format``, ``mode``, ``encoder``, ``preset``, ``crf``,
     ``workers``, ``smartTolerance``, ``verbose``) to columns; a field left out is absent from every request.
-    A null value is an absent field. ``body`` and ``verbose`` are booleans: is the body an object, and is the
-    value itself a boolean (its type is settled when the request is parsed).
+    A null value is an absent field. ``crf``, ``workers`` and ``smartTolerance`` are numbers only if their columns are:
+    text is refused, whatever it says. ``body`` and ``verbose`` are booleans: is the body an object, and is the value
+    itself a boolean (its type is settled when the request is parsed).
     """
-
-    def given(name: str) -> Column | None:
-        return columns.get(name)
-
-    checks = []
-    if given("body") is not None:
-        checks.append(_reject(~F.coalesce(given("body"), F.lit(False)), "body", "request body must be an object"))
-    upload = given("uploadId")
-    missing = F.lit(True) if upload is None else F.coalesce(F.length(upload) == 0, F.lit(True))
-    checks.append(_reject(missing, "uploadId", "uploadId is required"))
-    if given("format") is not None:
-        if cluster:
-            other = given("format").isNotNull() & (given("format") != "mp4")
-            checks.append(_reject(other, "format", "Cluster mode produces MP4 only"))
+    broken = []
+    for field, fulfils, message in _rules(cluster, max_workers):
+        value = columns.get(field)
+        if value is None and field != "uploadId":
+            continue
+        if field in REQUIRED:
+            wrong = F.lit(True) if value is None else ~F.coalesce(fulfils(value), F.lit(False))
         else:
-            checks.append(_one_of(given("format"), "format", FORMATS))
-    for field, allowed in (("mode", MODES), ("encoder", ENCODERS)):
-        if given(field) is not None:
-            checks.append(_one_of(given(field), field, allowed))
-    if given("preset") is not None:
-        unknown = given("preset").isNotNull() & ~given("preset").isin(*PRESETS, *SVT_PRESETS)
-        checks.append(_reject(unknown, "preset", 'preset must be an x264 preset name or "0"-"12"'))
-    if given("crf") is not None:
-        checks.append(_whole(given("crf"), "crf", 0, 63))
-    if given("workers") is not None and not cluster:
-        checks.append(_whole(given("workers"), "workers", 0, max_workers))
-    if given("smartTolerance") is not None:
-        number = given("smartTolerance").cast("double")
-        bad = number.isNotNull() & (F.isnan(number) | (number < 0.05) | (number > 1.0))
-        checks.append(_reject(bad, "smartTolerance", "smartTolerance must be a number between 0.05 and 1.0"))
-    if given("verbose") is not None:
-        checks.append(_reject(~F.coalesce(given("verbose"), F.lit(True)), "verbose", "verbose must be a boolean"))
-    return F.coalesce(*checks)
+            wrong = value.isNotNull() & ~F.coalesce(fulfils(value), F.lit(False))
+        broken.append(F.when(wrong, F.struct(F.lit(field).alias("field"), F.lit(message).alias("error"))))
+    return F.coalesce(*broken)
 
 
 def result_or_default(

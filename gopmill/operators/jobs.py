@@ -195,7 +195,7 @@ def encode_percent(done, total):
 def log_phase(lines: DataFrame, slice_rows: int = slices.SLICE_ROWS) -> DataFrame:
     """Phase, percent, total and done segments of a job after each of its lines (job_id, seq, line).
 
-    ``seq`` is a unique integer. With n finished lines so far, the capped count of finished segments is
+    ``seq`` is a unique integer, its values may lie far apart. With n finished lines so far, the capped count of finished segments is
     n + min(0, lowest total - n at any finished line): a later, larger total does not give back what the cap took.
     Percent restarts at every line of a branch with a fixed percent and rises in between. What a slice of lines
     passes on is summed up without knowing what it starts from: its finished lines before its first total and
@@ -212,7 +212,7 @@ def log_phase(lines: DataFrame, slice_rows: int = slices.SLICE_ROWS) -> DataFram
     local = slices.in_slice(["job_id"], ["seq"])
     run = slices.so_far(local)
     inside = (
-        marked.withColumn(slices.SLICE, slices.slice_of("seq", slice_rows))
+        slices.sliced_by_rows(marked, ["job_id"], "seq", slice_rows)
         .withColumns({"_base": base, "_phase": phase})
         .withColumns(
             {
@@ -283,7 +283,7 @@ def log_phase(lines: DataFrame, slice_rows: int = slices.SLICE_ROWS) -> DataFram
     )
     total = F.coalesce("_total", "_total0")
     low = F.least(F.col("_low0"), lowest_room(F.col("_total0"), F.col("_n0"), F.col("_open"), F.col("_room")))
-    joined = inside.join(inherited.hint("shuffle_hash"), ["job_id", slices.SLICE]).withColumns(
+    joined = slices.join_null_safe(inside, inherited, ["job_id", slices.SLICE]).withColumns(
         {
             "segments_total": F.coalesce(total, F.lit(0)).cast("bigint"),
             "segments_done": (F.col("_n0") + F.col("_n") + F.least(F.lit(0), F.coalesce(low, F.lit(0)))).cast("bigint"),

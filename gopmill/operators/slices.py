@@ -3,13 +3,15 @@
 A window over a whole group runs in one task, and one asset or job may hold a third of all rows. So a group is
 cut into slices along its order: each slice is reduced with an ordinary (map-side combined) aggregate, the few
 slice rows are windowed to find what each slice inherits, and the rows themselves only ever meet windows over
-(group, slice). ``slice_by`` must not decrease along the order, e.g. ``packet_idx div 65536``; group keys must
-not be null.
+(group, slice). ``slice_by`` must not decrease along the order, e.g. ``packet_idx div 65536``. Rows with a null key are
+one group, rows with a null position the first slice of theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -41,9 +43,27 @@ def inherit(
     per_slice = sliced.groupBy(*keys, SLICE).agg(*summaries)
     over_slices = Window.partitionBy(*keys).orderBy(SLICE)
     inherited = per_slice.select(*keys, SLICE, *carries(over_slices))
-    # the rows are shuffled by (keys, slice) once, for this join and the windows above it, and sorted once; the
-    # table built in memory is a task's share of the slices, one row per 65,536
-    return sliced.join(inherited.hint("shuffle_hash"), [*keys, SLICE])
+    # the rows are shuffled by (keys, slice) once, for this join and the windows above it, and sorted once
+    return join_null_safe(sliced, inherited, [*keys, SLICE])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join on equal names where nulls meet nulls, so a row without a key or a position stays."""
+    renamed = {name: f"_of_right_{at}" for at, name in enumerate(names)}
+    other = right.withColumnsRenamed(renamed)
+    return left.join(other, reduce(and_, [F.col(n).eqNullSafe(F.col(r)) for n, r in renamed.items()])).drop(*renamed.values())
+
+
+def sliced_by_rows(df: DataFrame, keys: Sequence[str], position: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` with its slice, where positions may lie far apart: a group of up to ``rows`` rows is one slice.
+
+    Larger groups are cut into equal ranges of the position, as many as make ``rows`` rows each on average.
+    """
+    extent = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(position).alias("_low"), F.max(position).alias("_high"))
+    width = F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / rows))
+    per_group = extent.select(*keys, "_low", F.greatest(width, F.lit(1)).alias("_width"))
+    placed = join_null_safe(df, per_group, keys)
+    return placed.withColumn(SLICE, F.floor((F.col(position) - F.col("_low")) / F.col("_width"))).drop("_low", "_width")
 
 
 def in_slice(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:

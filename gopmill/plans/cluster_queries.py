@@ -349,6 +349,21 @@ def host_allowed(spark, folder):
     return access.host_allowed(answers, ipv4_only=True)
 
 
+@query(
+    "host_allowed_any_family",
+    """SELECT host_id, count(*) AS answers, bool_and(source_id % 3 = 1 OR NOT EXISTS (SELECT 1 FROM blocked b WHERE ip BETWEEN b.first_ip AND b.last_ip)) AS allowed
+       FROM (SELECT source_id, source_id % 700 AS host_id, ip FROM address_numbers) GROUP BY host_id""",
+    ("address_numbers", "blocked"),
+)
+def host_allowed_any_family(spark, folder):
+    """Answers of both families: plain IPv4, a public IPv6 one, and IPv4 mapped into IPv6."""
+    wide = F.concat(F.lit("2606:4700::"), F.lower(F.hex(F.col("source_id"))))
+    mapped = F.concat(F.lit("0:0:0:0:0:ffff:"), F.col("address"))
+    spelled = F.when(F.col("source_id") % 3 == 1, wide).when(F.col("source_id") % 3 == 2, mapped).otherwise(F.col("address"))
+    answers = adapters.addresses(spark, folder).withColumn("host_id", F.col("source_id") % 700).withColumn("address", spelled)
+    return access.host_allowed(answers)
+
+
 def _secs(column):
     return F.unix_seconds(F.col(column).cast("timestamp"))
 

@@ -15,6 +15,7 @@ from gopmill.session import written
 from gopmill.sources import messages, probe
 from gopmill.sources.tables import list_outputs as list_files
 from gopmill.sources.tables import read_parquet
+from gopmill.streaming.runner import fresh_folder
 
 
 # -- probe and packet documents ----------------------------------------------------------------------------
@@ -142,18 +143,27 @@ def pod_summary(spark, folder):
     return summarize_pods(documents).select("name", "phase", "ready", "restarts", "role", "ordinal")
 
 
-@query("list_outputs")
+@query(
+    "list_outputs",
+    """SELECT 'asset_id=' || asset_id AS folder, CAST(1 AS BIGINT) AS files, true AS filled
+       FROM (SELECT DISTINCT p_partkey % 10 AS asset_id FROM part)""",
+)
 def list_outputs(spark, folder):
-    """The files of the given folder with their sizes; SQL does not see files."""
-    return list_files(spark, folder).select("name", "size")
+    """The listing of a table written here in a known layout: one file for each asset's folder."""
+    parts = read_parquet(spark, folder, "part").select((F.col("p_partkey") % 10).alias("asset_id"), "p_name")
+    path = fresh_folder(spark, "outputs")
+    parts.repartition("asset_id").write.partitionBy("asset_id").parquet(path)
+    listed = list_files(spark, path).where(F.col("name").endswith(".parquet"))
+    where = F.regexp_extract("path", "(asset_id=[0-9]+)/", 1).alias("folder")
+    return listed.groupBy(where).agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.col("size") > 0).alias("filled"))
 
 
 @query(
     "read_parquet",
-    "SELECT l_shipdate, l_quantity FROM lineitem WHERE l_quantity > 49",
+    "SELECT * FROM lineitem",
 )
 def read_parquet_table(spark, folder):
-    return read_parquet(spark, folder, "lineitem").where(F.col("l_quantity") > 49).select("l_shipdate", "l_quantity")
+    return read_parquet(spark, folder, "lineitem")
 
 
 # -- output texts ------------------------------------------------------------------------------------------------

@@ -232,14 +232,14 @@ def create_segments(spark, folder):
 @query(
     "segment_rejects",
     """SELECT m.asset_id, 'No keyframes detected' AS reason FROM packet_media m
-       WHERE m.asset_id NOT IN (SELECT asset_id FROM packets WHERE contains(flags, 'K') AND packet_idx < 10)""",
+       WHERE m.asset_id NOT IN (SELECT asset_id FROM packets WHERE contains(flags, 'K') AND asset_id % 3 <> 0)""",
     ("packets", "packet_media"),
 )
 def segment_rejects(spark, folder):
-    """Decoded form without the inserted keyframe, judged on the first ten frames' keyframes."""
-    packed = adapters.packets(spark, folder)
-    early = gops.keyframes(packed.where(F.col("packet_idx") < 10), insert_zero=False)
-    return segments.segment_rejects(adapters.packet_media(spark, folder), early, adapters.TARGET_SECS)
+    """Decoded form without the inserted keyframe; every third asset's packets come without the keyframe flag."""
+    flags = F.when(F.col("asset_id") % 3 == 0, F.translate("flags", "K", "_")).otherwise(F.col("flags"))
+    found = gops.keyframes(adapters.packets(spark, folder).withColumn("flags", flags), insert_zero=False)
+    return segments.segment_rejects(adapters.packet_media(spark, folder), found, adapters.TARGET_SECS)
 
 
 @query(

@@ -216,6 +216,33 @@ def validate_request_cluster(spark, folder):
     return _validated(spark, folder, cluster=True)
 
 
+JSON_VERDICT = """CASE o_orderkey % 9 WHEN 0 THEN 'body|request body must be an object' WHEN 1 THEN 'crf|crf must be an integer between 0 and 63'
+  WHEN 2 THEN 'crf|crf must be an integer between 0 and 63' WHEN 4 THEN 'workers|workers must be an integer between 0 and 8'
+  WHEN 5 THEN 'smartTolerance|smartTolerance must be a number between 0.05 and 1.0' WHEN 6 THEN 'verbose|verbose must be a boolean'
+  WHEN 8 THEN 'uploadId|uploadId is required' END"""
+
+
+@query(
+    "validate_request_json",
+    f"SELECT request_id, split_part(v, '|', 1) AS field, split_part(v, '|', 2) AS error FROM (SELECT o_orderkey AS request_id, {JSON_VERDICT} AS v FROM orders)",
+)
+def validate_request_json(spark, folder):
+    """Requests as JSON texts: no object, numbers as text, fractions, out of range, a text for a boolean, none missing."""
+    body = """CASE o_orderkey % 9 WHEN 0 THEN '[1]' WHEN 1 THEN '{"uploadId": "u", "crf": "23"}' WHEN 2 THEN '{"uploadId": "u", "crf": 22.5}'
+      WHEN 3 THEN '{"uploadId": "u", "crf": 22.0, "workers": 8, "smartTolerance": 1, "verbose": false}' WHEN 4 THEN '{"uploadId": "u", "workers": -1}'
+      WHEN 5 THEN '{"uploadId": "u", "smartTolerance": "0.5"}' WHEN 6 THEN '{"uploadId": "u", "verbose": "yes"}' WHEN 7 THEN '{"uploadId": "u", "crf": 63}'
+      ELSE '{"crf": 1}' END"""
+    parsed = read_parquet(spark, folder, "orders").select(F.col("o_orderkey").alias("request_id"), F.try_parse_json(F.expr(body)).alias("body"))
+    at = lambda name: F.try_variant_get("body", f"$.{name}", "variant")
+    columns = {
+        "body": F.schema_of_variant("body").startswith("OBJECT"), "uploadId": F.try_variant_get("body", "$.uploadId", "string"),
+        **{name: requests.json_number(F.col("body"), name) for name in ("crf", "workers", "smartTolerance")},
+        "verbose": F.when(at("verbose").isNotNull(), F.schema_of_variant(at("verbose")) == "BOOLEAN"),
+    }
+    verdict = requests.validate_request(columns, max_workers=8)
+    return parsed.select("request_id", verdict.alias("v")).select("request_id", F.col("v.field").alias("field"), F.col("v.error").alias("error"))
+
+
 @query(
     "parse_object_uri",
     """SELECT c_custkey AS row_id, CASE WHEN c_custkey % 5 IN (0, 1) THEN 'bucket' || c_nationkey END AS bucket,
@@ -288,14 +315,16 @@ def is_public_address(spark, folder):
 
 @query(
     "is_public_ipv6",
-    """SELECT c_custkey AS source_id, c_custkey % 4 = 3 AS is_public FROM customer""",
+    """SELECT c_custkey AS source_id, c_custkey % 12 IN (3, 6, 9) AS is_public FROM customer""",
 )
 def is_public_ipv6(spark, folder):
-    tail = F.lower(F.hex(F.col("c_custkey")))
-    address = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'fe80::' WHEN 1 THEN 'fd00::' WHEN 2 THEN 'not:an:address' ELSE '2606:4700::' END")
-    return read_parquet(spark, folder, "customer").select(
-        F.col("c_custkey").alias("source_id"), net.is_public_address(F.concat(address, tail)).alias("is_public")
-    )
+    """Local and unique-local ranges, text that is none, public ones; then 127.0.0.1 and 8.8.x.y mapped, in several spellings."""
+    spelled = """CASE c_custkey % 12 WHEN 0 THEN concat('fe80::', t) WHEN 1 THEN concat('fd00::', t, '%eth0') WHEN 2 THEN 'not:an:address'
+      WHEN 3 THEN concat('2606:4700::', t) WHEN 4 THEN '::ffff:7f00:1' WHEN 5 THEN '0:0:0:0:0:ffff:127.0.0.1'
+      WHEN 6 THEN concat('::FFFF:808:', t) WHEN 7 THEN '0000:0000:0000:0000:0000:FFFF:7F00:0001' WHEN 8 THEN concat('::ffff:10.', c_custkey % 256, '.0.1')
+      WHEN 9 THEN concat('2001:db8:0:0:0:0:', t, ':', t) WHEN 10 THEN concat('1::2::', t) ELSE '::1' END"""
+    tailed = read_parquet(spark, folder, "customer").select("c_custkey", F.lower(F.hex(F.col("c_custkey"))).alias("t"))
+    return tailed.select(F.col("c_custkey").alias("source_id"), net.is_public_address(F.expr(spelled)).alias("is_public"))
 
 
 @query(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,33 +33,48 @@ def local_session(cores: str = "8", app: str = "gopmill") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, one inside the warehouse.
 
-    Only a local master may fall back to a temporary folder: on a cluster a folder of one
-    machine would be lost with it, so an unset folder is an error there.
+    Both are shared by all executors. A temporary folder of one machine would be lost with it.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    current = context.getCheckpointDir()
-    if current is not None:
-        return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="gopmill-checkpoint-")
-    context.setCheckpointDir(folder)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of everything this application writes for its own use; ``remove_scratch`` deletes it."""
+    if spark.sparkContext.applicationId not in _cleaned_at_exit:
+        _cleaned_at_exit.add(spark.sparkContext.applicationId)
+        atexit.register(_remove_quietly, spark)
+    return f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+_cleaned_at_exit: set[str] = set()
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes what the application has written for itself. Results that are still to be computed from it are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_quietly(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # else the application has ended, and its driver with it
+        with contextlib.suppress(Exception):
+            remove_scratch(spark)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once into a Parquet table in the checkpoint folder, for a result several later steps read.
+    """``df`` computed once into a Parquet table in the scratch folder, for a result several later steps read.
 
     Without it each of them would run the whole plan again. A table keeps column pruning and pushdown for its
     readers, and outlives any executor.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4()}"
+    path = f"{scratch(df.sparkSession)}/written-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from gopmill.session import ensure_checkpoint_dir
+from gopmill.session import scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -17,8 +17,8 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def fresh_folder(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
+def fresh_folder(spark: SparkSession, kind: str = "stream") -> str:
+    return f"{scratch(spark)}/{kind}-{uuid.uuid4()}"
 
 
 def drain(writer: DataStreamWriter, base: str) -> None:

@@ -8,10 +8,13 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from gopmill.session import local_session
+def spark(tmp_path_factory):
+    from gopmill.session import local_session, remove_scratch
 
-    return local_session("8", "gopmill-tests")
+    session = local_session("8", "gopmill-tests")
+    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+    yield session
+    remove_scratch(session)
 
 
 @pytest.fixture
