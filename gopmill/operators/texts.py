@@ -1,66 +1,53 @@
 """Output texts: playlists, concat lists, chapter metadata, JSON reports.
 
-A text that lists segments comes in parts of ``PART_SEGMENTS`` segments: (asset_id, part, text). Up to that many
-segments (27 hours at 10 s each) it is one row; beyond, the parts joined in order are the text. So no asset, however
-long, has its lines gathered into one value or one task.
+A text that lists segments is a table of its lines, (asset_id, line_no, line), whatever its length: a text is its lines in
+the order of line_no, each followed by a line feed. ``write_lines`` writes them in that order, range-partitioned, so no
+asset, however long, has its lines gathered into one value or one task. A report is one JSON row for the asset and one
+for each segment.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gopmill.functions import encode, text
 from gopmill.operators import jobs
 from gopmill.operators.segments import max_segment_duration
 
-PART_SEGMENTS = 10_000
+HEAD_LINES = 4
 
 
-def _parts(rows: DataFrame, line: Column, separator: str, part_segments: int) -> DataFrame:
-    """(asset_id, part, _body, _is_first, _is_last) from one line per (asset_id, segment_id)."""
-    part = F.floor(F.col("segment_id") / F.lit(part_segments)).cast("bigint")
-    bodies = (
-        rows.select("asset_id", part.alias("part"), F.struct(F.col("segment_id").alias("id"), line.alias("line")).alias("_l"))
-        .groupBy("asset_id", "part")
-        .agg(F.array_sort(F.collect_list("_l")).alias("_lines"))
-    )
-    asset = Window.partitionBy("asset_id").orderBy("part")
-    return bodies.select(
-        "asset_id", "part",
-        F.array_join(F.transform("_lines", lambda entry: entry["line"]), separator).alias("_body"),
-        (F.row_number().over(asset) == 1).alias("_is_first"),
-        F.lead("part").over(asset).isNull().alias("_is_last"),
-    )
-
-
-def hls_playlist(results: DataFrame, segments: DataFrame, part_segments: int = PART_SEGMENTS) -> DataFrame:
-    """Media playlist of each asset: the results in segment order with their segments' durations.
+def hls_playlist(results: DataFrame, segments: DataFrame) -> DataFrame:
+    """Media playlist of each asset with results: the results in segment order with their segments' durations.
 
     The target duration is taken over all segments; a result without a segment lasts 0.
-    ``results(asset_id, segment_id, output_path)``.
+    ``results(asset_id, segment_id, output_path)``. Line numbers grow with the segment and leave gaps.
     """
     timed = jobs.results_with_segments(results.select("asset_id", "segment_id", "output_path"), segments)
-    line = F.concat(
-        F.lit("#EXTINF:"), F.format_string("%.6f", "duration"), F.lit(",\n"), text.base_name(F.col("output_path")), F.lit("\n")
+    at = F.lit(HEAD_LINES) + 2 * F.col("segment_id")
+    pairs = F.array(
+        F.struct(at.cast("bigint").alias("line_no"), F.concat(F.lit("#EXTINF:"), F.format_string("%.6f", "duration"), F.lit(",")).alias("line")),
+        F.struct((at + 1).cast("bigint").alias("line_no"), text.base_name(F.col("output_path")).alias("line")),
     )
-    parts = _parts(timed, line, "", part_segments).join(max_segment_duration(segments), "asset_id", "left")
-    head = F.concat(
-        F.lit("#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-TARGETDURATION:"),
-        F.coalesce("target_duration", F.lit(0)).cast("string"),
-        F.lit("\n#EXT-X-MEDIA-SEQUENCE:0\n"),
-    )
-    whole = F.concat(
-        F.when(F.col("_is_first"), head).otherwise(""), F.col("_body"),
-        F.when(F.col("_is_last"), "#EXT-X-ENDLIST\n").otherwise(""),
-    )
-    return parts.select("asset_id", "part", whole.alias("text"))
+    body = timed.select("asset_id", F.inline(pairs))
+    ends = results.groupBy("asset_id").agg(F.max("segment_id").alias("_last")).join(max_segment_duration(segments), "asset_id", "left")
+    target = F.concat(F.lit("#EXT-X-TARGETDURATION:"), F.coalesce("target_duration", F.lit(0)).cast("string"))
+    head = [F.lit("#EXTM3U"), F.lit("#EXT-X-VERSION:3"), target, F.lit("#EXT-X-MEDIA-SEQUENCE:0")]
+    frame = [F.struct(F.lit(n).cast("bigint").alias("line_no"), line.alias("line")) for n, line in enumerate(head)]
+    frame.append(F.struct((F.lit(HEAD_LINES + 2) + 2 * F.col("_last")).cast("bigint").alias("line_no"), F.lit("#EXT-X-ENDLIST").alias("line")))
+    return body.unionByName(ends.select("asset_id", F.inline(F.array(*frame))))
+
 
+def concat_list(results: DataFrame) -> DataFrame:
+    """Concat list of the results' base names in segment order: (asset_id, line_no, line)."""
+    line = F.concat(F.lit("file '"), text.base_name(F.col("output_path")), F.lit("'"))
+    return results.select("asset_id", F.col("segment_id").cast("bigint").alias("line_no"), line.alias("line"))
 
-def concat_list(results: DataFrame, part_segments: int = PART_SEGMENTS) -> DataFrame:
-    """Concat list of the results' base names in segment order."""
-    line = F.concat(F.lit("file '"), text.base_name(F.col("output_path")), F.lit("'\n"))
-    return _parts(results, line, "", part_segments).select("asset_id", "part", F.col("_body").alias("text"))
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Text files whose lines, in the order of the files, are the texts of the assets one after another."""
+    lines.repartitionByRange("asset_id", "line_no").sortWithinPartitions("asset_id", "line_no").select("line").write.text(path)
 
 
 def _lines_of(array: Column, line) -> Column:
@@ -131,56 +118,28 @@ def chapter_metadata(media: DataFrame) -> DataFrame:
     return media.where(F.size("chapters") > 0).select("asset_id", F.concat(F.lit(";FFMETADATA1\n"), lines).alias("text"))
 
 
-def smart_report(
-    reasons: DataFrame, summary: DataFrame, media: DataFrame, recommendation: DataFrame, part_segments: int = PART_SEGMENTS
-) -> DataFrame:
-    """(asset_id, part, text) JSON report per asset: segments, summary, media and recommendation.
+def smart_report(reasons: DataFrame, summary: DataFrame, media: DataFrame, recommendation: DataFrame) -> DataFrame:
+    """(asset_id, segment_id, text): JSON of each segment, and of each asset (null segment) its summary, media and advice.
 
     Takes the outputs of segment_reasons, report_summary, media_summary (with an ``input`` column where the
     source's name is known) and recommend. Absent values are written as null.
     """
     keep_null = {"ignoreNullFields": "false"}
-    entry = F.to_json(
-        F.struct(
-            F.col("segment_id").alias("id"), F.col("start_ts").alias("start_time"), F.col("end_ts").alias("end_time"),
-            "decision", "bitrate_ratio", "reasons",
-        ),
-        keep_null,
+    entry = F.struct(
+        F.col("segment_id").alias("id"), F.col("start_ts").alias("start_time"), F.col("end_ts").alias("end_time"), "decision", "bitrate_ratio", "reasons"
     )
-    parts = _parts(reasons, entry, ",", part_segments)
+    segments = reasons.select("asset_id", F.col("segment_id").cast("bigint").alias("segment_id"), F.to_json(entry, keep_null).alias("text"))
     name = F.col("input") if "input" in media.columns else F.col("asset_id").cast("string")
-    media_json = F.to_json(
-        F.struct("duration_secs", "width", "height", "fps", "codec", "profile", "pix_fmt", "avg_bitrate_bps", "has_audio"),
-        keep_null,
-    )
-    frame = (
-        media.select("asset_id", F.to_json(F.array(name)).alias("_input"), media_json.alias("_media"))
-        .join(
-            summary.select(
-                "asset_id",
-                F.to_json(
-                    F.struct("total_segments", "copy_segments", "encode_segments", "global_blockers"), keep_null
-                ).alias("_summary"),
-            ),
-            "asset_id",
-        )
-        .join(
-            recommendation.select(
-                "asset_id", F.to_json(F.struct("mode", "preset", "reasons", "copyable_gop_fraction"), keep_null).alias("_advice")
-            ),
-            "asset_id",
-        )
-    )
-    inner = F.expr("substring(_input, 2, length(_input) - 2)")
-    head = F.concat(F.lit('{"input":'), inner, F.lit(',"segments":['))
-    tail = F.concat(
-        F.lit('],"summary":'), F.col("_summary"), F.lit(',"media":'), F.col("_media"),
-        F.lit(',"recommendation":'), F.col("_advice"), F.lit("}"),
-    )
-    whole = F.concat(
-        F.when(F.col("_is_first"), head).otherwise(","), F.col("_body"), F.when(F.col("_is_last"), tail).otherwise("")
-    )
-    return parts.join(frame, "asset_id").select("asset_id", "part", whole.alias("text"))
+    facts = F.struct("duration_secs", "width", "height", "fps", "codec", "profile", "pix_fmt", "avg_bitrate_bps", "has_audio")
+    counts = F.struct("total_segments", "copy_segments", "encode_segments", "global_blockers")
+    advice = F.struct("mode", "preset", "reasons", "copyable_gop_fraction")
+    heads = (
+        media.select("asset_id", name.alias("input"), facts.alias("media"))
+        .join(summary.select("asset_id", counts.alias("summary")), "asset_id")
+        .join(recommendation.select("asset_id", advice.alias("recommendation")), "asset_id")
+    )
+    whole = F.to_json(F.struct("input", "summary", "media", "recommendation"), keep_null)
+    return segments.unionByName(heads.select("asset_id", F.lit(None).cast("bigint").alias("segment_id"), whole.alias("text")))
 
 
 def object_keys(segments: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from gopmill.operators import jobs, texts
 from gopmill.plans import adapters, smart_report
 from gopmill.plans.cluster_queries import done
 from gopmill.plans.media_queries import cut, ranges, stored_gops
-from gopmill.plans.registry import query
+from gopmill.plans.registry import ORACLES, query
 from gopmill.session import written
 from gopmill.sources import messages, probe
 from gopmill.sources.tables import list_outputs as list_files
@@ -200,10 +200,13 @@ def results_with_segments(spark, folder):
 
 @query(
     "hls_playlist",
-    r"""SELECT asset_id, CAST(0 AS BIGINT) AS part, concat('#EXTM3U', chr(10), '#EXT-X-VERSION:3', chr(10), '#EXT-X-TARGETDURATION:', any_value(d.longest), chr(10),
-         '#EXT-X-MEDIA-SEQUENCE:0', chr(10), string_agg('#EXTINF:' || printf('%.6f', duration) || ',' || chr(10) || name || chr(10), '' ORDER BY segment_id),
-         '#EXT-X-ENDLIST', chr(10)) AS text
-       FROM results JOIN (SELECT asset_id, CAST(ceil(max(end_ts - start_ts)) AS BIGINT) AS longest FROM cuts GROUP BY asset_id) d USING (asset_id) GROUP BY asset_id""",
+    """SELECT * FROM (WITH longest AS (SELECT asset_id, CAST(ceil(max(end_ts - start_ts)) AS BIGINT) AS longest FROM cuts GROUP BY asset_id),
+       ends AS (SELECT asset_id, max(segment_id) AS last FROM results GROUP BY asset_id)
+       SELECT asset_id, 4 + 2 * segment_id AS line_no, '#EXTINF:' || printf('%.6f', duration) || ',' AS line FROM results
+       UNION ALL SELECT asset_id, 5 + 2 * segment_id, name FROM results
+       UNION ALL SELECT asset_id, 0, '#EXTM3U' FROM ends UNION ALL SELECT asset_id, 1, '#EXT-X-VERSION:3' FROM ends
+       UNION ALL SELECT asset_id, 2, '#EXT-X-TARGETDURATION:' || longest FROM ends JOIN longest USING (asset_id)
+       UNION ALL SELECT asset_id, 3, '#EXT-X-MEDIA-SEQUENCE:0' FROM ends UNION ALL SELECT asset_id, 6 + 2 * last, '#EXT-X-ENDLIST' FROM ends)""",
     ("results",),
 )
 def hls_playlist(spark, folder):
@@ -213,7 +216,7 @@ def hls_playlist(spark, folder):
 
 @query(
     "concat_list",
-    r"""SELECT asset_id, CAST(0 AS BIGINT) AS part, string_agg('file ''' || name || '''' || chr(10), '' ORDER BY segment_id) AS text FROM results GROUP BY asset_id""",
+    "SELECT asset_id, segment_id AS line_no, 'file ''' || name || '''' AS line FROM results",
     ("results",),
 )
 def concat_list(spark, folder):
@@ -262,38 +265,56 @@ def ordered_results(spark, folder):
 
 
 COPY_RULE = "NOT blocked AND coalesce(ratio BETWEEN 1 - CAST(0.3 AS DOUBLE) AND 1 + CAST(0.3 AS DOUBLE), false)"
+# every segment with its decision, ratio and reasons, and the counts of the asset
+REPORT_SQL = """SELECT asset_id, segment_id, CASE WHEN {rule} THEN 'copy' ELSE 'encode' END AS decision, round(ratio, 6) AS ratio,
+         concat_ws('; ', CASE WHEN blocked THEN 'source codec hevc differs from target h264' END,
+           CASE WHEN ratio IS NULL THEN 'no GOP data' WHEN NOT ratio BETWEEN 1 - CAST(0.3 AS DOUBLE) AND 1 + CAST(0.3 AS DOUBLE)
+                THEN 'bitrate ratio ' || printf('%.2f', ratio) || ' outside ±30%' END) AS reasons, CAST(NULL AS BIGINT) AS copies FROM {plan}
+       UNION ALL SELECT asset_id, NULL, NULL, NULL, CASE WHEN blocked THEN 'source codec hevc differs from target h264' ELSE '' END,
+         count(*) FILTER ({rule}) FROM {plan} GROUP BY asset_id, blocked"""
 
 
-@query(
-    "smart_report",
-    f"""SELECT asset_id, CAST(0 AS BIGINT) AS part, count(*) AS segments, count(*) FILTER ({COPY_RULE}) AS copies, count(ratio) AS ratios,
-         blocked AS has_blockers FROM plan GROUP BY asset_id, blocked""",
-    ("plan",),
-)
+def _reports(spark, folder):
+    return smart_report.smart_reports(adapters.plain_media(spark, folder), stored_gops(spark, folder), ranges(spark, folder), 0.3)
+
+
+@query("smart_report", REPORT_SQL.format(rule=COPY_RULE, plan="plan"), ("plan",))
 def smart_report_query(spark, folder):
-    """The JSON report of every asset with packets, read back: its counts are compared."""
-    return _read_back(
-        smart_report.smart_reports(
-            adapters.plain_media(spark, folder), stored_gops(spark, folder), ranges(spark, folder), 0.3
-        )
-    )
+    """The JSON rows of every asset with packets, read back; media and advice are compared in smart_report_heads."""
+    return _read_back(_reports(spark, folder))
 
 
 def _read_back(reports):
-    schema = (
-        "input string, segments array<struct<id bigint, decision string, bitrate_ratio double, reasons array<string>>>, "
-        "summary struct<total_segments bigint, copy_segments bigint, global_blockers array<string>>"
-    )
-    read = reports.select("asset_id", "part", F.from_json("text", schema).alias("r"))
+    schema = "decision string, bitrate_ratio double, reasons array<string>, summary struct<copy_segments bigint, global_blockers array<string>>"
+    read = reports.select("asset_id", "segment_id", F.from_json("text", schema).alias("r"))
     return read.select(
-        "asset_id", "part",
-        F.size("r.segments").cast("bigint").alias("segments"),
-        F.size(F.filter("r.segments", lambda s: s["decision"] == "copy")).cast("bigint").alias("copies"),
-        F.size(F.filter("r.segments", lambda s: s["bitrate_ratio"].isNotNull())).cast("bigint").alias("ratios"),
-        (F.size("r.summary.global_blockers") > 0).alias("has_blockers"),
+        "asset_id", "segment_id", F.col("r.decision").alias("decision"), F.round("r.bitrate_ratio", 6).alias("ratio"),
+        F.array_join(F.coalesce("r.reasons", "r.summary.global_blockers"), "; ").alias("reasons"), F.col("r.summary.copy_segments").alias("copies"),
     )
 
 
+@query(
+    "smart_report_heads",
+    f"""SELECT m.*, s.total_segments, s.encode_segments, r.mode, r.preset, r.reason, r.preset_reason, r.copyable_gop_fraction
+        FROM (SELECT m.asset_id, duration_secs, width, height, fps, codec_name AS codec, profile, pix_fmt, round(avg(bitrate_bps), 3) AS avg_bitrate_bps
+              FROM plain_media m LEFT JOIN gops g USING (asset_id) GROUP BY ALL) m
+        JOIN ({ORACLES['report_summary']}) s USING (asset_id) JOIN ({ORACLES['recommend']}) r USING (asset_id)""",
+    ("plain_media", "gops"),
+)
+def smart_report_heads(spark, folder):
+    """The JSON row of each asset, read back: media, counts and recommendation."""
+    schema = (
+        "summary struct<total_segments bigint, encode_segments bigint>, media struct<duration_secs double, width int, height int, fps double, codec string, "
+        "profile string, pix_fmt string, avg_bitrate_bps double>, recommendation struct<mode string, preset string, reasons array<string>, copyable_gop_fraction double>"
+    )
+    read = _reports(spark, folder).where("segment_id is null").select("asset_id", F.from_json("text", schema).alias("r"))
+    flat = read.select("asset_id", "r.media.*", "r.summary.*", "r.recommendation.*")
+    return flat.withColumns({
+        "avg_bitrate_bps": F.round("avg_bitrate_bps", 3), "copyable_gop_fraction": F.round("copyable_gop_fraction", 6),
+        "reason": F.col("reasons")[0], "preset_reason": F.col("reasons")[1],
+    }).drop("reasons")
+
+
 adapters.CTES["cut_plan"] = (
     ("cuts", "gops", "tolerances"),
     """cut_plan AS (
@@ -304,12 +325,7 @@ adapters.CTES["cut_plan"] = (
 )
 
 
-@query(
-    "analyze",
-    f"""SELECT asset_id, CAST(0 AS BIGINT) AS part, count(*) AS segments, count(*) FILTER ({COPY_RULE}) AS copies, count(ratio) AS ratios,
-         blocked AS has_blockers FROM cut_plan GROUP BY asset_id, blocked""",
-    ("cut_plan",),
-)
+@query("analyze", REPORT_SQL.format(rule=COPY_RULE, plan="cut_plan"), ("cut_plan",))
 def analyze(spark, folder):
     """From packets to reports: keyframes, GOPs, keyframe-aligned segments, plan, texts."""
     lengths = adapters.packet_media(spark, folder).drop("fps")

@@ -1,4 +1,4 @@
-"""The whole analysis: from media, GOPs and ranges to one JSON report per asset."""
+"""The whole analysis: from media, GOPs and ranges to JSON reports."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from gopmill.session import written
 
 
 def smart_reports(media: DataFrame, gop_table: DataFrame, ranges: DataFrame, tolerance: float = 0.3) -> DataFrame:
-    """(asset_id, part, text) for every asset with ranges.
+    """(asset_id, segment_id, text) for every asset with ranges, see ``texts.smart_report``.
 
     The GOPs feed the plan, the recommendation and the summary, so pass a stored table; the plan feeds both the
     segments and the counts, so it is written.

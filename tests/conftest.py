@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
     from gopmill.session import local_session, remove_scratch
 
     session = local_session("8", "gopmill-tests")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     remove_scratch(session)
 

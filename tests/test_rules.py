@@ -405,16 +405,15 @@ def test_messages_default_missing_fields(table):
     assert parsed.where("op_name is null and not malformed").count() == 1
 
 
-def test_playlist_in_parts_is_the_whole_text(table):
+def test_lines_in_order_are_the_whole_text(table, tmp_path):
     spans = table([(1, s, s * 10.0, s * 10.0 + 9.5) for s in range(5)], "asset_id int, segment_id bigint, start_ts double, end_ts double")
     made = table([(1, s, f"/o/segment_{s:04d}.ts") for s in (4, 0, 1, 2, 3)], "asset_id int, segment_id bigint, output_path string")
-    whole = texts.hls_playlist(made, spans).collect()
-    assert len(whole) == 1
-    parts = texts.hls_playlist(made, spans, part_segments=2).orderBy("part").collect()
-    assert len(parts) == 3 and "".join(p.text for p in parts) == whole[0].text
-    assert whole[0].text.startswith("#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-TARGETDURATION:10\n#EXT-X-MEDIA-SEQUENCE:0\n#EXTINF:9.500000,\nsegment_0000.ts\n")
-    assert whole[0].text.endswith("segment_0004.ts\n#EXT-X-ENDLIST\n")
-    assert texts.concat_list(made).collect()[0].text.splitlines()[0] == "file 'segment_0000.ts'"
+    lines = texts.hls_playlist(made, spans)
+    texts.write_lines(lines, str(tmp_path / "list"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "list").glob("part-*")))
+    body = "".join(f"#EXTINF:9.500000,\nsegment_{s:04d}.ts\n" for s in range(5))
+    assert whole == "#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-TARGETDURATION:10\n#EXT-X-MEDIA-SEQUENCE:0\n" + body + "#EXT-X-ENDLIST\n"
+    assert texts.concat_list(made).orderBy("line_no").first().line == "file 'segment_0000.ts'"
 
 
 def test_subtitles_of_one_language_keep_the_last(table):
