@@ -1,5 +1,7 @@
 """Rules on hand-made rows."""
 
+import ipaddress
+import itertools
 import math
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from gopmill.functions import encode, net, pods, requests, text, timing
 from gopmill.operators import access, capacity, decisions, frames, gops, health, jobs, packets, segments, texts
 from gopmill.sources import messages, probe
+from test_random import cut_plainly
 
 
 def one(df):
@@ -35,21 +38,26 @@ def cut(table, frames_, total, target=10.0, fps=30.0, **options):
 
 
 def test_segments_start_on_keyframes_and_cover(table):
-    got = cut(table, [0, 150, 300, 450, 600, 750], 900)
-    assert got == [(0, 299), (300, 599), (600, 899)]
+    keys = [0, 37, 91, 260, 333, 512, 640, 655]
+    for total in (656, 700, 1200):
+        for target in (2.0, 6.5, 40.0):
+            got = cut(table, keys, total, target, fps=24.0)
+            assert got == cut_plainly(24.0, total, keys, target)
+            assert got[0][0] == 0 and all(b[0] == a[1] + 1 and b[0] in keys for a, b in itertools.pairwise(got))
 
 
 def test_single_keyframe_gives_one_segment(table):
-    assert cut(table, [0], 900) == [(0, 899)]
+    assert cut(table, [0], 77) == [(0, 76)]
 
 
 def test_last_keyframe_on_last_frame_is_lost_unless_kept(table):
-    assert cut(table, [0, 300, 600], 601) == [(0, 299), (300, 599)]
-    assert cut(table, [0, 300, 600], 601, keep_tail=True) == [(0, 299), (300, 599), (600, 600)]
+    keys = [0, 240, 480]
+    assert cut(table, keys, 481, 10.0, 24.0) == [(0, 239), (240, 479)]
+    assert cut(table, keys, 481, 10.0, 24.0, keep_tail=True) == [(0, 239), (240, 479), (480, 480)]
 
 
 def test_assets_that_cannot_be_cut_are_rejected(table):
-    media = table([(1, 30.0, 0, 0.0), (2, 30.0, 900, 30.0), (3, 0.001, 900, 30.0), (4, 30.0, 900, 30.0)], MEDIA)
+    media = table([(1, 25.0, 0, 0.0), (2, 25.0, 80, 3.2), (3, 0.002, 80, 3.2), (4, 25.0, 80, 3.2)], MEDIA)
     keys = table(keyframe_rows([0], asset=1) + keyframe_rows([0], asset=3) + keyframe_rows([0], asset=4), KEYS)
     got = dict(one(segments.segment_rejects(media, keys)))
     assert got == {
@@ -60,19 +68,23 @@ def test_assets_that_cannot_be_cut_are_rejected(table):
 
 
 def test_nearest_keyframe_clamps_and_breaks_ties_early(table):
-    keys = table(keyframe_rows([0, 150, 300, 450, 600]), KEYS)
-    targets = table([(1, t) for t in (0, 140, 160, 225, 226, 1000)], "asset_id bigint, target_frame bigint")
-    got = {r.target_frame: r.kf_idx for r in segments.nearest_keyframe(targets, keys).collect()}
-    assert got == {0: 0, 140: 1, 160: 1, 225: 1, 226: 2, 1000: 4}
+    frames_ = [3, 11, 29, 31, 60, 62]
+    wanted = list(range(0, 80))
+    targets = table([(1, t) for t in wanted], "asset_id bigint, target_frame bigint")
+    got = {r.target_frame: r.kf_idx for r in segments.nearest_keyframe(targets, table(keyframe_rows(frames_), KEYS)).collect()}
+    assert got == {t: min(range(len(frames_)), key=lambda i: (abs(frames_[i] - t), i)) for t in wanted}
 
 
 def test_scene_changes_fall_into_their_segment(table):
-    spans = table([(1, 0, 0, 299), (1, 1, 300, 599)], "asset_id bigint, segment_id bigint, start_frame bigint, end_frame bigint")
-    rows = [(1, f, 0.5, f in (200, 500)) for f in range(600)]
-    made = table(rows, "asset_id bigint, frame_idx bigint, complexity double, is_scene_change boolean")
+    bounds = [(0, 0, 47), (1, 48, 111), (2, 112, 150)]
+    spans = table([(1, *x) for x in bounds], "asset_id bigint, segment_id bigint, start_frame bigint, end_frame bigint")
+    cuts = {5, 47, 48, 149}
+    made = table([(1, f, f / 256, f in cuts) for f in range(151)], "asset_id bigint, frame_idx bigint, complexity double, is_scene_change boolean")
     got = segments.frames_in_segments(spans, made).orderBy("segment_id").collect()
-    assert [(r.complexity_estimate, r.scene_change_count) for r in got] == [(0.5, 1), (0.5, 1)]
-    assert sorted(one(segments.scene_changes_in_segments(spans, made))) == [(1, 0, 200), (1, 1, 500)]
+    for r, (_, low, high) in zip(got, bounds, strict=True):
+        assert r.complexity_estimate == pytest.approx(sum(range(low, high + 1)) / 256 / (high + 1 - low))
+        assert r.scene_change_count == sum(low <= c <= high for c in cuts)
+    assert sorted(one(segments.scene_changes_in_segments(spans, made))) == [(1, 0, 5), (1, 0, 47), (1, 1, 48), (1, 2, 149)]
 
 
 # -- frames ------------------------------------------------------------------------------------------------------
@@ -81,8 +93,8 @@ PLANE = "asset_id bigint, frame_idx bigint, width int, height int, stride int, g
 
 
 def test_binary_and_long_forms_agree(table):
-    planes = {0: bytes([128] * 4096), 1: bytes([0, 255] * 2048), 2: bytes([100] * 4096), 3: bytes(i % 256 for i in range(4096))}
-    binary = frames.frame_features(table([(1, f, 64, 64, 64, g) for f, g in planes.items()], PLANE))
+    planes = {0: bytes([77] * 960), 1: bytes([0, 255] * 480), 2: bytes([3, 9, 200] * 320), 3: bytes(i * 7 % 256 for i in range(960))}
+    binary = frames.frame_features(table([(1, f, 40, 24, 40, g) for f, g in planes.items()], PLANE))
     long = frames.features_from_pixels(
         table([(1, f, v) for f, g in planes.items() for v in g], "asset_id bigint, frame_idx bigint, gray int")
     )
@@ -93,7 +105,7 @@ def test_binary_and_long_forms_agree(table):
         assert a[frame].complexity == pytest.approx(b[frame].complexity, abs=1e-12)
         assert sum(a[frame].histogram) == pytest.approx(1.0)
     assert a[0].complexity == 0.0 and a[1].complexity == 1.0
-    assert a[0].histogram[32] == 1.0
+    assert a[0].histogram[77 // 4] == 1.0
 
 
 def test_stride_padding_and_empty_frames(table):
@@ -118,9 +130,9 @@ def test_histogram_distance(table):
 
 
 def test_pts_to_secs(table):
-    rows = [(90000, 1, 90000), (48000, 1, 48000), (None, 1, 90000)]
+    rows = [(135000, 1, 90000), (7, 3, 4), (-30, 1, 12), (None, 1, 600)]
     got = values(table, timing.pts_to_secs(F.col("p"), F.col("n"), F.col("d")), rows, "p bigint, n int, d int")
-    assert got == [1.0, 1.0, 0.0]
+    assert got == [0.0 if p is None else p * n / d for p, n, d in rows]
 
 
 # -- GOPs and decisions -------------------------------------------------------------------------------------------
@@ -200,12 +212,14 @@ def test_tolerance_bound_below_the_minimum_is_refused(table):
 
 
 def test_work_and_presets(table):
-    rows = [(1920, 1080, 30.0, d) for d in (120.0, 121.0, 900.0, 901.0, 3600.0, 3601.0)]
-    rows += [(3840, 2160, 60.0, 60.0), (0, 0, float("nan"), 10.0)]
+    rows = [(1280, 720, 25.0, d) for d in (10.0, 300.0, 330.0, 2400.0, 2500.0, 9000.0, 9800.0)] + [(640, 360, 50.0, 7.5), (-1, 5, 25.0, 10.0)]
     work = encode.work_units(F.col("w"), F.col("h"), F.col("f"), F.col("d"))
     got = one(table(rows, "w int, h int, f double, d double").select(encode.preset_for_work(work), work))
-    assert [g[0] for g in got] == ["slow", "medium", "medium", "fast", "fast", "veryfast", "medium", "slow"]
-    assert got[6][1] == 480.0 and got[7][1] == 0.0
+    for (w, h, f, d), (preset, units) in zip(rows, got, strict=True):
+        want = max(w, 0) * h * f * d / (1920 * 1080 * 30)
+        assert units == pytest.approx(want)
+        # the steps are two, fifteen and sixty minutes of 1080p at 30 frames
+        assert preset == ("slow" if want <= 120 else "medium" if want <= 900 else "fast" if want <= 3600 else "veryfast")
 
 
 # -- names, requests, addresses ------------------------------------------------------------------------------------
@@ -250,18 +264,26 @@ def test_request_rules(table):
     columns = {c: F.col(c) for c in made.columns}
     verdicts = [r[0] for r in made.select(requests.validate_request(columns, max_workers=8)).collect()]
     assert [v and v["field"] for v in verdicts] == [want for _, want in cases]
+    texts_ = {**columns, "crf": F.lit("23"), "workers": F.lit("abc")}
+    assert [v[0].field for v in made.where("body and uploadId = 'u' and mode is null and encoder is null and preset is null and format is null").select(
+        requests.validate_request(texts_)).collect()] == ["crf"] * sum(set(c) <= {"crf", "workers", "smartTolerance", "verbose"} for c, _ in cases)
     cluster = [r[0] for r in made.select(requests.validate_request(columns, cluster=True)).collect()]
     assert cluster[4]["error"] == "Cluster mode produces MP4 only" and cluster[12] is None
 
 
 def test_addresses(table):
-    blocked = ["127.0.0.1", "10.1.2.3", "172.16.0.1", "172.31.255.255", "192.168.1.1", "169.254.169.254", "100.64.0.1", "0.0.0.0",
-               "::1", "fc00::1", "fdff::1", "fe80::1", "::ffff:127.0.0.1", "::FFFF:10.0.0.1", "nonsense", "", "256.1.1.1", "01.2.3.4", "1.2.3"]
-    public = ["8.8.8.8", "172.32.0.1", "100.128.0.1", "2606:4700::1", "::ffff:8.8.8.8"]
-    got = values(table, net.is_public_address(F.col("a")), [(a,) for a in blocked + public], "a string")
-    assert got == [False] * len(blocked) + [True] * len(public)
-    hosts = table([(1, "8.8.8.8"), (1, "8.8.4.4"), (2, "8.8.8.8"), (2, "10.0.0.1"), (3, None)], "host_id int, address string")
-    assert sorted(one(access.host_allowed(hosts))) == [(1, 2, True), (2, 2, False), (3, 0, False)]
+    v4 = ["8.8.4.4", "127.3.2.1", "10.0.0.7", "172.20.9.9", "172.40.0.3", "192.168.77.1", "192.169.0.1", "169.254.3.4", "100.100.1.1", "100.20.1.1", "0.1.2.3"]
+    v6 = ["::1", "::2", "fc12::9", "fdab::1", "fe80:1::", "febf::1", "fec0::1", "2a00:1450::5", "1:2:3:4:5:6:7:8", "2a00::1%eth0"]
+    none = ["words", "", "999.1.1.1", "08.2.3.4", "5.6.7", "::g", "1::2::3", "1:2:3", ":::", None]
+    ranges = [ipaddress.ip_network(f"{base}/{bits}") for base, bits in net.BLOCKED_RANGES]
+    free = lambda a: not any(a in r for r in ranges if r.version == a.version)
+    cases = [(x, free(ipaddress.ip_address(x.split("%")[0]))) for x in v4 + v6] + [(x, False) for x in none]
+    for x in v4:
+        a, b, c, d = map(int, x.split("."))
+        mapped = [f"::ffff:{x}", f"::FFFF:{a:02x}{b:02x}:{c:02x}{d:02x}", f"0:0:0:0:0:ffff:{x}", f"0000:0000:0000:0000:0000:ffff:{a:02X}{b:02X}:{c:02X}{d:02X}"]
+        cases += [(m, free(ipaddress.ip_address(x))) for m in mapped]
+    got = values(table, net.is_public_address(F.col("a")), [(a,) for a, _ in cases], "a string")
+    assert got == [want for _, want in cases]
 
 
 def test_url_schemes(table):
@@ -421,3 +443,20 @@ def test_subtitles_of_one_language_keep_the_last(table):
     made = table([([("srt", "eng"), ("ass", "eng"), ("pgs", "ger"), ("text", None)],)], f"t {track}")
     got = made.select(texts.subtitle_files(F.col("t")).alias("s")).collect()[0].s
     assert [(s.language, s.file) for s in got] == [("eng", "subs_eng.vtt"), ("und", "subs_und.vtt")]
+
+
+def test_rows_without_key_or_position_stay(table):
+    rows = [(1, 0, 0.0, 5, "K__"), (1, None, None, 5, "___"), (None, 0, 0.0, 5, "___")]
+    numbered = gops.gop_ids(table(rows, "asset_id bigint, packet_idx bigint, pts_time double, size_bytes bigint, flags string"))
+    assert numbered.count() == 3
+    lines = table([(1, 1, "x"), (None, 2, "y"), (1, None, "z")], "job_id bigint, seq bigint, line string")
+    assert jobs.log_phase(lines).count() == 3
+
+
+def test_sparse_line_numbers_make_few_slices(table):
+    from gopmill.operators import slices
+
+    rows = [(j, 1_000_000_007 * i, "x") for j in range(50) for i in range(40)] + [(99, 10**12 + 3 * i, "x") for i in range(1000)]
+    sliced = slices.sliced_by_rows(table(rows, "job_id bigint, seq bigint, line string"), ["job_id"], "seq", 100)
+    held = sliced.groupBy("job_id", slices.SLICE).count().collect()
+    assert len(held) <= 50 + 10 and max(r["count"] for r in held) <= 100
