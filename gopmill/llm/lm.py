@@ -6,10 +6,11 @@ levels until one is missing. The filter is broadcast; its size is bounded by ``M
 holds (beyond about 40 million entries its error rate rises instead). Every pair that occurs ``MIN_PAIR_COUNT`` times
 goes in.
 
-How it runs: texts are hashed word by word in Arrow batches. What a task finds is cut by word hash into buckets, each
-with the task's distinct words once (so a word in every text is one entry per task), their training counts and the
-texts they occur in. The task that owns a bucket adds up the counts, fills its segment of the filter, and sends back
-each text's share of the exact unigram score. Words are told apart by 64-bit hashes.
+How it runs: texts are hashed word by word in Arrow batches, in groups of some megabytes. The distinct words and pairs
+of a group (so a word in every text is one entry per group) and their training counts are cut by hash into buckets.
+The task that owns a bucket adds up the counts, fills its segment of the filter, and sends the counts of each group's
+words back to the group, where they meet the texts and make the exact unigram scores. Both passes over the texts must
+see the same rows in the same order, as scans do; else it is an error. Words are told apart by 64-bit hashes.
 
 Null and empty texts have one token, the end. Repeated rows are learned and scored as often as they occur; a null id
 counts as ''. With no training text at all N is 0 and the base score is 0 a token, V being 0.
@@ -29,8 +30,8 @@ from gopmill.llm.textarrays import U64, Bloom, Texts, bucket_edges, mixed, packe
 from gopmill.session import written
 
 END = U64(0x51ED270B1F3A2C95)
-BUCKET_BYTES = 16 << 20
-FLUSH_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
+FLUSH_BYTES = 10 << 20
 BITS_PER_ENTRY = 12
 MAX_FILTER_BITS = 1 << 29
 MIN_PAIR_COUNT = 2
@@ -89,52 +90,56 @@ def probe(bloom: Bloom, h: np.ndarray) -> np.ndarray:
     return level
 
 
-def _gather(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["bucket", "kind", "blob"]
+def _flushes(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Groups of texts of about FLUSH_BYTES: name, row keys, text and hash of each token, which texts are learned from.
+
+    The name is a hash of the group's rows: both passes over the texts give the same groups the same names.
+    """
+    held, size = ([], [], [], []), 0
+
+    def flush():
+        owner, h, keys, learn = (np.concatenate(x) for x in held)
+        return int(mixed(np.cumsum(mixed(keys.view(U64)), dtype=U64)[-1:])[0].view(np.int64)), keys, owner, h, learn
+
+    for batch, texts in slices(batches):
+        base = sum(len(k) for k in held[2])
+        owner, h = tokens(texts)
+        learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        for kept, new in zip(held, (owner + base, h, batch.column(KEY).to_numpy(), learn), strict=True):
+            kept.append(new)
+        size += len(texts.data) + 1
+        if size >= FLUSH_BYTES:
+            yield flush()
+            held, size = ([], [], [], []), 0
+    if size:
+        yield flush()
+
+
+def _record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 64):
+        columns = zip(*rows[at : at + 64], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    def flush(owners, hashes, keys, learn) -> Iterator[pa.RecordBatch]:
-        owner, h = np.concatenate(owners), np.concatenate(hashes)
-        row, taught = np.concatenate(keys), np.concatenate(learn)
-        word, at = np.unique(h, return_inverse=True)
-        trained = np.bincount(at[taught[owner]], minlength=len(word))
-        both, times = np.unique(at * len(row) + owner, return_counts=True)
-        w, d = both // len(row), both % len(row)
-        edges = bucket_edges(word, buckets)
-        cuts = np.searchsorted(w, edges)
-        _, pair = pairs(owner, h)
-        pair, seen = np.unique(pair[taught[owner]], return_counts=True)
-        pair_edges = bucket_edges(pair, buckets)
-        out = []
-        for b in range(buckets):
-            lo, hi = edges[b], edges[b + 1]
-            if lo < hi:
-                docs, local = np.unique(d[cuts[b] : cuts[b + 1]], return_inverse=True)
-                each = np.bincount(w[cuts[b] : cuts[b + 1]] - lo, minlength=hi - lo)
-                u = word[lo:hi]
-                first = np.diff(u, prepend=U64(0))
-                blob = packed(first, trained[lo:hi].astype(np.int32), each.astype(np.int32), local.astype(np.int32), times[cuts[b] : cuts[b + 1]].astype(np.int32), row[docs])
-                out.append((b, 1, blob))
-            lo, hi = pair_edges[b], pair_edges[b + 1]
-            if lo < hi:
-                short = pair[lo:hi] >> U64(16)
-                out.append((b, 2, packed(np.diff(short, prepend=U64(0)), seen[lo:hi].astype(np.int32))))
-        for at in range(0, len(out), 64):
-            part = list(zip(*out[at : at + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.binary())], names=names)
+
+def _gather(buckets: int):
+    """Of each group of texts by bucket: kind 1, its distinct words and their training counts; kind 2, the same of pairs."""
 
     def run(batches):
-        held, size = ([], [], [], []), 0
-        for batch, texts in slices(batches):
-            base = sum(len(k) for k in held[2])
-            owner, h = tokens(texts)
-            for kept, new in zip(held, (owner + base, h, batch.column(KEY).to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)), strict=True):
-                kept.append(new)
-            size += len(texts.data)
-            if size >= FLUSH_BYTES:
-                yield from flush(*held)
-                held, size = ([], [], [], []), 0
-        if held[0]:
-            yield from flush(*held)
+        for name, _, owner, h, learn in _flushes(batches):
+            word, at = np.unique(h, return_inverse=True)
+            taught = learn[owner]
+            trained = np.bincount(at[taught], minlength=len(word)).astype(np.int32)
+            pair, seen = np.unique(pairs(owner, h)[1][taught], return_counts=True)
+            out = []
+            edges = bucket_edges(word, buckets)
+            for b in np.flatnonzero(np.diff(edges)):
+                part = slice(edges[b], edges[b + 1])
+                out.append((b, name, 1, packed(np.diff(word[part], prepend=U64(0)), trained[part])))
+            edges = bucket_edges(pair, buckets)
+            for b in np.flatnonzero(np.diff(edges)):
+                part = slice(edges[b], edges[b + 1])
+                out.append((b, name, 2, packed(np.diff(pair[part] >> U64(16), prepend=U64(0)), seen[part].astype(np.int32))))
+            yield from _record(out, ["bucket", "group", "kind", "blob"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()])
 
     return run
 
@@ -147,55 +152,61 @@ def _count(buckets: int):
         return Bloom.segment(held, min(BITS_PER_ENTRY * len(held), most)).tobytes()
 
     def run(table: pa.Table) -> pa.Table:
-        """One bucket: rows of kind 0 hold a filter segment and sums, rows of kind 1 a text's share."""
-        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        """One bucket: a row with its filter segments and sums, and for each group of texts the counts of its words."""
+        kind, group, blob = (table.column(c).to_pylist() for c in ("kind", "group", "blob"))
         bucket = table.column("bucket")[0].as_py()
-        words = [unpacked(b) for k, b in zip(kinds, blobs, strict=True) if k == 1]
-        n = v = 0
-        rows, share, known, all_tokens = [], [], [], []
-        single = np.zeros(0, U64)
+        words = [(g, unpacked(b)) for k, g, b in zip(kind, group, blob, strict=True) if k == 1]
+        u = np.zeros(0, U64)
+        count = np.zeros(0, np.int64)
+        out = []
         if words:
-            h = np.concatenate([np.cumsum(x[0], dtype=U64) for x in words])
-            u, at = np.unique(h, return_inverse=True)
-            count = np.bincount(at, np.concatenate([x[1] for x in words]), len(u)).astype(np.int64)
-            n, v = int(count.sum()), int((count > 0).sum())
-            log, low = np.log10(count + SMOOTH), 0
-            for x in words:
-                own = at[low : low + len(x[0])]
-                low += len(own)
-                own = np.repeat(own, x[2])
-                rows.append(x[5])
-                share.append(np.bincount(x[3], log[own] * x[4], len(x[5])))
-                known.append(np.bincount(x[3], (count[own] > 0) * x[4], len(x[5])))
-                all_tokens.append(np.bincount(x[3], x[4], len(x[5])))
-            single, count = u[count > 0], count[count > 0]
-            single_bits = segment(single, count)
-        else:
-            single_bits = segment(single, single)
-        two = [unpacked(b) for k, b in zip(kinds, blobs, strict=True) if k == 2]
-        pair_bits = segment(single[:0], single[:0])
+            u, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for _, x in words]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([x[1] for _, x in words]), len(u)).astype(np.int64)
+            low = 0
+            for g, x in words:
+                out.append((bucket, g, 0, 0, None, None, packed(count[at[low : low + len(x[0])]])))
+                low += len(x[0])
+        single = segment(u[count > 0], count[count > 0])
+        two = [unpacked(b) for k, b in zip(kind, blob, strict=True) if k == 2]
+        p, often = np.zeros(0, U64), np.zeros(0, np.int64)
         if two:
             p, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for x in two]), return_inverse=True)
-            count = np.bincount(at, np.concatenate([x[1] for x in two]), len(p)).astype(np.int64)
-            often = count >= MIN_PAIR_COUNT
-            pair_bits = segment(p[often] << U64(16), count[often])
-        rows, share, known, all_tokens = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, share, known, all_tokens))
-        size, none = len(rows), pa.nulls
-        return pa.table({
-            "kind": pa.array([0] + [1] * size, pa.int32()),
-            "bucket": pa.array([bucket] * (size + 1), pa.int32()),
-            KEY: pa.concat_arrays([none(1, pa.int64()), pa.array(rows, pa.int64())]),
-            "share": pa.array(np.concatenate([[0.0], share]), pa.float64()),
-            "known": pa.array(np.concatenate([[n], known]).astype(np.int64), pa.int64()),
-            "counted": pa.array(np.concatenate([[v], all_tokens]).astype(np.int64), pa.int64()),
-            "single": pa.concat_arrays([pa.array([single_bits], pa.binary()), none(size, pa.binary())]),
-            "pair": pa.concat_arrays([pa.array([pair_bits], pa.binary()), none(size, pa.binary())]),
-        })
+            often = np.bincount(at, np.concatenate([x[1] for x in two]), len(p)).astype(np.int64)
+        keep = often >= MIN_PAIR_COUNT
+        out.append((bucket, None, int(count.sum()), int((count > 0).sum()), single, segment(p[keep] << U64(16), often[keep]), None))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "group", "n", "v", "single", "pair", "blob"])
 
     return run
 
 
-COUNTED = f"kind int, bucket int, {KEY} bigint, share double, known bigint, counted bigint, single binary, pair binary"
+COUNTED = "bucket int, group bigint, n bigint, v bigint, single binary, pair binary, blob binary"
+
+
+def _local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group of texts: how often each text has each of the group's words, in the order of the words."""
+    for name, keys, owner, h, _ in _flushes(batches):
+        word, at = np.unique(h, return_inverse=True)
+        both, times = np.unique(at * len(keys) + owner, return_counts=True)
+        each = np.bincount(both // len(keys), minlength=len(word)).astype(np.int32)
+        blob = packed(keys, each, (both % len(keys)).astype(np.int32), times.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([name], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "group", "blob"])
+
+
+def _shares(table: pa.Table) -> pa.Table:
+    """One group of texts: each text's sum of log10(c + SMOOTH), its known tokens and all its tokens."""
+    bucket, blob = table.column("bucket").to_pylist(), table.column("blob").to_pylist()
+    local = [unpacked(b) for at, b in zip(bucket, blob, strict=True) if at < 0]
+    found = sorted((at, b) for at, b in zip(bucket, blob, strict=True) if at >= 0)
+    count = np.concatenate([unpacked(b)[0] for _, b in found])
+    if not local or len(count) != len(local[0][1]):
+        raise ValueError("the texts came in another order the second time: write the table before scoring it")
+    out = []
+    for keys, each, doc, times in local[:1]:
+        own = np.repeat(count, each)
+        n = len(keys)
+        out = [pa.array(keys), pa.array(np.bincount(doc, np.log10(own + SMOOTH) * times, n)), pa.array(np.bincount(doc, (own > 0) * times, n).astype(np.int64)), pa.array(np.bincount(doc, times, n).astype(np.int64))]
+    return pa.table(out, names=[KEY, "share", "known", "counted"])
 
 
 class Model:
@@ -235,18 +246,25 @@ def _score(model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 
 def counted(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Per bucket the filter segments and sums, and every text's shares of the exact unigram score; written once."""
+    """Per bucket the filter segments and sums, and for each group of texts the counts of its words; written once."""
     buckets = bucket_count(docs, BUCKET_BYTES)
-    blobs = docs.select(key(), "held_out", "text").mapInArrow(_gather(buckets), "bucket int, kind int, blob binary")
+    blobs = docs.select(key(), "held_out", "text").mapInArrow(_gather(buckets), "bucket int, group bigint, kind int, blob binary")
     return written(blobs.groupBy("bucket").applyInArrow(_count(buckets), COUNTED)), buckets
 
 
+def base_shares(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(row key, share, known, counted): counts of words meet the texts they came from, group by group."""
+    local = docs.select(key(), "held_out", "text").mapInArrow(_local, "bucket int, group bigint, blob binary")
+    both = parts.filter("group is not null").select("bucket", "group", "blob").unionByName(local)
+    return both.groupBy("group").applyInArrow(_shares, f"{KEY} bigint, share double, known bigint, counted bigint")
+
+
 def model(parts: DataFrame, buckets: int) -> Model:
     """The whole model on the driver: at most MAX_FILTER_BITS and one row a bucket."""
-    rows = {r.bucket: r for r in parts.filter("kind = 0").select("bucket", "single", "pair", "known", "counted").collect()}
+    rows = {r.bucket: r for r in parts.filter("group is null").select("bucket", "single", "pair", "n", "v").collect()}
     none = b"\0"
     filters = [Bloom([np.frombuffer(rows[b][name] if b in rows else none, np.uint8) for b in range(buckets)]) for name in ("single", "pair")]
-    return Model(*filters, sum(r.known for r in rows.values()), sum(r.counted for r in rows.values()))
+    return Model(*filters, sum(r.n for r in rows.values()), sum(r.v for r in rows.values()))
 
 
 def with_held_out(docs: DataFrame) -> DataFrame:
@@ -261,7 +279,8 @@ def op10(docs: DataFrame) -> DataFrame:
     scored = rows.select("doc_id", key(), "held_out", "text").mapInArrow(
         _score(shared), f"doc_id bigint, {KEY} bigint, held_out boolean, n_tokens bigint, score double"
     )
-    base = parts.filter("kind = 1").groupBy(KEY).agg(F.sum("share").alias("share"), F.sum("known").alias("known"), F.sum("counted").alias("counted"))
+    sums = base_shares(rows, parts).groupBy(KEY)  # rows equal in id and text may be in several groups
+    base = sums.agg(F.sum("share").alias("share"), F.sum("known").alias("known"), F.sum("counted").alias("counted"))
     # a row that occurs several times has sent its shares several times
     copies = F.col("counted") / F.col("n_tokens")
     floor = float(np.log10(learned.n + SMOOTH * (learned.v + 1)))

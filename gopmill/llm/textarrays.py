@@ -15,7 +15,7 @@ import zstandard
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
