@@ -170,3 +170,27 @@ def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """``docs`` without the rows that the policy rejects, columns as they came."""
     judged, _, failed = _judged(docs)
     return judged.filter(F.col(failed).bitwiseAND(mask(policy)) == 0).select(*docs.columns)
+
+
+ORACLE = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, w[i : i + 7] AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM split WHERE len(w) >= 8)),
+often AS (SELECT doc_id, words FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS place FROM windows JOIN often USING (doc_id, words)) GROUP BY doc_id),
+lined AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS again FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT s.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.again, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    coalesce(l.n, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
+    len(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+'),
+      lambda x: x IN (INSULTS))) AS n_insults
+  FROM split s LEFT JOIN lined l USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
+judged AS (SELECT *, CAST((BITS) AS INTEGER) AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM judged
+""".replace("INSULTS", ", ".join(f"'{w}'" for w in INSULTS)).replace("BITS", " + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule in RULES.items()))

@@ -19,4 +19,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontamination.ORACLE,
+    "op9_quality_rules": quality.ORACLE,
 }
