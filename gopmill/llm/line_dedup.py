@@ -5,10 +5,10 @@ if such variants are equal, or one is a variant of the other; so variants are em
 joined, the edit distance of what met is verified on the words, and the earliest line stays.
 
 Variants of all lines would be as many as the words of the corpus. But one edit touches only one quarter of a line,
-and the rest of both lines is equal; so a line first emits, for each quarter, a key of what surrounds it, and only
-quarters whose surroundings occur in another line emit the variants that leave out one of their words. This loses no
-pair. Lines are made distinct before anything else, so a line in every document is one row, and within a key only the
-earliest line is looked up (an aggregate), never pairs.
+and the rest of both lines is equal; so hashes of what surrounds each quarter are gathered first, those of two lines
+make a filter of bounded size, and only quarters that pass it emit the variants that leave out one of their words. This
+loses no pair. Lines are made distinct before variants are made, so a line in every document is one row, and within a
+key only the earliest line is looked up (an aggregate), never pairs.
 
 A line's place is (doc_id, line number), documents without an id come last; a line goes if any earlier line, itself
 kept or not, is within the bound. Lines are compared by their words; those of fewer than MIN_WORDS words always stay,
@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gopmill.llm.common import KEY, fresh, key
-from gopmill.llm.textarrays import U64, mixed, powers, slices
+from gopmill.llm.common import KEY, bucket_count, fresh, key
+from gopmill.llm.sharedfilter import passes, shared_hashes
+from gopmill.llm.textarrays import U64, Texts, mixed, powers, slices
 from gopmill.session import written
 
 MIN_WORDS = 5
 EDIT_WORDS = 10
+BUCKET_BYTES = 8 << 20
 PARTS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,52 +55,84 @@ class _Sequences:
         return (self.total[end] - self.total[start]) * self.inverse[start]
 
 
-def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line long enough: its place, number of words, two hashes and the keys of its parts' surroundings."""
-    for batch, texts in slices(batches):
+class _Lines:
+    """The lines of some texts that are long enough: text, number, words, two hashes, and the keys of edited parts."""
+
+    def __init__(self, texts: Texts):
         doc, low, high = texts.lines()
         _, start, end = texts.words()
         word = texts.hashes(start, end)
         first, last = np.searchsorted(start, low), np.searchsorted(start, high)
         number = np.arange(len(doc)) - np.searchsorted(doc, doc)
         take = np.flatnonzero(last - first >= MIN_WORDS)
-        doc, first, last, number = doc[take], first[take], last[take], number[take]
-        size = last - first
-        one, two = _Sequences(word), _Sequences(mixed(word + U64(1)))
+        self.low, self.high = low[take], high[take]
+        self.doc, self.number, self.first, self.last = doc[take], number[take], first[take], last[take]
+        self.one, two = _Sequences(word), _Sequences(mixed(word + U64(1)))
+        self.h = mixed(self.one.hash(self.first, self.last)).view(np.int64)
+        self.g = mixed(two.hash(self.first, self.last)).view(np.int64)
+
+    def around(self) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the lines that may be edited, and the hashes of what surrounds each of their parts.
+
+        Columns 0 to PARTS - 1 are for a line as long as the other or shorter, the rest for a longer one.
+        """
+        at = np.flatnonzero(self.last - self.first >= EDIT_WORDS)
+        first, last = self.first[at], self.last[at]
         keys = []
-        for less in (0, 1):  # as long as the other line or shorter; longer
-            base = size - less
+        for less in (0, 1):
+            base = last - first - less
             for part in range(PARTS):
                 before, after = part_edges(base, part)
-                k = mixed(one.hash(first, first + before) + base.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(part))
-                keys.append(mixed(k ^ one.hash(last - after, last)).view(np.int64))
-        edit = np.flatnonzero(size >= EDIT_WORDS)
-        offsets = np.zeros(len(size) + 1, np.int32)
-        offsets[1:] = np.cumsum(np.where(size >= EDIT_WORDS, 2 * PARTS, 0))
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.stack(keys, 1)[edit].reshape(-1)))
-        rows = pa.array(doc)
+                k = mixed(self.one.hash(first, first + before) + base.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(part))
+                keys.append(mixed(k ^ self.one.hash(last - after, last)))
+        return at, np.stack(keys, 1)
+
+
+def _surroundings(batch: pa.RecordBatch, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    found = _Lines(texts)
+    at, keys = found.around()
+    return keys.reshape(-1), np.repeat(found.h[at], 2 * PARTS)
+
+
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in slices(batches):
+        found = _Lines(texts)
+        row = pa.array(found.doc)
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").take(rows), batch.column(KEY).take(rows), pa.array(number, pa.int32()), pa.array(size, pa.int32()),
-                pa.array(mixed(one.hash(first, last)).view(np.int64)), pa.array(mixed(two.hash(first, last)).view(np.int64)), lists,
-            ],
-            names=["doc_id", KEY, "number", "size", "h", "g", "keys"],
+            [batch.column("doc_id").take(row), batch.column(KEY).take(row), pa.array(found.number, pa.int32()), pa.array(found.h), pa.array(found.g)],
+            names=["doc_id", KEY, "number", "h", "g"],
         )
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(place, h, g, size, keys) of each line; place orders lines by document and number."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key(), "text")
-    found = rows.mapInArrow(_lines, f"doc_id bigint, {KEY} bigint, number int, size int, h bigint, g bigint, keys array<bigint>")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(KEY).alias("row"), "number")
-    return found.select(place.alias("place"), "h", "g", "size", "keys")
+def _candidates(bloom):
+    """Lines with parts whose surroundings occur in two lines, as far as the filter tells: with these parts and the text."""
+
+    def run(batches):
+        for batch, texts in slices(batches):
+            found = _Lines(texts)
+            at, keys = found.around()
+            shared = passes(bloom.value, keys.reshape(-1)).reshape(keys.shape)
+            some = np.flatnonzero(shared.any(1))
+            at, shared = at[some], shared[some]
+            offsets = np.concatenate([[0], np.cumsum(shared.sum(1))]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(shared)[1].astype(np.int32)))
+            raw = texts.data.tobytes()
+            lines = [raw[a:b].decode() for a, b in zip(found.low[at].tolist(), found.high[at].tolist(), strict=True)]
+            row = pa.array(found.doc[at])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(row), batch.column(KEY).take(row), pa.array(found.number[at], pa.int32()),
+                    pa.array(found.h[at]), pa.array(found.g[at]), parts, pa.array(lines, pa.string()),
+                ],
+                names=["doc_id", KEY, "number", "h", "g", "parts", "line"],
+            )
 
+    return run
 
-def shared_parts(distinct: DataFrame) -> DataFrame:
-    """(h, g, place, parts): lines with the parts (0-3 as the shorter or equal line, 4-7 as the longer) whose surroundings recur."""
-    keyed = distinct.select("h", "g", "place", F.posexplode("keys").alias("part", "around"))
-    shared = keyed.groupBy("around").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("around")
-    return keyed.join(shared, "around", "left_semi").groupBy("h", "g").agg(F.first("place").alias("place"), F.collect_set("part").alias("parts"))
+
+def _place():
+    """Orders lines by document and number; documents without an id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(KEY).alias("row"), "number").alias("place")
 
 
 def variants(candidates: DataFrame) -> DataFrame:
@@ -145,10 +179,12 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["h", "g"]).filter(keep)
 
 
-def near_lines(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, g): distinct lines within one edit of an earlier one. ``texts(place, line)`` has the text of every line."""
-    parts = shared_parts(distinct)
-    candidates = written(parts.join(texts, "place"))
+def near_lines(rows: DataFrame, buckets: int) -> DataFrame:
+    """(h, g): distinct lines of ``rows(doc_id, row key, text)`` within one edit of an earlier one."""
+    bloom = shared_hashes(rows, buckets, _surroundings)
+    kind = f"doc_id bigint, {KEY} bigint, number int, h bigint, g bigint, parts array<int>, line string"
+    found = rows.mapInArrow(_candidates(bloom), kind).select("h", "g", _place(), F.struct("parts", "line").alias("is"))
+    candidates = written(found.groupBy("h", "g").agg(F.min("place").alias("place"), F.min_by("is", "place").alias("is")).select("h", "g", "place", "is.*"))
     emitted = written(variants(candidates))
     at = F.struct("place", "h", "g")
     first = emitted.groupBy("v", "w", "tag").agg(*[F.min(F.when(F.col("role") == role, at)).alias(role) for role in ("equal", "whole", "longer")])
@@ -162,14 +198,12 @@ def near_lines(distinct: DataFrame, texts: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """(row key, equal, near): numbers of the lines that go from each text, as equal to or within one edit of an earlier line."""
-    every = written(lines(docs))
-    distinct = written(every.groupBy("h", "g").agg(F.min("place").alias("place"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")))
-    number = F.posexplode(F.split("text", "\n")).alias("number", "line")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(KEY).alias("row"), "number")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key(), "text").dropDuplicates([KEY]).select("doc_id", KEY, number).select(place.alias("place"), "line")
-    near = near_lines(distinct.select("h", "g", "place", "keys"), texts).withColumn("near", F.lit(True))
-    gone = distinct.join(near, ["h", "g"], "left").filter("rows > 1 or near").select("h", "g", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    out = every.select("h", "g", "place").join(gone, ["h", "g"]).filter("near or place != first")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key(), "text")
+    every = written(rows.mapInArrow(_places, f"doc_id bigint, {KEY} bigint, number int, h bigint, g bigint").select(_place(), "h", "g"))
+    near = near_lines(rows, bucket_count(docs, BUCKET_BYTES)).withColumn("near", F.lit(True))
+    distinct = every.groupBy("h", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
+    gone = distinct.join(near, ["h", "g"], "left").filter("rows > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    out = every.join(gone, ["h", "g"]).filter("near or place != first")
     row, at = F.col("place.row").alias(KEY), F.col("place.number")
     return out.groupBy(row).agg(F.collect_set(F.when(~F.col("near"), at)).alias("equal"), F.collect_set(F.when(F.col("near"), at)).alias("near"))
 

@@ -21,6 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gopmill.llm.common import key
+from gopmill.session import written
+
 BUCKETS = 16
 BUDGET = 65536
 MAX_BINS = 4096
@@ -79,7 +82,8 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, boundary, batch (unique string), slot in the batch, padding."""
-    sized = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("row"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    sized = written(docs.select("doc_id", size.alias("n_tokens"), key().alias("row")))  # texts are read once
     lengths, counts, exact = histogram(sized.select("n_tokens"))
     edges = boundaries(lengths, counts, buckets)
     held, low = [], 0

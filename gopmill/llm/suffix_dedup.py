@@ -1,11 +1,11 @@
 """Removes bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
 Which strings are equal is decided on a Burrows-Wheeler transform by threshold-bounded interval expansion. Starting
-from the intervals of the last bytes of all candidate strings, each round extends every interval backwards by one
-byte, so rounds are common prefixes of increasing length; intervals of one document are dropped, and at the minimum
+from the intervals of the last bytes of all candidate strings, each round extends every interval backwards by two
+bytes, so rounds are common prefixes of increasing length; intervals of one document are dropped, and at the minimum
 length the intervals left are the repeated strings.
 
-How it is spread: each 50-byte string has an anchor, the 24-byte piece inside it with the smallest hash, so equal
+How it is spread: each 50-byte string has an anchor, the 32-byte piece inside it with the smallest hash, so equal
 strings have equal anchors and meet in the same bucket. Neighbouring strings mostly share their anchor and travel
 as one stretch of text. First the anchors of all texts are counted by bucket; those that occur in two documents go to a
 Bloom filter of bounded size, which only spares work: a false positive costs a little text, nothing is lost. Then the
@@ -29,17 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gopmill.llm.common import KEY, bucket_count, key
+from gopmill.llm.sharedfilter import passes, shared_hashes
 from gopmill.llm.textarrays import U64, Bloom, Texts, bucket_edges, mixed, packed, slices, unpacked
-from gopmill.session import written
 
 LENGTH = 50
-ANCHOR = 24
+ANCHOR = 32
 WINDOW = LENGTH - ANCHOR + 1
-BUCKET_BYTES = 16 << 20
-FLUSH_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
+FLUSH_BYTES = 12 << 20
 CHUNK_BYTES = 1 << 20
-FILTER_BITS = 1 << 28
-BITS_PER_ANCHOR = 12
+ORDER = 14  # bytes by which the transform's suffixes are sorted; deeper intervals are told apart as they grow
 
 
 def stretches(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,72 +71,18 @@ def stretches(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         step = np.arange(extra.sum() + len(extra)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
         first = np.repeat(first, extra + 1) + step * WINDOW
         count = np.minimum(np.repeat(count, extra + 1) - step * WINDOW, WINDOW)
-    return least[first], first, count
+    # smallest hashes are small numbers: mixed again, they fill the buckets evenly
+    return mixed(least[first] + U64(1)), first, count
 
 
-def _anchors(buckets: int):
-    """Distinct anchors of each task by bucket, with the smallest and the largest id they occur in."""
-
-    def flush(hashes, ids) -> Iterator[pa.RecordBatch]:
-        h, doc = np.concatenate(hashes), np.concatenate(ids)
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
-        if not len(first):
-            return
-        low, high, u = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), h[first]
-        edges = bucket_edges(u, buckets)
-        rows = [(b, packed(np.diff(u[lo:hi], prepend=U64(0)), low[lo:hi], (high - low)[lo:hi])) for b, lo, hi in zip(range(buckets), edges, edges[1:], strict=False) if lo < hi]
-        for at in range(0, len(rows), 64):
-            part = list(zip(*rows[at : at + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary())], names=["bucket", "blob"])
-
-    def run(batches):
-        held, size = ([], []), 0
-        for batch, texts in slices(batches):
-            h, first, _ = stretches(texts)
-            held[0].append(h)
-            held[1].append(batch.column("doc_id").to_numpy()[texts.text_of_byte(first)])
-            size += len(texts.data)
-            if size >= FLUSH_BYTES:
-                yield from flush(*held)
-                held, size = ([], []), 0
-        if size:
-            yield from flush(*held)
-
-    return run
-
-
-def _shared(buckets: int):
-    most = FILTER_BITS // buckets
-
-    def run(table: pa.Table) -> pa.Table:
-        blobs = [unpacked(b) for b in table.column("blob").to_pylist()]
-        h = np.concatenate([np.cumsum(x[0], dtype=U64) for x in blobs])
-        low = np.concatenate([x[1] for x in blobs])
-        high = low + np.concatenate([x[2] for x in blobs])
-        order = np.argsort(h, kind="stable")
-        h, low, high = h[order], low[order], high[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        two = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
-        held = h[first][two]
-        bits = Bloom.segment(held, min(BITS_PER_ANCHOR * len(held), most)).tobytes()
-        return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([bits], pa.binary())})
-
-    return run
-
-
-def shared_anchors(docs: DataFrame, buckets: int) -> Bloom:
-    """A filter of the anchors that occur in two documents, FILTER_BITS at most."""
-    blobs = docs.mapInArrow(_anchors(buckets), "bucket int, blob binary")
-    rows = blobs.groupBy("bucket").applyInArrow(_shared(buckets), "bucket int, bits binary").collect()
-    found = {r.bucket: np.frombuffer(r.bits, np.uint8) for r in rows}
-    return Bloom([found.get(b, np.zeros(1, np.uint8)) for b in range(buckets)])
+def _anchors(batch: pa.RecordBatch, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    h, first, _ = stretches(texts)
+    return h, batch.column("doc_id").to_numpy()[texts.text_of_byte(first)]
 
 
 def _candidates(texts: Texts, bloom: Bloom):
     h, first, count = stretches(texts)
-    keep = bloom.holds(h)
+    keep = passes(bloom, h)
     h, first, count = h[keep], first[keep], count[keep]
     return h, first, count, texts.hashes(first, first + count + LENGTH - 1)
 
@@ -159,7 +104,7 @@ def _stretches(buckets: int, bloom):
             part = slice(edges[b], edges[b + 1])
             own = first[part]
             if len(own):
-                rows.append((b, packed(np.diff(anchor[own], prepend=U64(0)), name[own], count[own].astype(np.int8), low[part], (high - low)[part], body[_ranges(starts[own], size[own])])))
+                rows.append((b, packed(np.diff(anchor[own], prepend=U64(0)), count[own].astype(np.int8), low[part], (high - low)[part], body[_ranges(starts[own], size[own])])))
         for at in range(0, len(rows), 64):
             part = list(zip(*rows[at : at + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary())], names=["bucket", "blob"])
@@ -180,6 +125,13 @@ def _stretches(buckets: int, bloom):
     return run
 
 
+def _names(body: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hashes of stretches that lie one after another."""
+    ends = np.cumsum(count.astype(np.int64) + LENGTH - 1)
+    starts = np.concatenate([[0], ends[:-1]])
+    return Texts(body, np.array([0, len(body)])).hashes(starts, ends)
+
+
 def _distinct(anchor: np.ndarray, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One index per distinct stretch, in the order of anchors, with the smallest and the largest id over its rows."""
     order = np.lexsort((name, anchor))
@@ -219,6 +171,13 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         known *= 2
 
 
+def _numbered(breaks: np.ndarray) -> np.ndarray:
+    """Number of the run each place is in, from the places where a new one starts."""
+    out = np.zeros(len(breaks) + 1, np.int32)
+    np.cumsum(breaks, out=out[1:])
+    return out
+
+
 def repeated_strings(data: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the strings of ``length`` bytes that end before ``ends``, those found in two documents: (index, smallest id).
 
@@ -228,31 +187,34 @@ def repeated_strings(data: np.ndarray, ends: np.ndarray, low: np.ndarray, high:
     interval is a run of places whose suffixes share their first bytes; extending it backwards splits it by
     ``transform`` and moves it to ``back``. Only places that some string passes through are followed.
     """
-    order, place = suffix_order(data, length)
-    transform, back = data[order - 1], place[order - 1]
-    at = np.sort(place[ends - 1])
-    string = np.empty(len(data), np.int64)  # the string whose suffix stands at a place; there is one, ends differ
+    order, place = suffix_order(data, ORDER)
+    transform, back = data[order - 1], place[order - 1].astype(np.int32)
+    two_back = back[back]
+    two = transform[back].astype(np.uint16) << 8 | transform
+    at = np.sort(place[ends - 1]).astype(np.int32)
+    string = np.empty(len(data), np.int32)  # the string whose suffix stands at a place; there is one, ends differ
     string[place[ends - 1]] = np.arange(len(ends))
     who = string[at]
     first = data[order[at]]
-    interval = np.concatenate([[0], np.cumsum(first[1:] != first[:-1])]) if len(at) else at
-    for grown in range(1, length + 1):
+    interval = _numbered(first[1:] != first[:-1]) if len(at) else at
+    known = 1
+    while len(at):
         # intervals of one document end here
-        if not len(at):
-            break
         starts = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
         smallest = np.minimum.reduceat(low[who], starts)
         many = smallest != np.maximum.reduceat(high[who], starts)
         size = np.diff(np.concatenate([starts, [len(at)]]))
         keep = np.repeat(many, size)
-        if grown == length:
+        if known == length:
             return who[keep], np.repeat(smallest, size)[keep]
         at, who, interval = at[keep], who[keep], interval[keep]
-        # one byte backwards: the order within one byte stays, so a stable sort by byte is the order of the new places
-        byte = transform[at]
+        # two bytes backwards, one at the end: a stable sort by them leaves the order of the intervals
+        step = min(2, length - known)
+        byte, back_to = (two[at], two_back) if step == 2 else (transform[at], back)
         turn = np.argsort(byte, kind="stable")
-        at, who, byte, old = back[at][turn], who[turn], byte[turn], interval[turn]
-        interval = np.concatenate([[0], np.cumsum((byte[1:] != byte[:-1]) | (old[1:] != old[:-1]))]) if len(at) else at
+        at, who, byte, old = back_to[at][turn], who[turn], byte[turn], interval[turn]
+        interval = _numbered((byte[1:] != byte[:-1]) | (old[1:] != old[:-1])) if len(at) else at
+        known += step
     return at, at
 
 
@@ -260,11 +222,12 @@ def _verdicts(table: pa.Table) -> pa.Table:
     """One bucket: for each distinct stretch the smallest document of each of its strings, null if there is one document."""
     blobs = [unpacked(b) for b in table.column("blob").to_pylist()]
     anchor = np.concatenate([np.cumsum(x[0], dtype=U64) for x in blobs])
-    name, count, low_id, gap = (np.concatenate([x[i] for x in blobs]) for i in (1, 2, 3, 4))
-    body = np.concatenate([x[5] for x in blobs])
+    count, low_id, gap = (np.concatenate([x[i] for x in blobs]) for i in (1, 2, 3))
+    body = np.concatenate([x[4] for x in blobs])
     count = count.astype(np.int64)
     size = count + LENGTH - 1
     starts = np.cumsum(size) - size
+    name = np.concatenate([_names(x[4], x[1]) for x in blobs])
     order, least, most = _distinct(anchor, name, low_id, low_id + gap)
     # chunks end where an anchor ends
     a = anchor[order]
@@ -291,7 +254,12 @@ def _verdicts(table: pa.Table) -> pa.Table:
         low = high
     sizes = np.concatenate(out_sizes)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(out_firsts)))
-    return pa.table({"anchor": np.concatenate(out_anchor).view(np.int64), "name": np.concatenate(out_name).view(np.int64), "firsts": lists})
+    return pa.table({"anchor": _short(np.concatenate(out_anchor)), "name": np.concatenate(out_name).view(np.int64), "firsts": lists})
+
+
+def _short(anchor: np.ndarray) -> pa.Array:
+    """32 bits of the anchor's hash: with the stretch's own hash, the 96 bits by which occurrences meet verdicts."""
+    return pa.array((anchor >> U64(32)).astype(np.uint32).view(np.int32))
 
 
 def _occurrences(bloom):
@@ -300,7 +268,7 @@ def _occurrences(bloom):
             anchor, first, count, name = _candidates(texts, bloom.value)
             row = texts.text_of_byte(first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), batch.column("doc_id").take(pa.array(row)), batch.column(KEY).take(pa.array(row)), pa.array(first - texts.offsets[row], pa.int64())],
+                [_short(anchor), pa.array(name.view(np.int64)), batch.column("doc_id").take(pa.array(row)), batch.column(KEY).take(pa.array(row)), pa.array(first - texts.offsets[row], pa.int32())],
                 names=["anchor", "name", "doc_id", KEY, "start"],
             )
 
@@ -320,7 +288,7 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
         ends[:-1] &= ~gone[1:] | (row[1:] != row[:-1])
         b, e = np.flatnonzero(begins), np.flatnonzero(ends)
-        start = batch.column("start").to_numpy()[row[b]]
+        start = batch.column("start").to_numpy().astype(np.int64)[row[b]]
         yield pa.RecordBatch.from_arrays(
             [batch.column(KEY).take(pa.array(row[b])), pa.array(start + at[b]), pa.array(start + at[e] + LENGTH)], names=[KEY, "start", "end"]
         )
@@ -330,10 +298,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(row key, start, end): byte ranges to remove, possibly overlapping."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key(), "text").filter("doc_id is not null")
     buckets = bucket_count(docs, BUCKET_BYTES)
-    bloom = rows.sparkSession.sparkContext.broadcast(shared_anchors(rows.select("doc_id", "text"), buckets))
+    bloom = shared_hashes(rows.select("doc_id", "text"), buckets, _anchors)
     verdicts = rows.select("doc_id", "text").mapInArrow(_stretches(buckets, bloom), "bucket int, blob binary")
-    verdicts = verdicts.groupBy("bucket").applyInArrow(_verdicts, "anchor bigint, name bigint, firsts array<bigint>")
-    found = rows.mapInArrow(_occurrences(bloom), f"anchor bigint, name bigint, doc_id bigint, {KEY} bigint, start bigint")
+    verdicts = verdicts.groupBy("bucket").applyInArrow(_verdicts, "anchor int, name bigint, firsts array<bigint>")
+    found = rows.mapInArrow(_occurrences(bloom), f"anchor int, name bigint, doc_id bigint, {KEY} bigint, start int")
     return found.join(verdicts, ["anchor", "name"]).select("doc_id", KEY, "start", "firsts").mapInArrow(_runs, f"{KEY} bigint, start bigint, end bigint")
 
 
