@@ -44,8 +44,7 @@ def spread_hot(
         .where(F.col("_n") > rows_per_task)
         .select(*on, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_ways"))
     )
-    # at most one key per rows_per_task rows of ``big``: a million keys, some tens of MB, for 10^12 rows
-    hot = F.broadcast(hot)
+    # few rows, but as many more as ``big`` has: whether they are broadcast is left to their size
     # a hash of the row, not a random number: a recomputed task must deal its rows out the same way
     dealt = (
         big.join(hot, list(on), "left")

@@ -183,10 +183,7 @@ def create_segments(
     links = written(segment_links(media, written(keyframes), target_secs, slice_rows))
     steps = links.select("asset_id", F.col("frame_idx").alias("frame"), F.col("succ_frame").alias("to"))
     entries = links.where(F.col("kf_idx") == 0).select("asset_id", F.col("frame_idx").alias("frame"))
-    # levels coarser than the longest asset would hold one block each
-    longest = links.agg(F.max("frame_idx")).first()[0] or 0
-    levels = [block for block in blocks if block <= longest]
-    visited = written(visited_keyframes(steps, entries, levels)).withColumnRenamed("frame", "frame_idx")
+    visited = written(visited_keyframes(steps, entries, list(blocks))).withColumnRenamed("frame", "frame_idx")
     cut = links.join(visited, ["asset_id", "frame_idx"])
     if not keep_tail:
         lost = (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gopmill.functions.pods import pod_summary as summarize_pods
@@ -121,6 +124,66 @@ def message_payloads(spark, folder):
     return messages.payload_rows(parsed, "JobProgress").drop("ts", "peer")
 
 
+# one whole message of each payload; # is the event's number, and in the field named it is read back
+SAMPLES = {
+    "Hello": ('{"cluster_name": "c#", "protocol_version": 1}', "cluster_name", "c"),
+    "Identify": ('{"node_id": "n#", "listen_addr": "a", "capabilities": {"cpu_cores": 4}}', "node_id", "n"),
+    "Identified": ('{"node_id": "n#", "cluster_nodes": [{"node_id": "m"}]}', "node_id", "n"),
+    "ElectionStart": ('{"candidate_id": "n#", "priority": 18446744073709551615}', "candidate_id", "n"),
+    "ElectionAlive": ('{"node_id": "n#"}', "node_id", "n"),
+    "ElectionVictory": ('{"master_id": "n#"}', "master_id", "n"),
+    "Heartbeat": ('{"node_id": "n#", "load": {"active_workers": 1}}', "node_id", "n"),
+    "JobSubmit": ('{"job_id": "j#", "input_filename": "f", "input_size_bytes": 5, "config": {"crf": 20}}', "job_id", "j"),
+    "JobAccepted": ('{"job_id": "j#", "total_segments": 3}', "job_id", "j"),
+    "JobProgress": ('{"job_id": "j#", "completed_segments": 1, "total_segments": 2, "failed_segments": 0, "phase": "p"}', "job_id", "j"),
+    "JobComplete": ('{"job_id": "j#", "total_segments": 2}', "job_id", "j"),
+    "JobFailed": ('{"job_id": "j#", "error": "e"}', "job_id", "j"),
+    "AnalyzeRequest": ('{"request_id": "r#", "source_url": "u", "encoder": "e", "crf": 1, "smart_tolerance": 0.3}', "request_id", "r"),
+    "AnalyzeResult": ('{"request_id": "r#", "media": {"width": 1280}, "recommendation": {"mode": "copy"}}', "request_id", "r"),
+    "SegmentAssign": ('{"job_id": "j#", "segment": {"id": 1}, "srt_url": "u", "encoding_config": {"crf": 1}}', "job_id", "j"),
+    "SegmentAssignAck": ('{"job_id": "j#", "segment_id": 1, "node_id": "n"}', "job_id", "j"),
+    "SegmentComplete": ('{"job_id": "j#", "result": {"segment_id": 1}, "srt_output_url": "u"}', "job_id", "j"),
+    "SegmentFailed": ('{"job_id": "j#", "segment_id": 1, "node_id": "n", "error": "e"}', "job_id", "j"),
+    "StatusResponse": ('{"master_id": "n#", "nodes": [], "active_jobs": [{"job_id": "j", "state": "Done"}]}', "master_id", "n"),
+    "NodeLeave": ('{"node_id": "n#"}', "node_id", "n"),
+    "Error": ('{"code": 7, "message": "m#"}', "message", "m"),
+}
+# an event in two carries a whole payload, the others an empty one
+SAMPLE_SQL = ", ".join(f"({at}, '{name}', '{mark}')" for at, (name, (_, _, mark)) in enumerate(SAMPLES.items()))
+
+
+def sampled(spark, folder):
+    code = {name: number for number, name in messages.OPCODES.items()}
+    texts_ = [[f'{{"op": {code[name]}, "d": ', body] for name, (body, _, _) in SAMPLES.items()]
+    events = read_parquet(spark, folder, "events")
+    which = (F.floor(F.col("event_id") / 2) % len(SAMPLES) + 1).cast("int")
+    opening = F.element_at(F.array(*[F.lit(a) for a, _ in texts_]), which)
+    body = F.replace(F.element_at(F.array(*[F.lit(b) for _, b in texts_]), which), F.lit("#"), F.col("event_id").cast("string"))
+    whole = F.concat(opening, F.when(F.col("event_id") % 2 == 0, body).otherwise("{}"), F.lit("}"))
+    return messages.read_messages(events.select("event_id", whole.alias("raw")))
+
+
+@query(
+    "message_payloads_all",
+    f"""SELECT name AS op_name, event_id, mark || event_id AS named FROM events
+        JOIN (VALUES {SAMPLE_SQL}) v(at_op, name, mark) ON event_id // 2 % {len(SAMPLES)} = at_op WHERE event_id % 2 = 0""",
+)
+def message_payloads_all(spark, folder):
+    """Every payload type: whole messages with the field that names them."""
+    parsed = sampled(spark, folder)
+    rows = [
+        messages.payload_rows(parsed, name).select(F.lit(name).alias("op_name"), "event_id", F.col(field).alias("named"))
+        for name, (_, field, _) in SAMPLES.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("message_rejects_all", "SELECT event_id FROM events WHERE event_id % 2 = 1")
+def message_rejects_all(spark, folder):
+    """Messages of every type whose payload is empty."""
+    return messages.reject_rows(sampled(spark, folder)).select("event_id")
+
+
 @query("message_rejects", "SELECT event_id FROM events WHERE event_id % 6 IN (4, 5)")
 def message_rejects(spark, folder):
     return messages.reject_rows(messages.read_messages(wire(spark, folder))).select("event_id")

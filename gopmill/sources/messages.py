@@ -40,6 +40,15 @@ RESULT = (
     "struct<segment_id: bigint, worker_id: bigint, node_id: string, frames_encoded: bigint, output_size_bytes: bigint, "
     "encoding_time_secs: double, average_complexity: double, scene_changes_detected: bigint>"
 )
+MEDIA = (
+    "struct<duration_secs: double, width: bigint, height: bigint, fps: double, codec: string, profile: string, pix_fmt: string, "
+    "avg_bitrate_bps: double, has_audio: boolean>"
+)
+ADVICE = "struct<mode: string, preset: string, reasons: array<string>, copyable_gop_fraction: double>"
+JOB = (
+    "struct<job_id: string, state: string, total_segments: bigint, completed_segments: bigint, failed_segments: bigint, "
+    "assigned_nodes: array<string>>"
+)
 PAYLOADS = {
     "Hello": "cluster_name string, protocol_version bigint, master_id string",
     "Identify": f"node_id string, listen_addr string, capabilities {CAPABILITIES}, event_subscriptions bigint",
@@ -58,15 +67,28 @@ PAYLOADS = {
     "JobComplete": "job_id string, total_segments bigint, output_uri string",
     "JobFailed": "job_id string, error string",
     "AnalyzeRequest": "request_id string, source_url string, encoder string, crf int, smart_tolerance double",
+    "AnalyzeResult": f"request_id string, media {MEDIA}, recommendation {ADVICE}",
     "SegmentAssign": f"job_id string, segment {SEGMENT}, srt_url string, encoding_config {CONFIG}",
     "SegmentAssignAck": "job_id string, segment_id bigint, node_id string",
     "SegmentComplete": f"job_id string, result {RESULT}, srt_output_url string",
     "SegmentFailed": "job_id string, segment_id bigint, node_id string, error string",
+    "StatusResponse": f"master_id string, nodes array<{NODE}>, active_jobs array<{JOB}>",
     "NodeLeave": "node_id string",
-    "Error": "message string",
+    "Error": "code bigint, message string",
 }
 # Fields a payload cannot do without; one missing makes the message malformed.
 REQUIRED = {
+    "Hello": ("cluster_name", "protocol_version"),
+    "ElectionStart": ("candidate_id", "priority"),
+    "ElectionAlive": ("node_id",),
+    "ElectionVictory": ("master_id",),
+    "JobAccepted": ("job_id", "total_segments"),
+    "JobComplete": ("job_id", "total_segments"),
+    "JobFailed": ("job_id", "error"),
+    "AnalyzeResult": ("request_id", "media", "recommendation"),
+    "SegmentAssignAck": ("job_id", "segment_id", "node_id"),
+    "StatusResponse": ("nodes", "active_jobs"),
+    "Error": ("code", "message"),
     "Identify": ("node_id", "listen_addr", "capabilities"),
     "Identified": ("node_id", "cluster_nodes"),
     "Heartbeat": ("node_id", "load"),

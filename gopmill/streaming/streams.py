@@ -151,8 +151,10 @@ class _Progress(StatefulProcessor):
                 old_seq, old_kind = self.segments.getValue((segment,))
                 if old_seq >= seq:
                     continue
-                tally[place[old_kind]] -= 1
-            tally[place[kind]] += 1
+                if old_kind in place:
+                    tally[place[old_kind]] -= 1
+            if kind in place:  # any other kind counts as nothing, as in the batch form
+                tally[place[kind]] += 1
             self.segments.updateValue((segment,), (seq, kind))
         self.counts.update((version + 1, *tally))
         yield pd.DataFrame(
