@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gopmill.functions import net
-from gopmill.operators.rangejoin import ROWS_PER_TASK, spread_hot
+from gopmill.operators.rangejoin import spread_hot
 
 
 def blocked_range_table(spark: SparkSession) -> DataFrame:
@@ -33,7 +33,7 @@ def host_allowed(addresses: DataFrame, ipv4_only: bool = False) -> DataFrame:
 
 
 def redeem_grants(
-    grants: DataFrame, attempts: DataFrame, ttl_secs: int = 60, rows_per_task: int | None = ROWS_PER_TASK
+    grants: DataFrame, attempts: DataFrame, ttl_secs: int = 60, rows_per_task: int | None = None
 ) -> DataFrame:
     """Attempts with ``redeemed``: the first attempt in time, for the same job and file, that meets its grant.
 

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gopmill.operators import slices
-from gopmill.operators.rangejoin import ROWS_PER_TASK, spread_hot
+from gopmill.operators.rangejoin import spread_hot
 
 DEAD_AFTER_SECS = 10
 
 
-def known_heartbeats(heartbeats: DataFrame, nodes: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
+def known_heartbeats(heartbeats: DataFrame, nodes: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Heartbeats of registered nodes."""
     dealt, repeated, on = spread_hot(heartbeats, nodes.select("node_id"), ["node_id"], rows_per_task)
     return dealt.join(repeated, on, "left_semi").select(*heartbeats.columns)
 
 
-def unknown_heartbeats(heartbeats: DataFrame, nodes: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
+def unknown_heartbeats(heartbeats: DataFrame, nodes: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Heartbeats of nodes nobody registered."""
     dealt, repeated, on = spread_hot(heartbeats, nodes.select("node_id"), ["node_id"], rows_per_task)
     return dealt.join(repeated, on, "left_anti").select(*heartbeats.columns)
