@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,16 @@ def remainder(mod: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def release(df: DataFrame) -> DataFrame:
+    """Lets Spark delete the shuffle files of jobs that are done with, and returns ``df``.
+
+    It does so as soon as the driver's garbage collectors find their plans unused, which otherwise may be after all work.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def bucket_count(docs: DataFrame, bytes_each: int) -> int:
     """How many buckets keep what a task holds of all texts near ``bytes_each`` bytes; one aggregate, one number."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gopmill.llm.common import KEY, bucket_count, key
+from gopmill.llm.common import KEY, bucket_count, key, release
 from gopmill.llm.sharedfilter import passes, shared_hashes
 from gopmill.llm.textarrays import U64, Bloom, Texts, bucket_edges, mixed, packed, slices, unpacked
+from gopmill.session import written
 
 LENGTH = 50
 ANCHOR = 32
@@ -299,10 +300,16 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key(), "text").filter("doc_id is not null")
     buckets = bucket_count(docs, BUCKET_BYTES)
     bloom = shared_hashes(rows.select("doc_id", "text"), buckets, _anchors)
-    verdicts = rows.select("doc_id", "text").mapInArrow(_stretches(buckets, bloom), "bucket int, blob binary")
-    verdicts = verdicts.groupBy("bucket").applyInArrow(_verdicts, "anchor int, name bigint, firsts array<bigint>")
+    verdicts = release(written(_judged(release(rows), buckets, bloom)))
     found = rows.mapInArrow(_occurrences(bloom), f"anchor int, name bigint, doc_id bigint, {KEY} bigint, start int")
-    return found.join(verdicts, ["anchor", "name"]).select("doc_id", KEY, "start", "firsts").mapInArrow(_runs, f"{KEY} bigint, start bigint, end bigint")
+    met = found.join(verdicts, ["anchor", "name"]).select("doc_id", KEY, "start", "firsts")
+    return release(written(met.mapInArrow(_runs, f"{KEY} bigint, start bigint, end bigint")))
+
+
+def _judged(rows: DataFrame, buckets: int, bloom) -> DataFrame:
+    """(anchor, name, firsts) of the distinct stretches that hold a string of two documents."""
+    blobs = rows.select("doc_id", "text").mapInArrow(_stretches(buckets, bloom), "bucket int, blob binary")
+    return blobs.groupBy("bucket").applyInArrow(_verdicts, "anchor int, name bigint, firsts array<bigint>")
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
