@@ -2,15 +2,16 @@
 
 Counts of single words and of word pairs are gathered over all training texts, quantised to powers of two and stored
 in a Bloom filter: an n-gram of level q is inserted q times, once per level, and its level is read back by probing
-levels until one is missing. The filter is broadcast; its size is bounded by ``MAX_FILTER_BITS`` whatever the corpus
-holds (beyond about 40 million entries its error rate rises instead). Every pair that occurs ``MIN_PAIR_COUNT`` times
-goes in.
+levels until one is missing. The filter has BITS_PER_ENTRY bits for every entry, whatever the corpus holds, so its error
+rate is the same at every size; it is never in one place, but one segment per bucket of hashes. Every pair that occurs
+``MIN_PAIR_COUNT`` times goes in.
 
 How it runs: texts are hashed word by word in Arrow batches, in groups of some megabytes. The distinct words and pairs
 of a group (so a word in every text is one entry per group) and their training counts are cut by hash into buckets.
-The task that owns a bucket adds up the counts, fills its segment of the filter, and sends the counts of each group's
-words back to the group, where they meet the texts and make the exact unigram scores. Both passes over the texts must
-see the same rows in the same order, as scans do; else it is an error. Words are told apart by 64-bit hashes.
+The task that owns a bucket adds up the counts, fills its segment of the filter, probes it, and sends the counts and
+levels of each group's words and the levels of its pairs back to the group, where they meet the texts and make both
+scores. Both passes over the texts must see the same rows in the same order, as scans do; else it is an error. Words are
+told apart by 64-bit hashes.
 
 Null and empty texts have one token, the end. Repeated rows are learned and scored as often as they occur; a null id
 counts as ''. With no training text at all N is 0 and the base score is 0 a token, V being 0.
@@ -18,7 +19,7 @@ counts as ''. With no training text at all N is 0 and the base score is 0 a toke
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gopmill.llm.common import KEY, bucket_count, key, remainder
-from gopmill.llm.textarrays import U64, Bloom, Texts, bucket_edges, mixed, packed, slices, unpacked
+from gopmill.llm.textarrays import U64, Bloom, Texts, bucket_edges, column_texts, mixed, packed, slices, unpacked
 from gopmill.session import written
 
 END = U64(0x51ED270B1F3A2C95)
 BUCKET_BYTES = 8 << 20
 FLUSH_BYTES = 10 << 20
 BITS_PER_ENTRY = 12
-MAX_FILTER_BITS = 1 << 29
 MIN_PAIR_COUNT = 2
 MAX_LEVEL = 48
 PAIR_WEIGHT, FEW = 0.4, 10  # a pair's weight after a history seen n times: PAIR_WEIGHT * n / (n + FEW)
@@ -90,31 +90,45 @@ def probe(bloom: Bloom, h: np.ndarray) -> np.ndarray:
     return level
 
 
-def _flushes(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """Groups of texts of about FLUSH_BYTES: name, row keys, text and hash of each token, which texts are learned from.
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Groups of texts of about FLUSH_BYTES: name, and a batch of row keys, held_out and text.
 
     The name is a hash of the group's rows: both passes over the texts give the same groups the same names.
     """
-    held, size = ([], [], [], []), 0
+    held, size = [], 0
 
     def flush():
-        owner, h, keys, learn = (np.concatenate(x) for x in held)
-        return int(mixed(np.cumsum(mixed(keys.view(U64)), dtype=U64)[-1:])[0].view(np.int64)), keys, owner, h, learn
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = table.column(KEY).to_numpy()
+        return int(mixed(np.cumsum(mixed(keys.view(U64)), dtype=U64)[-1:])[0].view(np.int64)), table
 
     for batch, texts in slices(batches):
-        base = sum(len(k) for k in held[2])
-        owner, h = tokens(texts)
-        learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        for kept, new in zip(held, (owner + base, h, batch.column(KEY).to_numpy(), learn), strict=True):
-            kept.append(new)
+        text = batch.schema.get_field_index("text")
+        held.append(batch.set_column(text, pa.field("text", pa.large_string()), batch.column(text).cast(pa.large_string())))
         size += len(texts.data) + 1
         if size >= FLUSH_BYTES:
             yield flush()
-            held, size = ([], [], [], []), 0
+            held, size = [], 0
     if size:
         yield flush()
 
 
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of a group, slice by slice."""
+    owner, h, base = [], [], 0
+    for part, texts in slices([batch]):
+        of, hashes = tokens(texts)
+        owner.append(of + base)
+        h.append(hashes)
+        base += part.num_rows
+    return np.concatenate(owner), np.concatenate(h)
+
+
+def _pair_keys(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Upper 48 bits of each token's pair."""
+    return pairs(owner, h)[1] >> U64(16)
+
+
 def _record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), 64):
         columns = zip(*rows[at : at + 64], strict=True)
@@ -125,146 +139,116 @@ def _gather(buckets: int):
     """Of each group of texts by bucket: kind 1, its distinct words and their training counts; kind 2, the same of pairs."""
 
     def run(batches):
-        for name, _, owner, h, learn in _flushes(batches):
-            word, at = np.unique(h, return_inverse=True)
-            taught = learn[owner]
-            trained = np.bincount(at[taught], minlength=len(word)).astype(np.int32)
-            pair, seen = np.unique(pairs(owner, h)[1][taught], return_counts=True)
+        for name, batch in _groups(batches):
+            owner, h = _tokens(batch)
+            taught = ~batch.column("held_out").to_numpy(zero_copy_only=False)[owner]
             out = []
-            edges = bucket_edges(word, buckets)
-            for b in np.flatnonzero(np.diff(edges)):
-                part = slice(edges[b], edges[b + 1])
-                out.append((b, name, 1, packed(np.diff(word[part], prepend=U64(0)), trained[part])))
-            edges = bucket_edges(pair, buckets)
-            for b in np.flatnonzero(np.diff(edges)):
-                part = slice(edges[b], edges[b + 1])
-                out.append((b, name, 2, packed(np.diff(pair[part] >> U64(16), prepend=U64(0)), seen[part].astype(np.int32))))
+            for kind, n_gram, shift in ((1, h, U64(0)), (2, _pair_keys(owner, h), U64(16))):
+                u, at = np.unique(n_gram, return_inverse=True)
+                trained = np.bincount(at[taught], minlength=len(u)).astype(np.int32)
+                edges = bucket_edges(u << shift, buckets)
+                for b in np.flatnonzero(np.diff(edges)):
+                    part = slice(edges[b], edges[b + 1])
+                    out.append((b, name, kind, packed(np.diff(u[part], prepend=U64(0)), trained[part])))
             yield from _record(out, ["bucket", "group", "kind", "blob"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()])
 
     return run
 
 
-def _count(buckets: int):
-    most = MAX_FILTER_BITS // 2 // buckets
-
-    def segment(h, count):
-        held = entries(h, count)
-        return Bloom.segment(held, min(BITS_PER_ENTRY * len(held), most)).tobytes()
+def _levels(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Level of each n-gram of a bucket, as its segment of the filter gives it back."""
+    held = entries(h[count > 0], count[count > 0])
+    return probe(Bloom([Bloom.segment(held, BITS_PER_ENTRY * len(held))]), h).astype(np.int8)
 
-    def run(table: pa.Table) -> pa.Table:
-        """One bucket: a row with its filter segments and sums, and for each group of texts the counts of its words."""
-        kind, group, blob = (table.column(c).to_pylist() for c in ("kind", "group", "blob"))
-        bucket = table.column("bucket")[0].as_py()
-        words = [(g, unpacked(b)) for k, g, b in zip(kind, group, blob, strict=True) if k == 1]
-        u = np.zeros(0, U64)
-        count = np.zeros(0, np.int64)
-        out = []
-        if words:
-            u, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for _, x in words]), return_inverse=True)
-            count = np.bincount(at, np.concatenate([x[1] for _, x in words]), len(u)).astype(np.int64)
-            low = 0
-            for g, x in words:
-                out.append((bucket, g, 0, 0, None, None, packed(count[at[low : low + len(x[0])]])))
-                low += len(x[0])
-        single = segment(u[count > 0], count[count > 0])
-        two = [unpacked(b) for k, b in zip(kind, blob, strict=True) if k == 2]
-        p, often = np.zeros(0, U64), np.zeros(0, np.int64)
-        if two:
-            p, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for x in two]), return_inverse=True)
-            often = np.bincount(at, np.concatenate([x[1] for x in two]), len(p)).astype(np.int64)
-        keep = often >= MIN_PAIR_COUNT
-        out.append((bucket, None, int(count.sum()), int((count > 0).sum()), single, segment(p[keep] << U64(16), often[keep]), None))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "group", "n", "v", "single", "pair", "blob"])
-
-    return run
 
-
-COUNTED = "bucket int, group bigint, n bigint, v bigint, single binary, pair binary, blob binary"
+def _count(table: pa.Table) -> pa.Table:
+    """One bucket: a row with its sums, and for each group of texts the counts and levels of its words and pairs."""
+    kinds, group, blob = (table.column(c).to_pylist() for c in ("kind", "group", "blob"))
+    bucket = table.column("bucket")[0].as_py()
+    out = []
+    n = v = 0
+    for kind in (1, 2):
+        held = [(g, unpacked(b)) for k, g, b in zip(kinds, group, blob, strict=True) if k == kind]
+        if not held:
+            continue
+        u, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for _, x in held]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([x[1] for _, x in held]), len(u)).astype(np.int64)
+        if kind == 1:
+            n, v = int(count.sum()), int((count > 0).sum())
+            level = _levels(u, count)
+        else:
+            level = _levels(u << U64(16), np.where(count >= MIN_PAIR_COUNT, count, 0))
+        low = 0
+        for g, x in held:
+            own = at[low : low + len(x[0])]
+            out.append((bucket, g, kind, 0, 0, packed(level[own], count[own]) if kind == 1 else packed(level[own])))
+            low += len(x[0])
+    out.append((bucket, None, 0, n, v, None))
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "group", "kind", "n", "v", "blob"])
+
+
+COUNTED = "bucket int, group bigint, kind int, n bigint, v bigint, blob binary"
 
 
 def _local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group of texts: how often each text has each of the group's words, in the order of the words."""
-    for name, keys, owner, h, _ in _flushes(batches):
-        word, at = np.unique(h, return_inverse=True)
-        both, times = np.unique(at * len(keys) + owner, return_counts=True)
-        each = np.bincount(both // len(keys), minlength=len(word)).astype(np.int32)
-        blob = packed(keys, each, (both % len(keys)).astype(np.int32), times.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([name], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "group", "blob"])
-
-
-def _shares(table: pa.Table) -> pa.Table:
-    """One group of texts: each text's sum of log10(c + SMOOTH), its known tokens and all its tokens."""
-    bucket, blob = table.column("bucket").to_pylist(), table.column("blob").to_pylist()
-    local = [unpacked(b) for at, b in zip(bucket, blob, strict=True) if at < 0]
-    found = sorted((at, b) for at, b in zip(bucket, blob, strict=True) if at >= 0)
-    count = np.concatenate([unpacked(b)[0] for _, b in found])
-    if not local or len(count) != len(local[0][1]):
-        raise ValueError("the texts came in another order the second time: write the table before scoring it")
-    out = []
-    for keys, each, doc, times in local[:1]:
-        own = np.repeat(count, each)
-        n = len(keys)
-        out = [pa.array(keys), pa.array(np.bincount(doc, np.log10(own + SMOOTH) * times, n)), pa.array(np.bincount(doc, (own > 0) * times, n).astype(np.int64)), pa.array(np.bincount(doc, times, n).astype(np.int64))]
-    return pa.table(out, names=[KEY, "share", "known", "counted"])
-
+    """Each group of texts: row keys, lengths and bytes of the texts."""
+    for name, batch in _groups(batches):
+        texts = column_texts(batch.column("text"))
+        blob = packed(batch.column(KEY).to_numpy(), texts.lengths.astype(np.int64), texts.data)
+        yield from _record([(-1, name, 0, blob)], ["bucket", "group", "kind", "blob"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()])
 
-class Model:
-    """The filters of single words and pairs, and the training totals."""
 
-    def __init__(self, single: Bloom, pair: Bloom, n: int, v: int):
-        self.single, self.pair, self.n, self.v = single, pair, n, v
+def _scored(n: int, v: int):
+    """One group of texts: each text's tokens, known tokens, sum of log10(c + SMOOTH) and log10 probability."""
 
-    def score(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and log10 probability of each text."""
-        owner, h = tokens(texts)
-        history, pair = pairs(owner, h)
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True))
+        local = [unpacked(b) for kind, _, b in rows if kind == 0]
+        found = [[unpacked(b) for k, _, b in sorted(rows, key=lambda x: x[1]) if k == kind] for kind in (1, 2)]
+        keys, lengths, data = local[0] if local else [np.zeros(0, np.int64)] * 3
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        text = pa.LargeStringArray.from_buffers(len(keys), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+        owner, h = _tokens(pa.RecordBatch.from_arrays([text], names=["text"])) if local else (np.zeros(0, np.int64), np.zeros(0, U64))
         word, at = np.unique(h, return_inverse=True)
-        count = value_of(probe(self.single, word))
-        alone = (count + SMOOTH) / (self.n + SMOOTH * (self.v + 1))
-        both, where = np.unique(pair >> U64(16) << U64(16), return_inverse=True)
-        together = value_of(probe(self.pair, both))[where]
-        past = np.concatenate([count[:1], count[at[:-1]]]) if len(at) else count
-        past[np.flatnonzero(history == END)] = value_of(probe(self.single, np.array([END])))[0]
-        ratio = np.minimum(together / np.maximum(past, 1), 1)
+        pair, where = np.unique(_pair_keys(owner, h), return_inverse=True)
+        level = np.concatenate([x[0] for x in found[0]] or [np.zeros(0, np.int8)])
+        both = np.concatenate([x[0] for x in found[1]] or [np.zeros(0, np.int8)])
+        if not local or len(level) != len(word) or len(both) != len(pair):
+            raise ValueError("the texts came in another order the second time: write the table before scoring it")
+        exact = np.concatenate([x[1] for x in found[0]])[at]
+        count = value_of(level.astype(np.int64))
+        alone = ((count + SMOOTH) / (n + SMOOTH * (v + 1)))[at]
+        first = np.concatenate([[True], owner[1:] != owner[:-1]])
+        past = count[np.where(first, np.searchsorted(word, END), np.concatenate([at[:1], at[:-1]]))]
+        ratio = np.minimum(value_of(both.astype(np.int64))[where] / np.maximum(past, 1), 1)
         weight = PAIR_WEIGHT * past / (past + FEW)
-        p = weight * ratio + (1 - weight) * alone[at]
-        n = len(texts.lengths)
-        return np.bincount(owner, minlength=n), np.bincount(owner, np.log10(np.maximum(p, 1e-30)), n)
-
-
-def _score(model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches):
-        for batch, texts in slices(batches):
-            size, score = model.value.score(texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column(KEY), batch.column("held_out"), pa.array(size, pa.int64()), pa.array(score, pa.float64())],
-                names=["doc_id", KEY, "held_out", "n_tokens", "score"],
-            )
+        p = weight * ratio + (1 - weight) * alone
+        size = len(keys)
+        return pa.table({
+            KEY: pa.array(keys), "n_tokens": pa.array(np.bincount(owner, minlength=size)),
+            "n_known": pa.array(np.bincount(owner, exact > 0, size).astype(np.int64)),
+            "share": pa.array(np.bincount(owner, np.log10(exact + SMOOTH), size)),
+            "score": pa.array(np.bincount(owner, np.log10(np.maximum(p, 1e-30)), size)),
+        })
 
     return run
 
 
-def counted(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Per bucket the filter segments and sums, and for each group of texts the counts of its words; written once."""
+def counted(docs: DataFrame) -> DataFrame:
+    """Per bucket its sums, and for each group of texts the counts and levels of its words and pairs; written once."""
     buckets = bucket_count(docs, BUCKET_BYTES)
     blobs = docs.select(key(), "held_out", "text").mapInArrow(_gather(buckets), "bucket int, group bigint, kind int, blob binary")
-    return written(blobs.groupBy("bucket").applyInArrow(_count(buckets), COUNTED)), buckets
-
+    return written(blobs.groupBy("bucket").applyInArrow(_count, COUNTED))
 
-def base_shares(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(row key, share, known, counted): counts of words meet the texts they came from, group by group."""
-    local = docs.select(key(), "held_out", "text").mapInArrow(_local, "bucket int, group bigint, blob binary")
-    both = parts.filter("group is not null").select("bucket", "group", "blob").unionByName(local)
-    return both.groupBy("group").applyInArrow(_shares, f"{KEY} bigint, share double, known bigint, counted bigint")
 
-
-def model(parts: DataFrame, buckets: int) -> Model:
-    """The whole model on the driver: at most MAX_FILTER_BITS and one row a bucket."""
-    rows = {r.bucket: r for r in parts.filter("group is null").select("bucket", "single", "pair", "n", "v").collect()}
-    none = b"\0"
-    filters = [Bloom([np.frombuffer(rows[b][name] if b in rows else none, np.uint8) for b in range(buckets)]) for name in ("single", "pair")]
-    return Model(*filters, sum(r.n for r in rows.values()), sum(r.v for r in rows.values()))
+def scores(docs: DataFrame, parts: DataFrame, n: int, v: int) -> DataFrame:
+    """(row key, n_tokens, n_known, share, score): counts and levels meet the texts they came from, group by group."""
+    local = docs.select(key(), "held_out", "text").mapInArrow(_local, "bucket int, group bigint, kind int, blob binary")
+    both = parts.filter("group is not null").select("bucket", "group", "kind", "blob").unionByName(local)
+    found = both.groupBy("group").applyInArrow(_scored(n, v), f"{KEY} bigint, n_tokens bigint, n_known bigint, share double, score double")
+    # rows equal in id and text may be in several groups and have the same scores in all
+    return found.groupBy(KEY).agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "share", "score")])
 
 
 def with_held_out(docs: DataFrame) -> DataFrame:
@@ -273,18 +257,11 @@ def with_held_out(docs: DataFrame) -> DataFrame:
 
 def op10(docs: DataFrame) -> DataFrame:
     rows = with_held_out(docs)
-    parts, buckets = counted(rows)
-    learned = model(parts, buckets)
-    shared = rows.sparkSession.sparkContext.broadcast(learned)
-    scored = rows.select("doc_id", key(), "held_out", "text").mapInArrow(
-        _score(shared), f"doc_id bigint, {KEY} bigint, held_out boolean, n_tokens bigint, score double"
-    )
-    sums = base_shares(rows, parts).groupBy(KEY)  # rows equal in id and text may be in several groups
-    base = sums.agg(F.sum("share").alias("share"), F.sum("known").alias("known"), F.sum("counted").alias("counted"))
-    # a row that occurs several times has sent its shares several times
-    copies = F.col("counted") / F.col("n_tokens")
-    floor = float(np.log10(learned.n + SMOOTH * (learned.v + 1)))
-    return scored.join(base, KEY).select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") / copies).cast("bigint").alias("n_known"), F.lit(learned.n).cast("bigint").alias("train_tokens"),
-        (F.col("share") / copies - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score",
+    parts = counted(rows)
+    sums = parts.filter("group is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n, v = sums.n or 0, sums.v or 0
+    floor = float(np.log10(n + SMOOTH * (v + 1)))
+    return rows.select("doc_id", key(), "held_out").join(scores(rows, parts, n, v), KEY).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("share") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score",
     )
