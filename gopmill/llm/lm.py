@@ -3,8 +3,8 @@
 Counts of single words and of word pairs are gathered over all training texts, quantised to powers of two and stored
 in a Bloom filter: an n-gram of level q is inserted q times, once per level, and its level is read back by probing
 levels until one is missing. The filter has BITS_PER_ENTRY bits for every entry, whatever the corpus holds, so its error
-rate is the same at every size; it is never in one place, but one segment per bucket of hashes. Every pair that occurs
-``MIN_PAIR_COUNT`` times goes in.
+rate is the same at every size; it is never in one place, but one segment per bucket of hashes. Every word and every pair
+of the training texts goes in, those seen once too.
 
 How it runs: texts are hashed word by word in Arrow batches, in groups of some megabytes. The distinct words and pairs
 of a group (so a word in every text is one entry per group) and their training counts are cut by hash into buckets.
@@ -34,7 +34,6 @@ END = U64(0x51ED270B1F3A2C95)
 BUCKET_BYTES = 8 << 20
 FLUSH_BYTES = 10 << 20
 BITS_PER_ENTRY = 12
-MIN_PAIR_COUNT = 2
 MAX_LEVEL = 48
 PAIR_WEIGHT, FEW = 0.4, 10  # a pair's weight after a history seen n times: PAIR_WEIGHT * n / (n + FEW)
 SMOOTH = 0.1
@@ -175,9 +174,7 @@ def _count(table: pa.Table) -> pa.Table:
         count = np.bincount(at, np.concatenate([x[1] for _, x in held]), len(u)).astype(np.int64)
         if kind == 1:
             n, v = int(count.sum()), int((count > 0).sum())
-            level = _levels(u, count)
-        else:
-            level = _levels(u << U64(16), np.where(count >= MIN_PAIR_COUNT, count, 0))
+        level = _levels(u << U64(16) if kind == 2 else u, count)
         low = 0
         for g, x in held:
             own = at[low : low + len(x[0])]

@@ -76,3 +76,7 @@ def close(df, want):
 def test_scores_do_not_depend_on_a_bound_of_the_filter(small, monkeypatch):
     monkeypatch.setattr(lm, "MAX_FILTER_BITS", 1 << 12, raising=False)
     close(small, brute_scores(small.collect(), getattr(lm, "MIN_PAIR_COUNT", 1)))
+
+
+def test_pairs_seen_once_count(small):
+    close(small, brute_scores(small.collect(), 1))
