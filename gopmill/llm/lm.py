@@ -200,9 +200,10 @@ def _scored(n: int, v: int):
     """One group of texts: each text's tokens, known tokens, sum of log10(c + SMOOTH) and log10 probability."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True))
-        local = [unpacked(b) for kind, _, b in rows if kind == 0]
-        found = [[unpacked(b) for k, _, b in sorted(rows, key=lambda x: x[1]) if k == kind] for kind in (1, 2)]
+        # groups of the same rows share a name: what each of them sent and got is the same, and one of it is taken
+        rows = {(kind, bucket): blob for kind, bucket, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True)}
+        local = [unpacked(b) for (kind, _), b in rows.items() if kind == 0]
+        found = [[unpacked(rows[x]) for x in sorted(rows) if x[0] == kind] for kind in (1, 2)]
         keys, lengths, data = local[0] if local else [np.zeros(0, np.int64)] * 3
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         text = pa.LargeStringArray.from_buffers(len(keys), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))

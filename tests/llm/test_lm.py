@@ -80,3 +80,17 @@ def test_scores_do_not_depend_on_a_bound_of_the_filter(small, monkeypatch):
 
 def test_pairs_seen_once_count(small):
     close(small, brute_scores(small.collect(), 1))
+
+
+def test_groups_of_the_same_rows_are_scored_once_each(spark, small, tmp_path):
+    small.coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert one.union(one).rdd.getNumPartitions() == 2
+    twice = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.op10(one.union(one)).collect())
+    rows = small.collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    count = Counter(t for r in rows if not held(r.doc_id) for t in tokens(r.text) * 2)
+    n, v = sum(count.values()), len(count)
+    base = lambda t: sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)
+    each = [(str(r.doc_id), len(t), sum(1 for x in t if count[x]), round(base(t), 6)) for r in rows for t in [tokens(r.text)]]
+    assert twice == sorted(each * 2)
