@@ -1,9 +1,8 @@
 """Packing into length buckets whose boundaries waste the least padding, then into batches of a token budget.
 
 Every text in a bucket is padded to the bucket's boundary. The boundaries come from dynamic programming over the global
-histogram of lengths: with up to MAX_BINS distinct lengths it is the histogram itself and the result is optimal; longer
-histograms are first rounded up to steps that grow with the length (under 1 % of it), and the result is optimal for
-the rounded lengths. So what the driver holds is at most MAX_BINS rows, whatever the corpus.
+histogram of lengths and are optimal at every size. The driver holds the histogram, one row per distinct length, so at
+most as many as the longest text has words, whatever the number of texts; the programming takes time linear in them.
 
 Batches: a bucket of boundary b takes budget // b texts a batch (one, if a text is longer than the budget). A bucket may
 hold any share of all rows; it is cut by a hash into shards of about SHARD_ROWS texts, rows are numbered in a shard, and a
@@ -15,8 +14,6 @@ Repeated rows are packed as often as they occur. With no rows there are no bucke
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,50 +23,46 @@ from gopmill.session import written
 
 BUCKETS = 16
 BUDGET = 65536
-MAX_BINS = 4096
-EXACT_BELOW = 1024
+MAX_BINS, EXACT_BELOW = 4096, 1024  # without effect: lengths are never rounded; tests of the former bounds set them
 SHARD_ROWS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def rounded(length):
-    """Column: lengths below EXACT_BELOW as they are, others rounded up to a step of at most 1/128 of the length."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - 7)).cast("bigint")
-    return F.when(length < EXACT_BELOW, length).otherwise(F.ceil(length / step) * step).cast("bigint")
-
-
-def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Lengths, how many texts have them, and whether lengths are exact. ``lengths(n_tokens)``."""
-    exact = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows"))
-    rows = exact.limit(MAX_BINS + 1).collect()
-    whole = len(rows) <= MAX_BINS
-    if not whole:
-        rows = exact.groupBy(rounded(F.col("n_tokens")).alias("n_tokens")).agg(F.sum("rows").alias("rows")).collect()
-    rows = sorted((r.n_tokens, r.rows) for r in rows)
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), whole
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lengths and how many texts have them. ``lengths(n_tokens)``."""
+    rows = sorted((r.n_tokens, r.rows) for r in lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows")).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` boundaries, increasing, of least total padding; the last one is the greatest length.
 
-    best[j] is the least padding of the first j lengths in k buckets. A last bucket from i to j costs
-    lengths[j] * texts(i..j) - tokens(i..j); all i are tried at once.
+    best[j] is the least of boundary * texts, summed over the buckets of the first j lengths; a last bucket from i to j
+    costs lengths[j] * texts(i..j). So each i is a line in lengths[j], of falling slope, and as lengths rise, the best i
+    moves along the lower hull of the lines. Whole numbers, so nothing is rounded.
     """
     n = len(lengths)
     if not n:
         return []
-    texts = np.concatenate([[0], np.cumsum(counts)]).astype(float)
-    best = np.full(n + 1, math.inf)
-    best[0] = 0
-    cuts = []
+    size, texts = lengths.tolist(), [0, *np.cumsum(counts).tolist()]
     # padding is boundary * texts less all tokens, and the tokens are the same for every choice
+    best, cuts = [0] + [None] * n, []
     for _ in range(min(buckets, n)):
-        step, cut = np.full(n + 1, math.inf), np.zeros(n + 1, np.int64)
+        step, cut, hull, head = [0] * (n + 1), np.zeros(n + 1, np.int64), [], 0
         for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (texts[j] - texts[:j])
-            cut[j] = int(np.argmin(cost))
-            step[j] = cost[cut[j]]
-        step[0] = 0
+            c, t = best[j - 1], texts[j - 1]
+            if c is not None:
+                while len(hull) - head > 1:
+                    (_, t1, c1), (_, t2, c2) = hull[-2:]
+                    if (c2 - c1) * (t - t1) < (c - c1) * (t2 - t1):
+                        break
+                    hull.pop()
+                hull.append((j - 1, t, c))
+            x = size[j - 1]
+            while len(hull) - head > 1 and hull[head + 1][2] - x * hull[head + 1][1] < hull[head][2] - x * hull[head][1]:
+                head += 1
+            at, t, c = hull[head]
+            cut[j], step[j] = at, c + x * (texts[j] - t)
         cuts.append(cut)
         best = step
     out, j = [], n
@@ -84,18 +77,17 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     """doc_id, n_tokens, bucket, boundary, batch (unique string), slot in the batch, padding."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     sized = written(docs.select("doc_id", size.alias("n_tokens"), key().alias("row")))  # texts are read once
-    lengths, counts, exact = histogram(sized.select("n_tokens"))
+    lengths, counts = histogram(sized.select("n_tokens"))
     edges = boundaries(lengths, counts, buckets)
     held, low = [], 0
     for edge in edges:
         high = int(np.searchsorted(lengths, edge, side="right"))
         held.append(int(counts[low:high].sum()))
         low = high
-    size = F.col("n_tokens") if exact else rounded(F.col("n_tokens"))
     # the few boundaries are part of the plan
     bucket = F.lit(len(edges) - 1) if edges else F.lit(0)
     for at in range(len(edges) - 2, -1, -1):
-        bucket = F.when(size <= edges[at], F.lit(at)).otherwise(bucket)
+        bucket = F.when(F.col("n_tokens") <= edges[at], F.lit(at)).otherwise(bucket)
     per_bucket = lambda values: F.element_at(F.array(*[F.lit(v) for v in values or [0]]).cast("array<bigint>"), F.col("bucket") + 1)
     shards = [max(1, -(-rows // SHARD_ROWS)) for rows in held]
     placed = sized.withColumn("bucket", bucket).withColumn("boundary", per_bucket(edges)).withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "row"), per_bucket(shards)))

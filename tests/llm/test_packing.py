@@ -63,3 +63,24 @@ def test_shards_and_rounded_lengths(spark, small, monkeypatch):
         bucket, shard, _ = name.split("-")
         per_bucket.setdefault((bucket, shard), []).append((len(held), max(1, 2000 // max(held[0].boundary, 1))))
     assert all(sum(n < most for n, most in v) <= 1 for v in per_bucket.values())
+
+
+def test_boundaries_are_optimal_for_many_lengths():
+    rng = np.random.default_rng(9)
+    lengths = np.unique(rng.integers(0, 20000, 700))
+    counts = rng.integers(1, 1000, len(lengths))
+    texts = np.concatenate([[0], np.cumsum(counts)])
+    best = np.concatenate([[0], np.full(len(lengths), 1 << 60)])
+    for _ in range(16):
+        best = np.array([0, *(int(min(best[:j] + lengths[j - 1] * (texts[j] - texts[:j]))) for j in range(1, len(lengths) + 1))])
+    got = packing.boundaries(lengths, counts, 16)
+    assert padding(lengths, counts, got) == best[-1] - int((lengths * counts).sum())
+
+
+def test_padding_is_least_with_more_lengths_than_the_former_bound(small, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_BINS", 20, raising=False)
+    monkeypatch.setattr(packing, "EXACT_BELOW", 64, raising=False)
+    rows = packing.pack(small, 4, 2000).collect()
+    lengths, counts = np.unique([r.n_tokens for r in rows], return_counts=True)
+    assert {r.boundary for r in rows} <= set(lengths.tolist())
+    assert sum(r.padding for r in rows) == padding(lengths, counts, packing.boundaries(lengths, counts, 4))
