@@ -38,12 +38,15 @@ RULES = {
     "upper_case": "n_letters > 0 and 2 * n_upper > n_letters",
     "insults": "n_insults > 2 and 200 * n_insults > n_words",
 }
-BIT = {name: 1 << at for at, name in enumerate(RULES)}
+# rules of later policies; the registered query and its SQL give the bits of RULES only
+LATER_RULES = {"any_insult": "n_insults > 0"}
+BIT = {name: 1 << at for at, name in enumerate([*RULES, *LATER_RULES])}
 # a policy is a version and the rules that reject under it
 POLICIES = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "symbols", "long_words", "short_words", "duplicate_lines"),
     "v2": tuple(RULES),
+    "v3": (*RULES, *LATER_RULES),
 }
 
 
@@ -115,7 +118,7 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, str, str]:
     kind = T.StructType([T.StructField(name, T.LongType()) for name in MEASURES])
     schema = T.StructType([*docs.schema.fields, T.StructField(measured, kind)])
     names = re.compile(rf"\b({'|'.join(MEASURES)})\b")
-    bits = " | ".join(f"if({names.sub(measured + r'.\1', rule)}, {BIT[name]}, 0)" for name, rule in RULES.items())
+    bits = " | ".join(f"if({names.sub(measured + r'.\1', rule)}, {BIT[name]}, 0)" for name, rule in (RULES | LATER_RULES).items())
 
     def named(batches):
         for batch in _measured(batches):
@@ -125,7 +128,7 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and ``failed``, a bit per rule in the order of RULES."""
+    """doc_id, the measurements and ``failed``, a bit per rule in the order of RULES and LATER_RULES."""
     judged, measured, failed = _judged(docs.select("doc_id", "text"))
     return judged.select("doc_id", f"{measured}.*", F.col(failed).alias("failed"))
 
@@ -162,7 +165,7 @@ def op9(docs: DataFrame, policy: str = "v2") -> DataFrame:
     base = F.col("failed").bitwiseAND(mask("base")) != 0
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), F.when(base, False).otherwise(F.col("kept")).alias("kept"), F.col("failed").alias("failed_bits"),
+        base.alias("base_failed"), F.when(base, False).otherwise(F.col("kept")).alias("kept"), F.col("failed").bitwiseAND(sum(BIT[name] for name in RULES)).alias("failed_bits"),
     )
 
 

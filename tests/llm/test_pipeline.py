@@ -61,3 +61,9 @@ def test_planted_copies_go_and_clean_documents_stay(spark, tmp_path):
     texts = [*clean, clean[1], " ".join(near), fixtures.prose(60, 51) + " " + item + " " + fixtures.prose(60, 52), "junk " * 200]
     folder = write(spark, tmp_path / "in", fixtures.frame(spark, fixtures.rows(*texts)), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == list(range(1, 21))
+
+
+def test_few_insults_do_not_vanish_in_a_text(spark):
+    texts = [fixtures.prose(100, 1), fixtures.prose(30, 2) + " MORON!", fixtures.prose(600, 3) + " idiot, scum, idiot", fixtures.prose(2000, 4) + " trash " * 3]
+    docs = fixtures.frame(spark, fixtures.rows(*texts))
+    assert [r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()] == [1]
