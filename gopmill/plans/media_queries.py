@@ -323,6 +323,19 @@ def _units():
     return F.round(F.col("complexity") * 16384000).cast("bigint").alias("complexity_units")
 
 
+def _with_histogram(measured):
+    thousandths = F.transform("histogram", lambda share: F.round(share * 1000).cast("bigint").cast("string"))
+    return measured.select("asset_id", "frame_idx", _units(), F.array_join(thousandths, ",").alias("histogram"))
+
+
+def _planes(spark, folder):
+    plane = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5)), 2, "0")), ""))
+    return adapters.read_parquet(spark, folder, "embeddings").select(
+        F.col("label").cast("bigint").alias("asset_id"), F.col("vec_id").alias("frame_idx"),
+        F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(8).alias("stride"), plane.alias("gray"),
+    )
+
+
 @query(
     "frame_features",
     """SELECT b.asset_id, b.frame_idx, CAST(round(any_value(f.complexity) * 16384000) AS BIGINT) AS complexity_units,
@@ -332,11 +345,7 @@ def _units():
 )
 def frame_features(spark, folder):
     """Histogram in thousandths and complexity in its 64-pixel steps: whole numbers compare exactly."""
-    measured = frames.features_from_pixels(adapters.pixels(spark, folder))
-    thousandths = F.transform("histogram", lambda share: F.round(share * 1000).cast("bigint").cast("string"))
-    return measured.select(
-        "asset_id", "frame_idx", _units(), F.array_join(thousandths, ",").alias("histogram")
-    )
+    return _with_histogram(frames.features_from_pixels(adapters.pixels(spark, folder)))
 
 
 @query(
@@ -346,12 +355,19 @@ def frame_features(spark, folder):
 )
 def frame_features_binary(spark, folder):
     """The same from packed 8x8 planes."""
-    plane = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5)), 2, "0")), ""))
-    planes = adapters.read_parquet(spark, folder, "embeddings").select(
-        F.col("label").cast("bigint").alias("asset_id"), F.col("vec_id").alias("frame_idx"),
-        F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(8).alias("stride"), plane.alias("gray"),
-    )
-    return frames.frame_features(planes).select("asset_id", "frame_idx", _units())
+    return frames.frame_features(_planes(spark, folder)).select("asset_id", "frame_idx", _units())
+
+
+@query(
+    "frame_features_binary_histogram",
+    """SELECT b.asset_id, b.frame_idx, CAST(round(any_value(f.complexity) * 16384000) AS BIGINT) AS complexity_units,
+         string_agg(CAST(CAST(round(share * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY bin) AS histogram
+       FROM bins b JOIN features f USING (asset_id, frame_idx) GROUP BY b.asset_id, b.frame_idx""",
+    ("bins", "features"),
+)
+def frame_features_binary_histogram(spark, folder):
+    """Complexity and histogram of the same planes."""
+    return _with_histogram(frames.frame_features(_planes(spark, folder)))
 
 
 def _changes(spark, folder):

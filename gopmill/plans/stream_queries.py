@@ -26,6 +26,16 @@ def request_rate(spark, folder):
     return latest.select("client_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "r.requests", "r.limited")
 
 
+def _status_changes(spark, folder):
+    beats = runner.stream_table(spark, folder, "events").select(
+        F.col("user_id").alias("node_id"), "ts", (F.floor("value").cast("int") % 9).alias("active_workers")
+    )
+    registry = adapters.heartbeats(spark, folder).select("node_id").distinct().select(
+        "node_id", F.lit(8).alias("max_concurrent_workers"), F.lit("Active").alias("status")
+    )
+    return runner.run_available(streams.node_liveness_stream(beats, registry, HALF_DAY, "0 seconds"))
+
+
 @query(
     "node_liveness_stream",
     """SELECT node_id, count(*) FILTER (status = 'Dead') AS deaths, count(*) FILTER (status = 'Busy') AS fills FROM (
@@ -40,13 +50,7 @@ def request_rate(spark, folder):
 )
 def node_liveness_stream(spark, folder):
     """How often each node died and filled up; all event users count as registered, Active nodes."""
-    beats = runner.stream_table(spark, folder, "events").select(
-        F.col("user_id").alias("node_id"), "ts", (F.floor("value").cast("int") % 9).alias("active_workers")
-    )
-    registry = adapters.heartbeats(spark, folder).select("node_id").distinct().select(
-        "node_id", F.lit(8).alias("max_concurrent_workers"), F.lit("Active").alias("status")
-    )
-    changes = runner.run_available(streams.node_liveness_stream(beats, registry, HALF_DAY, "0 seconds"))
+    changes = _status_changes(spark, folder)
     return (
         changes.where(F.col("status").isin("Dead", "Busy"))
         .groupBy("node_id")
@@ -54,6 +58,22 @@ def node_liveness_stream(spark, folder):
     )
 
 
+@query(
+    "node_status_changes_stream",
+    """SELECT node_id, ts + INTERVAL 12 HOUR AS at, 'Dead' AS status FROM (
+         SELECT node_id, date_trunc('millisecond', ts) AS ts, lead(date_trunc('millisecond', ts)) OVER (PARTITION BY node_id ORDER BY ts) AS back_at FROM heartbeats)
+       WHERE coalesce(back_at, (SELECT max(date_trunc('millisecond', ts)) FROM heartbeats)) - ts > INTERVAL 12 HOUR
+       UNION ALL
+       SELECT node_id, date_trunc('millisecond', ts), CASE WHEN active_workers >= 8 THEN 'Busy' ELSE 'Active' END FROM (
+         SELECT *, lag(active_workers) OVER w AS was, date_trunc('millisecond', ts) - date_trunc('millisecond', lag(ts) OVER w) > INTERVAL 12 HOUR AS gap FROM heartbeats WINDOW w AS (PARTITION BY node_id ORDER BY ts))
+       WHERE CASE WHEN active_workers >= 8 THEN was IS NULL OR was < 8 OR gap ELSE was >= 8 OR gap END""",
+    ("heartbeats",),
+)
+def node_status_changes_stream(spark, folder):
+    """Every transition with its time, those to Active too."""
+    return _status_changes(spark, folder).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 adapters.CTES["eprogress"] = (
     (),
     """elatest AS (
@@ -128,13 +148,33 @@ def grant_redemption_stream(spark, folder):
 )
 def live_gop_stats(spark, folder):
     """The stored packets replayed at 25 a second without end rows, so each asset's last GOP stays open."""
+    return _replayed_gops(spark, adapters.packets(spark, folder).withColumn("is_end", F.lit(False)))
+
+
+def _replayed_gops(spark, packets):
     base = runner.fresh_folder(spark)
-    adapters.packets(spark, folder).write.mode("overwrite").parquet(base)
+    packets.write.mode("overwrite").parquet(base)
     replay = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
-    timed = replay.withColumn("ts", F.timestamp_millis((F.col("pts_time") * 1000).cast("bigint") + 1_700_000_000_000)).withColumn("is_end", F.lit(False))
+    timed = replay.withColumn("ts", F.timestamp_millis((F.col("pts_time") * 1000).cast("bigint") + 1_700_000_000_000))
     return runner.run_available(streams.live_gop_stats(timed, "0 seconds")).withColumn("bitrate_bps", F.round("bitrate_bps", 3))
 
 
+@query(
+    "live_gop_stats_ended",
+    "SELECT asset_id, gop_idx, start_frame, end_frame, start_time, end_time, size_bytes, round(bitrate_bps, 3) AS bitrate_bps FROM gops",
+    ("gops",),
+)
+def live_gop_stats_ended(spark, folder):
+    """The same replay with an end row after each asset's last packet, so every GOP closes; a later row moves the watermark."""
+    packets = adapters.packets(spark, folder).select("asset_id", "packet_idx", "pts_time", "size_bytes", "flags").withColumn("is_end", F.lit(False))
+    last = packets.groupBy("asset_id").agg((F.max("packet_idx") + 1).alias("packet_idx"), (F.max("pts_time") + 1).alias("pts_time"))
+    ends = last.withColumn("is_end", F.lit(True))
+    clock = last.agg(F.lit(-1).cast("bigint").alias("asset_id"), F.lit(0).cast("bigint").alias("packet_idx"), (F.max("pts_time") + 3600).alias("pts_time"))
+    extra = ends.unionByName(clock.withColumn("is_end", F.lit(False)))
+    extra = extra.withColumn("size_bytes", F.lit(0).cast("bigint")).withColumn("flags", F.lit("___"))
+    return _replayed_gops(spark, packets.unionByName(extra))
+
+
 @query("request_validation_stream", VALIDATE_SQL.format(_rules(False)), ("requests",))
 def request_validation_stream(spark, folder):
     """Both outputs of the split, put together again."""
