@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gopmill.llm import decontamination, langid, licenses, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup
+from gopmill.llm import decontamination, langid, licenses, line_dedup, lm, merkle, packing, pii, quality, simhash, suffix_dedup
 from gopmill.llm.common import documents
 
 QUERIES = {
@@ -16,8 +16,10 @@ QUERIES = {
     "op8_suffix_array_dedup": lambda spark, folder: suffix_dedup.op8(documents(spark, folder)),
     "op9_quality_rules": lambda spark, folder: quality.op9(documents(spark, folder)),
     "op10_lm_scoring": lambda spark, folder: lm.op10(documents(spark, folder)),
+    "op11_merkle_manifest": lambda spark, folder: merkle.op11(documents(spark, folder)),
 }
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontamination.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
