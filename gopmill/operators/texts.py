@@ -2,7 +2,7 @@
 
 A text that lists segments is a table of its lines, (asset_id, line_no, line), whatever its length: a text is its lines in
 the order of line_no, each followed by a line feed. ``write_lines`` writes them in that order, range-partitioned, so no
-asset, however long, has its lines gathered into one value or one task. A report is one JSON row for the asset and one
+asset, however long, has its lines gathered into one value or one task; ``write_asset_files`` writes a file per asset. A report is one JSON row for the asset and one
 for each segment.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gopmill.functions import encode, text
 from gopmill.operators import jobs
 from gopmill.operators.segments import max_segment_duration
+from gopmill.sources.files import write_files
 
 HEAD_LINES = 4
 
@@ -50,6 +51,22 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("asset_id", "line_no").sortWithinPartitions("asset_id", "line_no").select("line").write.text(path)
 
 
+def write_asset_files(lines: DataFrame, folder: str, suffix: str, part_lines: int = 1_000_000) -> None:
+    """One file ``<asset_id><suffix>`` for each asset's text, committed as a whole job.
+
+    A text whose line numbers reach ``part_lines`` goes on in ``<asset_id><suffix>.part1`` and so on, which are other tasks'
+    work: the text is its parts one after another.
+    """
+    part = F.call_function("div", F.col("line_no"), F.lit(part_lines))
+    name = F.concat(
+        F.regexp_replace(F.col("asset_id").cast("string"), "[^a-zA-Z0-9._-]", "_"), F.lit(suffix),
+        F.when(part > 0, F.concat(F.lit(".part"), part.cast("string"))).otherwise(""),
+    )
+    chunk = F.concat(F.col("line"), F.lit("\n")).cast("binary")
+    placed = lines.select(name.alias("name"), "line_no", chunk.alias("chunk"))
+    write_files(placed.repartition("name").sortWithinPartitions("name", "line_no"), folder)
+
+
 def _lines_of(array: Column, line) -> Column:
     return F.array_join(F.transform(array, line), "")
 
