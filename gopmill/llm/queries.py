@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gopmill.llm import collocations, decontamination, langid, licenses, line_dedup, lm, merkle, packing, pii, quality, simhash, suffix_dedup
+from gopmill.llm import collocations, decontamination, langid, licenses, line_dedup, lm, merkle, packing, pii, quality, simhash, suffix_dedup, warc
 from gopmill.llm.common import documents
 
 QUERIES = {
@@ -18,10 +18,12 @@ QUERIES = {
     "op10_lm_scoring": lambda spark, folder: lm.op10(documents(spark, folder)),
     "op11_merkle_manifest": lambda spark, folder: merkle.op11(documents(spark, folder)),
     "op12_phrase_collocations": lambda spark, folder: collocations.op12(documents(spark, folder)),
+    "op13_warc_archives": lambda spark, folder: warc.op13(spark.read.parquet(f"{folder}/pages.parquet")),
 }
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontamination.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
     "op12_phrase_collocations": collocations.ORACLE,
+    "op13_warc_archives": warc.ORACLE,
 }
