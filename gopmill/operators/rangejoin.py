@@ -1,31 +1,81 @@
 """Interval and point-in-interval joins within equal keys.
 
-An equality on the keys plus a range predicate compares every pair of a key. Here each interval is listed under
-the buckets of width ``width`` it touches and the join is on (keys, bucket); the original predicate stays as a
-residual. Two intervals meet in the first bucket they share only, so each pair appears once. With
-``rows_per_task`` set, buckets that hold more rows of the larger side are split by a salt and the other side is
-repeated there; that counts the larger side once more, so it suits stored tables. Without it a frequent bucket is
-left to the adaptive skew join.
+An equality on the keys plus a range predicate compares every pair of a key. Here intervals are listed in an index of
+cells whose width grows eightfold from level to level, ``width`` at level 0. An interval belongs to the lowest level at
+which it spans at most CELLS cells, and is listed under those; it is listed under the cells of a higher level, two at
+most, where some interval of the other side belongs to that level. So an interval of any length is a few rows: what it
+costs does not grow with its length. Two intervals meet at the higher of their two levels, in the first cell they share
+there, so each pair appears once; the original predicate stays as a residual. Which levels a side has is one number, an
+aggregate of bits that Spark computes as a subquery before the join; where no interval is long the index is one grid.
+
+A frequent cell is left to the adaptive skew join. With ``rows_per_task`` set, cells that hold more rows of the larger side
+are split by a salt and the other side is repeated there; that counts the larger side once more, so it suits stored tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
-BUCKET, SALT = "_bucket", "_salt"
-
-
-def _bucket(value: Column, width: float) -> Column:
-    return F.floor(value / F.lit(width)).cast("bigint")
-
-
-def _touching(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
-    low, high = _bucket(F.least(start, end), width), _bucket(F.greatest(start, end), width)
-    return df.withColumn(BUCKET, F.explode(F.sequence(low, high)))
+CELL, LEVELS_HERE, SALT = "_cell", "_levels", "_salt"
+CELLS = 8
+GROWTH = 8
+# Positions are held within 2^56 cells of level 0, so that a cell's number and its level fit into 64 bits.
+FARTHEST = 2.0**56
+LEVELS = 20
+TAG = 32
+
+
+class _Span:
+    """An interval in the index: where it begins and ends, and the level it belongs to. Either end may be the lower."""
+
+    def __init__(self, start: Column, end: Column, width: float):
+        self.width = float(width)
+        limit = F.lit(self.width * FARTHEST)
+        start, end = start.cast("double"), end.cast("double")
+        low, high = F.least(start, end), F.greatest(start, end)
+        # an end that is no number is as far as can be, as it is in comparisons; without any end there is no interval
+        self.low = F.when(low.isNotNull(), F.least(F.greatest(low, -limit), limit))
+        self.high = F.when(low.isNotNull(), F.least(F.greatest(high, -limit), limit))
+        cells = (self.high - self.low) / self.width
+        steps = F.ceil(F.log2(cells / CELLS) / math.log2(GROWTH)).cast("int")
+        self.level = F.when(cells <= CELLS, F.lit(0)).otherwise(F.greatest(steps, F.lit(1)))
+
+    def _cell(self, at: Column, level: Column) -> Column:
+        wide = F.lit(self.width) * F.pow(F.lit(float(GROWTH)), level)
+        return F.floor(at / wide).cast("bigint") * TAG + level
+
+    def first(self, level: Column) -> Column:
+        return self._cell(self.low, level)
+
+    def cells(self, level: Column) -> Column:
+        """Array of the cells of a level that the interval touches."""
+        return F.sequence(self.first(level), self._cell(self.high, level), F.lit(TAG).cast("bigint"))
+
+    def listing(self, others: Column) -> Column:
+        """Array of all cells to list it under; ``others`` has a bit for each level the other side's intervals belong to."""
+        own = self.cells(self.level)
+        levels = F.filter(
+            F.sequence(F.lit(1), F.lit(LEVELS)),
+            lambda n: (n > self.level) & (others.bitwiseAND(F.pow(F.lit(2.0), n).cast("bigint")) != 0),
+        )
+        higher = F.flatten(F.transform(levels, lambda n: self.cells(n)))
+        return F.when(others > 1, F.concat(own, higher)).otherwise(own)
+
+
+def _listed(df: DataFrame, span: _Span, others: Column) -> DataFrame:
+    """A row for each cell to list a row of ``df`` under."""
+    return df.withColumn(LEVELS_HERE, others).withColumn(CELL, F.explode(span.listing(F.col(LEVELS_HERE)))).drop(LEVELS_HERE)
+
+
+def _levels(df: DataFrame, span: _Span) -> Column:
+    """Bits of the levels that the intervals of ``df`` belong to, as a subquery."""
+    bit = F.pow(F.lit(2.0), span.level).cast("bigint")
+    return df.agg(F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint")).alias(LEVELS_HERE)).scalar()
 
 
 def spread_hot(
@@ -72,14 +122,16 @@ def overlap_join(
     """Pairs of intervals that satisfy ``predicate`` (which must imply that they touch).
 
     Column names of the two sides must differ but for the keys. Zero-length and reversed intervals are covered:
-    buckets run from the lower to the higher end.
+    cells run from the lower to the higher end.
     """
-    big_cols, small_cols = [F.col(c) for c in big_span], [F.col(c) for c in small_span]
-    left = _touching(big, *big_cols, width)
-    right = _touching(small, *small_cols, width)
-    left, right, on = spread_hot(left, right, [*keys, BUCKET], rows_per_task)
-    first_shared = F.greatest(_bucket(F.least(*big_cols), width), _bucket(F.least(*small_cols), width))
-    return left.join(right, on).where((F.col(BUCKET) == first_shared) & predicate).drop(BUCKET, SALT)
+    left_span = _Span(*[F.col(c) for c in big_span], width)
+    right_span = _Span(*[F.col(c) for c in small_span], width)
+    left = _listed(big, left_span, _levels(small, right_span))
+    right = _listed(small, right_span, _levels(big, left_span))
+    left, right, on = spread_hot(left, right, [*keys, CELL], rows_per_task)
+    level = F.greatest(left_span.level, right_span.level)
+    first_shared = F.greatest(left_span.first(level), right_span.first(level))
+    return left.join(right, on).where((F.col(CELL) == first_shared) & predicate).drop(CELL, SALT)
 
 
 def point_join(
@@ -94,9 +146,11 @@ def point_join(
 ) -> DataFrame:
     """Points with the intervals that satisfy ``predicate``; ``span`` must contain every point it accepts.
 
-    Pass ``rows_per_task=None`` where a bucket is bounded anyway (dense frame numbers).
+    Pass ``rows_per_task=None`` where a cell is bounded anyway (dense frame numbers).
     """
-    left = points.withColumn(BUCKET, _bucket(at, width))
-    right = _touching(spans, *span, width)
-    left, right, on = spread_hot(left, right, [*keys, BUCKET], rows_per_task)
-    return left.join(right, on).where(predicate).drop(BUCKET, SALT)
+    spanned = _Span(*span, width)
+    left = _listed(points, _Span(at, at, width), _levels(spans, spanned))
+    # a point belongs to level 0, so a pair meets at the level of the interval and nowhere else
+    right = spans.withColumn(CELL, F.explode(spanned.cells(spanned.level)))
+    left, right, on = spread_hot(left, right, [*keys, CELL], rows_per_task)
+    return left.join(right, on).where(predicate).drop(CELL, SALT)

@@ -9,6 +9,7 @@ one group, rows with a null position the first slice of theirs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
@@ -20,6 +21,10 @@ from gopmill.session import written
 
 SLICE = "_slice"
 SLICE_ROWS = 65536
+# Quantiles taken of a group that is cut by its rows, and the most slices made of them: half as many, so that rounding a
+# slice to whole cuts keeps it under twice its rows.
+CUTS = 4096
+SLICES = CUTS // 2
 
 
 def slice_of(column: str, rows: int = SLICE_ROWS) -> Column:
@@ -47,23 +52,44 @@ def inherit(
     return join_null_safe(sliced, inherited, [*keys, SLICE])
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Inner join on equal names where nulls meet nulls, so a row without a key or a position stays."""
+def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal names where nulls meet nulls, so a row without a key or a position stays."""
     renamed = {name: f"_of_right_{at}" for at, name in enumerate(names)}
     other = right.withColumnsRenamed(renamed)
-    return left.join(other, reduce(and_, [F.col(n).eqNullSafe(F.col(r)) for n, r in renamed.items()])).drop(*renamed.values())
+    return left.join(other, reduce(and_, [F.col(n).eqNullSafe(F.col(r)) for n, r in renamed.items()]), how).drop(*renamed.values())
 
 
 def sliced_by_rows(df: DataFrame, keys: Sequence[str], position: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """``df`` with its slice, where positions may lie far apart: a group of up to ``rows`` rows is one slice.
+    """``df`` with its slice, where integer positions may lie far apart: a group of up to ``rows`` rows is one slice.
 
-    Larger groups are cut into equal ranges of the position, as many as make ``rows`` rows each on average.
+    A larger group is cut where its own positions lie, by a quantile sketch: CUTS cuts of about equal depth, of which
+    every so manieth ends a slice, so that a slice holds less than twice ``rows`` rows whatever the positions are. Sketches
+    merge, so they are built before the shuffle. Beyond SLICES slices a group's slices grow with it. Rows of one position
+    are in one slice. Only the groups that are cut come back to the rows, at most one for every ``rows`` rows.
     """
-    extent = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(position).alias("_low"), F.max(position).alias("_high"))
-    width = F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / rows))
-    per_group = extent.select(*keys, "_low", F.greatest(width, F.lit(1)).alias("_width"))
-    placed = join_null_safe(df, per_group, keys)
-    return placed.withColumn(SLICE, F.floor((F.col(position) - F.col("_low")) / F.col("_width"))).drop("_low", "_width")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows)
+    large = join_null_safe(df.select(*keys, F.col(position).cast("bigint").alias("_position")), sizes, keys)
+    depths = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    cuts = large.groupBy(*keys).agg(
+        F.percentile_approx("_position", depths, F.lit(CUTS * 4)).alias("_cuts"),
+        F.least(F.ceil(F.max("_rows") / rows), F.lit(SLICES)).alias("_slices"),
+    )
+    placed = join_null_safe(df, cuts, keys, "left")
+    passed = cuts_passed(F.col("_cuts"), F.col(position).cast("bigint"))
+    slice_ = F.ceil((passed + 1) * F.col("_slices") / CUTS) - 1  # a slice ends at the last cut that is not past its share
+    return placed.withColumn(SLICE, F.coalesce(slice_, F.lit(0).cast("bigint"))).drop("_cuts", "_slices")
+
+
+def cuts_passed(cuts: Column, position: Column) -> Column:
+    """How many of a sorted array of CUTS - 1 cuts lie below ``position``, found in two steps of a root of CUTS each."""
+    step = math.isqrt(CUTS)
+
+    def below(part: Column) -> Column:
+        return F.size(F.filter(part, lambda cut: cut < position))
+
+    landmarks = F.transform(F.sequence(F.lit(step), F.lit(CUTS - step), F.lit(step)), lambda i: F.element_at(cuts, i.cast("int")))
+    start = below(landmarks) * step
+    return F.when(cuts.isNotNull() & position.isNotNull(), start + below(F.slice(cuts, start + 1, F.lit(step))))
 
 
 def in_slice(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:

@@ -101,6 +101,20 @@ def gops_in_ranges(spark, folder):
     return found.select("asset_id", "segment_id", "gop_idx")
 
 
+@query(
+    "gops_in_open_ranges",
+    """SELECT r.asset_id, r.segment_id, g.gop_idx FROM
+         (SELECT asset_id, segment_id, start_ts, CASE WHEN segment_id % 5 = 0 THEN 9.2e10 ELSE end_ts END AS end_ts FROM ranges) r
+       JOIN gops g ON g.asset_id = r.asset_id AND g.start_time < r.end_ts AND g.end_time > r.start_ts""",
+    ("ranges", "gops"),
+)
+def gops_in_open_ranges(spark, folder):
+    """Every fifth range without an end: 9.2e10 seconds."""
+    end = F.when(F.col("segment_id") % 5 == 0, 9.2e10).otherwise(F.col("end_ts"))
+    found = decisions.gops_in_ranges(ranges(spark, folder).withColumn("end_ts", end), stored_gops(spark, folder))
+    return found.select("asset_id", "segment_id", "gop_idx")
+
+
 def _plan(spark, folder, mode, tolerance=0.3):
     smart = mode in decisions.SMART_MODES
     stats = stored_gops(spark, folder) if smart else gops.gop_stats(adapters.packets(spark, folder))

@@ -1,6 +1,7 @@
 """Sliced, bucketed and salted forms against plain Python on random tables, with slices small enough to matter."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -210,6 +211,61 @@ def test_overlaps(table, rows_per_task):
     assert sorted(map(tuple, got)) == want
 
 
+FAR = [9.2e10, -9.2e10, 1e300, -1e300, float("inf"), float("nan"), 700.0, 5e4, 3e7]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_overlaps_of_any_length(table, seed):
+    """Lengths from nothing to beyond all numbers, on both sides: the same pairs as comparing all."""
+    rng = random.Random(seed)
+
+    def spans(n):
+        out = []
+        for i in range(n):
+            start = rng.choice([0.0, rng.uniform(-50, 900), rng.uniform(0, 10.0 ** rng.randrange(1, 12))])
+            end = rng.choice([start, start + rng.uniform(-5, 30), start + 10.0 ** rng.uniform(0, 12), rng.choice(FAR)])
+            out.append((i % 3, i, *rng.choice([(start, end), (end, start), (start, end)])))
+        out += [(0, n, None, 5.0), (1, n + 1, None, None)]
+        return out
+
+    many, few = spans(120), spans(40)
+    left = table([(*s, 1.0) for s in many], "asset_id bigint, gop_idx bigint, start_time double, end_time double, bitrate_bps double")
+    right = table(few, "asset_id bigint, segment_id bigint, start_ts double, end_ts double")
+    got = decisions.gops_in_ranges(right, left, width=4.0).select("gop_idx", "segment_id").collect()
+    pairs = left.join(right, "asset_id").where("start_time < end_ts AND end_time > start_ts")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, pairs.select("gop_idx", "segment_id").collect()))
+
+
+def test_points_in_intervals_of_any_length(table):
+    rng = random.Random(8)
+    points = [(i % 2, i, rng.choice([rng.uniform(-20, 500), 10.0 ** rng.uniform(0, 13)])) for i in range(200)]
+    spans = [(i % 2, i, a := rng.uniform(-20, 500), a + rng.choice([0.0, 3.0, 10.0 ** rng.uniform(0, 13), float("inf")])) for i in range(60)]
+    left, right = table(points, "k int, p int, at double"), table(spans, "k int, s int, low double, high double")
+    inside = F.col("at").between(F.col("low"), F.col("high"))
+    got = rangejoin.point_join(left, right, ["k"], F.col("at"), (F.col("low"), F.col("high")), 2.0, inside, None)
+    want = left.join(right, "k").where(inside)
+    assert sorted(map(tuple, got.select("p", "s").collect())) == sorted(map(tuple, want.select("p", "s").collect()))
+
+
+def test_a_long_interval_is_a_few_rows(spark):
+    """A span of 9.2e10 s does not cost more than a short one, and short ones cost nothing for it beyond two rows."""
+    gops_of = spark.range(20_000).selectExpr(
+        "id % 50 AS asset_id", "id AS gop_idx", "id * 1.0D AS start_time", "IF(id = 7, 9.2e10D, id + 2.0D) AS end_time", "1.0D AS bitrate_bps"
+    )
+    spans = spark.range(300).selectExpr("id % 50 AS asset_id", "id AS segment_id", "id * 60.0D AS start_ts", "IF(id = 9, 9.2e10D, id * 60.0D + 9) AS end_ts")
+    for df, columns, other in ((gops_of, ("start_time", "end_time"), spans), (spans, ("start_ts", "end_ts"), gops_of)):
+        span = rangejoin._Span(*[F.col(c) for c in columns], 10.0)
+        alone = df.select(F.size(span.cells(span.level)).alias("n"))
+        assert alone.agg(F.max("n")).first()[0] <= rangejoin.CELLS + 1
+        across = rangejoin._Span(*[F.col(c) for c in other.columns[-2:]], 10.0) if other is spans else rangejoin._Span(F.col("start_time"), F.col("end_time"), 10.0)
+        both = rangejoin._listed(df, span, rangejoin._levels(other, across)).groupBy(*df.columns).count()
+        assert both.agg(F.max("count")).first()[0] <= rangejoin.CELLS + 3
+    began = time.time()
+    got = decisions.gops_in_ranges(spans, gops_of).count()
+    assert time.time() - began < 20
+    assert got == gops_of.join(spans, "asset_id").where("start_time < end_ts AND end_time > start_ts").count()
+
+
 @pytest.mark.parametrize("kind", ["video", "audio"])
 def test_packets_of_segments(table, kind):
     rng = random.Random(4)

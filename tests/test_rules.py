@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gopmill.functions import encode, net, pods, requests, text, timing
-from gopmill.operators import access, capacity, decisions, frames, gops, health, jobs, packets, segments, texts
+from gopmill.operators import access, capacity, decisions, frames, gops, health, jobs, packets, segments, slices, texts
 from gopmill.sources import messages, probe
 from test_random import cut_plainly
 
@@ -454,9 +454,43 @@ def test_rows_without_key_or_position_stay(table):
 
 
 def test_sparse_line_numbers_make_few_slices(table):
-    from gopmill.operators import slices
-
     rows = [(j, 1_000_000_007 * i, "x") for j in range(50) for i in range(40)] + [(99, 10**12 + 3 * i, "x") for i in range(1000)]
     sliced = slices.sliced_by_rows(table(rows, "job_id bigint, seq bigint, line string"), ["job_id"], "seq", 100)
     held = sliced.groupBy("job_id", slices.SLICE).count().collect()
     assert len(held) <= 50 + 10 and max(r["count"] for r in held) <= 100
+
+
+def test_one_outlying_position_does_not_fill_a_slice(table):
+    """Equal depths, not equal widths: however the positions lie, no slice holds twice the rows asked for."""
+    import random
+
+    rng = random.Random(3)
+    schema = "job_id bigint, seq bigint"
+    shapes = {
+        1: [*range(9), 10**12],
+        2: [*range(3000), 10**12, -(10**15)],
+        3: sorted(rng.sample(range(10**15), 2500)),
+        4: [int(1.02**i) + i for i in range(1500)],
+        5: [i + 10**9 * (i // 700) for i in range(4000)],
+        6: list(range(50)),
+    }
+    rows = [(job, seq) for job, seqs in shapes.items() for seq in seqs] + [(None, s) for s in range(500)] + [(7, None)] * 5
+    for target in (2, 100):
+        sliced = slices.sliced_by_rows(table(rows, schema), ["job_id"], "seq", target).collect()
+        assert sorted(map(str, ((r.job_id, r.seq) for r in sliced))) == sorted(map(str, rows))
+        held = {}
+        for r in sliced:
+            held.setdefault((r.job_id, r[slices.SLICE]), []).append(r.seq)
+        assert max(len(x) for k, x in held.items() if k[0] != 7) <= 2 * target
+        for job in shapes:  # slices are stretches of the order
+            ends = [(min(x), max(x)) for (j, n), x in sorted(held.items(), key=str) if j == job]
+            assert all(a[1] < b[0] for a, b in zip(sorted(ends), sorted(ends)[1:]))
+            assert len(ends) <= max(1, 3 * len(shapes[job]) // target)
+
+
+def test_phases_with_an_outlying_line_number(table):
+    lines = ["Created 9 segments", "encoding", "Segment 1 done", "Segment 2 done", "noise", "Segment 3 done", "transcoding", "playlist", "x", "pipeline complete"]
+    seqs = [*range(9), 10**12]
+    made = table(list(zip([1] * 10, seqs, lines)), "job_id bigint, seq bigint, line string")
+    got = [tuple(r) for r in jobs.log_phase(made, slice_rows=2).orderBy("seq").collect()]
+    assert got == [tuple(r) for r in jobs.log_phase(made).orderBy("seq").collect()]
