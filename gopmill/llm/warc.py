@@ -222,8 +222,11 @@ def read_archives(index: DataFrame) -> DataFrame:
 
     A response whose payload does not match its digest is an error.
     """
+    # an index is small beside what it points to, so the number of tasks is that of the stretches, not of the index's bytes
+    total = index.agg(F.sum("length")).first()[0] or 0
     stretch = F.call_function("div", F.col("offset"), F.lit(READ_BYTES))
-    rows = index.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    rows = index.select("archive", "offset", "length").repartition(total // READ_BYTES + 1, "archive", stretch)
+    rows = rows.sortWithinPartitions("archive", "offset")
     schema = "record_id string, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to_id string, payload binary"
     return rows.mapInArrow(_read, schema)
 
