@@ -86,6 +86,25 @@ def read_packets_json(spark, folder):
     return probe.parse_packets(documents)
 
 
+@query("read_packets_json_files", "SELECT asset_id, packet_idx, pts_time, size_bytes, flags FROM packets", ("packets",))
+def read_packets_json_files(spark, folder):
+    """The stored packets as one document a file, read again in as many splits as Spark makes of it."""
+    packets = adapters.packets(spark, folder)
+    fields = F.to_json(F.struct(F.col("pts_time").cast("string").alias("pts_time"), F.col("size_bytes").cast("string").alias("size"), "flags"))
+    body = packets.select(
+        "asset_id", (F.col("packet_idx") + 1).alias("line_no"), F.concat(F.when(F.col("packet_idx") > 0, ",").otherwise(""), fields).alias("line")
+    )
+    last = packets.groupBy("asset_id").agg((F.max("packet_idx") + 2).alias("_last"))
+    ends = F.array(
+        F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit('{"packets": [').alias("line")),
+        F.struct(F.col("_last").alias("line_no"), F.lit("]}").alias("line")),
+    )
+    path = fresh_folder(spark, "documents")
+    texts.write_asset_files(body.unionByName(last.select("asset_id", F.inline(ends))), path, ".json", part_lines=2**40)
+    asset = F.regexp_extract("asset_path", r"([0-9]+)[.]json$", 1).cast("bigint").alias("asset_id")
+    return probe.read_packets_json(spark, path).select(asset, "packet_idx", "pts_time", "size_bytes", "flags")
+
+
 # -- wire messages --------------------------------------------------------------------------------------------
 
 
@@ -277,6 +296,29 @@ def hls_playlist(spark, folder):
     return texts.hls_playlist(results, segments)
 
 
+@query(
+    "hls_playlist_files",
+    """SELECT name, octet_length(encode(text)) AS size, sha256(text) AS digest FROM (
+         SELECT asset_id || '.m3u8' AS name, string_agg(line || chr(10), '' ORDER BY line_no) AS text FROM (
+           WITH longest AS (SELECT asset_id, CAST(ceil(max(end_ts - start_ts)) AS BIGINT) AS longest FROM cuts GROUP BY asset_id),
+           ends AS (SELECT asset_id, max(segment_id) AS last FROM results GROUP BY asset_id)
+           SELECT asset_id, 4 + 2 * segment_id AS line_no, '#EXTINF:' || printf('%.6f', duration) || ',' AS line FROM results
+           UNION ALL SELECT asset_id, 5 + 2 * segment_id, name FROM results
+           UNION ALL SELECT asset_id, 0, '#EXTM3U' FROM ends UNION ALL SELECT asset_id, 1, '#EXT-X-VERSION:3' FROM ends
+           UNION ALL SELECT asset_id, 2, '#EXT-X-TARGETDURATION:' || longest FROM ends JOIN longest USING (asset_id)
+           UNION ALL SELECT asset_id, 3, '#EXT-X-MEDIA-SEQUENCE:0' FROM ends UNION ALL SELECT asset_id, 6 + 2 * last, '#EXT-X-ENDLIST' FROM ends)
+         GROUP BY asset_id)""",
+    ("results",),
+)
+def hls_playlist_files(spark, folder):
+    """A file for each asset's playlist, as it stands in the store."""
+    segments, results = cut_and_results(spark, folder)
+    path = fresh_folder(spark, "playlists")
+    texts.write_asset_files(texts.hls_playlist(results, segments), path, ".m3u8")
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
 @query(
     "concat_list",
     "SELECT asset_id, segment_id AS line_no, 'file ''' || name || '''' AS line FROM results",
