@@ -29,14 +29,20 @@ def silent_intervals(
     timeout_secs: int = DEAD_AFTER_SECS,
     self_id: object | None = None,
     slice_days: int = 1,
+    registrations: DataFrame | None = None,
 ) -> DataFrame:
     """(node_id, last_beat, dead_from, back_at) of every gap longer than the timeout.
 
     The gap after the last beat is judged at ``as_of`` and has no ``back_at``. The node ``self_id`` never
-    declares itself dead. Beats of one instant are no gap apart.
+    declares itself dead. Beats of one instant are no gap apart. With ``registrations(node_id, registered_at)`` a node's
+    clock starts there: the first gap begins with its registration, which then stands as ``last_beat``, whether or not a
+    beat ever follows.
     """
-    others = heartbeats if self_id is None else heartbeats.where(F.col("node_id") != F.lit(self_id))
-    beats = others.select("node_id", "ts")
+    signs = heartbeats.select("node_id", "ts")
+    if registrations is not None:
+        since = F.col("registered_at").cast(heartbeats.schema["ts"].dataType).alias("ts")
+        signs = signs.unionByName(registrations.select("node_id", since).where(F.col("ts").isNotNull() & (F.col("ts") <= as_of)))
+    beats = signs if self_id is None else signs.where(F.col("node_id") != F.lit(self_id))
     span = F.floor(F.unix_date(F.to_date("ts")) / F.lit(slice_days)).cast("bigint")
     carried = slices.inherit(
         beats, ["node_id"], span, [F.min("ts").alias("_first")], lambda w: [F.lead("_first").over(w).alias("_beyond")]
@@ -56,22 +62,28 @@ def latest_status(heartbeats: DataFrame, nodes: DataFrame, as_of: Column, timeou
     A beat at capacity makes a node Busy; one below it makes a Busy or Dead node Active and leaves Joining
     and Draining alone. A node that was ever full, or ever silent, before its last beat below capacity is
     Active there, so only three facts per node are needed: was it ever Busy or Dead, is the last beat
-    full, and is it recent.
+    full, and is it recent. With ``registered_at`` in ``nodes`` the clock of a node starts with its registration, so one that
+    never beats is Dead past the timeout; a beat from before it is an unknown node's. Without it such a node stays as it is.
     """
     known = known_heartbeats(heartbeats.where(F.col("ts") <= as_of), nodes)
+    registered = nodes.select("node_id", "registered_at") if "registered_at" in nodes.columns else None
+    since = F.lit(None).cast(heartbeats.schema["ts"].dataType)
+    if registered is not None:
+        since = F.col("registered_at").cast(heartbeats.schema["ts"].dataType)
+        known = known.join(registered, "node_id").where(F.coalesce(F.col("ts") >= since, F.lit(True))).select(*known.columns)
     full = F.col("active_workers") >= F.col("max_concurrent_workers")
     facts = known.groupBy("node_id").agg(
         F.max("ts").alias("last_beat"),
         F.max_by(full, "ts").alias("_full"),
         F.bool_or(full).alias("_ever_full"),
     )
-    gaps = silent_intervals(known, as_of, timeout_secs).where(F.col("back_at").isNotNull())
+    gaps = silent_intervals(known, as_of, timeout_secs, registrations=registered).where(F.col("back_at").isNotNull())
     ever_dead = gaps.select("node_id").distinct().withColumn("_ever_dead", F.lit(True))
-    joined = nodes.select("node_id", "status").join(facts, "node_id", "left").join(ever_dead, "node_id", "left")
+    joined = nodes.select("node_id", "status", since.alias("_since")).join(facts, "node_id", "left").join(ever_dead, "node_id", "left")
     freed = F.col("_ever_full") | F.coalesce("_ever_dead", F.lit(False)) | F.col("status").isin("Busy", "Dead")
-    silent = as_of - F.col("last_beat") > F.make_dt_interval(secs=F.lit(timeout_secs))
+    silent = as_of - F.coalesce("last_beat", "_since") > F.make_dt_interval(secs=F.lit(timeout_secs))
     status = (
-        F.when(F.col("last_beat").isNull(), F.col("status"))
+        F.when(F.col("last_beat").isNull(), F.when(silent, "Dead").otherwise(F.col("status")))
         .when(silent, "Dead")
         .when(F.col("_full"), "Busy")
         .when(freed, "Active")

@@ -475,3 +475,38 @@ def latest_status(spark, folder):
     beats = adapters.heartbeats(spark, folder)
     as_of = F.lit(AS_OF).cast(beats.schema["ts"].dataType)
     return health.latest_status(beats, adapters.nodes(spark, folder), as_of, HALF_DAY)
+
+
+def registered_nodes(spark, folder):
+    """The nodes, each with a time of registration, and as many again that never beat."""
+    nodes = adapters.nodes(spark, folder)
+    quiet = nodes.withColumn("node_id", F.col("node_id") + 1_000_000)
+    at = F.timestamp_add("HOUR", F.pmod("node_id", F.lit(735)).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    return nodes.unionByName(quiet).withColumn("registered_at", at)
+
+
+adapters.CTES["registered"] = (
+    ("nodes", "heartbeats"),
+    """registered AS (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST(node_id % 735 AS INT)) AS registered_at FROM (
+  SELECT * FROM nodes UNION ALL SELECT * REPLACE (node_id + 1000000 AS node_id) FROM nodes)),
+signs AS (SELECT node_id, ts, lead(ts) OVER (PARTITION BY node_id ORDER BY ts) AS back_at, active_workers FROM (
+  SELECT node_id, ts, heartbeats.active_workers FROM heartbeats JOIN registered USING (node_id) WHERE ts >= registered_at
+  UNION ALL SELECT node_id, registered_at, NULL FROM registered))""",
+)
+
+
+@query(
+    "latest_status_registered",
+    f"""SELECT node_id, CASE WHEN TIMESTAMP '{AS_OF}' - coalesce(last_beat, registered_at) > INTERVAL 12 HOUR THEN 'Dead' WHEN last_beat IS NULL THEN status
+           WHEN is_full THEN 'Busy' WHEN ever_full OR ever_dead OR status IN ('Busy', 'Dead') THEN 'Active' ELSE status END AS status, last_beat
+       FROM registered LEFT JOIN (
+         SELECT node_id, max(ts) FILTER (active_workers IS NOT NULL) AS last_beat, arg_max(active_workers >= 8, ts) FILTER (active_workers IS NOT NULL) AS is_full,
+                bool_or(active_workers >= 8) AS ever_full, bool_or(coalesce(back_at - ts > INTERVAL 12 HOUR, false)) AS ever_dead
+         FROM signs GROUP BY node_id) USING (node_id)""",
+    ("registered",),
+)
+def latest_status_registered(spark, folder):
+    """The clock of each node starts with its registration; half of them never beat."""
+    beats = adapters.heartbeats(spark, folder)
+    as_of = F.lit(AS_OF).cast(beats.schema["ts"].dataType)
+    return health.latest_status(beats, registered_nodes(spark, folder), as_of, HALF_DAY)

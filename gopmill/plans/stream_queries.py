@@ -11,6 +11,8 @@ from gopmill.sources import messages
 from gopmill.streaming import runner, streams
 
 HALF_DAY = 12 * 3600
+# Longer than the events span, so that no key is forgotten between them.
+YEAR = 366 * 86400
 
 
 @query(
@@ -38,24 +40,31 @@ def _status_changes(spark, folder):
 
 @query(
     "node_liveness_stream",
-    """SELECT node_id, count(*) FILTER (status = 'Dead') AS deaths, count(*) FILTER (status = 'Busy') AS fills FROM (
-         SELECT node_id, ts, 'Dead' AS status FROM (
-           SELECT node_id, date_trunc('millisecond', ts) AS ts, lead(date_trunc('millisecond', ts)) OVER (PARTITION BY node_id ORDER BY ts) AS back_at, active_workers FROM heartbeats)
-         WHERE coalesce(back_at, (SELECT max(date_trunc('millisecond', ts)) FROM heartbeats)) - ts > INTERVAL 12 HOUR
+    """SELECT node_id, "at", status FROM (
+         WITH given AS (SELECT node_id, date_trunc('millisecond', ts) AS ts, active_workers, max(date_trunc('millisecond', ts)) OVER () AS judged FROM heartbeats),
+         live AS (SELECT DISTINCT node_id, judged, TIMESTAMP '2024-01-01' + to_hours(CAST(node_id % 500 AS INT)) AS since FROM given),
+         all_nodes AS (SELECT * FROM live UNION ALL SELECT node_id + 1000000, judged, TIMESTAMP '2024-01-01' + to_hours(CAST((node_id + 1000000) % 500 AS INT)) FROM live),
+         signs AS (SELECT *, lead(ts) OVER w AS back_at, lag(ts) OVER w AS before, lag(active_workers) OVER w AS was FROM (
+             SELECT g.node_id, g.ts, g.active_workers, g.judged FROM given g JOIN all_nodes a ON a.node_id = g.node_id AND g.ts >= a.since
+             UNION ALL SELECT node_id, since, -1, judged FROM all_nodes) WINDOW w AS (PARTITION BY node_id ORDER BY ts, active_workers))
+         SELECT node_id, ts + INTERVAL 12 HOUR AS "at", 'Dead' AS status FROM signs WHERE coalesce(back_at, judged) - ts > INTERVAL 12 HOUR
          UNION ALL
-         SELECT node_id, ts, 'Busy' FROM (
-           SELECT *, lag(active_workers) OVER w AS was, date_trunc('millisecond', ts) - date_trunc('millisecond', lag(ts) OVER w) > INTERVAL 12 HOUR AS gap FROM heartbeats WINDOW w AS (PARTITION BY node_id ORDER BY ts))
-         WHERE active_workers >= 8 AND (was IS NULL OR was < 8 OR gap)) GROUP BY node_id""",
+         SELECT node_id, ts, CASE WHEN active_workers >= 8 THEN 'Busy' ELSE 'Active' END FROM (SELECT *, ts - before > INTERVAL 12 HOUR AS gap FROM signs)
+         WHERE active_workers >= 0 AND CASE WHEN active_workers >= 8 THEN was < 8 OR gap ELSE was >= 8 OR gap END)""",
     ("heartbeats",),
 )
 def node_liveness_stream(spark, folder):
-    """How often each node died and filled up; all event users count as registered, Active nodes."""
-    changes = _status_changes(spark, folder)
-    return (
-        changes.where(F.col("status").isin("Dead", "Busy"))
-        .groupBy("node_id")
-        .agg(F.count_if(F.col("status") == "Dead").alias("deaths"), F.count_if(F.col("status") == "Busy").alias("fills"))
+    """Every transition; the clock of a node starts with its registration, and half of the registered nodes never beat."""
+    beats = runner.stream_table(spark, folder, "events").select(
+        F.col("user_id").alias("node_id"), "ts", (F.floor("value").cast("int") % 9).alias("active_workers")
     )
+    live = adapters.heartbeats(spark, folder).select("node_id").distinct()
+    since = F.timestamp_add("HOUR", F.pmod("node_id", F.lit(500)).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    registry = live.unionByName(live.select((F.col("node_id") + 1_000_000).alias("node_id"))).select(
+        "node_id", F.lit(8).alias("max_concurrent_workers"), F.lit("Active").alias("status"), since.alias("registered_at")
+    )
+    changes = runner.run_available(streams.node_liveness_stream(beats, registry, HALF_DAY, "0 seconds"))
+    return changes.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query(
@@ -90,17 +99,17 @@ def job_progress_stream(spark, folder):
     """Users as jobs, twelve segments each, ordered by event_id."""
     kind = F.expr("CASE WHEN event_type IN ('click', 'purchase') THEN 'complete' WHEN event_type = 'error' THEN 'failed' ELSE 'assign' END")
     reports = runner.stream_table(spark, folder, "events").select(
-        F.col("user_id").alias("job_id"), (F.col("event_id") % 12).alias("segment_id"), F.col("event_id").alias("seq"), kind.alias("kind")
+        F.col("user_id").alias("job_id"), (F.col("event_id") % 12).alias("segment_id"), F.col("event_id").alias("seq"), kind.alias("kind"), "ts"
     )
     totals = adapters.heartbeats(spark, folder).select(F.col("node_id").alias("job_id")).distinct().withColumn("total", F.lit(12).cast("bigint"))
-    updates = runner.run_available(streams.job_progress_stream(reports, shards=4), "update")
+    updates = runner.run_available(streams.job_progress_stream(reports, shards=4, keep_secs=YEAR), "update")
     return streams.job_progress_totals(updates, totals)
 
 
 @query("log_phase_stream", "SELECT * FROM phases", ("phases",))
 def log_phase_stream(spark, folder):
     lines = adapters.log_lines_of(runner.stream_table(spark, folder, "events"))
-    return runner.run_available(streams.log_phase_stream(lines, "0 seconds"))
+    return runner.run_available(streams.log_phase_stream(lines, "0 seconds", keep_secs=YEAR))
 
 
 @query(
@@ -117,7 +126,7 @@ def progress_percent_stream(spark, folder):
         """concat('{"op": 32, "d": {"job_id": "j', CAST(user_id AS STRING), '", "completed_segments": ', CAST(event_id % 8 AS STRING),
            ', "total_segments": ', CAST(event_id % 4 * 3 AS STRING), ', "failed_segments": 0, "phase": "processing"}}') AS raw""",
     )
-    return runner.run_available(streams.progress_percent_stream(messages.read_messages(raw), "0 seconds"))
+    return runner.run_available(streams.progress_percent_stream(messages.read_messages(raw), "0 seconds", keep_secs=YEAR))
 
 
 @query(
@@ -140,28 +149,29 @@ def grant_redemption_stream(spark, folder):
     return runner.run_available(streams.grant_redemption_stream(grants, tries, 6 * 86400, "0 seconds"))
 
 
-@query(
-    "live_gop_stats",
-    """SELECT asset_id, gop_idx, start_frame, end_frame, start_time, end_time, size_bytes, round(bitrate_bps, 3) AS bitrate_bps
-       FROM gops JOIN (SELECT asset_id, max(gop_idx) AS last FROM gops GROUP BY asset_id) USING (asset_id) WHERE gop_idx < last""",
-    ("gops",),
-)
-def live_gop_stats(spark, folder):
-    """The stored packets replayed at 25 a second without end rows, so each asset's last GOP stays open."""
-    return _replayed_gops(spark, adapters.packets(spark, folder).withColumn("is_end", F.lit(False)))
-
-
-def _replayed_gops(spark, packets):
+def _replayed_gops(spark, packets, keep_secs=YEAR):
     base = runner.fresh_folder(spark)
     packets.write.mode("overwrite").parquet(base)
     replay = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
     timed = replay.withColumn("ts", F.timestamp_millis((F.col("pts_time") * 1000).cast("bigint") + 1_700_000_000_000))
-    return runner.run_available(streams.live_gop_stats(timed, "0 seconds")).withColumn("bitrate_bps", F.round("bitrate_bps", 3))
+    return runner.run_available(streams.live_gop_stats(timed, "0 seconds", keep_secs)).withColumn("bitrate_bps", F.round("bitrate_bps", 3))
+
+
+GOPS_SQL = "SELECT asset_id, gop_idx, start_frame, end_frame, start_time, end_time, size_bytes, round(bitrate_bps, 3) AS bitrate_bps FROM gops"
+
+
+@query("live_gop_stats", GOPS_SQL, ("gops",))
+def live_gop_stats(spark, folder):
+    """The stored packets replayed without end rows; a silence of an hour closes each asset's last GOP."""
+    packets = adapters.packets(spark, folder).select("asset_id", "packet_idx", "pts_time", "size_bytes", "flags")
+    clock = packets.agg(F.lit(-1).cast("bigint").alias("asset_id"), F.lit(0).cast("bigint").alias("packet_idx"), (F.max("pts_time") + 7200).alias("pts_time"))
+    later = clock.withColumn("size_bytes", F.lit(0).cast("bigint")).withColumn("flags", F.lit("___"))
+    return _replayed_gops(spark, packets.unionByName(later).withColumn("is_end", F.lit(False)), 3600).where(F.col("asset_id") >= 0)
 
 
 @query(
     "live_gop_stats_ended",
-    "SELECT asset_id, gop_idx, start_frame, end_frame, start_time, end_time, size_bytes, round(bitrate_bps, 3) AS bitrate_bps FROM gops",
+    GOPS_SQL,
     ("gops",),
 )
 def live_gop_stats_ended(spark, folder):
@@ -212,6 +222,6 @@ def node_membership_stream(spark, folder):
 )
 def ingest_sources_once_stream(spark, folder):
     tries = runner.stream_table(spark, folder, "events").select(
-        F.col("user_id").alias("upload_id"), (F.col("event_type") != "error").alias("ok")
+        F.col("user_id").alias("upload_id"), (F.col("event_type") != "error").alias("ok"), "ts"
     )
-    return runner.run_available(streams.ingest_sources_once_stream(tries))
+    return runner.run_available(streams.ingest_sources_once_stream(tries, keep_secs=YEAR)).select("upload_id", "ok")

@@ -17,9 +17,11 @@ class InOrder(StatefulProcessor):
 
     Subclasses name the columns: ``columns`` are kept per pending row after its time in ms, ``pending_schema``
     and ``state_schema`` describe them and the folded state, ``outputs`` the rows they give back. Memory per key
-    is what arrives within the watermark delay.
+    is what arrives within the watermark delay. With ``keep_ms`` a key is forgotten once the watermark is that far past its
+    last row; rows that come later start it anew. Without it only ``fold`` and ``idle`` forget keys.
     """
 
+    keep_ms: int | None = None
     columns: tuple[str, ...] = ()
     pending_schema = ""
     state_schema = ""
@@ -37,6 +39,14 @@ class InOrder(StatefulProcessor):
         """Called once rows up to the watermark are folded."""
         return state, []
 
+    def expired(self, key: tuple, state: tuple) -> list[tuple]:
+        """Rows to give back for a key that is forgotten for its age."""
+        return []
+
+    def before_rows(self, key: tuple, facts: dict) -> tuple | None:
+        """State of a key named by the initial state's row, and the time it counts from; None for no state."""
+        return None
+
     def wake_at(self, state: tuple) -> int | None:
         """When, in ms of event time, ``idle`` should be called even without rows."""
         return None
@@ -44,7 +54,14 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getListState("pending", self.pending_schema)
-        self.folded = handle.getValueState("folded", self.state_schema)
+        # the time of the last row folded stands before the state
+        self.folded = handle.getValueState("folded", f"seen bigint, {self.state_schema}")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for facts in initialState.astype(object).where(initialState.notna(), None).to_dict("records"):
+            found = self.before_rows(key, facts)
+            if found is not None:
+                self._keep(*found, [], timerValues.getCurrentWatermarkInMs())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = []
@@ -62,19 +79,24 @@ class InOrder(StatefulProcessor):
         now = timers.getCurrentWatermarkInMs()
         ready = sorted((r for r in rows if r[0] <= now), key=lambda r: tuple((v is not None, v) for v in r))
         waiting = [r for r in rows if r[0] > now]
-        state = tuple(self.folded.get()) if self.folded.exists() else self.start(key)
+        seen, *held = self.folded.get() if self.folded.exists() else (None, *self.start(key))
+        state = tuple(held)
         given: list[tuple] = []
         for row in ready:
             state, out = self.fold(key, state, row)
             given += out
             state = self.start(key) if state is None else state
+            seen = row[0]
         state, out = self.idle(key, state, now)
         given += out
-        self._keep(state, waiting, now)
+        if state is not None and seen is not None and self.keep_ms is not None and not waiting and now >= seen + self.keep_ms:
+            given += self.expired(key, state)
+            state = None
+        self._keep(state, seen, waiting, now)
         if given:
             yield pd.DataFrame(given, columns=list(self.outputs))
 
-    def _keep(self, state: tuple | None, waiting: Iterable[tuple], now: int) -> None:
+    def _keep(self, state: tuple | None, seen: int | None, waiting: Iterable[tuple], now: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         waiting = list(waiting)
@@ -85,11 +107,11 @@ class InOrder(StatefulProcessor):
         if state is None:
             self.folded.clear()
         else:
-            self.folded.update(state)
+            self.folded.update((seen, *state))
         wakes = [row[0] for row in waiting]
-        own = None if state is None else self.wake_at(state)
-        if own is not None and own > now:
-            wakes.append(own)
+        if state is not None:
+            ends = None if seen is None or self.keep_ms is None else seen + self.keep_ms
+            wakes += [own for own in (self.wake_at(state), ends) if own is not None and own > now]
         if wakes:
             self.handle.registerTimer(min(wakes))
 

@@ -1,7 +1,9 @@
 """Streaming operators. Each takes and gives streaming DataFrames; its batch twin is named in its docstring.
 
 Inputs carry the event time ``ts`` (timestamp, ms). Rows later than ``delay`` behind the newest are dropped by the
-watermark and counted in the query's metrics. Keyed folds run on the RocksDB state store; see ``runner``.
+watermark and counted in the query's metrics, which ``late.LateRows`` writes down. Keyed folds run on the RocksDB state
+store; see ``runner``. Folds of jobs and uploads forget a key ``keep_secs`` after its last row, KEEP_SECS by default; None
+keeps it for ever.
 Numbers that may be absent go into a fold as -1: pandas would turn a nullable bigint into a float.
 """
 
@@ -15,9 +17,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gopmill.functions.requests import validate_request
 from gopmill.operators.jobs import FIXED_PERCENT, PHASE_OF_BRANCH, log_marks
 from gopmill.sources.messages import payload_rows
-from gopmill.streaming.ordered import InOrder
+from gopmill.streaming.ordered import InOrder, millis
 
 SHARDS = 64
+KEEP_SECS = 7 * 86400
 
 
 def _timed(df: DataFrame, delay: str) -> DataFrame:
@@ -39,6 +42,11 @@ class _Liveness(InOrder):
     def start(self, key):
         return None, None
 
+    def before_rows(self, key, facts):
+        # registration counts as the first sign of life
+        at = int(facts["registered_ms"])
+        return (facts["status"], at), at
+
     def _dead(self, key, status, last, now):
         if last is None or status == "Dead" or now - last <= self.timeout:
             return status, []
@@ -46,8 +54,6 @@ class _Liveness(InOrder):
 
     def fold(self, key, state, row):
         at, active, most, initial = row
-        if active < 0:  # a tick of the clock
-            return state, []
         status, last = state
         status = initial if status is None else status
         status, out = self._dead(key, status, last, at)
@@ -76,23 +82,32 @@ def node_liveness_stream(
 
     ``nodes`` is a table (node_id, max_concurrent_workers, status). A silent node is Dead once the watermark
     passes its last beat by the timeout; where all nodes may fall silent at once, pass a ``clock`` stream (ts), whose
-    rows only move the watermark.
+    rows only move its watermark and reach no node's state, and let the session's ``multipleWatermarkPolicy`` be ``max``. With ``registered_at`` in ``nodes`` a node's state begins with
+    its registration, so one that never beats dies too, and beats from before it are an unknown node's; nodes registered
+    after the first batch begin with their first beat.
     """
-    registry = nodes.select("node_id", F.col("max_concurrent_workers").cast("bigint"), F.col("status").alias("initial_status"))
-    beats = _timed(heartbeats.select("node_id", "ts", F.col("active_workers").cast("bigint").alias("active_workers")), delay)
-    known = beats.join(registry, "node_id")
     node_type = dict(heartbeats.dtypes)["node_id"]
+    timed = "registered_at" in nodes.columns
+    registry = nodes.select(
+        "node_id", F.col("max_concurrent_workers").cast("bigint"), F.col("status").alias("initial_status"), *["registered_at"] * timed
+    )
+    beats = _timed(heartbeats.select("node_id", "ts", F.col("active_workers").cast("bigint").alias("active_workers")), delay)
     if clock is not None:
-        idle = F.lit(-1).cast("bigint")
         ticks = _timed(clock.select("ts"), delay).select(
-            F.lit("-1").cast(node_type).alias("node_id"), "ts", idle.alias("active_workers"),
-            idle.alias("max_concurrent_workers"), F.lit(None).cast("string").alias("initial_status"),
+            F.lit("-1").cast(node_type).alias("node_id"), "ts", F.lit(-1).cast("bigint").alias("active_workers")
         )
-        known = known.unionByName(ticks)
+        # a filter that names the event time stays above the watermark, which so has seen the ticks that end here
+        beats = beats.unionByName(ticks.where(F.col("ts").isNull()))
+    known = beats.join(registry, "node_id")
+    initial = None
+    if timed:
+        known = known.where(F.coalesce(F.col("ts") >= F.col("registered_at").cast("timestamp"), F.lit(True))).drop("registered_at")
+        since = F.unix_millis(F.col("registered_at").cast("timestamp")).alias("registered_ms")
+        initial = nodes.where(F.col("registered_at").isNotNull()).select("node_id", "status", since).groupBy("node_id")
     return known.groupBy("node_id").transformWithStateInPandas(
         statefulProcessor=_Liveness(int(timeout_secs * 1000)),
         outputStructType=f"node_id {node_type}, at timestamp, status string",
-        outputMode="append", timeMode="EventTime",
+        outputMode="append", timeMode="EventTime", initialState=initial,
     )
 
 
@@ -131,20 +146,19 @@ class _Progress(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        if self.keep_ms:
-            self.segments = handle.getMapState("segments", "segment_id bigint", "seq bigint, kind string", self.keep_ms)
-            self.counts = handle.getValueState("counts", "version bigint, completed bigint, failed bigint, assigned bigint", self.keep_ms)
-        else:
-            self.segments = handle.getMapState("segments", "segment_id bigint", "seq bigint, kind string")
-            self.counts = handle.getValueState("counts", "version bigint, completed bigint, failed bigint, assigned bigint")
+        self.handle = handle
+        self.segments = handle.getMapState("segments", "segment_id bigint", "seq bigint, kind string")
+        self.counts = handle.getValueState("counts", "seen bigint, version bigint, completed bigint, failed bigint, assigned bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         newest: dict[int, tuple[int, str]] = {}
+        seen, version, *tally = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0)
         for batch in rows:
             for segment, seq, kind in zip(batch["segment_id"].tolist(), batch["seq"].tolist(), batch["kind"].tolist()):
                 if segment not in newest or seq > newest[segment][0]:
                     newest[segment] = (seq, kind)
-        version, *tally = self.counts.get() if self.counts.exists() else (0, 0, 0, 0)
+            if self.keep_ms is not None:
+                seen = max(seen, int(millis(batch["ts"]).max()))
         place = {"complete": 0, "failed": 1, "assign": 2}
         for segment, (seq, kind) in newest.items():
             if self.segments.containsKey((segment,)):
@@ -156,28 +170,45 @@ class _Progress(StatefulProcessor):
             if kind in place:  # any other kind counts as nothing, as in the batch form
                 tally[place[kind]] += 1
             self.segments.updateValue((segment,), (seq, kind))
-        self.counts.update((version + 1, *tally))
+        # counts that begin again after they were forgotten come after the old ones
+        version = max(version + 1, seen)
+        self.counts.update((seen, version, *tally))
+        if self.keep_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+            self.handle.registerTimer(seen + self.keep_ms)
         yield pd.DataFrame(
-            [(key[0], key[1], version + 1, *tally)],
+            [(key[0], key[1], version, *tally)],
             columns=["job_id", "shard", "version", "completed", "failed", "assigned"],
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.segments.clear()
+        self.counts.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def job_progress_stream(events: DataFrame, shards: int = SHARDS, keep_secs: int | None = None) -> DataFrame:
+def job_progress_stream(
+    events: DataFrame, shards: int = SHARDS, keep_secs: int | None = KEEP_SECS, delay: str = "1 day"
+) -> DataFrame:
     """(job_id, shard, version, completed, failed, assigned), one update per key and batch. Twin: job_progress.
 
-    A job's segments are spread over shards, so one large job is not one task; ``job_progress_totals`` adds them up.
-    ``keep_secs`` forgets a segment that long after its last report. ``seq`` is a bigint.
+    A job's segments are spread over shards, so one large job is not one task; ``job_progress_totals`` adds them up. Where
+    the events have a ``ts``, a shard with its segments is forgotten once the watermark is ``keep_secs`` past its last report,
+    and a report after that counts anew; without it, or with None, every segment is kept. ``seq`` is a bigint.
     """
-    keyed = events.select("job_id", F.pmod("segment_id", F.lit(shards)).cast("int").alias("shard"), "segment_id", "seq", "kind")
+    timed = keep_secs is not None and "ts" in events.columns
+    keyed = events.select(
+        "job_id", F.pmod("segment_id", F.lit(shards)).cast("int").alias("shard"), "segment_id", "seq", "kind", *["ts"] * timed
+    )
     job_type = dict(events.dtypes)["job_id"]
-    return keyed.groupBy("job_id", "shard").transformWithStateInPandas(
-        statefulProcessor=_Progress(keep_secs * 1000 if keep_secs else None),
+    return (_timed(keyed, delay) if timed else keyed).groupBy("job_id", "shard").transformWithStateInPandas(
+        statefulProcessor=_Progress(int(keep_secs * 1000) if timed else None),
         outputStructType=f"job_id {job_type}, shard int, version bigint, completed bigint, failed bigint, assigned bigint",
-        outputMode="update", timeMode="ProcessingTime" if keep_secs else "None",
+        outputMode="update", timeMode="EventTime" if timed else "None",
     )
 
 
@@ -198,6 +229,9 @@ class _Phase(InOrder):
     state_schema = "phase string, percent bigint, total bigint, done bigint"
     outputs = ("job_id", "seq", "phase", "percent", "segments_total", "segments_done")
 
+    def __init__(self, keep_secs: float | None):
+        self.keep_ms = None if keep_secs is None else int(keep_secs * 1000)
+
     def start(self, key):
         return "starting", 0, 0, 0
 
@@ -217,17 +251,18 @@ class _Phase(InOrder):
         return (phase, percent, total, done), [(key[0], seq, phase, percent, total, done)]
 
 
-def log_phase_stream(lines: DataFrame, delay: str = "10 seconds") -> DataFrame:
+def log_phase_stream(lines: DataFrame, delay: str = "10 seconds", keep_secs: int | None = KEEP_SECS) -> DataFrame:
     """Phase, percent and counts after each line (job_id, ts, seq, line). Twin: log_phase.
 
-    What a line says is found by column expressions before the state: the fold sees four short values a line.
+    What a line says is found by column expressions before the state: the fold sees four short values a line. A job is
+    forgotten ``keep_secs`` after its last line.
     """
     marked = log_marks(lines).select(
         "job_id", "ts", "seq", "branch", F.coalesce("created", F.lit(-1)).alias("created"), F.col("done").cast("bigint").alias("done")
     )
     job_type = dict(lines.dtypes)["job_id"]
     return _timed(marked, delay).groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=_Phase(),
+        statefulProcessor=_Phase(keep_secs),
         outputStructType=f"job_id {job_type}, seq bigint, phase string, percent int, segments_total bigint, segments_done bigint",
         outputMode="append", timeMode="EventTime",
     )
@@ -239,6 +274,9 @@ class _Percent(InOrder):
     state_schema = "percent bigint"
     outputs = ("job_id", "seq", "completed_segments", "total_segments", "percent")
 
+    def __init__(self, keep_secs: float | None):
+        self.keep_ms = None if keep_secs is None else int(keep_secs * 1000)
+
     def start(self, key):
         return (0,)
 
@@ -256,11 +294,14 @@ def progress_rows(messages: DataFrame) -> DataFrame:
     return rows.withColumn("percent", percent)
 
 
-def progress_percent_stream(messages: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Progress messages (ts, seq, raw parsed by read_messages) with a percent that outlasts a total of 0."""
+def progress_percent_stream(messages: DataFrame, delay: str = "10 seconds", keep_secs: int | None = KEEP_SECS) -> DataFrame:
+    """Progress messages (ts, seq, raw parsed by read_messages) with a percent that outlasts a total of 0.
+
+    A job is forgotten ``keep_secs`` after its last message.
+    """
     rows = progress_rows(messages).select("job_id", "ts", "seq", "completed_segments", "total_segments", F.coalesce("percent", F.lit(-1)).alias("percent"))
     return _timed(rows, delay).groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=_Percent(),
+        statefulProcessor=_Percent(keep_secs),
         outputStructType="job_id string, seq bigint, completed_segments bigint, total_segments bigint, percent bigint",
         outputMode="append", timeMode="EventTime",
     )
@@ -347,9 +388,16 @@ def split_requests(columns: dict, valid_path: str, rejected_path: str, **rules):
     return write
 
 
-def ingest_sources_once_stream(attempts: DataFrame) -> DataFrame:
-    """The first successful attempt of each upload to arrive. Twin: ingest_sources_once. State: one key per upload."""
-    return attempts.where(F.col("ok")).dropDuplicates(["upload_id"])
+def ingest_sources_once_stream(attempts: DataFrame, keep_secs: int | None = KEEP_SECS) -> DataFrame:
+    """The first successful attempt of each upload to arrive. Twin: ingest_sources_once.
+
+    ``attempts(upload_id, ok, ts, ...)``. One state row per upload, until the watermark, ``keep_secs`` behind the newest
+    attempt, has passed the attempt that counted by ``keep_secs``; attempts later than the watermark are dropped.
+    """
+    fit = attempts.where(F.col("ok"))
+    if keep_secs is None:
+        return fit.dropDuplicates(["upload_id"])
+    return _timed(fit, f"{keep_secs} seconds").dropDuplicatesWithinWatermark(["upload_id"])
 
 
 # -- packets ----------------------------------------------------------------------------------------------------
@@ -361,6 +409,12 @@ class _LiveGops(InOrder):
     state_schema = "gop_idx bigint, start_frame bigint, start_time double, end_frame bigint, end_time double, size_bytes bigint"
     outputs = ("asset_id", "gop_idx", "start_frame", "end_frame", "start_time", "end_time", "size_bytes", "bitrate_bps")
 
+    def __init__(self, keep_secs: float | None):
+        self.keep_ms = None if keep_secs is None else int(keep_secs * 1000)
+
+    def expired(self, key, state):
+        return self._closed(key, state)
+
     def start(self, key):
         return 0, None, 0.0, None, None, 0
 
@@ -383,16 +437,16 @@ class _LiveGops(InOrder):
         return (gop, index if first is None else first, began, index, pts, total + size), []
 
 
-def live_gop_stats(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
+def live_gop_stats(packets: DataFrame, delay: str = "10 seconds", keep_secs: int | None = KEEP_SECS) -> DataFrame:
     """GOPs as the next keyframe closes them. Twin: gop_stats.
 
     Packets(asset_id, ts, packet_idx, pts_time, size_bytes, flags, is_end); a row with ``is_end`` after an asset's
-    last packet closes its last GOP and frees its state. One asset is one encoder's output, some tens of packets a
+    last packet closes its last GOP and frees its state; so does a silence of ``keep_secs``. One asset is one encoder's output, some tens of packets a
     second, and every asset is its own key.
     """
     keyed = packets.withColumn("is_key", F.coalesce(F.col("flags").contains("K"), F.lit(False)))
     return _timed(keyed.drop("flags"), delay).groupBy("asset_id").transformWithStateInPandas(
-        statefulProcessor=_LiveGops(),
+        statefulProcessor=_LiveGops(keep_secs),
         outputStructType=(
             "asset_id bigint, gop_idx bigint, start_frame bigint, end_frame bigint, start_time double, end_time double, "
             "size_bytes bigint, bitrate_bps double"

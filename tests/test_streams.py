@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gopmill.operators import access, gops, health, jobs
 from gopmill.sources import messages
-from gopmill.streaming import runner, streams
+from gopmill.streaming import late, runner, streams
 from test_random import fold_phase, random_logs
 
 START = 1_700_000_000
@@ -155,3 +155,120 @@ def test_membership(chunked):
     last = updates.groupBy("node_id").agg(F.max(F.struct("ts", "joined", "address", "status", "max_concurrent_workers")).alias("m"))
     got = {r.node_id: (r.m.joined, r.m.address, r.m.status, r.m.max_concurrent_workers) for r in last.collect()}
     assert got == {"a": (True, "a2", "Active", 2), "b": (False, None, None, None), "c": (True, "g", "Busy", 3)}
+
+
+def test_registered_nodes_that_never_beat(spark, chunked, table):
+    """The clock starts with the registration, in the stream as in the table; ticks alone let time pass."""
+    rng = random.Random(41)
+    nodes = [(n, 4, rng.choice(["Joining", "Active", "Draining"]), at(rng.choice([0, 30, 70])) if n else None) for n in range(10)]
+    beats = []
+    for node, most, _, since in nodes[:6]:
+        second = rng.choice([-5, 2, 40])
+        for _ in range(6):
+            second += rng.choice([3, 5, 25])
+            beats.append((node, at(max(second, 0)), rng.choice([1, 4]), most))
+    beats += [(99, at(20), 1, 4)]
+    beats.sort(key=lambda b: b[1])
+    schema = "node_id bigint, ts timestamp, active_workers bigint, max_concurrent_workers bigint"
+    registry = table(nodes, "node_id bigint, max_concurrent_workers bigint, status string, registered_at timestamp")
+    clock = chunked([(at(s), 0) for s in (0, 0, 0, 300, 400, 401)], "ts timestamp, n int", chunk=1, stray=0, seed=1)
+    stream = streams.node_liveness_stream(chunked(beats, schema, chunk=15), registry, 10, "60 seconds", clock.select("ts"))
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
+    try:
+        got = runner.run_available(stream).collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")
+    assert all(r.node_id < 10 for r in got)
+    end = {n: s for n, _, s, _ in nodes}
+    for r in sorted(got, key=lambda r: (r.at, r.status != "Dead")):
+        end[r.node_id] = r.status
+    judged = F.timestamp_seconds(F.lit(START + 341))
+    want = {r.node_id: r.status for r in health.latest_status(table(beats, schema), registry, judged).collect()}
+    assert end == want and all(want[n] == "Dead" for n in range(6, 10))
+    firsts = {r.node_id: r.at for r in got if r.status == "Dead" and r.node_id >= 6}
+    assert firsts == {n: since + pd.Timedelta(seconds=10) for n, _, _, since in nodes[6:]}
+
+
+def state_rows(stream, mode="append"):
+    """State rows after each batch of a stream, by its own progress reports."""
+    spark = stream.sparkSession
+    runner.use_rocksdb(spark)
+    base = runner.fresh_folder(spark)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    query = writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [sum(o.numRowsTotal for o in p.stateOperators) for p in query.recentProgress if p.stateOperators]
+
+
+FAR_AHEAD = 50_000
+
+
+def jobs_then_silence(schema, row):
+    """Forty rows of eight keys, then single rows far ahead that let the watermark pass."""
+    return [row(f"k{i % 8}", at(i), i) for i in range(40)] + [row("end", at(FAR_AHEAD + i), 1000 + i) for i in range(60)]
+
+
+@pytest.mark.parametrize("which", ["phase", "percent", "progress", "uploads"])
+def test_state_is_forgotten(chunked, which):
+    """After the last row of a job or upload and the time to keep it, nothing of it is left."""
+    progress = '{{"op": 32, "d": {{"job_id": "{}", "completed_segments": 1, "total_segments": 4, "failed_segments": 0, "phase": "p"}}}}'
+    made = {
+        "phase": ("job_id string, ts timestamp, seq bigint, line string", lambda k, t, i: (k, t, i, "Segment 1 done")),
+        "percent": ("seq bigint, ts timestamp, raw string", lambda k, t, i: (i, t, progress.format(k))),
+        "progress": ("job_id string, ts timestamp, segment_id bigint, seq bigint, kind string", lambda k, t, i: (k, t, i, i, "complete")),
+        "uploads": ("upload_id string, ts timestamp, ok boolean", lambda k, t, i: (k, t, True)),
+    }
+    schema, row = made[which]
+    stream = chunked(jobs_then_silence(schema, row), schema, chunk=20, stray=0)
+    start = {
+        "phase": lambda keep: streams.log_phase_stream(stream, "10 seconds", keep),
+        "percent": lambda keep: streams.progress_percent_stream(messages.read_messages(stream), "10 seconds", keep),
+        "progress": lambda keep: streams.job_progress_stream(stream, 4, keep, "10 seconds"),
+        "uploads": lambda keep: streams.ingest_sources_once_stream(stream, keep),
+    }[which]
+    mode = "update" if which == "progress" else "append"
+    kept = state_rows(start(None), mode)
+    freed = state_rows(start(100), mode)
+    assert max(freed) >= 8 and freed[-1] < max(freed)
+    # what is left is the last key's, which is still being written
+    assert kept[-1] - freed[-1] >= 8, (kept, freed)
+
+
+def test_a_job_that_comes_back_counts_anew(chunked, table):
+    rows = [("a", at(i), i, i, "complete") for i in range(10)] + [("b", at(5000 + i), i, i, "complete") for i in range(40)]
+    rows += [("a", at(9000 + i), i, 100 + i, "complete") for i in range(3)]
+    schema = "job_id string, ts timestamp, segment_id bigint, seq bigint, kind string"
+    updates = runner.run_available(streams.job_progress_stream(chunked(rows, schema, chunk=10, stray=0), 2, 100, "10 seconds"), "update")
+    totals = streams.job_progress_totals(updates, table([("a", 10), ("b", 40)], "job_id string, total bigint"))
+    assert {r.job_id: r.completed for r in totals.collect()} == {"a": 3, "b": 40}
+
+
+def test_silence_closes_the_last_gop(chunked):
+    rows = [(a, at(i), i, i / 25.0, 10, "K__" if i % 7 == 0 else "___", False) for i in range(20) for a in (1, 2)]
+    rows += [(3, at(9000 + i), i, 0.0, 1, "___", False) for i in range(40)]
+    schema = "asset_id bigint, ts timestamp, packet_idx bigint, pts_time double, size_bytes bigint, flags string, is_end boolean"
+    got = runner.run_available(streams.live_gop_stats(chunked(rows, schema, stray=0), "10 seconds", 60))
+    assert sorted((r.asset_id, r.gop_idx, r.end_frame) for r in got.collect() if r.asset_id < 3) == [(a, g, e) for a in (1, 2) for g, e in ((0, 6), (1, 13), (2, 19))]
+
+
+def test_late_rows_are_counted(chunked, spark, tmp_path):
+    """Rows the watermark drops are noted for their query and batch, and no others."""
+    lines = [("j", at(i), i, "noise") for i in range(40)] + [("j", at(5000), 90, "noise")] * 20
+    lines += [("j", at(100 + i), 100 + i, "noise") for i in range(13)] + [("j", at(5001 + i), 200 + i, "noise") for i in range(7)]
+    lines += [("k", at(6000 + i), i, "noise") for i in range(20)] + [("j", at(200 + i), 300 + i, "noise") for i in range(5)] + [("k", at(7000 + i), i, "noise") for i in range(15)]
+    schema = "job_id string, ts timestamp, seq bigint, line string"
+    folder = f"file://{tmp_path}/late"
+    with late.LateRows(spark, folder):
+        stream = streams.log_phase_stream(chunked(lines, schema, chunk=20, stray=0), "10 seconds")
+        seen = {r.seq for r in runner.run_available(stream).where("job_id = 'j'").collect()}
+    noted = late.late_rows(spark, folder).collect()
+    dropped = [seq for job, _, seq, _ in lines if job == "j" and seq not in seen]
+    assert sum(r.late_rows for r in noted) == len(dropped) >= 5
+    assert len({(r.query_id, r.batch_id) for r in noted}) == len(noted)
+    assert [r.late_rows for r in late.late_rows_per_query(spark, folder).collect()] == [len(dropped)]
+
+
+def test_no_late_rows(chunked, spark, tmp_path):
+    with late.LateRows(spark, str(tmp_path / "late")):
+        runner.run_available(streams.log_phase_stream(chunked([("j", at(i), i, "x") for i in range(30)], "job_id string, ts timestamp, seq bigint, line string"), "60 seconds"))
+    assert late.late_rows(spark, str(tmp_path / "late")).count() == 0
