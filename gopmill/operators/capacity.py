@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gopmill.operators import slices
 
+CELLS = 1024
+
 
 def active_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("status").isin("Active", "Busy"))
@@ -61,7 +63,8 @@ def assign_segments(pending: DataFrame, nodes: DataFrame) -> DataFrame:
     """(job_id, segment_id, node_id, slot_rank): pending segments put on free slots.
 
     Jobs in job_id order, the hardest segment first, the strongest node first; what is ranked past the last free
-    slot stays pending. Only jobs that reach a free slot are ranked at all. A node's slots are listed one by one, so
+    slot stays pending. Only segments that reach a free slot are ranked, and about a thousandth of the last
+    job they reach. A node's slots are listed one by one, so
     this is an equality on the slot number: no range predicate and exactly one match.
     """
     ranges = node_slot_ranges(nodes)
@@ -72,17 +75,57 @@ def assign_segments(pending: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _reachable(pending: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Pending segments of the jobs, in order, up to the one in which the free slots run out.
+    """Pending segments of the jobs, in order, up to the one in which the free slots run out, and of that the hardest.
 
-    Two single values come back to the driver; the filter they make reaches the scan of the segments.
+    A few single values come back to the driver; the filter they make reaches the scan of the segments.
     """
     slots = ranges.agg(F.max("last_slot")).first()[0]
     if slots is None:
         return pending.where(F.lit(False))
     per_job = pending.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
     summed = slices.global_running_sum(slices.range_slices(per_job, [F.col("job_id")]), F.col("_n"), "_upto")
-    last_job = summed.where(F.col("_upto") >= slots).agg(F.min("job_id")).first()[0]
-    return pending if last_job is None else pending.where(F.col("job_id") <= F.lit(last_job))
+    last = summed.where(F.col("_upto") >= slots).agg(F.min(F.struct("job_id", "_upto", "_n")).alias("l")).first()["l"]
+    if last is None:
+        return pending
+    hardest = _hardest(pending.where(F.col("job_id") == F.lit(last.job_id)), slots - (last._upto - last._n))
+    return pending.where((F.col("job_id") < F.lit(last.job_id)) | ((F.col("job_id") == F.lit(last.job_id)) & hardest))
+
+
+def _cuts_around(values: DataFrame, wanted: int) -> tuple:
+    """(low, high, beyond): quantiles of ``values(v)`` with ``wanted`` values above low, fewer, ``beyond``, above high.
+
+    ``low`` is None where only all values are enough, ``high`` where no value is. Quantiles are approximate, the counts that
+    choose among them are exact; both are CELLS values at most.
+    """
+    depths = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    cuts = values.agg(F.percentile_approx("v", depths, F.lit(CELLS * 8)).alias("c")).first()["c"]
+    if cuts is None:
+        return None, None, 0
+    held = F.array(*[F.lit(c) for c in cuts])
+    above = [0] * (CELLS + 1)
+    passed = slices.cuts_passed(held, F.col("v"), CELLS)  # the cuts below a value
+    for row in values.where(F.col("v").isNotNull()).groupBy(passed.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
+        above[row["cell"]] = row["n"]
+    for cell in range(CELLS - 1, -1, -1):
+        above[cell] += above[cell + 1]
+    # above[i + 1] values lie beyond cuts[i]
+    enough = [i for i in range(CELLS - 1) if above[i + 1] >= wanted]
+    low = cuts[enough[-1]] if enough else None
+    at = enough[-1] + 1 if enough else 0
+    return (low, cuts[at], above[at + 1]) if at < CELLS - 1 else (low, None, 0)
+
+
+def _hardest(segments: DataFrame, wanted: int) -> Column:
+    """A condition that the first ``wanted`` segments of one job in their order meet, and few more: what lies in a cell."""
+    value, place = F.col("complexity_estimate"), -F.col("segment_id").cast("bigint")
+    low, high, beyond = _cuts_around(segments.select(value.alias("v")), wanted)
+    if high is not None:
+        equal = segments.where(value == F.lit(high))
+        if beyond + equal.count() >= wanted:  # the last of them is one of many equals, of which the first in place count
+            least, _, _ = _cuts_around(equal.select(place.alias("v")), wanted - beyond)
+            first = F.lit(True) if least is None else place > F.lit(least)
+            return (value > F.lit(high)) | ((value == F.lit(high)) & first)
+    return F.lit(True) if low is None else value > F.lit(low)
 
 
 def pending_segments(segments: DataFrame, latest: DataFrame) -> DataFrame:

@@ -127,9 +127,8 @@ def node_result_counts(events: DataFrame) -> DataFrame:
 
 
 def retained_logs(lines: DataFrame, n: int = RETAINED_LINES) -> DataFrame:
-    """The last n lines of each job. Spark keeps n lines per job and task before it shuffles."""
-    newest = Window.partitionBy("job_id").orderBy(F.col("seq").desc())
-    return lines.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= n).drop("_back")
+    """The last n lines of each job, for any n without a window over all of a job's lines."""
+    return slices.first_of_group(lines, ["job_id"], [F.col("seq").desc()], n, "_back").drop("_back")
 
 
 def log_page(lines: DataFrame, offset: int = 0, limit: int = 100, n: int = RETAINED_LINES) -> DataFrame:

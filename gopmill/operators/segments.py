@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gopmill.operators import slices
@@ -300,9 +300,8 @@ def hardest_segments(segments: DataFrame, n: int) -> DataFrame:
 
 
 def hardest_segments_per_job(segments: DataFrame, n: int) -> DataFrame:
-    """The n most complex segments of each job; Spark keeps n per job before it shuffles."""
-    order = Window.partitionBy("job_id").orderBy(F.col("complexity_estimate").desc(), F.col("segment_id"))
-    return segments.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= n)
+    """The n most complex segments of each job, ranked, for any n without a window over all of a job's segments."""
+    return slices.first_of_group(segments, ["job_id"], [F.col("complexity_estimate").desc(), F.col("segment_id")], n, "rank")
 
 
 def max_segment_duration(segments: DataFrame) -> DataFrame:

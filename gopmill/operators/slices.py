@@ -25,6 +25,8 @@ SLICE_ROWS = 65536
 # slice to whole cuts keeps it under twice its rows.
 CUTS = 4096
 SLICES = CUTS // 2
+# Spark's own bound for limits within windows, and the parts a group is dealt out to beyond it.
+LIMITED, TOP_PARTS = 1000, 64
 
 
 def slice_of(column: str, rows: int = SLICE_ROWS) -> Column:
@@ -80,18 +82,31 @@ def sliced_by_rows(df: DataFrame, keys: Sequence[str], position: str, rows: int
     return placed.withColumn(SLICE, F.coalesce(slice_, F.lit(0).cast("bigint"))).drop("_cuts", "_slices")
 
 
-def cuts_passed(cuts: Column, position: Column) -> Column:
-    """How many of a sorted array of CUTS - 1 cuts lie below ``position``, found in two steps of a root of CUTS each."""
-    step = math.isqrt(CUTS)
+def cuts_passed(cuts: Column, position: Column, cells: int = CUTS) -> Column:
+    """How many of a sorted array of ``cells`` - 1 cuts lie below ``position``, found in two steps of a root of it each."""
+    step = math.isqrt(cells)
 
     def below(part: Column) -> Column:
         return F.size(F.filter(part, lambda cut: cut < position))
 
-    landmarks = F.transform(F.sequence(F.lit(step), F.lit(CUTS - step), F.lit(step)), lambda i: F.element_at(cuts, i.cast("int")))
+    landmarks = F.transform(F.sequence(F.lit(step), F.lit(cells - step), F.lit(step)), lambda i: F.element_at(cuts, i.cast("int")))
     start = below(landmarks) * step
     return F.when(cuts.isNotNull() & position.isNotNull(), start + below(F.slice(cuts, start + 1, F.lit(step))))
 
 
+def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str) -> DataFrame:
+    """The first ``n`` rows of each group in a unique order, with their place under ``name``.
+
+    Up to LIMITED rows Spark keeps no more than that a task before it shuffles. For more, a group is dealt out to TOP_PARTS
+    parts first, each of which keeps its first ``n``; so the window over a group sees a bounded number of its rows.
+    """
+    if n > LIMITED:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(TOP_PARTS))
+        of_part = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+        df = df.withColumn("_part", part).withColumn(name, of_part).where(F.col(name) <= n).drop("_part", name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")).where(F.col(name) <= n)
+
+
 def in_slice(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 

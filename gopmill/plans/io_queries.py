@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gopmill.functions.pods import pod_summary as summarize_pods
@@ -188,13 +185,10 @@ def sampled(spark, folder):
         JOIN (VALUES {SAMPLE_SQL}) v(at_op, name, mark) ON event_id // 2 % {len(SAMPLES)} = at_op WHERE event_id % 2 = 0""",
 )
 def message_payloads_all(spark, folder):
-    """Every payload type: whole messages with the field that names them."""
-    parsed = sampled(spark, folder)
-    rows = [
-        messages.payload_rows(parsed, name).select(F.lit(name).alias("op_name"), "event_id", F.col(field).alias("named"))
-        for name, (_, field, _) in SAMPLES.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    """Every payload type: whole messages with the field that names them, from one pass over the messages."""
+    typed = messages.typed_payloads(sampled(spark, folder), list(SAMPLES))
+    named = F.coalesce(*[F.col(name)[field].cast("string") for name, (_, field, _) in SAMPLES.items()])
+    return typed.select("op_name", "event_id", named.alias("named"))
 
 
 @query("message_rejects_all", "SELECT event_id FROM events WHERE event_id % 2 = 1")

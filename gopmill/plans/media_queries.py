@@ -362,14 +362,15 @@ def frame_features(spark, folder):
     return _with_histogram(frames.features_from_pixels(adapters.pixels(spark, folder)))
 
 
-@query(
-    "frame_features_binary",
-    "SELECT asset_id, frame_idx, CAST(round(complexity * 16384000) AS BIGINT) AS complexity_units FROM features",
-    ("features",),
-)
+BINARY_SQL = """SELECT b.asset_id, b.frame_idx, CAST(round(any_value(f.complexity) * 16384000) AS BIGINT) AS complexity_units,
+         string_agg(CAST(CAST(round(share * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY bin) AS histogram
+       FROM bins b JOIN features f USING (asset_id, frame_idx) GROUP BY b.asset_id, b.frame_idx"""
+
+
+@query("frame_features_binary", BINARY_SQL, ("bins", "features"))
 def frame_features_binary(spark, folder):
     """The same from packed 8x8 planes."""
-    return frames.frame_features(_planes(spark, folder)).select("asset_id", "frame_idx", _units())
+    return _with_histogram(frames.frame_features(_planes(spark, folder)))
 
 
 @query(
@@ -435,6 +436,17 @@ def packets_in_segments_audio(spark, folder):
     return held.select("asset_id", "packet_idx", "segment_id")
 
 
+@query(
+    "untimed_audio_in_segments",
+    "SELECT p.asset_id, p.packet_idx, c.segment_id FROM packets p JOIN cuts c ON c.asset_id = p.asset_id WHERE p.packet_idx % 9 = 0",
+    ("packets", "cuts"),
+)
+def untimed_audio_in_segments(spark, folder):
+    """The packets without a time as rows of every segment."""
+    sound = adapters.packets(spark, folder).withColumn("pts_time", F.when(F.col("packet_idx") % 9 != 0, F.col("pts_time")))
+    return packets.untimed_audio_in_segments(sound, cut(spark, folder)).select("asset_id", "packet_idx", "segment_id")
+
+
 def streams(spark, folder):
     """Three streams per asset of ``packets``: video, audio, audio."""
     media = adapters.packet_media(spark, folder)

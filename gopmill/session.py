@@ -35,16 +35,24 @@ def local_session(cores: str = "8", app: str = "gopmill") -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; where it is unset, one inside the warehouse.
 
-    Both are shared by all executors. A temporary folder of one machine would be lost with it.
+    All executors must reach it. On a cluster a warehouse on the local disk is one machine's, so there it is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    folder = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if named is None and not context.master.startswith("local") and _on_local_disk(spark, warehouse):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {warehouse} is on one machine")
+    folder = named or f"{warehouse}/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+def _on_local_disk(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder of everything this application writes for its own use; ``remove_scratch`` deletes it."""
     if spark.sparkContext.applicationId not in _cleaned_at_exit:

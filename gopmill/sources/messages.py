@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Operation codes of the wire format.
 OPCODES = {
@@ -132,28 +137,52 @@ def _with_defaults(config: Column) -> Column:
     )
 
 
-def _payload(messages: DataFrame, name: str) -> tuple[DataFrame, Column]:
-    rows = messages.where((F.col("op_name") == name) & ~F.col("malformed")).withColumn(
-        "_p", F.from_json("d", PAYLOADS[name])
-    )
-    whole = F.col("_p").isNotNull()
+def _whole(payload: Column, name: str) -> Column:
+    whole = payload.isNotNull()
     for field in REQUIRED.get(name, ()):
-        whole = whole & F.col("_p")[field].isNotNull()
-    return rows, whole
+        whole = whole & payload[field].isNotNull()
+    return whole
+
+
+def _filled(payload: Column, name: str) -> Column:
+    """A payload with the defaults of the fields that have some."""
+    fields = T.StructType.fromDDL(PAYLOADS[name]).fieldNames()
+    for field in ("config", "encoding_config"):
+        if field in fields:
+            payload = payload.withField(field, _with_defaults(payload[field]))
+    if "segment" in fields:
+        segment = payload["segment"]
+        payload = payload.withField("segment", segment.withField("copy", F.coalesce(segment["copy"], F.lit(False))))
+    return payload
+
+
+def _kept(messages: DataFrame) -> list[str]:
+    return [c for c in messages.columns if c not in ("raw", "op", "op_name", "d", "malformed")]
 
 
 def payload_rows(messages: DataFrame, name: str) -> DataFrame:
     """Typed rows of one operation, with the columns of ``messages`` other than the parsed ones in front."""
-    rows, whole = _payload(messages, name)
-    kept = [c for c in messages.columns if c not in ("raw", "op", "op_name", "d", "malformed")]
-    flat = rows.where(whole).select(*kept, "_p.*")
-    for field in ("config", "encoding_config"):
-        if field in flat.columns:
-            flat = flat.withColumn(field, _with_defaults(F.col(field)))
-    if "segment" in flat.columns:
-        segment = F.col("segment")
-        flat = flat.withColumn("segment", segment.withField("copy", F.coalesce(segment["copy"], F.lit(False))))
-    return flat
+    rows = messages.where((F.col("op_name") == name) & ~F.col("malformed")).withColumn("_p", F.from_json("d", PAYLOADS[name]))
+    return rows.where(_whole(F.col("_p"), name)).withColumn("_p", _filled(F.col("_p"), name)).select(*_kept(messages), "_p.*")
+
+
+def typed_payloads(messages: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Whole messages of all operations in one pass: ``op_name``, and under each operation's name its payload, else null.
+
+    A message is parsed once, as its own type. Written as Parquet, ``op_name`` as partitions, it serves readers of one
+    operation: ``where(op_name = ...).select("JobSubmit.*")`` reads that column alone.
+    """
+    names = list(PAYLOADS) if names is None else list(names)
+
+    def payload(name: str) -> Column:
+        # through an array of one, so that the payload is parsed once and not once per field
+        parsed = F.filter(F.array(F.from_json("d", PAYLOADS[name])), lambda p: _whole(p, name))
+        return F.when(F.col("op_name") == name, F.get(F.transform(parsed, lambda p: _filled(p, name)), F.lit(0)))
+
+    rows = messages.where(F.col("op_name").isin(names) & ~F.col("malformed"))
+    # made and judged as one value, so that no filter is worked out by parsing once more
+    typed = F.array(F.struct("op_name", *[payload(name).alias(name) for name in names]))
+    return rows.select(*_kept(messages), F.inline(F.filter(typed, lambda t: reduce(or_, [t[name].isNotNull() for name in names]))))
 
 
 def reject_rows(messages: DataFrame) -> DataFrame:

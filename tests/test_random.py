@@ -346,3 +346,34 @@ def test_latest_status_follows_every_beat(table):
     made = table(beats, "node_id int, at bigint, active_workers int, max_concurrent_workers int").withColumn("ts", F.timestamp_seconds("at"))
     got = health.latest_status(made, table(nodes, "node_id int, status string"), F.timestamp_seconds(F.lit(130)))
     assert {r.node_id: r.status for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_few_segments_are_ranked_for_few_slots(table, seed):
+    """Of the job in which the slots run out only its first segments are ranked, ties among them too."""
+    rng = random.Random(seed)
+    shape = [lambda: rng.random(), lambda: 0.5, lambda: rng.choice([0.1, 0.5, 0.5, 0.5, 0.9]), lambda: rng.choice([None, 0.3, rng.random()])][seed]
+    segs = [(1, s, shape()) for s in range(40)] + [(2, s, shape()) for s in range(9000)] + [(3, s, 0.9) for s in range(50)]
+    rng.shuffle(segs)
+    nodes = [(n, 8, 20, 0, "Active") for n in range(5)]
+    made = table(segs, "job_id int, segment_id int, complexity_estimate double").repartition(6)
+    fleet = table(nodes, "node_id int, cpu_cores int, max_concurrent_workers int, active_workers int, status string")
+    order = sorted(segs, key=lambda s: (s[0], s[2] is None, -(s[2] or 0), s[1]))[:100]
+    got = capacity.assign_segments(made, fleet).collect()
+    assert {(r.job_id, r.segment_id): r.slot_rank for r in got} == {(j, s): i + 1 for i, (j, s, _) in enumerate(order)}
+    ranked = capacity._reachable(made, capacity.node_slot_ranges(fleet)).count()
+    assert 100 <= ranked <= 100 + 3 * 9000 // capacity.CELLS
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_first_rows_of_a_group(table, n):
+    rng = random.Random(n)
+    rows = [(j, s, rng.choice([0.1, 0.2, rng.random()])) for j in range(3) for s in range(4000 if j == 1 else 20)]
+    got = segments.hardest_segments_per_job(table(rows, "job_id int, segment_id int, complexity_estimate double"), n)
+    want = []
+    for job in range(3):
+        mine = sorted((r for r in rows if r[0] == job), key=lambda r: (-r[2], r[1]))[:n]
+        want += [(job, s, c, i + 1) for i, (_, s, c) in enumerate(mine)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    lines = table([(1, s, "x") for s in range(5000)], "job_id int, seq bigint, line string")
+    assert sorted(r.seq for r in jobs.retained_logs(lines, n).collect()) == list(range(5000 - n, 5000))

@@ -494,3 +494,39 @@ def test_phases_with_an_outlying_line_number(table):
     made = table(list(zip([1] * 10, seqs, lines)), "job_id bigint, seq bigint, line string")
     got = [tuple(r) for r in jobs.log_phase(made, slice_rows=2).orderBy("seq").collect()]
     assert got == [tuple(r) for r in jobs.log_phase(made).orderBy("seq").collect()]
+
+
+def test_all_payloads_in_one_pass(spark):
+    """The rows of payload_rows, type by type, from a single scan."""
+    from gopmill.plans import io_queries
+
+    parsed = io_queries.sampled(spark, "/root/testdata/sf0.001").withColumn("event_id", F.col("event_id") + 0)
+    typed = messages.typed_payloads(parsed)
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    kept = typed.cache()
+    for name in ("JobSubmit", "SegmentAssign", "SegmentFailed", "Heartbeat", "NodeLeave"):
+        want = messages.payload_rows(parsed, name)
+        got = kept.where(F.col("op_name") == name).select("event_id", f"{name}.*")
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 0
+    kept.unpersist()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """A warehouse on one machine's disk is no place for what other executors read."""
+    from types import SimpleNamespace
+
+    from gopmill import session
+
+    def fake(master, settings):
+        path = SimpleNamespace(getFileSystem=lambda conf: SimpleNamespace(getScheme=lambda: "file"))
+        jvm = SimpleNamespace(org=SimpleNamespace(apache=SimpleNamespace(hadoop=SimpleNamespace(fs=SimpleNamespace(Path=lambda folder: path)))))
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None, _jvm=jvm, _jsc=SimpleNamespace(hadoopConfiguration=lambda: None))
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, *default: settings.get(name, *default)))
+
+    warehouse = {"spark.sql.warehouse.dir": "/srv/warehouse"}
+    assert session.ensure_checkpoint_dir(fake("local[4]", warehouse)) == "/srv/warehouse/_checkpoints"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake("spark://host:7077", warehouse))
+    assert session.ensure_checkpoint_dir(fake("spark://host:7077", {**warehouse, "spark.checkpoint.dir": "hdfs:///c"})) == "hdfs:///c"
