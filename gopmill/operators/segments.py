@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from gopmill.session import written
 
 # Frames per block at each level of the chain; see visited_keyframes.
 CHAIN_BLOCKS = (1 << 14, 1 << 26)
+# Where the last link of a chain leads.
+END = -1
 # Frames per join bucket: about a segment, so that a frame is compared with one or two segments.
 BUCKET_FRAMES = 256
 BYTES_PER_SECOND = 5 * 1024 * 1024
@@ -49,7 +53,9 @@ def _nearest(targets: DataFrame, marks: DataFrame, at: str, payload: Sequence[st
     )
     inside = slices.in_slice(["asset_id"], ["_at", "_is_target"])
     back = F.coalesce(F.last("_mark", ignorenulls=True).over(slices.so_far(inside)), F.col("_earlier"))
-    ahead = F.coalesce(F.first("_mark", ignorenulls=True).over(slices.after(inside)), F.col("_later"))
+    # backwards, as a frame that runs to the end would be gone through anew for each row
+    backwards = slices.in_slice(["asset_id"], [F.col("_at").desc(), F.col("_is_target").desc()])
+    ahead = F.coalesce(F.last("_mark", ignorenulls=True).over(slices.before(backwards)), F.col("_later"))
     seen = carried.select("asset_id", "_at", "_is_target", "_target", back.alias("_back"), ahead.alias("_ahead"))
     closer_back = F.col("_at") - F.col("_back.frame_idx") <= F.col("_ahead.frame_idx") - F.col("_at")
     nearest = (
@@ -107,62 +113,72 @@ def segment_links(
     )
 
 
-def _follow(links: Column, entry: Column) -> Column:
-    """Where a walk through a sorted array of (at, to) ends up when it enters at ``entry``."""
-    return F.aggregate(links, entry, lambda cur, link: F.when(link["at"] == cur, link["to"]).otherwise(cur))
+def _chain(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's links in order: frames, where each leads, the place of that in the block or its own, and the ways in."""
+    columns = [table.column(c).to_numpy(zero_copy_only=False) for c in ("frame", "to", "is_way_in")]
+    ways = columns[2].astype(bool)
+    frames, to = columns[0][~ways].astype(np.int64), columns[1][~ways].astype(np.int64)
+    order = np.argsort(frames, kind="stable")
+    frames, to = frames[order], to[order]
+    at = np.minimum(np.searchsorted(frames, to), max(len(frames) - 1, 0))
+    here = np.arange(len(frames))
+    step = np.where(frames[at] == to, at, here) if len(frames) else here
+    entered = np.unique(columns[0][ways].astype(np.int64))
+    entered = entered[np.isin(entered, frames)]
+    return frames, to, step, np.searchsorted(frames, entered)
 
 
-def _stops(links: Column, entry: Column) -> Column:
-    """The places such a walk visits, in order."""
-    start = F.struct(entry.alias("cur"), F.array().cast("array<bigint>").alias("seen"))
-    return F.aggregate(
-        links,
-        start,
-        lambda walk, link: F.when(
-            link["at"] == walk["cur"],
-            F.struct(link["to"].alias("cur"), F.array_append(walk["seen"], link["at"]).alias("seen")),
-        ).otherwise(walk),
-        lambda walk: walk["seen"],
-    )
+def _result(table: pa.Table, frames: np.ndarray, **more: np.ndarray) -> pa.Table:
+    asset = pa.array([table.column("asset_id")[0].as_py()] * len(frames), table.schema.field("asset_id").type)
+    return pa.table({"asset_id": asset, "frame": pa.array(frames, pa.int64()), **more})
+
+
+def _shortcuts(table: pa.Table) -> pa.Table:
+    """Where the walk from each way into a block leaves it: every place jumps to the place its jump leads to, until all rest."""
+    frames, to, step, entered = _chain(table)
+    while not np.array_equal(step, further := step[step]):
+        step = further
+    left = to[step[entered]]
+    return _result(table, frames[entered], to=pa.array(left, pa.int64(), mask=left == END))
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """The places that the walks from a block's ways in visit."""
+    frames, _, step, entered = _chain(table)
+    seen = np.zeros(len(frames), bool)
+    for at in entered.tolist():
+        while not seen[at]:
+            seen[at] = True
+            at = step[at]
+    return _result(table, frames[seen])
 
 
 def visited_keyframes(links: DataFrame, entries: DataFrame, blocks: Sequence[int] = CHAIN_BLOCKS) -> DataFrame:
     """(asset_id, frame) of the keyframes a walk from each asset's entry visits.
 
     ``links(asset_id, frame, to)`` always lead forward, null at an end; ``entries(asset_id, frame)``. The walk
-    is sequential, so it is cut into blocks of frames: within a block the way from every frame some other block
-    leads into is found at once for all blocks; those shortcuts are the links of the next, coarser level. Only
-    the coarsest level is walked asset by asset, over one link per block and way in. No array holds more
-    than a block's keyframes.
+    is sequential, so it is cut into blocks of frames: within a block the way out from every frame some other block
+    leads into is found by doubling jumps, for all of them at once; those shortcuts are the links of the next, coarser
+    level. Only the coarsest level is walked asset by asset, over one link per block and way in. A task holds the links of
+    one block and its ways in, once each.
     """
-    end = F.lit(-1).cast("bigint")
-    if not blocks:
-        whole = _link_arrays(links, ["asset_id"])
-        return whole.join(entries, "asset_id").select(
-            "asset_id", F.explode(_stops(F.col("_links"), F.col("frame"))).alias("frame")
-        )
-    size = blocks[0]
+    kind = links.schema["asset_id"].dataType.simpleString()
+    end = F.lit(END).cast("bigint")
 
     def block(column: str) -> Column:
-        return F.floor(F.col(column) / F.lit(size)).cast("bigint")
+        return F.floor(F.col(column) / F.lit(blocks[0])).cast("bigint") if blocks else F.lit(0).cast("bigint")
 
-    blocked = _link_arrays(links.withColumn("_block", block("frame")), ["asset_id", "_block"])
-    into = links.where(F.col("to").isNotNull() & (block("to") != block("frame"))).select(
-        "asset_id", F.col("to").alias("frame")
-    )
-    ways_in = into.unionByName(entries).distinct().withColumn("_block", block("frame"))
-    shortcuts = ways_in.join(blocked, ["asset_id", "_block"]).select(
-        "asset_id", "frame", F.nullif(_follow(F.col("_links"), F.col("frame")), end).alias("to")
-    )
-    entered = visited_keyframes(shortcuts, entries, blocks[1:]).withColumn("_block", block("frame"))
-    return entered.join(blocked, ["asset_id", "_block"]).select(
-        "asset_id", F.explode(_stops(F.col("_links"), F.col("frame"))).alias("frame")
-    )
+    steps = links.select("asset_id", F.col("frame").cast("bigint").alias("frame"), F.coalesce("to", end).alias("to"), F.lit(False).alias("is_way_in"))
 
+    def with_ways(ways: DataFrame):
+        rows = ways.select("asset_id", F.col("frame").cast("bigint").alias("frame"), end.alias("to"), F.lit(True).alias("is_way_in"))
+        return steps.unionByName(rows).withColumn("_block", block("frame")).groupBy("asset_id", "_block")
 
-def _link_arrays(links: DataFrame, keys: list[str]) -> DataFrame:
-    link = F.struct(F.col("frame").alias("at"), F.coalesce("to", F.lit(-1).cast("bigint")).alias("to"))
-    return links.groupBy(*keys).agg(F.sort_array(F.collect_list(link)).alias("_links"))
+    if blocks:
+        into = links.where(F.col("to").isNotNull() & (block("to") != block("frame"))).select("asset_id", F.col("to").alias("frame"))
+        shortcuts = with_ways(into.unionByName(entries)).applyInArrow(_shortcuts, f"asset_id {kind}, frame bigint, to bigint")
+        entries = visited_keyframes(shortcuts, entries, blocks[1:])
+    return with_ways(entries).applyInArrow(_walk, f"asset_id {kind}, frame bigint")
 
 
 def create_segments(

@@ -132,6 +132,35 @@ def test_assignment(table):
         assert [ranks[job, s[1]] for s in mine] == list(range(1, len(mine) + 1))
 
 
+def test_an_asset_of_keyframes_only(spark):
+    """Every frame a keyframe and long segments: as many ways into a block as a segment has frames, and still one row each."""
+    total, fps, target = 60_000, 25.0, 250.0
+    keys = spark.range(total).selectExpr("1L AS asset_id", "id AS kf_idx", "id AS frame_idx", f"id / {fps}D AS ts")
+    media = spark.createDataFrame([(1, fps, total, total / fps)], "asset_id bigint, fps double, total_frames bigint, duration_secs double")
+    got = sorted(tuple(r)[1:4] for r in segments.create_segments(media, keys, target, blocks=(1 << 12, 1 << 14)).collect())
+    span = int(target * fps)
+    assert got == [(n, at, min(at + span, total) - 1) for n, at in enumerate(range(0, total, span))]
+
+
+def test_chains_of_many_ways_in(table):
+    """Walks of random forward links, whatever the blocks, visit what a plain walk visits."""
+    rng = random.Random(31)
+    links, want = [], []
+    for asset in range(12):
+        frames = sorted(rng.sample(range(3000), rng.randrange(1, 400)))
+        to = {f: rng.choice([None, *frames[i + 1 : i + 30]]) if rng.random() < 0.02 else (rng.choice(frames[i + 1 : i + 30]) if i + 1 < len(frames) else None) for i, f in enumerate(frames)}
+        links += [(asset, f, t) for f, t in to.items()]
+        at = frames[0]
+        while at is not None:
+            want.append((asset, at))
+            at = to[at]
+    made = table(links, "asset_id bigint, frame bigint, to bigint")
+    entries = made.groupBy("asset_id").agg(F.min("frame").alias("frame"))
+    for blocks in ((), (50,), (16, 300), (4, 40, 400)):
+        got = segments.visited_keyframes(made, entries, blocks)
+        assert sorted(map(tuple, got.collect())) == sorted(want), blocks
+
+
 LINES = [
     "INFO Analyzing video", "Created {n} segments", "segments without a number", "pre-split", "presplit_1", "now splitting", "segment_0001",
     "Transcoding", "encoding frame", "writing playlist", "concatenating", "Assembling", "Pipeline complete:", "Segment {n} done: 3 frames",
