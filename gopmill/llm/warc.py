@@ -132,8 +132,8 @@ def _members(level: int):
     """Named chunks of the normalised archives and their indexes, from the pieces of inflated ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, records, offset = None, None, 0
-        members, index, size = [], [], 0
+        at, name, records, offset = None, None, None, 0
+        members, index, size, names = [], [], 0, set()
 
         def flush():
             chunks = [b"".join(members), "".join(index).encode()]
@@ -143,12 +143,14 @@ def _members(level: int):
 
         for batch in batches:
             for path, piece in zip(batch.column("path").to_pylist(), batch.column("piece").to_pylist(), strict=True):
-                own = path.rpartition("/")[2].split(".")[0]
-                if own != name:
+                if path != at:
                     if records is not None:
                         records.close()
                         yield flush()
-                    name, records, offset, size = own, Records(path), 0, 0
+                    at, name, records, offset, size = path, path.rpartition("/")[2].split(".")[0], Records(path), 0, 0
+                    if name in names:
+                        raise ValueError(f"{path}: another archive has this name")
+                    names.add(name)
                 for header, block in records.feed(piece + END.encode()):
                     member = gzip.compress(header + b"\r\n\r\n" + block + b"\r\n\r\n", level, mtime=0)
                     entry = {
@@ -170,10 +172,11 @@ def _members(level: int):
 
 
 def normalise(spark: SparkSession, source: str, folder: str, level: int = 6) -> None:
-    """Rewrites each archive ``<name>.*`` under ``source`` as ``<name>.warc.gz``, a member a record, and ``<name>.idx``.
+    """Rewrites each archive ``<name>.*`` in ``source`` as ``<name>.warc.gz``, a member a record, and ``<name>.idx``.
 
-    Spark inflates the files whose names say that they are compressed, by several gzip members as well as one, and hands
-    over what stands between blank lines, which is put together again. ``folder`` is one that ``sources.files`` can write.
+    Two archives of one name are an error. Spark inflates the files whose names say that they are compressed, by several
+    gzip members as well as one, and hands over what stands between blank lines, which is put together again. ``folder`` is
+    one that ``sources.files`` can write.
     """
     pieces = spark.read.option("lineSep", END).text(source).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece")

@@ -105,3 +105,12 @@ def test_broken_archives_are_named(spark, tmp_path, data):
     with pytest.raises(Exception, match="bad.warc.gz"):
         warc.normalise(spark, str(tmp_path / "raw"), str(tmp_path / "made"))
     assert not files(tmp_path / "made", ".gz")
+
+
+def test_two_archives_of_one_name(spark, tmp_path):
+    record = b"WARC/1.0\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.warc.gz").write_bytes(gzip.compress(record))
+    (tmp_path / "raw" / "a.warc").write_bytes(record)
+    with pytest.raises(Exception, match="another archive|several partitions"):
+        warc.normalise(spark, str(tmp_path / "raw"), str(tmp_path / "made"))
