@@ -111,7 +111,13 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hashed(row: dict, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of a group's n-grams, sorted, and how often each occurs."""
     found = [h for *_, follows, h0 in _parts(row) for _, h in n_grams(h0, follows, longest)]
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
+    every = np.concatenate(found) if found else np.zeros(0, U64)
+    del found
+    every.sort()  # in place: a copy of a group's hashes is the most that a task holds
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    first = np.flatnonzero(new)
+    return every[first], np.diff(first, append=len(every))
 
 
 def _send(buckets: int, longest: int):
