@@ -67,9 +67,12 @@ def sliced_by_rows(df: DataFrame, keys: Sequence[str], position: str, rows: int
     A larger group is cut where its own positions lie, by a quantile sketch: CUTS cuts of about equal depth, of which
     every so manieth ends a slice, so that a slice holds less than twice ``rows`` rows whatever the positions are. Sketches
     merge, so they are built before the shuffle. Beyond SLICES slices a group's slices grow with it. Rows of one position
-    are in one slice. Only the groups that are cut come back to the rows, at most one for every ``rows`` rows.
+    are in one slice. Only the groups that are cut come back to the rows, at most one for every ``rows`` rows; whether there
+    is any is counted at once, as without them the rows need no join.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows)
+    if sizes.isEmpty():
+        return df.withColumn(SLICE, F.lit(0).cast("bigint"))
     large = join_null_safe(df.select(*keys, F.col(position).cast("bigint").alias("_position")), sizes, keys)
     depths = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
     cuts = large.groupBy(*keys).agg(

@@ -418,7 +418,7 @@ def analysis_counts(spark, folder):
     ("packets", "cuts"),
 )
 def packets_in_segments(spark, folder):
-    held = packets.packets_in_segments(adapters.packets(spark, folder), cut(spark, folder), "video")
+    held = packets.packets_in_segments(adapters.packets(spark, folder), written(cut(spark, folder)), "video")
     return held.select("asset_id", "packet_idx", "segment_id")
 
 
@@ -432,7 +432,7 @@ def packets_in_segments(spark, folder):
 def packets_in_segments_audio(spark, folder):
     """Every ninth packet has no time."""
     sound = adapters.packets(spark, folder).withColumn("pts_time", F.when(F.col("packet_idx") % 9 != 0, F.col("pts_time")))
-    held = packets.packets_in_segments(sound, cut(spark, folder), "audio")
+    held = packets.packets_in_segments(sound, written(cut(spark, folder)), "audio")
     return held.select("asset_id", "packet_idx", "segment_id")
 
 
