@@ -37,7 +37,7 @@ LONGEST = 4
 TOP = 2000
 SCALE = 2_000_000
 CONTAINED_PERCENT = 80
-GROUP_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 SHARDS = 64
 CUTS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\v\f\r", np.uint8))
 BLANKS = np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8))
