@@ -11,8 +11,9 @@ loses no pair. Lines are made distinct before variants are made, so a line in ev
 key only the earliest line is looked up (an aggregate), never pairs.
 
 A line's place is (doc_id, line number), documents without an id come last; a line goes if any earlier line, itself
-kept or not, is within the bound. Lines are compared by their words; those of fewer than MIN_WORDS words always stay,
-those of fewer than EDIT_WORDS only go if equal. Null texts stay null. Rows equal in id and text are one document:
+kept or not, is within the bound. Lines are compared by their words, and the bound grows with the length: lines of one to
+four words go if equal, those of EDIT_WORDS words or more also if one word differs, which is a similarity of 0.8. Lines
+without a word are layout and stay. Null texts stay null. Rows equal in id and text are one document:
 both lose the same lines. Other columns come back as they were, but n_chars, which follows the text.
 """
 
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ from gopmill.llm.sharedfilter import passes, shared_hashes
 from gopmill.llm.textarrays import U64, Texts, mixed, powers, slices
 from gopmill.session import written
 
-MIN_WORDS = 5
-EDIT_WORDS = 10
+EDIT_WORDS = 5
+HOT_SHARE = 1000
 BUCKET_BYTES = 8 << 20
 PARTS = 4
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,9 +56,13 @@ class _Sequences:
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.total[end] - self.total[start]) * self.inverse[start]
 
+    def without(self, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hash of the words from start to end but that at ``at``; equal to the hash of a run of just these words."""
+        return self.hash(start, at) + (self.total[end] - self.total[at + 1]) * self.inverse[start + 1]
+
 
 class _Lines:
-    """The lines of some texts that are long enough: text, number, words, two hashes, and the keys of edited parts."""
+    """The lines of some texts that have words: text, number, words, two hashes, and the keys of edited parts."""
 
     def __init__(self, texts: Texts):
         doc, low, high = texts.lines()
@@ -64,12 +70,12 @@ class _Lines:
         word = texts.hashes(start, end)
         first, last = np.searchsorted(start, low), np.searchsorted(start, high)
         number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        take = np.flatnonzero(last - first >= MIN_WORDS)
+        take = np.flatnonzero(last > first)
         self.low, self.high = low[take], high[take]
         self.doc, self.number, self.first, self.last = doc[take], number[take], first[take], last[take]
-        self.one, two = _Sequences(word), _Sequences(mixed(word + U64(1)))
+        self.one, self.two = _Sequences(word), _Sequences(mixed(word + U64(1)))
         self.h = mixed(self.one.hash(self.first, self.last)).view(np.int64)
-        self.g = mixed(two.hash(self.first, self.last)).view(np.int64)
+        self.g = mixed(self.two.hash(self.first, self.last)).view(np.int64)
 
     def around(self) -> tuple[np.ndarray, np.ndarray]:
         """Index of the lines that may be edited, and the hashes of what surrounds each of their parts.
@@ -135,29 +141,43 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(KEY).alias("row"), "number").alias("place")
 
 
+def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in slices(batches, "line", 1 << 18):
+        found = _Lines(texts)  # each text is one line that has words
+        parts = batch.column("parts")
+        owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(parts).to_numpy())
+        part = pa.compute.list_flatten(parts).to_numpy().astype(np.int64)
+        longer = part // PARTS
+        base = (found.last - found.first)[owner] - longer
+        before, after = part_edges(base, part % PARTS)
+        count = base - after - before + longer
+        at = np.repeat(np.arange(len(part)), count)
+        place = before[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        code = np.unique(owner[at] << 32 | longer[at] << 31 | place)  # parts of a longer line overlap by a word
+        line, role, place = code >> 32, code >> 31 & 1, code & 0x7FFFFFFF
+        first, last = found.first[line], found.last[line]
+        v = mixed(found.one.without(first, last, first + place)).view(np.int64)
+        w = mixed(found.two.without(first, last, first + place)).view(np.int64)
+        row = pa.array(np.concatenate([line, np.arange(batch.num_rows)]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([v, found.h])), pa.array(np.concatenate([w, found.g])),
+                pa.array(np.concatenate([np.where(role == 1, -1, place), np.full(batch.num_rows, -1)]).astype(np.int32)),
+                pa.array(["equal", "longer", "whole"]).take(pa.array(np.concatenate([role, np.full(batch.num_rows, 2)]))),
+                batch.column("h").take(row), batch.column("g").take(row), batch.column("place").take(row),
+            ],
+            names=["v", "w", "tag", "role", "h", "g", "place"],
+        )
+
+
 def variants(candidates: DataFrame) -> DataFrame:
-    """(v, w, tag, role, h, g, place): lines without one word of a shared part, and whole lines that may be such a variant.
+    """(v, w, tag, role, h, g, place): hashes of lines without one word of a shared part, and of whole lines.
 
     Lines of one length meet when they leave out the word at the same place (the tag); a longer line leaves out a word
     to meet a whole one.
     """
-    split = candidates.withColumn("words", F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).withColumn("n", F.size("words"))
-
-    def left_out(part):
-        longer = (part >= PARTS).cast("int")
-        base, at = F.col("n") - longer, part % PARTS
-        low = F.floor(at * base / PARTS).cast("int")
-        high = F.floor((at + 1) * base / PARTS).cast("int") + longer
-        return F.transform(F.sequence(low, F.greatest(high - 1, low)), lambda i: F.struct(i.alias("i"), F.when(longer == 1, "longer").otherwise("equal").alias("role")))
-
-    whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit("whole").alias("role")))
-    each = split.withColumn("x", F.explode(F.array_distinct(F.concat(F.flatten(F.transform("parts", left_out)), whole))))
-    i = F.col("x.i")
-    text = F.when(i < 0, F.array_join("words", " ")).otherwise(
-        F.array_join(F.concat(F.slice("words", F.lit(1), F.greatest(i, F.lit(0))), F.slice("words", i + 2, F.greatest(F.col("n") - i - 1, F.lit(0)))), " ")
-    )
-    hashed = each.select("h", "g", "place", text.alias("text"), F.when(F.col("x.role") == "equal", i).otherwise(-1).alias("tag"), F.col("x.role").alias("role"))
-    return hashed.select(F.xxhash64("text").alias("v"), F.hash("text").alias("w"), "tag", "role", "h", "g", "place")
+    kind = candidates.schema["place"].dataType.simpleString()
+    return candidates.mapInArrow(_variants, f"v bigint, w bigint, tag int, role string, h bigint, g bigint, place {kind}")
 
 
 def within_one(a: list, b: list) -> bool:
@@ -202,8 +222,12 @@ def removals(docs: DataFrame) -> DataFrame:
     every = written(rows.mapInArrow(_places, f"doc_id bigint, {KEY} bigint, number int, h bigint, g bigint").select(_place(), "h", "g"))
     near = near_lines(rows, bucket_count(docs, BUCKET_BYTES)).withColumn("near", F.lit(True))
     distinct = every.groupBy("h", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
-    gone = distinct.join(near, ["h", "g"], "left").filter("rows > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = every.join(gone, ["h", "g"]).filter("near or place != first")
+    gone = written(distinct.join(near, ["h", "g"], "left").filter("rows > 1 or near").select("h", "g", "first", "rows", F.coalesce("near", F.lit(False)).alias("near")))
+    # at most HOT_SHARE lines have more than that share of all rows each: these few are broadcast, their rows stay where they are
+    bound = every.count() // HOT_SHARE
+    hot = F.broadcast(gone.filter(F.col("rows") > bound))
+    rest = every.join(hot.select("h", "g"), ["h", "g"], "left_anti").join(gone.filter(F.col("rows") <= bound), ["h", "g"])
+    out = every.join(hot, ["h", "g"]).unionByName(rest).filter("near or place != first")
     row, at = F.col("place.row").alias(KEY), F.col("place.number")
     return out.groupBy(row).agg(F.collect_set(F.when(~F.col("near"), at)).alias("equal"), F.collect_set(F.when(F.col("near"), at)).alias("near"))
 

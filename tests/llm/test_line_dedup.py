@@ -21,13 +21,13 @@ def brute(data):
         kept, equal, near = [], 0, 0
         for line in text.split("\n"):
             words = line.encode().split()
-            if len(words) < 5:
+            if not words:
                 kept.append(line)
                 continue
             if tuple(words) in status:
                 near, equal = near + status[tuple(words)], equal + (not status[tuple(words)])
                 continue
-            close = [len(words) >= 10 and len(o) >= 10 and o != words and abs(len(o) - len(words)) < 2 and distance(words, o) == 1 for o in seen]
+            close = [len(words) >= 5 and len(o) >= 5 and o != words and abs(len(o) - len(words)) < 2 and distance(words, o) == 1 for o in seen]
             near += any(close)
             status[tuple(words)] = any(close)
             if not any(close):
@@ -62,7 +62,7 @@ def test_edits_of_every_kind_and_place(spark):
         texts.append(" ".join(base[:i] + ["put"] + base[i + 1 :]) + "\n" + prose(12, i))
         texts.append(" ".join(base[: max(i - 1, 0)] + base[i:]))
         texts.append("two " + " ".join(base[:i] + ["x"] + base[i + 1 :]) + " edits")
-    for n in (9, 10, 11):
+    for n in (1, 2, 3, 4, 5, 6, 7, 9, 10, 11):
         texts += [" ".join(base[:n]), " ".join(base[: n - 1] + ["last"]), "\n\n".join([" ".join(base[1:n])] * 2)]
     data = rows(*texts)
     assert got(frame(spark, data)) == brute([(r[0], r[1]) for r in data])
@@ -79,6 +79,18 @@ def test_template_lines_meet_only_their_earliest(spark):
     assert result[1] == 0 and all(result[i] == 1 for i in range(2, 301))
 
 
+def test_short_lines_and_one_word_in_six(spark):
+    texts = ["All rights reserved\nthe quick brown fox jumps over", "All rights reserved\nthe quick brown cat jumps over\n\n", "red fox\nred cat", "ok", " ok\t"]
+    result = [(r.doc_id, r.n_equal_removed, r.n_near_removed, r.text) for r in line_dedup.op4(frame(spark, rows(*texts))).orderBy("doc_id").collect()]
+    assert result == [(1, 0, 0, texts[0]), (2, 1, 1, "\n"), (3, 0, 0, texts[2]), (4, 0, 0, "ok"), (5, 1, 0, "")]
+
+
+def test_no_repeated_line_is_left(spark, small):
+    left = [tuple(line.encode().split()) for r in line_dedup.op4(small).collect() if r.text is not None for line in r.text.split("\n")]
+    left = [line for line in left if line]
+    assert len(left) == len(set(left))
+
+
 def test_filter_keeps_columns_and_drops_emptied_documents(spark, docs):
     wide = with_clashes(docs)
     kept = line_dedup.drop_repeated_lines(wide)
