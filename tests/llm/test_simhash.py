@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import xxhash
 from conftest import with_clashes
 from fixtures import frame, prose, rows
 
 from gopmill.llm import simhash
+from gopmill.llm.textarrays import column_texts
 
 
 def brute_print(text):
@@ -110,3 +112,88 @@ def test_near_copies_meet(spark):
     words[200] = "changed"
     got = {r.doc_id: r.component_id for r in simhash.op5(frame(spark, rows(prose(400, 7), " ".join(words), prose(400, 8)))).collect()}
     assert got[2] in (1, 2) and got[3] == 3
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def brute_similar(texts):
+    """Classes by the distance of every two wide fingerprints, without bands."""
+    prints = [simhash.wide_print(h)[0] for h in simhash.shingle_sets(column_texts(pa.array(texts, pa.string())))]
+    return brute_classes([int.from_bytes(p.tobytes(), "little") for p in prints], simhash.WIDE_BITS)
+
+
+def same_partition(a, b):
+    return len(set(a)) == len(set(b)) == len(set(zip(a, b, strict=True)))
+
+
+def edited(words, changes, rng):
+    words = list(words)
+    for at in rng.choice(len(words), changes, replace=False):
+        words[at] = f"edit{rng.integers(1 << 30)}"
+    return " ".join(words)
+
+
+def test_similar_classes_against_brute_force(docs):
+    at = {(str(r.doc_id), r._key): bytes(r.label) for r in simhash.similar_classes(docs).collect()}
+    data = docs.select("doc_id", "text", simhash.key()).collect()
+    got, sets = [at[str(r.doc_id), r._key] for r in data], [shingle_set(r.text) for r in data]
+    assert same_partition(got, brute_similar([r.text for r in data]))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            s = len(a & sets[j]) / len(a | sets[j])
+            assert s < 0.8 or got[i] == got[j]
+
+
+def test_similar_texts_are_found_and_others_are_not(spark):
+    """Of pairs of similarity 0.8 or more at least 0.9 are found, of pairs under 0.65 none."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for words, changes, pairs in ((60, 1, 60), (120, 2, 60), (400, 6, 40), (1000, 20, 20), (200, 12, 60)):
+        for _ in range(pairs):
+            base = prose(words, int(rng.integers(1 << 20))).split()
+            texts += [" ".join(base), edited(base, changes, rng)]
+    label = {r.doc_id: bytes(r.label) for r in simhash.similar_classes(frame(spark, rows(*texts))).collect()}
+    close, found = 0, 0
+    for i in range(0, len(texts), 2):
+        a, b = shingle_set(texts[i]), shingle_set(texts[i + 1])
+        s = len(a & b) / len(a | b)
+        met = label[i + 1] == label[i + 2]
+        close, found = close + (s >= 0.8), found + (s >= 0.8 and met)
+        assert s >= 0.65 or not met
+    assert close > 120 and found >= 0.9 * close
+    assert len(set(label.values())) >= len(texts) // 2
+
+
+def test_blocks_of_a_large_shard_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    base = prose(150, 11).split()
+    texts = [edited(base, 2, rng) for _ in range(120)] + [prose(150, 200 + i) for i in range(20)]
+    docs = frame(spark, rows(*texts))
+    whole, cut = ({r.doc_id: bytes(r.label) for r in simhash.similar_classes(docs, simhash.WIDE_BITS, n).collect()} for n in (1 << 15, 8))
+    assert whole == cut and len(set(whole.values())) == 21
+
+
+def test_grown_links_join_all_that_is_close():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (6, simhash.WIDE_WORDS)).astype(np.uint64)
+    points = []
+    for center in base:
+        for _ in range(60):
+            flips = np.zeros(64 * simhash.WIDE_WORDS, np.uint8)
+            flips[rng.choice(len(flips), rng.integers(20, 130), replace=False)] = 1
+            points.append(center ^ np.packbits(flips, bitorder="little").view(np.uint64))
+    points = np.array(points)
+    want = brute_classes([int.from_bytes(p.tobytes(), "little") for p in points], simhash.WIDE_BITS)
+    found = simhash.grown_links(points, simhash.WIDE_BITS)
+    forest = simhash.Forest()
+    forest.link(*(np.array(x) for x in zip(*found, strict=True)))
+    assert same_partition([forest.top(i) for i in range(len(points))], want) and len(found) == len(points) - len(set(want))
+
+
+def test_one_similar_row_stays(docs):
+    wide = with_clashes(docs)
+    kept = simhash.keep_one_similar(wide)
+    assert kept.columns == wide.columns and kept.count() == simhash.similar_classes(docs).select("label").distinct().count()
