@@ -15,16 +15,21 @@ smallest doc_id reachable; a null id is never that name unless all are null. Rep
 
 ``similar_classes`` is for near copies by similarity (0.8 or more of two texts' different five-word shingles). 64 bits tell
 0.8 from 0.6 badly, so its fingerprints have 1,024 bits: of two texts with Jaccard similarity s about
-1024 acos(2s / (1 + s)) / pi bits differ, 155 +- 12 at 0.8, and WIDE_BITS links up to 174: about 95 in 100 pairs at 0.8,
-43 at 0.75, three at 0.7. The bits decide; shingles are not compared once more. Points within so wide a
+1024 acos(2s / (1 + s)) / pi bits differ, 155 +- 12 at 0.8, and WIDE_BITS proposes up to 192: 999 in 1,000 pairs at 0.8.
+Points within so wide a
 radius agree on no segment, so shards are min-wise bands instead: two texts of similarity s share a band of BAND_ROWS
 minima with probability s^5, one of ten bands with 0.98 at 0.8. Inside a shard distances to a vantage point prune the
 search, classes are grown from it, and only links that join classes leave the task. A shard larger than ``shard_rows``
 is cut into blocks that meet two by two, so that no task holds more than two blocks and no pair is lost.
+
+The bits only propose. Every class they make is searched a second time, now with the shingles of its texts, which are
+sent there once: two texts are linked if they are within the bits and their sets of shingles have a similarity of 0.8 or
+more, counted exactly. As all pairs of a class are looked at, no link hangs on which of several proposed ones was kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -46,11 +51,14 @@ SEGMENTS = 5
 BRUTE = 256
 SHARD_ROWS = 1 << 14
 SIMILAR_SHINGLE = 5
+# a similarity of 0.8, as two integers
+SHARED, OF_ALL = 4, 5
 WIDE_WORDS = 16
-WIDE_BITS = 174
+WIDE_BITS = 192
 BANDS = 10
 BAND_ROWS = 5
 WIDE_SHARD_ROWS = 1 << 15
+SHARD_SHINGLES = 1 << 22
 
 
 def fingerprint(text: str | None) -> int:
@@ -285,12 +293,48 @@ def wide_print(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(2 * votes > len(h), bitorder="little").view(U64), bands
 
 
+def _node(h: np.ndarray) -> bytes:
+    """The name of a set of shingles."""
+    return hashlib.md5(h.tobytes(), usedforsecurity=False).digest()
+
+
 def _wide_prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
-        found = [wide_print(h) for h in shingle_sets(texts)]
+        sets = list(shingle_sets(texts))
+        found = [wide_print(h) for h in sets]
         prints = pa.array([p.tobytes() for p, _ in found], pa.binary())
         bands = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([b for _, b in found]).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(KEY), prints, bands], names=["doc_id", KEY, "print", "bands"])
+        nodes, sizes = pa.array([_node(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64())
+        columns = [batch.column("doc_id"), batch.column(KEY), nodes, sizes, prints, bands]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", KEY, "node", "size", "print", "bands"])
+
+
+def _node_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in slices(batches):
+        sets = list(shingle_sets(texts))
+        columns = [pa.array([_node(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
+
+
+class ShingleSets:
+    """Sets of shingles that are compared with each other, as numbers from zero."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.edges = np.cumsum([0, *map(len, sets)])
+        different, self.numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        self.marked = np.zeros(len(different), bool)
+
+    def _of(self, at: int) -> np.ndarray:
+        return self.numbers[self.edges[at] : self.edges[at + 1]]
+
+    def similar(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Which of the ``others`` have a similarity of 0.8 or more to ``a``."""
+        own = self._of(a)
+        self.marked[own] = True
+        shared = np.array([np.count_nonzero(self.marked[self._of(b)]) for b in others.tolist()], np.int64)
+        self.marked[own] = False
+        every = len(own) + self.edges[others + 1] - self.edges[others] - shared
+        return OF_ALL * shared >= SHARED * every
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -300,11 +344,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def grown_links(points: np.ndarray, bits: int) -> list[tuple[int, int]]:
+def grown_links(points: np.ndarray, bits: int, sets: ShingleSets | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest: all points (n x WIDE_WORDS) within ``bits`` of each other are joined by them.
 
     By the triangle inequality two linked points differ by at most ``bits`` in their distance to the vantage point, so
-    points sorted by it need only be compared with a window of that order.
+    points sorted by it need only be compared with a window of that order. With ``sets`` points are joined only if
+    their sets are similar as well; a point stays open until one of its class has been found to be.
     """
     vantage = _distances(points[:1], points)[0].astype(np.int64)
     order = np.argsort(vantage, kind="stable")
@@ -322,65 +367,95 @@ def grown_links(points: np.ndarray, bits: int) -> list[tuple[int, int]]:
             for at in range(0, len(left), 1 << 13):
                 some = left[at : at + (1 << 13)]
                 close = _distances(points[part], points[some]) <= bits
-                hit = np.flatnonzero(close.any(0))
-                found += zip(order[part[close[:, hit].argmax(0)]].tolist(), order[some[hit]].tolist(), strict=True)
-                open_[some[hit]] = False
-                frontier = np.concatenate([frontier, some[hit]])
+                for row in np.flatnonzero(close.any(1)):
+                    hit = some[close[row] & open_[some]]
+                    if sets is not None:
+                        hit = hit[sets.similar(order[part[row]], order[hit])]
+                    found += [(int(order[part[row]]), b) for b in order[hit].tolist()]
+                    open_[hit] = False
+                    frontier = np.concatenate([frontier, hit])
     return found
 
 
-def _wide_shards(bits: int):
+def _wide_shards(bits: int, checked: bool):
+    names = ["shard", "node", "print", *["shingles"] * checked]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes]] = []
+        held: list[tuple[bytes, ...]] = []
         held_shard = None
 
         def out() -> pa.RecordBatch:
-            points = np.frombuffer(b"".join(p for _, p in held), U64).reshape(-1, WIDE_WORDS)
-            pairs = grown_links(points, bits) if len(held) > 1 else []
+            points = np.frombuffer(b"".join(row[1] for row in held), U64).reshape(-1, WIDE_WORDS)
+            sets = ShingleSets([np.frombuffer(row[2], U64) for row in held]) if checked else None
+            pairs = grown_links(points, bits, sets)
             columns = [pa.array([held[pair[side]][0] for pair in pairs], pa.binary()) for side in (0, 1)]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "node", "print")), strict=True)
-            for shard, node, wide in rows:
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if shard != held_shard:
                     if len(held) > 1:
                         yield out()
                     held, held_shard = [], shard
-                held.append((node, wide))
+                held.append(tuple(row))
         if len(held) > 1:
             yield out()
 
     return run
 
 
-def similar_links(points: DataFrame, bits: int = WIDE_BITS, shard_rows: int = WIDE_SHARD_ROWS) -> DataFrame:
-    """Spanning links (a, b) of ``points(node, print, bands)``, distinct by node, that share a band and are within ``bits``."""
-    placed = points.select("node", F.posexplode("bands").alias("band", "part")).select("node", F.xxhash64("band", "part").alias("band"))
-    sizes = placed.groupBy("band").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+def _shards(placed: DataFrame, shard_rows: int, shard_shingles: int | None = None) -> DataFrame:
+    """(node, shard) such that any two nodes of a group in ``placed(node, size, part)`` meet in a shard."""
+    count = F.ceil(2 * F.col("rows") / F.lit(shard_rows)).cast("int")
+    fits = F.col("rows") <= shard_rows
+    if shard_shingles is not None:
+        count = F.greatest(count, F.ceil(2 * F.col("sizes") / F.lit(shard_shingles)).cast("int"))
+        fits = fits & (F.col("sizes") <= shard_shingles)
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("sizes")).filter("rows > 1")
     # blocks of half a shard; a block alone if there is one, else every two blocks meet in a shard
-    blocks = F.ceil(2 * F.col("rows") / F.lit(shard_rows)).cast("int")
-    met = placed.join(sizes.select("band", F.when(F.col("rows") > shard_rows, blocks).otherwise(1).alias("blocks")), "band")
+    met = placed.select("node", "part").join(sizes.select("part", F.when(fits, 1).otherwise(count).alias("blocks")), "part")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    each = met.select("node", "band", "blocks", own.alias("own"), F.explode(other).alias("other")).filter("blocks = 1 or own != other")
-    shard = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
-    sent = each.select("node", shard.alias("shard")).join(points.select("node", "print"), "node")
-    return sent.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_wide_shards(bits), "a binary, b binary")
+    each = met.select("node", "part", "blocks", own.alias("own"), F.explode(other).alias("other")).filter("blocks = 1 or own != other")
+    shard = F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))
+    return each.select("node", shard.alias("shard"))
+
+
+def similar_links(points: DataFrame, bits: int = WIDE_BITS, shard_rows: int = WIDE_SHARD_ROWS) -> DataFrame:
+    """Spanning links (a, b) of ``points(node, size, print, bands)``, distinct by node, that share a band and are within ``bits``."""
+    placed = points.select("node", "size", F.posexplode("bands").alias("band", "part"))
+    sent = _shards(placed.select("node", "size", F.xxhash64("band", "part").alias("part")), shard_rows).join(points.select("node", "print"), "node")
+    return sent.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_wide_shards(bits, False), "a binary, b binary")
+
+
+def checked_links(
+    docs: DataFrame, members: DataFrame, bits: int = WIDE_BITS, shard_rows: int = WIDE_SHARD_ROWS, shard_shingles: int = SHARD_SHINGLES
+) -> DataFrame:
+    """Spanning links (a, b) of ``members(node, label, size, print, _key)`` with one label, within ``bits`` and similar by their shingles.
+
+    ``docs(_key, text)`` are the texts, of which a member's is that of its key.
+    """
+    sets = docs.join(members.select(KEY), KEY, "left_semi").select("text").mapInArrow(_node_sets, "node binary, shingles binary")
+    # two texts of one key, if ever, are two nodes; copies of a row are one
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sent = _shards(members.select("node", "size", F.col("label").alias("part")), shard_rows, shard_shingles)
+    sent = sent.join(members.select("node", "print").join(sets, "node"), "node")
+    return sent.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_wide_shards(bits, True), "a binary, b binary")
 
 
 def similar_classes(docs: DataFrame, bits: int = WIDE_BITS, shard_rows: int = WIDE_SHARD_ROWS) -> DataFrame:
     """doc_id, row key, node and label of every row; the label is the same in a class of near copies and never null.
 
-    Texts without words are a class of their own. Texts whose fingerprints and bands are equal are one point.
+    Texts without words are a class of their own. Texts whose shingles are equal are one point.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key(), "text")
-    prints = written(rows.mapInArrow(_wide_prints, f"doc_id bigint, {KEY} bigint, print binary, bands array<bigint>"))
-    node = F.unhex(F.md5(F.concat("print", F.array_join("bands", ",").cast("binary")))).alias("node")
-    named = prints.select("doc_id", KEY, node, "print", "bands")
-    points = written(named.groupBy("node").agg(F.first("print").alias("print"), F.first("bands").alias("bands")))
-    linked = components(similar_links(points, bits, shard_rows)).withColumnRenamed("node", "linked")
-    at = named.select("doc_id", KEY, "node")
+    prints = written(rows.mapInArrow(_wide_prints, f"doc_id bigint, {KEY} bigint, node binary, size bigint, print binary, bands array<bigint>"))
+    facts = [F.first(c).alias(c) for c in ("size", "print", "bands")]
+    points = written(prints.groupBy("node").agg(*facts, F.min(KEY).alias(KEY)))
+    proposed = components(similar_links(points, bits, shard_rows))
+    members = written(proposed.join(points.drop("bands"), "node"))
+    linked = components(checked_links(rows.select(KEY, "text"), members, bits, shard_rows)).withColumnRenamed("node", "linked")
+    at = prints.select("doc_id", KEY, "node")
     return at.join(linked, at.node == F.col("linked"), "left").select("doc_id", KEY, "node", F.coalesce("label", "node").alias("label"))
 
 

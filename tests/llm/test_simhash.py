@@ -120,9 +120,16 @@ def shingle_set(text):
 
 
 def brute_similar(texts):
-    """Classes by the distance of every two wide fingerprints, without bands."""
+    """Classes of texts of which every two are compared, by fingerprints and by shingles, without bands."""
     prints = [simhash.wide_print(h)[0] for h in simhash.shingle_sets(column_texts(pa.array(texts, pa.string())))]
-    return brute_classes([int.from_bytes(p.tobytes(), "little") for p in prints], simhash.WIDE_BITS)
+    prints, sets = [int.from_bytes(p.tobytes(), "little") for p in prints], [shingle_set(t) for t in texts]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= simhash.WIDE_BITS
+            if top[i] != top[j] and near and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                top = [top[j] if t == top[i] else t for t in top]
+    return top
 
 
 def same_partition(a, b):
@@ -197,3 +204,46 @@ def test_one_similar_row_stays(docs):
     wide = with_clashes(docs)
     kept = simhash.keep_one_similar(wide)
     assert kept.columns == wide.columns and kept.count() == simhash.similar_classes(docs).select("label").distinct().count()
+
+
+def test_texts_a_little_under_the_similarity_stay_apart(spark):
+    """Pairs of 0.72 to 0.79, which the bits alone would mostly link, and chains in which only some steps are near enough."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for changes in (5, 6):
+        for _ in range(30):
+            base = prose(200, int(rng.integers(1 << 20))).split()
+            texts += [" ".join(base), edited(base, changes, rng)]
+    base = prose(200, 99).split()
+    texts.append(" ".join(base))
+    for at in range(12):
+        base = edited(base, 1 + 5 * (at % 3 == 2), rng).split()
+        texts.append(" ".join(base))
+    got = {r.doc_id: bytes(r.label) for r in simhash.similar_classes(frame(spark, rows(*texts))).collect()}
+    pairs, sets = [(i, i + 1) for i in range(0, 120, 2)], [shingle_set(t) for t in texts]
+    under = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j])]
+    assert len(under) > 40 and all(got[i + 1] != got[j + 1] for i, j in under)
+    assert same_partition([got[i + 1] for i in range(len(texts))], brute_similar(texts))
+
+
+def test_classes_of_many_shingles_are_cut_without_losing_a_link(spark):
+    rng = np.random.default_rng(9)
+    base = prose(150, 12).split()
+    texts = [edited(base, 2, rng) for _ in range(60)] + [edited(base, 5, rng) for _ in range(30)]
+    docs = frame(spark, rows(*texts)).select(simhash.key(), "text")
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    h = [(simhash._node(x), x) for x in simhash.shingle_sets(column_texts(pa.array(texts, pa.string())))]
+    keys = {r.text: r._key for r in docs.collect()}
+    members = spark.createDataFrame(
+        [(n, b"all", len(x), simhash.wide_print(x)[0].tobytes(), keys[t]) for (n, x), t in zip(h, texts, strict=True)],
+        "node binary, label binary, size bigint, print binary, _key bigint",
+    )
+    place, forests = {n: i for i, (n, _) in enumerate(h)}, []
+    for shingles in (1 << 22, 1000):
+        found = simhash.checked_links(docs, members, shard_shingles=shingles).collect()
+        pairs = [(place[bytes(r.a)], place[bytes(r.b)]) for r in found]
+        assert all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in pairs)
+        forest = simhash.Forest()
+        forest.link(*(np.array(x) for x in zip(*pairs, strict=True)))
+        forests.append([forest.top(i) for i in range(len(texts))])
+    assert same_partition(*forests) and same_partition(forests[0], brute_similar(texts))
