@@ -38,22 +38,23 @@ def redeem_grants(
     """Attempts with ``redeemed``: the first attempt in time, for the same job and file, that meets its grant.
 
     ``grants(ticket, job_id, filename, issued_at)`` with unique tickets; ``attempts(attempt_id, ticket, job_id,
-    filename, ts)`` with unique ids. The winners are a minimum per ticket, reduced before the shuffle, and go back
-    to the attempts by attempt id, so a ticket tried very often meets itself in no task.
+    filename, ts)`` with unique ids. The winners are a minimum per ticket, reduced before the shuffle. Both joins are
+    by ticket alone, so attempts that lie by ticket already are not shuffled again; a ticket tried very often is left to
+    the adaptive skew join, or dealt out with ``rows_per_task``.
     """
-    terms = grants.select("ticket", "job_id", "filename", "issued_at")
+    terms = grants.select("ticket", F.col("job_id").alias("_job"), F.col("filename").alias("_file"), "issued_at")
     expires = F.col("issued_at") + F.make_dt_interval(secs=F.lit(ttl_secs))
-    tried, granted, on = spread_hot(attempts, terms, ["ticket", "job_id", "filename"], rows_per_task)
-    matched = tried.join(granted, on).where(
-        (F.col("ts") >= F.col("issued_at")) & (F.col("ts") < expires)
+    tried, granted, on = spread_hot(attempts, terms, ["ticket"], rows_per_task)
+    met = (
+        (F.col("job_id") == F.col("_job")) & (F.col("filename") == F.col("_file"))
+        & (F.col("ts") >= F.col("issued_at")) & (F.col("ts") < expires)
     )
-    winners = (
-        matched.groupBy("ticket")
-        .agg(F.min(F.struct("ts", "attempt_id")).alias("_first"))
-        .select(F.col("_first.attempt_id").alias("attempt_id"), F.lit(True).alias("_won"))
-    )
-    return attempts.join(winners, "attempt_id", "left").select(
-        *attempts.columns, F.coalesce("_won", F.lit(False)).alias("redeemed")
+    # inside the aggregate: as a filter its equalities would become join keys, and the attempts be shuffled by them
+    first = F.min(F.when(met, F.struct("ts", "attempt_id")))
+    winners = tried.join(granted, on).groupBy("ticket").agg(first.alias("_first")).select("ticket", F.col("_first.attempt_id").alias("_won"))
+    tried, won, on = spread_hot(attempts, winners, ["ticket"], rows_per_task)
+    return tried.join(won, on, "left").select(
+        *attempts.columns, F.coalesce(F.col("attempt_id") == F.col("_won"), F.lit(False)).alias("redeemed")
     )
 
 

@@ -3,6 +3,7 @@
 import ipaddress
 import itertools
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -530,3 +531,20 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(fake("spark://host:7077", warehouse))
     assert session.ensure_checkpoint_dir(fake("spark://host:7077", {**warehouse, "spark.checkpoint.dir": "hdfs:///c"})) == "hdfs:///c"
+
+
+def test_attempts_meet_their_grants_without_a_shuffle_but_by_ticket(spark, table):
+    grants = table([("t", 1, "a.mp4", 0), ("u", 1, None, 0)], "ticket string, job_id int, filename string, at bigint")
+    grants = grants.select("ticket", "job_id", "filename", F.timestamp_seconds("at").alias("issued_at"))
+    tries = [(1, "t", 2, "a.mp4", 5), (2, "t", 1, "a.mp4", 7), (3, "t", 1, "a.mp4", 6), (4, "u", 1, None, 9), (5, None, 1, "a.mp4", 9)]
+    made = table(tries, "attempt_id int, ticket string, job_id int, filename string, at bigint").withColumn("ts", F.timestamp_seconds("at"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        redeemed = access.redeem_grants(grants, made)
+        keys = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, \d+\)", redeemed._jdf.queryExecution().executedPlan().toString())
+        got = {r.attempt_id: r.redeemed for r in redeemed.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(keys) == {"ticket"} and len(keys) == 3
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False}
