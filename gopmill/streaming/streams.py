@@ -152,7 +152,9 @@ class _Progress(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         newest: dict[int, tuple[int, str]] = {}
-        seen, version, *tally = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0)
+        found = self.counts.get()
+        known = found is not None  # else it has neither segments nor a timer
+        seen, version, *tally = found if known else (0, 0, 0, 0, 0)
         for batch in rows:
             for segment, seq, kind in zip(batch["segment_id"].tolist(), batch["seq"].tolist(), batch["kind"].tolist()):
                 if segment not in newest or seq > newest[segment][0]:
@@ -161,8 +163,9 @@ class _Progress(StatefulProcessor):
                 seen = max(seen, int(millis(batch["ts"]).max()))
         place = {"complete": 0, "failed": 1, "assign": 2}
         for segment, (seq, kind) in newest.items():
-            if self.segments.containsKey((segment,)):
-                old_seq, old_kind = self.segments.getValue((segment,))
+            old = self.segments.getValue((segment,)) if known else None
+            if old is not None:
+                old_seq, old_kind = old
                 if old_seq >= seq:
                     continue
                 if old_kind in place:
@@ -174,7 +177,7 @@ class _Progress(StatefulProcessor):
         version = max(version + 1, seen)
         self.counts.update((seen, version, *tally))
         if self.keep_ms is not None:
-            for timer in list(self.handle.listTimers()):
+            for timer in list(self.handle.listTimers()) if known else []:
                 self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
             self.handle.registerTimer(seen + self.keep_ms)
         yield pd.DataFrame(

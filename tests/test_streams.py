@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gopmill.operators import access, gops, health, jobs
 from gopmill.sources import messages
-from gopmill.streaming import late, runner, streams
+from gopmill.streaming import late, ordered, runner, streams
 from test_random import fold_phase, random_logs
 
 START = 1_700_000_000
@@ -272,3 +272,87 @@ def test_no_late_rows(chunked, spark, tmp_path):
     with late.LateRows(spark, str(tmp_path / "late")):
         runner.run_available(streams.log_phase_stream(chunked([("j", at(i), i, "x") for i in range(30)], "job_id string, ts timestamp, seq bigint, line string"), "60 seconds"))
     assert late.late_rows(spark, str(tmp_path / "late")).count() == 0
+
+
+class _Held:
+    """What a state handle keeps for one key, without Spark."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.most = [], None, [], 0
+        self.getListState = self.getValueState = lambda *_: self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _HeldList(_Held):
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+def test_waiting_rows_lie_in_chunks_and_come_back_in_order(monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS", 7)
+
+    class Each(ordered.InOrder):
+        columns, outputs = ("n", "name"), ("ts", "n", "name")
+        pending_schema, state_schema = "ts bigint, n bigint, name string", "count bigint"
+
+        def start(self, key):
+            return (0,)
+
+        def fold(self, key, state, row):
+            return (state[0] + 1,), [row]
+
+    handle, listed = _Held(), _HeldList()
+    handle.getListState = lambda *_: listed
+    each = Each()
+    each.init(handle)
+    rng = random.Random(3)
+    rows = [(t // 3, n, None if n % 4 == 0 else f"n{n}") for n, t in enumerate(rng.sample(range(300), 100))]
+
+    def batches(some):
+        for at in range(0, len(some), 20):
+            part = pd.DataFrame(some[at : at + 20], columns=["ts", "n", "name"])
+            yield part.assign(ts=part["ts"].astype("datetime64[ms]"))
+
+    def run(some, now):
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: now})()
+        given = list(each.handleInputRows((1,), batches(some), clock))
+        assert all(len(g) <= 7 for g in given)
+        return [tuple(None if pd.isna(v) else v for v in r) for g in given for r in g.itertuples(index=False)]
+
+    def in_order(some):
+        return sorted(some, key=lambda r: tuple((v is not None, v) for v in r))
+
+    assert run(rows[:60], -1) == [] and 9 <= len(listed.rows) <= 15 and handle.timers == [min(rows[:60])[0]]
+    assert run(rows[60:], 40) == in_order(r for r in rows if r[0] <= 40)
+    later = [r for r in rows if r[0] > 40]
+    assert len(listed.rows) < len(later) and handle.timers == [min(later)[0]]
+    assert run([], 200) == in_order(later) and listed.rows == [] and handle.value == (max(later)[0], 100)
