@@ -548,3 +548,18 @@ def test_attempts_meet_their_grants_without_a_shuffle_but_by_ticket(spark, table
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert set(keys) == {"ticket"} and len(keys) == 3
     assert got == {1: False, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_one_large_source_is_dealt_out_by_runs_of_segments(spark, table, monkeypatch):
+    sources = table([(1, 200 * 52_428_800 + 1), (2, 0), (3, None), (4, 52_428_800)], "asset_id int, size_bytes bigint").coalesce(1)
+    want = sorted(one(segments.size_segments(sources).select("asset_id", "segment_id", "start_frame", "end_ts")), key=str)
+    assert len(want) == 201 + 3 and [r[1] for r in sorted(r for r in want if r[0] == 1)] == list(range(201))
+    monkeypatch.setattr(segments, "SEGMENTS_PER_RUN", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = segments.size_segments(sources)
+        got = sorted(one(made.select("asset_id", "segment_id", "start_frame", "end_ts")), key=str)
+        tasks = made.where("asset_id = 1").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want and tasks > 2
