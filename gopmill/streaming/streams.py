@@ -10,14 +10,14 @@ Numbers that may be absent go into a fold as -1: pandas would turn a nullable bi
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gopmill.functions.requests import validate_request
 from gopmill.operators.jobs import FIXED_PERCENT, PHASE_OF_BRANCH, log_marks
 from gopmill.sources.messages import payload_rows
-from gopmill.streaming.ordered import InOrder, millis
+from gopmill.streaming.ordered import InOrder
 
 SHARDS = 64
 KEEP_SECS = 7 * 86400
@@ -155,12 +155,11 @@ class _Progress(StatefulProcessor):
         found = self.counts.get()
         known = found is not None  # else it has neither segments nor a timer
         seen, version, *tally = found if known else (0, 0, 0, 0, 0)
-        for batch in rows:
-            for segment, seq, kind in zip(batch["segment_id"].tolist(), batch["seq"].tolist(), batch["kind"].tolist()):
-                if segment not in newest or seq > newest[segment][0]:
-                    newest[segment] = (seq, kind)
-            if self.keep_ms is not None:
-                seen = max(seen, int(millis(batch["ts"]).max()))
+        for row in rows:
+            if row.segment_id not in newest or row.seq > newest[row.segment_id][0]:
+                newest[row.segment_id] = (row.seq, row.kind)
+            if self.keep_ms is not None and row.at_ms is not None:
+                seen = max(seen, row.at_ms)
         place = {"complete": 0, "failed": 1, "assign": 2}
         for segment, (seq, kind) in newest.items():
             old = self.segments.getValue((segment,)) if known else None
@@ -180,10 +179,7 @@ class _Progress(StatefulProcessor):
             for timer in list(self.handle.listTimers()) if known else []:
                 self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
             self.handle.registerTimer(seen + self.keep_ms)
-        yield pd.DataFrame(
-            [(key[0], key[1], version, *tally)],
-            columns=["job_id", "shard", "version", "completed", "failed", "assigned"],
-        )
+        yield Row(job_id=key[0], shard=key[1], version=version, completed=tally[0], failed=tally[1], assigned=tally[2])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.segments.clear()
@@ -208,7 +204,10 @@ def job_progress_stream(
         "job_id", F.pmod("segment_id", F.lit(shards)).cast("int").alias("shard"), "segment_id", "seq", "kind", *["ts"] * timed
     )
     job_type = dict(events.dtypes)["job_id"]
-    return (_timed(keyed, delay) if timed else keyed).groupBy("job_id", "shard").transformWithStateInPandas(
+    if timed:
+        keyed = _timed(keyed, delay).withColumn("at_ms", F.unix_millis("ts"))
+    # rows, not pandas: a key has a few of them a batch, and a DataFrame for each key costs more than they do
+    return keyed.groupBy("job_id", "shard").transformWithState(
         statefulProcessor=_Progress(int(keep_secs * 1000) if timed else None),
         outputStructType=f"job_id {job_type}, shard int, version bigint, completed bigint, failed bigint, assigned bigint",
         outputMode="update", timeMode="EventTime" if timed else "None",

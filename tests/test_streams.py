@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gopmill.operators import access, gops, health, jobs
@@ -356,3 +357,25 @@ def test_waiting_rows_lie_in_chunks_and_come_back_in_order(monkeypatch):
     later = [r for r in rows if r[0] > 40]
     assert len(listed.rows) < len(later) and handle.timers == [min(later)[0]]
     assert run([], 200) == in_order(later) and listed.rows == [] and handle.value == (max(later)[0], 100)
+
+
+def test_a_new_shard_of_progress_asks_its_state_once():
+    class Fresh(_Held):
+        def __init__(self):
+            super().__init__()
+            self.segments, self.getMapState = {}, lambda *_: self
+
+        def updateValue(self, key, value):
+            self.segments[key] = value
+
+        def listTimers(self):
+            raise AssertionError("a new key has no timer")
+
+    fresh = Fresh()
+    fold = streams._Progress(1000)
+    fold.init(fresh)
+    kinds = [(1, 5, "complete", 70), (1, 4, "failed", 90), (2, 6, "assign", 80), (3, 7, "odd", None)]
+    rows = [Row(segment_id=s, seq=q, kind=k, at_ms=at) for s, q, k, at in kinds]
+    (out,) = fold.handleInputRows((9, 0), iter(rows), None)
+    assert tuple(out) == (9, 0, 90, 1, 0, 1) and fresh.timers == [1090]
+    assert fresh.segments == {(1,): (5, "complete"), (2,): (6, "assign"), (3,): (7, "odd")}
