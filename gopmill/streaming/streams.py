@@ -201,7 +201,8 @@ def job_progress_stream(
     """
     timed = keep_secs is not None and "ts" in events.columns
     keyed = events.select(
-        "job_id", F.pmod("segment_id", F.lit(shards)).cast("int").alias("shard"), "segment_id", "seq", "kind", *["ts"] * timed
+        "job_id", F.pmod("segment_id", F.lit(shards)).cast("int").alias("shard"), "segment_id",
+        F.coalesce("seq", F.lit(-1)).alias("seq"), "kind", *["ts"] * timed,
     )
     job_type = dict(events.dtypes)["job_id"]
     if timed:
