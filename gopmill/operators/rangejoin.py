@@ -10,6 +10,8 @@ aggregate of bits that Spark computes as a subquery before the join; where no in
 
 A frequent cell is left to the adaptive skew join. With ``rows_per_task`` set, cells that hold more rows of the larger side
 are split by a salt and the other side is repeated there; that counts the larger side once more, so it suits stored tables.
+Between two sides of intervals a cell is split by its pairs as well, since many long intervals and all that lies in them meet
+in one; that counts both sides. What a pair must know of its cell is worked out for each listed row, not for each pair.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
+PAIRS_PER_TASK = 1 << 23
 CELL, LEVELS_HERE, SALT = "_cell", "_levels", "_salt"
+LEFT_PLACE, RIGHT_PLACE = "_left_place", "_right_place"
+OWN_LEVEL, FIRST_CELL = 1, 2
 CELLS = 8
 GROWTH = 8
 # Positions are held within 2^56 cells of level 0, so that a cell's number and its level fit into 64 bits.
@@ -66,6 +71,12 @@ class _Span:
         higher = F.flatten(F.transform(levels, lambda n: self.cells(n)))
         return F.when(others > 1, F.concat(own, higher)).otherwise(own)
 
+    def place(self, cell: Column) -> Column:
+        """Bits for a cell it is listed under: whether it belongs to the cell's level, whether the cell is its first there."""
+        level = cell.bitwiseAND(TAG - 1)
+        own = F.when(level == self.level, OWN_LEVEL).otherwise(0)
+        return own + F.when(cell == self.first(level), FIRST_CELL).otherwise(0)
+
 
 def _listed(df: DataFrame, span: _Span, others: Column) -> DataFrame:
     """A row for each cell to list a row of ``df`` under."""
@@ -88,12 +99,24 @@ def spread_hot(
     """
     if rows_per_task is None:
         return big, small, list(on)
-    hot = (
-        big.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_task)
-        .select(*on, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_ways"))
-    )
+    ways = F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int")
+    return _dealt(big, small, on, big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).select(*on, ways.alias("_ways")))
+
+
+def _spread_pairs(big: DataFrame, small: DataFrame, on: Sequence[str], rows_per_task: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """As ``spread_hot``, and a key of more than PAIRS_PER_TASK pairs is dealt out over as many salts as that makes."""
+    if rows_per_task is None:
+        return big, small, list(on)
+    rows = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    others = small.groupBy(*on).agg(F.count(F.lit(1)).alias("_m"))
+    pairs = F.col("_n").cast("double") * F.coalesce("_m", F.lit(0))
+    ways = F.greatest(F.ceil(F.col("_n") / F.lit(rows_per_task)), F.least(F.ceil(pairs / F.lit(PAIRS_PER_TASK)), F.col("_n")))
+    return _dealt(big, small, on, rows.join(others, list(on), "left").select(*on, ways.cast("int").alias("_ways")))
+
+
+def _dealt(big: DataFrame, small: DataFrame, on: Sequence[str], ways: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a salt, of which a key has as many as ``ways`` tells."""
+    hot = ways.where(F.col("_ways") > 1)
     # few rows, but as many more as ``big`` has: whether they are broadcast is left to their size
     # a hash of the row, not a random number: a recomputed task must deal its rows out the same way
     dealt = (
@@ -126,12 +149,14 @@ def overlap_join(
     """
     left_span = _Span(*[F.col(c) for c in big_span], width)
     right_span = _Span(*[F.col(c) for c in small_span], width)
-    left = _listed(big, left_span, _levels(small, right_span))
-    right = _listed(small, right_span, _levels(big, left_span))
-    left, right, on = spread_hot(left, right, [*keys, CELL], rows_per_task)
-    level = F.greatest(left_span.level, right_span.level)
-    first_shared = F.greatest(left_span.first(level), right_span.first(level))
-    return left.join(right, on).where((F.col(CELL) == first_shared) & predicate).drop(CELL, SALT)
+    left = _listed(big, left_span, _levels(small, right_span)).withColumn(LEFT_PLACE, left_span.place(F.col(CELL)))
+    right = _listed(small, right_span, _levels(big, left_span)).withColumn(RIGHT_PLACE, right_span.place(F.col(CELL)))
+    left, right, on = _spread_pairs(left, right, [*keys, CELL], rows_per_task)
+    if rows_per_task is not None:
+        left = left.repartition(*on)  # pairs are dealt out also where the other side is broadcast
+    # the level is the higher of the two, and no cell before this one is shared there
+    meet = F.col(LEFT_PLACE).bitwiseOR(F.col(RIGHT_PLACE)) == OWN_LEVEL + FIRST_CELL
+    return left.join(right, on).where(meet & predicate).drop(CELL, SALT, LEFT_PLACE, RIGHT_PLACE)
 
 
 def point_join(

@@ -326,6 +326,21 @@ def test_hot_keys_are_split_without_loss(table):
     assert got == sorted(map(tuple, big.join(small, "k").select("k", "v", "w").collect()))
 
 
+def test_cells_of_many_pairs_are_split(table, monkeypatch):
+    """Long intervals and all that lies in them meet in one cell: it is dealt out by pairs, and pairs know their cell."""
+    monkeypatch.setattr(rangejoin, "PAIRS_PER_TASK", 100)
+    gop = table([(1, g, g * 2.0 - 50, g * 2.0 - 48) for g in range(200)] + [(None, 0, 0.0, 1.0)], "k int, gop int, low double, high double")
+    spans = table([(1, s, s * 7.0 - 40, 9.2e10 if s % 2 else s * 7.0 + 13) for s in range(20)] * 2, "k int, span int, start double, end double")
+    overlap = (F.col("low") < F.col("end")) & (F.col("high") > F.col("start"))
+    met = rangejoin.overlap_join(gop, spans, ["k"], ("low", "high"), ("start", "end"), 10.0, overlap)
+    want = gop.join(spans, "k").where(overlap).select("k", "gop", "span")
+    assert sorted(map(tuple, met.select("k", "gop", "span").collect())) == sorted(map(tuple, want.collect()))
+    dealt, repeated, on = rangejoin._spread_pairs(gop, spans, ["k"], 1000)
+    assert dealt.where("k = 1").select("_salt").distinct().count() > 20
+    joins = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert not [line for line in joins if "LOG2" in line.upper() or "POW" in line.upper()]
+
+
 def test_one_job_fills_many_slices(table):
     """Equal complexities of a single job still spread over the range partitions."""
     made = table([(1, s, 0.5) for s in range(2000)], "job_id int, segment_id int, complexity_estimate double")
