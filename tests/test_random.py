@@ -341,6 +341,26 @@ def test_cells_of_many_pairs_are_split(table, monkeypatch):
     assert not [line for line in joins if "LOG2" in line.upper() or "POW" in line.upper()]
 
 
+def test_untimed_audio_comes_in_runs(table, monkeypatch):
+    """Every packet with every segment; a packet's segments come in runs, those of one run packet by packet."""
+    for name, size in (("PACKETS_PER_BLOCK", 16), ("SEGMENTS_PER_BLOCK", 8), ("SEGMENTS_PER_RUN", 4)):
+        monkeypatch.setattr(packets, name, size)
+    sound = [(a, i, None if i % 3 else 1.0, f"{a}") for a in (1, 2) for i in range(47)] + [(None, 1, None, "x"), (2, 4, None, None), (1, None, None, "y"), (9, 1, None, "z")]
+    cut = [(a, s) for a in (1, 2, 7, None) for s in range(11)] + [(1, 3), (2, None)]
+    timed = table(sound, "asset_id int, packet_idx int, pts_time double, note string")
+    cuts = table(cut, "asset_id int, segment_id int")
+    got = packets.untimed_audio_in_segments(timed, cuts)
+    assert got.columns == ["asset_id", "packet_idx", "pts_time", "note", "segment_id"]
+    want = [(*p, s) for p in sound for a, s in cut if p[2] is None and p[0] is not None and p[0] == a]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+    longest, run = 0, 0
+    for before, row in zip([None, *rows], rows, strict=False):
+        run = run + 1 if before and before[:4] == row[:4] and row[1] is not None else 1
+        longest = max(longest, run)
+    assert longest < 11
+
+
 def test_one_job_fills_many_slices(table):
     """Equal complexities of a single job still spread over the range partitions."""
     made = table([(1, s, 0.5) for s in range(2000)], "job_id int, segment_id int, complexity_estimate double")
