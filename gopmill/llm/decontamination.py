@@ -4,7 +4,7 @@ A benchmark item is cut into phrases of ten words (an item of fewer words is one
 terms asked for, each occurrence in the training texts: term, text, position, and for a phrase's rarest term also the
 words around it. ``candidates`` starts from the list of each phrase's rarest term, turned into phrase starts by taking
 off the term's offset, and intersects it with the equally shifted list of the second rarest. Phrases whose rarest term
-never occurs are gone by then. ``phrase_matches`` compares the remaining terms with the stored neighbours, so matches
+never occurs are gone by then. The index also holds the length of each text, so no further pass counts its words. ``phrase_matches`` compares the remaining terms with the stored neighbours, so matches
 are exact; ``proximity_matches`` asks only that all terms of a phrase lie around its rarest one, in any order.
 
 The benchmark's terms are broadcast in blocks of at most MAX_TERMS, one pass over the texts for each block, so a table
@@ -28,8 +28,9 @@ from gopmill.session import written
 PHRASE = 10
 MAX_TERMS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# the same as [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, with the most frequent characters first
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
+LENGTH = " "  # no word: the term under which the index holds a text's number of words, as a position
 
 
 def words(text: Column) -> Column:
@@ -60,10 +61,14 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, row key, pos, near, near_at) of ``terms(term, rarest)``; ``near`` are the words up to nine places away."""
-    each = docs.select(key(), words(F.col("text")).alias("w")).select(KEY, "w", F.posexplode("w").alias("pos", "term"))
+    """(term, row key, pos, near, near_at) of ``terms(term, rarest)``; ``near`` are the words up to nine places away.
+
+    LENGTH is found at the end of every text. The neighbours are one string, words joined by blanks.
+    """
+    cut = docs.select(key(), words(F.col("text")).alias("w"))
+    each = cut.select(KEY, "w", F.posexplode(F.concat("w", F.array(F.lit(LENGTH)))).alias("pos", "term"))
     low = F.greatest(F.col("pos") - (PHRASE - 1), F.lit(0))
-    near = F.slice("w", low + 1, F.col("pos") - low + PHRASE)
+    near = F.concat_ws(" ", F.slice("w", low + 1, F.col("pos") - low + PHRASE))
     found = [
         each.join(part, "term").select("term", KEY, "pos", F.when(F.col("rarest"), near).alias("near"), low.alias("near_at")) for part in _blocks(terms)
     ]
@@ -90,7 +95,13 @@ class Index:
         chosen = self.rarest.select("term", F.lit(True).alias("rarest")).unionByName(
             self.rarest.filter("other is not null").select(F.col("other").alias("term"), F.lit(False).alias("rarest"))
         )
-        self.postings = written(postings(docs, written(chosen.groupBy("term").agg(F.max("rarest").alias("rarest")))))
+        length = docs.sparkSession.range(1).select(F.lit(LENGTH).alias("term"), F.lit(False).alias("rarest"))
+        asked = chosen.groupBy("term").agg(F.max("rarest").alias("rarest")).unionByName(length)
+        self.postings = written(postings(docs, written(asked)))
+
+    def lengths(self) -> DataFrame:
+        """(row key, n_words) of the texts that are not null."""
+        return self.postings.filter(F.col("term") == LENGTH).groupBy(KEY).agg(F.max("pos").cast("bigint").alias("n_words"))
 
     def anchored(self) -> DataFrame:
         """Each phrase at each occurrence of its rarest term: (row key, phrase, start, ...)."""
@@ -107,12 +118,12 @@ class Index:
     def phrase_matches(self) -> DataFrame:
         """(row key, phrase, start, size) of every exact occurrence."""
         size = F.size(F.split("phrase", " "))
-        there = F.slice("near", F.greatest(F.col("start") - F.col("near_at") + 1, F.lit(1)), size)
+        there = F.slice(F.split("near", " "), F.greatest(F.col("start") - F.col("near_at") + 1, F.lit(1)), size)
         return self.candidates().filter(there == F.split("phrase", " ")).select(KEY, "phrase", "start", size.alias("size"))
 
     def proximity_matches(self) -> DataFrame:
         """(row key, phrase): all terms of the phrase within nine words of its rarest one, whatever their order."""
-        missing = F.array_except(F.split("phrase", " "), "near")
+        missing = F.array_except(F.split("phrase", " "), F.split("near", " "))
         return self.anchored().filter(F.size(missing) == 0).select(KEY, "phrase").distinct()
 
 
@@ -128,9 +139,8 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, begin, step, lambda state: state["total"])
 
 
-def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+def hits(index: Index) -> DataFrame:
     """(row key, n_hit, items): of texts with a match."""
-    index = Index(docs, items)
     exact = written(index.phrase_matches())
     spans = exact.groupBy(KEY).agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"))
     ids = exact.select(KEY, "phrase").distinct().join(index.phrases, "phrase").select(KEY, F.explode("items").alias("item"))
@@ -139,12 +149,12 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op1(docs: DataFrame, items: DataFrame) -> DataFrame:
-    found = hits(docs, items)
-    count = F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("bigint")
+    index = Index(docs, items)
+    found = index.lengths().join(hits(index), KEY, "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return (
-        docs.select("doc_id", key(), count.alias("n_words")).join(found, KEY, "left").select(
-            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),
+        docs.select("doc_id", key()).join(found, KEY, "left").select(
+            "doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),
             F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         )
     )
@@ -153,7 +163,7 @@ def op1(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a phrase of the benchmark, columns as they came."""
     name = fresh(docs, KEY)
-    found = hits(docs.select("doc_id", "text"), items).filter("n_hit > 0").select(F.col(KEY).alias(name))
+    found = hits(Index(docs.select("doc_id", "text"), items)).filter("n_hit > 0").select(F.col(KEY).alias(name))
     return docs.withColumn(name, key()).join(found, name, "left_anti").select(*docs.columns)
 
 

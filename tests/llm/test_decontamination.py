@@ -3,6 +3,7 @@ import re
 
 from conftest import with_clashes
 from fixtures import FOLDER, frame, prose, rows
+from pyspark.sql import functions as F
 
 from gopmill.llm import decontamination
 
@@ -84,3 +85,21 @@ def test_filter_keeps_columns(spark, docs):
     kept = decontamination.keep_clean(wide, items)
     assert kept.columns == wide.columns
     assert kept.count() == decontamination.op1(docs, items).filter("not contaminated").count()
+
+
+def test_index_holds_lengths_and_joined_neighbours(spark):
+    item = prose(12, 3)
+    docs = frame(spark, rows(item, prose(7, 5), "", None, "--", prose(7, 5)))
+    index = decontamination.Index(docs, bench(spark, item))
+    held = sorted(r.n_words for r in index.lengths().collect())
+    assert held == sorted([len(words(item)), len(words(prose(7, 5))), len(words(prose(7, 5))), 0, 0])
+    assert dict(index.postings.dtypes)["near"] == "string"
+    counts = {r.doc_id: r.n_words for r in decontamination.op1(docs, bench(spark, item)).collect()}
+    assert sorted(counts.values()) == sorted([*held, 0])
+
+
+def test_words_are_those_of_the_contract(spark):
+    every = " ".join(f"a{chr(c)}B" for c in [*range(0x250), 0x7FF, 0x800, 0xD7FF, 0xE000, 0xFFFD, 0xFFFF, 0x10000, 0x10FFFF])
+    for text in (every, "Plain ASCII: x_y z9-9 [A]@`b{c}"):
+        got = spark.createDataFrame([(text,)], "text string").select(decontamination.words(F.col("text"))).first()[0]
+        assert got == words(text)
