@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gopmill.llm.textarrays import U64, Bloom, Texts, bucket_edges, packed, slices, unpacked
+from gopmill.llm.textarrays import SLICE_BYTES, U64, Bloom, Texts, bucket_edges, packed, slices, unpacked
 
 FLUSH_BYTES = 12 << 20
 FILTER_BITS = 1 << 28
@@ -28,27 +28,28 @@ def passes(bloom: Bloom, h: np.ndarray) -> np.ndarray:
     return bloom.holds(h >> CUT << CUT)
 
 
-def _gather(buckets: int, owned: Callable[[pa.RecordBatch, Texts], tuple[np.ndarray, np.ndarray]]):
+def _gather(buckets: int, owned: Callable[[pa.RecordBatch, Texts], tuple[np.ndarray, np.ndarray]], piece: int):
     def flush(hashes, owners) -> Iterator[pa.RecordBatch]:
-        h, owner = np.concatenate(hashes) >> CUT << CUT, np.concatenate(owners)
+        h = np.concatenate(hashes)
+        h >>= CUT
         order = np.argsort(h)
-        h, owner = h[order], owner[order]
+        h, owner = h[order], np.concatenate(owners)[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
         if not len(first):
             return
         low, high, u = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first), h[first]
-        edges = bucket_edges(u, buckets)
+        edges = bucket_edges(u << CUT, buckets)
         rows = []
         for b in np.flatnonzero(np.diff(edges)):
             part = slice(edges[b], edges[b + 1])
-            rows.append((b, packed(np.diff(u[part] >> CUT, prepend=U64(0)), low[part], (high - low)[part])))
+            rows.append((b, packed(np.diff(u[part], prepend=U64(0)), low[part], (high - low)[part])))
         for at in range(0, len(rows), 64):
             columns = list(zip(*rows[at : at + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
         held, size = ([], []), 0
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, limit=piece):
             for kept, new in zip(held, owned(batch, texts), strict=True):
                 kept.append(new)
             size += len(texts.data)
@@ -79,9 +80,9 @@ def _segment(buckets: int):
     return run
 
 
-def shared_hashes(rows: DataFrame, buckets: int, owned: Callable[[pa.RecordBatch, Texts], tuple[np.ndarray, np.ndarray]]):
-    """The filter, broadcast. ``owned`` gives hashes and the owner (a 64-bit number) of each, for a batch with ``text``."""
-    blobs = rows.mapInArrow(_gather(buckets, owned), "bucket int, blob binary")
+def shared_hashes(rows: DataFrame, buckets: int, owned: Callable[[pa.RecordBatch, Texts], tuple[np.ndarray, np.ndarray]], piece: int = SLICE_BYTES):
+    """The filter, broadcast. ``owned`` gives hashes and the owner (a 64-bit number) of each, for a batch with about ``piece`` bytes of ``text``."""
+    blobs = rows.mapInArrow(_gather(buckets, owned, piece), "bucket int, blob binary")
     found = blobs.groupBy("bucket").applyInArrow(_segment(buckets), "bucket int, bits binary").collect()
     segments = {r.bucket: np.frombuffer(r.bits, np.uint8) for r in found}
     return rows.sparkSession.sparkContext.broadcast(Bloom([segments.get(b, np.zeros(1, np.uint8)) for b in range(buckets)]))

@@ -89,12 +89,29 @@ class Texts:
     def hashes(self, start: np.ndarray, end: np.ndarray, raw: bool = False) -> np.ndarray:
         """64-bit hash of each span."""
         n = len(self.data)
-        power, inverse = powers(n + 1)
+        _, inverse = powers(n + 1)
+        prefix = self._prefixes()
+        h = (prefix[end] - prefix[start]) * inverse[start]
+        return h if raw else mixed(h)
+
+    def windows(self, size: int) -> np.ndarray:
+        """64-bit hash of the ``size`` bytes from each place on; its upper bits are the mixed ones."""
+        prefix = self._prefixes()
+        h = prefix[size:] - prefix[: len(prefix) - size]
+        h *= powers(len(prefix))[1][: len(h)]
+        h ^= h >> U64(32)
+        h *= U64(0xD6E8FEB86659FD93)
+        return h
+
+    def _prefixes(self) -> np.ndarray:
+        n = len(self.data)
         if self._prefix is None:
+            each = self.data.astype(U64)
+            each += U64(1)
+            each *= powers(n + 1)[0][:n]
             self._prefix = np.zeros(n + 1, U64)
-            np.cumsum((self.data.astype(U64) + U64(1)) * power[:n], out=self._prefix[1:])
-        h = (self._prefix[end] - self._prefix[start]) * inverse[start]
-        return h if raw else mixed(h)
+            np.cumsum(each, out=self._prefix[1:])
+        return self._prefix
 
     def counts(self, flags: np.ndarray) -> np.ndarray:
         """Flagged bytes of each text."""
@@ -131,8 +148,11 @@ def packed(*arrays: np.ndarray) -> bytes:
     parts = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        raw = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes()
-        parts.append(np.array([ord(a.dtype.char), len(a)], np.int64).tobytes() + raw)
+        each = a.view(np.uint8).reshape(-1, a.itemsize)
+        planes = np.empty((a.itemsize, len(a)), np.uint8)
+        for i, plane in enumerate(planes):
+            plane[:] = each[:, i]
+        parts.append(np.array([ord(a.dtype.char), len(a)], np.int64).tobytes() + planes.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -143,8 +163,10 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
         char, n = np.frombuffer(raw, np.int64, 2, at)
         kind = np.dtype(chr(char))
         at += 16
-        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at)
-        out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1) if n else np.zeros(0, kind))
+        each = np.empty((n, kind.itemsize), np.uint8)
+        for i, plane in enumerate(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)):
+            each[:, i] = plane
+        out.append(each.view(kind).reshape(-1))
         at += n * kind.itemsize
     return out
 
