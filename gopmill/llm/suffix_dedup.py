@@ -10,7 +10,8 @@ strings have equal anchors and meet in the same bucket. Neighbouring strings mos
 as one stretch of text. First the anchors of all texts are counted by bucket; those that occur in two documents go to a
 Bloom filter of bounded size, which only spares work: a false positive costs a little text, nothing is lost. Then the
 stretches around shared anchors go to their buckets, each distinct stretch once a task with the smallest doc_id it
-has, so a passage in every document is one row per task. A bucket is worked through in chunks of about a megabyte.
+has, so a passage in every document is one row per task. A stretch alone with its anchor has no string in common with
+another, so its smallest and largest doc_id decide it; the others of a bucket are worked through in chunks of about a megabyte.
 The verdict on each distinct stretch (the first document of each of its strings) is joined back to its occurrences,
 a many-to-one join that Spark may split on hot stretches.
 
