@@ -22,24 +22,30 @@ minima with probability s^5, one of ten bands with 0.98 at 0.8. Inside a shard d
 search, classes are grown from it, and only links that join classes leave the task. A shard larger than ``shard_rows``
 is cut into blocks that meet two by two, so that no task holds more than two blocks and no pair is lost.
 
-The bits only propose. Every class they make is searched a second time, now with the shingles of its texts, which are
-sent there once: two texts are linked if they are within the bits and their sets of shingles have a similarity of 0.8 or
-more, counted exactly. As all pairs of a class are looked at, no link hangs on which of several proposed ones was kept.
+Bits and bands only propose, and they miss some: one pair in fifty at 0.8 shares no band, and half of those of four and
+five shingles differ in more than 192 bits. So classes that they make are proposed to be one by an exact way as well. In
+one order of all shingles, the same for all texts and with frequent ones last, two sets of similarity 0.8 share at least
+one of their first fifths; a further tenth asks for as many more shared ones, which leaves few other pairs. Which order
+it is makes no difference to what is found, so a sixteenth of the rows tells which shingles are frequent.
+
+Every class so proposed is searched a second time, now with the shingles of its texts, which are sent there once: two
+texts are linked if their sets of shingles have a similarity of 0.8 or more, counted exactly. As all pairs of a class are
+looked at, no link hangs on which of several proposed ones was kept, and no pair of 0.8 or more is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gopmill.llm.common import KEY, fresh, key
+from gopmill.llm.common import KEY, fresh, key, release
 from gopmill.llm.textarrays import Texts, mixed, powers, slices
 from gopmill.session import written
 
@@ -59,6 +65,11 @@ BANDS = 10
 BAND_ROWS = 5
 WIDE_SHARD_ROWS = 1 << 15
 SHARD_SHINGLES = 1 << 22
+# prefixes are longer by a tenth of a set, of which as many have to be shared
+FURTHER = 10
+# a shingle is frequent if this many of the sampled rows have it, one row in SAMPLED; the most frequent ones are known
+FREQUENT, SAMPLED, MOST_FREQUENT = 16, 16, 1 << 20
+PREFIX_BLOCK = 1 << 10
 
 
 def fingerprint(text: str | None) -> int:
@@ -298,15 +309,45 @@ def _node(h: np.ndarray) -> bytes:
     return hashlib.md5(h.tobytes(), usedforsecurity=False).digest()
 
 
-def _wide_prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches):
-        sets = list(shingle_sets(texts))
-        found = [wide_print(h) for h in sets]
-        prints = pa.array([p.tobytes() for p, _ in found], pa.binary())
-        bands = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([b for _, b in found]).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-        nodes, sizes = pa.array([_node(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64())
-        columns = [batch.column("doc_id"), batch.column(KEY), nodes, sizes, prints, bands]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", KEY, "node", "size", "print", "bands"])
+def prefix(h: np.ndarray, frequent: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all sets: by ``rows`` where ``frequent``, after all others, then by hash."""
+    size = len(h) - -(-SHARED * len(h) // OF_ALL) + len(h) // FURTHER + 1
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        h = h[np.lexsort((h, np.where(frequent[at] == h, rows[at], 0)))]
+    return h[:size]
+
+
+def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(shingle_sets(texts))).view(np.int64))], names=["shingle"])
+
+
+def frequent_shingles(rows: DataFrame):
+    """Shingles that many of ``rows(_key, text)`` have, in order, and how many of the sampled rows; broadcast."""
+    some = rows.filter(F.pmod(F.col(KEY), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_sampled, "shingle bigint")
+    counts = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= FREQUENT)
+    found = counts.orderBy(F.col("rows").desc(), "shingle").limit(MOST_FREQUENT).toArrow()
+    shingle, times = (found.column(c).to_numpy() for c in ("shingle", "rows"))
+    order = np.argsort(shingle.view(U64))
+    return rows.sparkSession.sparkContext.broadcast((shingle.view(U64)[order], times[order]))
+
+
+def _wide_prints(frequent):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            sets = list(shingle_sets(texts))
+            found = [wide_print(h) for h in sets]
+            prints = pa.array([p.tobytes() for p, _ in found], pa.binary())
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([b for _, b in found]).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            nodes, sizes = pa.array([_node(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64())
+            firsts = [prefix(h, *frequent.value).view(np.int64) for h in sets]
+            edges = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+            prefixes = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(firsts)))
+            columns = [batch.column("doc_id"), batch.column(KEY), nodes, sizes, prints, bands, prefixes]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", KEY, "node", "size", "print", "bands", "prefix"])
+
+    return run
 
 
 def _node_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,19 +362,35 @@ class ShingleSets:
 
     def __init__(self, sets: list[np.ndarray]):
         self.edges = np.cumsum([0, *map(len, sets)])
+        self.sizes = np.diff(self.edges)
         different, self.numbers = np.unique(np.concatenate(sets), return_inverse=True)
         self.marked = np.zeros(len(different), bool)
+        # who has a shingle among the first fifth of a set
+        self.firsts = self.sizes - -(-SHARED * self.sizes // OF_ALL) + 1
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        first = np.arange(len(owner)) < (self.edges[:-1] + self.firsts)[owner]
+        self.owner = owner[first][np.argsort(self.numbers[first], kind="stable")]
+        self.owned = np.concatenate([[0], np.cumsum(np.bincount(self.numbers[first], minlength=len(different)))])
 
     def _of(self, at: int) -> np.ndarray:
         return self.numbers[self.edges[at] : self.edges[at + 1]]
 
+    def linked(self, a: int, open_: np.ndarray) -> np.ndarray:
+        """The ``open_`` sets (a mask) similar to ``a``."""
+        met = np.zeros(len(self.sizes), bool)
+        for number in self._of(a)[: self.firsts[a]].tolist():
+            met[self.owner[self.owned[number] : self.owned[number + 1]]] = True
+        met &= open_ & (OF_ALL * self.sizes >= SHARED * self.sizes[a]) & (OF_ALL * self.sizes[a] >= SHARED * self.sizes)
+        others = np.flatnonzero(met)
+        return others[self.similar(a, others)] if len(others) else others
+
     def similar(self, a: int, others: np.ndarray) -> np.ndarray:
         """Which of the ``others`` have a similarity of 0.8 or more to ``a``."""
         own = self._of(a)
         self.marked[own] = True
         shared = np.array([np.count_nonzero(self.marked[self._of(b)]) for b in others.tolist()], np.int64)
         self.marked[own] = False
-        every = len(own) + self.edges[others + 1] - self.edges[others] - shared
+        every = len(own) + self.sizes[others] - shared
         return OF_ALL * shared >= SHARED * every
 
 
@@ -344,12 +401,28 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def grown_links(points: np.ndarray, bits: int, sets: ShingleSets | None = None) -> list[tuple[int, int]]:
+def similar_sets(sets: ShingleSets) -> list[tuple[int, int]]:
+    """Links of a spanning forest: all sets similar to each other are joined by them."""
+    open_, found = np.ones(len(sets.sizes), bool), []
+    for seed in range(len(open_)):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        frontier = [seed]
+        while frontier:
+            a = frontier.pop()
+            hit = sets.linked(a, open_)
+            open_[hit] = False
+            found += [(a, b) for b in hit.tolist()]
+            frontier += hit.tolist()
+    return found
+
+
+def grown_links(points: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links of a spanning forest: all points (n x WIDE_WORDS) within ``bits`` of each other are joined by them.
 
     By the triangle inequality two linked points differ by at most ``bits`` in their distance to the vantage point, so
-    points sorted by it need only be compared with a window of that order. With ``sets`` points are joined only if
-    their sets are similar as well; a point stays open until one of its class has been found to be.
+    points sorted by it need only be compared with a window of that order.
     """
     vantage = _distances(points[:1], points)[0].astype(np.int64)
     order = np.argsort(vantage, kind="stable")
@@ -369,30 +442,34 @@ def grown_links(points: np.ndarray, bits: int, sets: ShingleSets | None = None)
                 close = _distances(points[part], points[some]) <= bits
                 for row in np.flatnonzero(close.any(1)):
                     hit = some[close[row] & open_[some]]
-                    if sets is not None:
-                        hit = hit[sets.similar(order[part[row]], order[hit])]
                     found += [(int(order[part[row]]), b) for b in order[hit].tolist()]
                     open_[hit] = False
                     frontier = np.concatenate([frontier, hit])
     return found
 
 
-def _wide_shards(bits: int, checked: bool):
-    names = ["shard", "node", "print", *["shingles"] * checked]
+def _near_prints(bits: int):
+    return lambda held: grown_links(np.frombuffer(b"".join(held), U64).reshape(-1, WIDE_WORDS), bits)
+
+
+def _near_sets(held: list[bytes]) -> list[tuple[int, int]]:
+    return similar_sets(ShingleSets([np.frombuffer(h, U64) for h in held]))
+
+
+def _wide_shards(column: str, links: Callable[[list[bytes]], list[tuple[int, int]]]):
+    """The ``links`` of the values in ``column`` of each shard, by the names of its nodes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, ...]] = []
+        held: list[tuple[bytes, bytes]] = []
         held_shard = None
 
         def out() -> pa.RecordBatch:
-            points = np.frombuffer(b"".join(row[1] for row in held), U64).reshape(-1, WIDE_WORDS)
-            sets = ShingleSets([np.frombuffer(row[2], U64) for row in held]) if checked else None
-            pairs = grown_links(points, bits, sets)
+            pairs = links([value for _, value in held])
             columns = [pa.array([held[pair[side]][0] for pair in pairs], pa.binary()) for side in (0, 1)]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
         for batch in batches:
-            for shard, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "node", column)), strict=True):
                 if shard != held_shard:
                     if len(held) > 1:
                         yield out()
@@ -425,13 +502,50 @@ def similar_links(points: DataFrame, bits: int = WIDE_BITS, shard_rows: int = WI
     """Spanning links (a, b) of ``points(node, size, print, bands)``, distinct by node, that share a band and are within ``bits``."""
     placed = points.select("node", "size", F.posexplode("bands").alias("band", "part"))
     sent = _shards(placed.select("node", "size", F.xxhash64("band", "part").alias("part")), shard_rows).join(points.select("node", "print"), "node")
-    return sent.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_wide_shards(bits, False), "a binary, b binary")
+    return sent.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_wide_shards("print", _near_prints(bits)), "a binary, b binary")
+
+
+def shared_prefixes(prints: DataFrame, named: DataFrame, block: int = PREFIX_BLOCK) -> DataFrame:
+    """Pairs (a, b) of different tags of ``named(id, tag, size)`` of which two sets may be similar by ``prints(id, prefix)``.
+
+    Of two sets of m and n shingles, m the smaller, that are similar, 4/9 (m + n) are shared. So the first k shared ones in
+    the order of all sets are among the first m + k - 4/9 (m + n) of one and n + k - 4/9 (m + n) of the other, for any k; it is
+    a tenth of m and one more. A shingle of very many sets is cut into blocks of them, every one of which meets every one.
+    """
+    each = Window.partitionBy("shingle")
+
+    def several(rows: DataFrame, owner: str) -> DataFrame:
+        ends = [F.min(owner).over(each).alias("low"), F.max(owner).over(each).alias("high")]
+        return rows.select("*", *ends).filter("low != high").drop("low", "high")
+
+    posted = prints.select("id", F.posexplode("prefix").alias("pos", "shingle"))
+    # few shingles are left here; copies of a row, which come with equal ids, are one
+    left = written(several(posted, "id").distinct())
+    met = several(release(left).join(named, "id"), "tag")
+    blocks = F.ceil(F.count(F.lit(1)).over(each) / F.lit(block))
+    met = written(met.select("id", "tag", "size", "pos", "shingle", blocks.alias("blocks")))
+    own, other = F.pmod("id", "blocks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+
+    def side(name: str, first: str, second: str) -> DataFrame:
+        facts = [F.col(c).alias(f"{name}_{c}") for c in ("id", "tag", "size", "pos")]
+        return met.select("shingle", *facts, own.alias(first), other.alias(second))
+
+    pairs = side("a", "x", "y").join(side("b", "y", "x"), ["shingle", "x", "y"])
+    every = F.col("a_size") + F.col("b_size")
+    shared = F.ceil(SHARED * every / F.lit(SHARED + OF_ALL))
+    pairs = pairs.withColumn("least", F.floor(F.col("a_size") / F.lit(FURTHER)) + 1).filter(
+        (F.col("a_tag") != F.col("b_tag"))
+        & ((F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_id") < F.col("b_id"))))
+        & (OF_ALL * F.col("a_size") >= SHARED * F.col("b_size"))
+        & (F.col("a_pos") < F.col("a_size") - shared + F.col("least"))
+        & (F.col("b_pos") < F.col("b_size") - shared + F.col("least"))
+    )
+    found = pairs.groupBy("a_id", "b_id", "a_tag", "b_tag", "least").agg(F.count(F.lit(1)).alias("rows")).filter("rows >= least")
+    return found.select(F.col("a_tag").alias("a"), F.col("b_tag").alias("b")).distinct()
 
 
-def checked_links(
-    docs: DataFrame, members: DataFrame, bits: int = WIDE_BITS, shard_rows: int = WIDE_SHARD_ROWS, shard_shingles: int = SHARD_SHINGLES
-) -> DataFrame:
-    """Spanning links (a, b) of ``members(node, label, size, print, _key)`` with one label, within ``bits`` and similar by their shingles.
+def checked_links(docs: DataFrame, members: DataFrame, shard_rows: int = WIDE_SHARD_ROWS, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
+    """Spanning links (a, b) of ``members(node, label, size, _key)`` with one label that are similar by their shingles.
 
     ``docs(_key, text)`` are the texts, of which a member's is that of its key.
     """
@@ -439,8 +553,8 @@ def checked_links(
     # two texts of one key, if ever, are two nodes; copies of a row are one
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
     sent = _shards(members.select("node", "size", F.col("label").alias("part")), shard_rows, shard_shingles)
-    sent = sent.join(members.select("node", "print").join(sets, "node"), "node")
-    return sent.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_wide_shards(bits, True), "a binary, b binary")
+    sent = sent.join(members.select("node").join(sets, "node"), "node")
+    return sent.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_wide_shards("shingles", _near_sets), "a binary, b binary")
 
 
 def similar_classes(docs: DataFrame, bits: int = WIDE_BITS, shard_rows: int = WIDE_SHARD_ROWS) -> DataFrame:
@@ -449,12 +563,18 @@ def similar_classes(docs: DataFrame, bits: int = WIDE_BITS, shard_rows: int = WI
     Texts without words are a class of their own. Texts whose shingles are equal are one point.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key(), "text")
-    prints = written(rows.mapInArrow(_wide_prints, f"doc_id bigint, {KEY} bigint, node binary, size bigint, print binary, bands array<bigint>"))
+    schema = f"doc_id bigint, {KEY} bigint, node binary, size bigint, print binary, bands array<bigint>, prefix array<bigint>"
+    prints = written(rows.mapInArrow(_wide_prints(frequent_shingles(rows.select(KEY, "text"))), schema))
     facts = [F.first(c).alias(c) for c in ("size", "print", "bands")]
     points = written(prints.groupBy("node").agg(*facts, F.min(KEY).alias(KEY)))
-    proposed = components(similar_links(points, bits, shard_rows))
-    members = written(proposed.join(points.drop("bands"), "node"))
-    linked = components(checked_links(rows.select(KEY, "text"), members, bits, shard_rows)).withColumnRenamed("node", "linked")
+    proposed = components(similar_links(points, bits, shard_rows)).withColumnRenamed("node", "near")
+    tag = F.xxhash64(F.coalesce("label", "node")).alias("tag")
+    named = written(points.join(proposed, points.node == F.col("near"), "left").select("node", "size", KEY, tag, F.col("near").isNotNull().alias("met")))
+    known = F.xxhash64("node").alias("id")
+    rest = shared_prefixes(prints.select(known, "prefix"), release(named).select(known, "tag", "size"))
+    merged = components(rest).select(F.col("node").alias("tag"), "label")
+    members = written(named.join(merged, "tag", "left").filter("met or label is not null").withColumn("label", F.coalesce("label", "tag")))
+    linked = components(checked_links(rows.select(KEY, "text"), release(members), shard_rows)).withColumnRenamed("node", "linked")
     at = prints.select("doc_id", KEY, "node")
     return at.join(linked, at.node == F.col("linked"), "left").select("doc_id", KEY, "node", F.coalesce("label", "node").alias("label"))
 

@@ -247,3 +247,48 @@ def test_classes_of_many_shingles_are_cut_without_losing_a_link(spark):
         forest.link(*(np.array(x) for x in zip(*pairs, strict=True)))
         forests.append([forest.top(i) for i in range(len(texts))])
     assert same_partition(*forests) and same_partition(forests[0], brute_similar(texts))
+
+
+def test_no_pair_of_the_similarity_is_lost(spark, monkeypatch):
+    """All pairs of 0.8 or more are joined, whatever their bits and bands: the shortest ones, and long ones at the very edge."""
+    rng = np.random.default_rng(10)
+    texts = []
+    for i in range(60):
+        base = prose(9, 5000 + i).split()
+        texts += [" ".join(base[:8]), " ".join(base)]
+    for i in range(200):
+        base = prose(int(rng.integers(45, 54)), 6000 + i).split()
+        texts += [" ".join(base), " ".join([*base[:-1], *(f"more{k}" for k in range(10))])]
+    sets = [shingle_set(t) for t in texts]
+    close = [i for i in range(0, len(texts), 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])]
+    assert len(close) > 150
+    docs = frame(spark, rows(*texts))
+    for sampled, frequent in ((16, 16), (1, 2)):
+        monkeypatch.setattr(simhash, "SAMPLED", sampled)
+        monkeypatch.setattr(simhash, "FREQUENT", frequent)
+        label = {r.doc_id - 1: bytes(r.label) for r in simhash.similar_classes(docs).collect()}
+        assert [i for i in range(0, len(texts), 2) if label[i] == label[i + 1]] == close
+
+
+def test_prefixes_propose_every_similar_pair_of_two_classes(spark):
+    rng = np.random.default_rng(11)
+    base = prose(60, 13).split()
+    texts = list(dict.fromkeys(edited(base, int(rng.integers(1, 4)), rng) for _ in range(80)))
+    texts += [" ".join(texts[i].split()[: int(rng.integers(8, 60))]) for i in range(40)]
+    sets = [np.array(h) for h in simhash.shingle_sets(column_texts(pa.array(texts, pa.string())))]
+    found, counts = np.unique(np.concatenate(sets), return_counts=True)
+    for least in (1000, 10):
+        often = counts >= least
+        firsts = [simhash.prefix(h, found[often], counts[often]).view(np.int64).tolist() for h in sets]
+        prints = spark.createDataFrame([*enumerate(firsts), *enumerate(firsts[:9])], "id bigint, prefix array<bigint>")
+        named = spark.createDataFrame([(i, i // 2, len(h)) for i, h in enumerate(sets)], "id bigint, tag bigint, size bigint")
+        want = set()
+        for i, a in enumerate(sets):
+            for j in range(i):
+                shared = len(np.intersect1d(a, sets[j]))
+                if i // 2 != j // 2 and 5 * shared >= 4 * (len(a) + len(sets[j]) - shared):
+                    want.add((j // 2, i // 2))
+        assert len(want) > 50
+        for block in (1 << 10, 7):
+            got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.shared_prefixes(prints, named, block).collect()}
+            assert want <= got
