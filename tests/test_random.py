@@ -361,6 +361,22 @@ def test_untimed_audio_comes_in_runs(table, monkeypatch):
     assert longest < 11
 
 
+def test_segments_of_sources_come_in_turn(table, monkeypatch):
+    """Every source has its segments; sources with the same run get them segment by segment, at most so many at once."""
+    monkeypatch.setattr(segments, "SEGMENTS_PER_RUN", 8)
+    span = 10 * segments.BYTES_PER_SECOND
+    sizes = [(f"a{i}", (3 + i % 2 * 18) * span - 7) for i in range(600)] + [("a1", 5 * span), ("a1", 5 * span), (None, span), ("none", 0), ("unknown", None)]
+    got = [tuple(r) for r in segments.size_segments(table(sizes, "asset_id string, size_bytes bigint")).collect()]
+    want = []
+    for asset, size in sizes:
+        lasted = None if size is None else size / segments.BYTES_PER_SECOND
+        for s in range(max(-(-(size or 0) // span), 1)):
+            end = (s + 1) * 10.0
+            want.append((asset, s, s * 300, (s + 1) * 300, s * 10.0, end if lasted is None else min(end, lasted), 0.5))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(a[1] != b[1] for a, b in zip(got, got[1:], strict=False)) < len(got) / 5
+
+
 def test_one_job_fills_many_slices(table):
     """Equal complexities of a single job still spread over the range partitions."""
     made = table([(1, s, 0.5) for s in range(2000)], "job_id int, segment_id int, complexity_estimate double")
